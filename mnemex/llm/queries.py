@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, quality, simhash, toxicity, url_filter
+from . import bpe, decontaminate, pii, quality, simhash, token_counts, token_files, toxicity, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,18 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.op1(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.op2(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.op3(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op4(_documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op5(_documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -25,6 +37,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op6(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.op7(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op9(_documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
 
@@ -35,8 +51,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_bpe": op2_bpe,
+    "op3_token_counts": op3_token_counts,
+    "op4_decontamination": op4_decontamination,
     "op5_pii": op5_pii,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_token_files": op7_token_files,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
 }
