@@ -112,9 +112,9 @@ class Index:
         self.table = np.zeros(1 << self.bits, dtype=bool)
         self.table[self.hashes >> np.uint64(64 - self.bits)] = True
 
-    def hits(self, words: np.ndarray) -> set[tuple[int, int]]:
-        """(item, place of its first word) of every diagonal with a shared seed."""
-        found: set[tuple[int, int]] = set()
+    def hits(self, words: np.ndarray, ends: np.ndarray) -> set[tuple[int, int, int]]:
+        """(document, item, place of its first word) of every diagonal with a shared seed; ``ends`` are those of the documents."""
+        found: set[tuple[int, int, int]] = set()
         for k, mask in enumerate(self.masks):
             h = seeds(words, mask, k)
             at = np.flatnonzero(self.table[h >> np.uint64(64 - self.bits)])
@@ -125,17 +125,18 @@ class Index:
             if not n.any():
                 continue
             rows = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            found.update(zip(self.item[rows].tolist(), (np.repeat(at, n) - self.offset[rows]).tolist(), strict=True))
+            place = np.repeat(at, n)
+            found.update(zip(np.searchsorted(ends, place, "right").tolist(), self.item[rows].tolist(), (place - self.offset[rows]).tolist(), strict=True))
         return found
 
     def verify(self, words: np.ndarray, item: int, first: int) -> tuple[int, int, int] | None:
         """Start, words and matches of the overlap on one diagonal; ``words`` are those of one document."""
         own = self.words[item]
         lo, hi = max(0, -first), min(len(own), len(words) - first)
-        same = own[lo:hi] == words[first + lo : first + hi]
         need = min(WINDOW, len(own))
-        if len(same) < need:
+        if hi - lo < need:
             return None
+        same = own[lo:hi] == words[first + lo : first + hi]
         total = np.r_[0, np.cumsum(same)]
         good = np.flatnonzero(total[need:] - total[:-need] >= (ALIKE if need == WINDOW else ceil(0.8 * need)))
         if not len(good):
@@ -157,15 +158,12 @@ def _search(index: Index):
                 flat = np.concatenate([x for _, w in docs for x in (w, gap)])
                 ends = np.cumsum([len(w) + WINDOW for _, w in docs])
                 best: dict[tuple[int, int], tuple[int, int, int]] = {}
-                for item, first in index.hits(flat):
-                    k = int(np.searchsorted(ends, max(first, 0), "right"))
-                    for d in {k, int(np.searchsorted(ends, max(first, 0) + len(index.words[item]), "right"))}:
-                        if d < len(docs):
-                            w = docs[d][1]
-                            begin = int(ends[d]) - WINDOW - len(w)
-                            got = index.verify(w, item, first - begin)
-                            if got and (got[1], -got[0]) > (best.get((d, item), (0, 0, 0))[1], -best.get((d, item), (0, 0, 0))[0]):
-                                best[d, item] = got
+                for d, item, first in index.hits(flat, ends):
+                    w = docs[d][1]
+                    got = index.verify(w, item, first - (int(ends[d]) - WINDOW - len(w)))
+                    old = best.get((d, item))
+                    if got and (old is None or (got[1], -got[0]) > (old[1], -old[0])):
+                        best[d, item] = got
                 for (d, item), got in sorted(best.items()):
                     rows.append((docs[d][0], index.ids[item], *got))
 
