@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from math import ceil
 
@@ -145,36 +146,41 @@ class Index:
         return first + lo + a, b - a, int(total[b] - total[a])
 
 
+def _found(index: Index, known: Words, texts: pa.Array) -> Iterator[tuple[int, int, tuple[int, int, int]]]:
+    """(row, item, longest overlap) of all pairs of a batch that have one, a bounded run of words at a time."""
+    held: list[tuple[int, np.ndarray]] = []
+    size = 0
+
+    def flush():
+        gap = np.zeros(WINDOW, dtype=np.uint64)
+        flat = np.concatenate([x for _, w in held for x in (w, gap)])
+        ends = np.cumsum([len(w) + WINDOW for _, w in held])
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for d, item, first in index.hits(flat, ends):
+            w = held[d][1]
+            got = index.verify(w, item, first - (int(ends[d]) - WINDOW - len(w)))
+            old = best.get((d, item))
+            if got and (old is None or (got[1], -got[0]) > (old[1], -old[0])):
+                best[d, item] = got
+        for (d, item), got in sorted(best.items()):
+            yield held[d][0], item, got
+
+    for row, x in enumerate(texts):
+        held.append((row, known.of(x.as_py())))
+        size += len(held[-1][1])
+        if size >= PART:
+            yield from flush()
+            held, size = [], 0
+    if held:
+        yield from flush()
+
+
 def _search(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         for batch in batches:
-            docs, held, rows = [], 0, []
-
-            def flush() -> None:
-                if not docs:
-                    return
-                gap = np.zeros(WINDOW, dtype=np.uint64)
-                flat = np.concatenate([x for _, w in docs for x in (w, gap)])
-                ends = np.cumsum([len(w) + WINDOW for _, w in docs])
-                best: dict[tuple[int, int], tuple[int, int, int]] = {}
-                for d, item, first in index.hits(flat, ends):
-                    w = docs[d][1]
-                    got = index.verify(w, item, first - (int(ends[d]) - WINDOW - len(w)))
-                    old = best.get((d, item))
-                    if got and (old is None or (got[1], -got[0]) > (old[1], -old[0])):
-                        best[d, item] = got
-                for (d, item), got in sorted(best.items()):
-                    rows.append((docs[d][0], index.ids[item], *got))
-
-            for i, x in zip(batch.column(0), batch.column(1), strict=True):
-                w = known.of(x.as_py())
-                docs.append((i.as_py(), w))
-                held += len(w)
-                if held >= PART:
-                    flush()
-                    docs, held = [], 0
-            flush()
+            ids = batch.column(0)
+            rows = [(ids[row].as_py(), index.ids[item], *got) for row, item, got in _found(index, known, batch.column(1))]
             if rows:
                 a, b, start, n, same = zip(*rows, strict=True)
                 yield pa.record_batch({"doc_id": pa.array(a, batch.schema.field(0).type), "item_id": pa.array(b), "start_word": pa.array(start, pa.int64()), "n_words": pa.array(n, pa.int64()), "n_same": pa.array(same, pa.int64())})
@@ -182,29 +188,42 @@ def _search(index: Index):
     return run
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", index_words: int = INDEX_WORDS) -> DataFrame:
-    """``doc_id, item_id, start_word, n_words, n_same``: the longest overlap of each pair that has one."""
-    spark = docs.sparkSession
+def _passes(benchmark: DataFrame, item_col: str, item_text: str, index_words: int) -> Iterator[Index]:
+    """Indexes of about ``index_words`` words that hold all items between them."""
     items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").dropDuplicates()
     words = items.agg(F.sum(F.size(F.split("t", r"\s+")))).first()[0] or 0
     passes = max(1, -(-int(words) // index_words))
+    for k in range(passes):
+        own = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k) if passes > 1 else items
+        yield Index([(r.i, r.t) for r in own.collect()])
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", index_words: int = INDEX_WORDS) -> DataFrame:
+    """``doc_id, item_id, start_word, n_words, n_same``: the longest overlap of each pair that has one."""
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = f"doc_id {kind}, item_id {item_kind}, start_word long, n_words long, n_same long"
-    found = None
-    for k in range(passes):
-        own = items.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == k) if passes > 1 else items
-        index = Index([(r.i, r.t) for r in own.collect()])  # about index_words words
-        part = rows.mapInArrow(_search(index), schema)
-        found = part if found is None else found.union(part)
-    return found
-
-
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without rows that overlap an item."""
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "*")
-    dirty = overlaps(rows, benchmark, "_row", text_col, **options).select("_row").distinct()
-    return rows.join(dirty, "_row", "left_anti").drop("_row")
+    parts = [rows.mapInArrow(_search(index), schema) for index in _passes(benchmark, item_col, item_text, index_words)]
+    return reduce(DataFrame.union, parts)
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", index_words: int = INDEX_WORDS) -> DataFrame:
+    """``docs`` without rows that overlap an item; rows are dropped where they are read."""
+
+    def keep(index: Index):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = Words()
+            for batch in batches:
+                clean = np.ones(batch.num_rows, dtype=bool)
+                for row, _, _ in _found(index, known, batch.column(batch.schema.get_field_index(text_col))):
+                    clean[row] = False
+                yield batch.filter(pa.array(clean))
+
+        return run
+
+    for index in _passes(benchmark, item_col, item_text, index_words):
+        docs = docs.mapInArrow(keep(index), docs.schema)
+    return docs
 
 
 def op4(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
