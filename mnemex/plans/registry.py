@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import analytics, enrichment, governance, relational, retrieval, streams, temporal  # noqa: F401  they register
+from .catalog import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Fused retrieval: two channels, fusion, deduplication and the ten best of each query."""
+    return QUERIES["v13_fused_retrieval"](spark, sf_dir)
