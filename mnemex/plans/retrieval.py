@@ -1 +1,313 @@
-"""Placeholder."""
+"""Ranked retrieval: channels, fusion, expansion, evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import ranking as R
+from ..operators import retrieval as X
+from ..operators.temporal import as_of, keep_last
+from ..operators.vectors import nearest
+from ..sources.tables import EPISODES_SQL, VERSIONS_SQL, episodes, members, property_versions, table
+from .catalog import query
+from .relational import COMEMBERS_SQL, co_members
+
+WEIGHTS = {"vector": 0.35, "bm25": 0.40, "entity": 0.25}
+
+
+def documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def questions(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def vectors(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    rows = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return rows.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector"), rows
+
+
+WORDS_SQL = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9à-ÿ]+'), lambda x: length(x) > 1)"
+BM25_SQL = f"""WITH d AS (SELECT doc_id AS id, {WORDS_SQL} AS w FROM documents), s AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM d),
+p AS (SELECT id, term, n AS length, count(*) AS tf FROM (SELECT id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+q AS (SELECT DISTINCT item_id AS query_id, unnest({WORDS_SQL}) AS term FROM benchmark), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+r AS (SELECT query_id, id, round(sum((ln((1 + docs) / (1 + df)) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))), 6)::DOUBLE AS score FROM q JOIN p USING (term) JOIN f USING (term), s GROUP BY ALL)"""
+
+
+@query(f"{BM25_SQL} SELECT query_id, id, score FROM r WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10")
+def v8_bm25_topk(spark, sf_dir):
+    return X.bm25(questions(spark, sf_dir), documents(spark, sf_dir)).select("query_id", "id", "score")
+
+
+@query("SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM (SELECT doc_id, unnest(" + WORDS_SQL + ") AS term, 1 AS tf FROM documents) GROUP BY term".replace("count(*)", "count(*)"))
+def v7_term_totals(spark, sf_dir):
+    """Index statistics: postings and total frequency of every term."""
+    p = X.postings(documents(spark, sf_dir), X.words(F.col("text")))
+    return p.groupBy("term").agg(F.sum("tf").alias("df"), F.sum("tf").alias("total"))
+
+
+NAMES_SQL = "list_distinct(regexp_extract_all(text, '([A-Z][a-z]+(?:\\s[A-Z][a-z]+)*)', 1))"
+ENTITY_SQL = f"""(SELECT query_id, id, score FROM (SELECT q.query_id, d.id, round(max(least(1.0, 0.3 + 0.7 * length(d.name) / n)), 6)::DOUBLE AS score
+FROM (SELECT item_id AS query_id, unnest({NAMES_SQL}) AS name FROM benchmark) q JOIN (SELECT doc_id AS id, length(text) AS n, unnest({NAMES_SQL}) AS name FROM documents) d ON q.name = d.name AND length(q.name) > 3 GROUP BY ALL)
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10)"""
+
+
+@query(f"SELECT * FROM {ENTITY_SQL}")
+def v9_entity_channel(spark, sf_dir):
+    return X.entity_channel(questions(spark, sf_dir), documents(spark, sf_dir)).select("query_id", "id", "score")
+
+
+FUSED_SQL = f"""{BM25_SQL}, c AS (SELECT query_id, id, 'bm25' AS channel, score FROM (SELECT * FROM r WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10) UNION ALL SELECT query_id, id, 'entity', score FROM {ENTITY_SQL}),
+n AS (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM c WINDOW w AS (PARTITION BY query_id, channel)),
+u AS (SELECT query_id, id, sum((CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END) * CASE channel WHEN 'bm25' THEN 0.40 ELSE 0.25 END) AS score, string_agg(DISTINCT channel, '+' ORDER BY channel) AS channels FROM n GROUP BY ALL)"""
+
+
+def _channels(spark, sf_dir):
+    q, d = questions(spark, sf_dir), documents(spark, sf_dir)
+    a = X.bm25(q, d).select("query_id", "id", F.lit("bm25").alias("channel"), "score")
+    return a.union(X.entity_channel(q, d).select("query_id", "id", F.lit("entity").alias("channel"), "score"))
+
+
+@query(f"{FUSED_SQL} SELECT query_id, id, round(score, 4)::DOUBLE AS score, channels FROM u")
+def a21_score_fusion(spark, sf_dir):
+    return R.fuse(_channels(spark, sf_dir), WEIGHTS).select("query_id", "id", F.round("score", 4).alias("score"), "channels")
+
+
+@query(f"""{FUSED_SQL}, t AS (SELECT u.*, round(score * (1 + 1 / (1 + exp(-e.tau_initial / 60))), 4)::DOUBLE AS s, left(content, 100) AS prefix FROM u JOIN {EPISODES_SQL} e USING (id) WHERE NOT archived),
+b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY query_id, prefix ORDER BY s DESC, id) = 1)
+SELECT query_id, id, least(1.0, s)::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id)::INT AS rank FROM b QUALIFY rank <= 10""")
+def v13_fused_retrieval(spark, sf_dir):
+    """BM25 and entities, fused, boosted by tau, archived ones dropped, copies by prefix dropped, ten best by the unclamped score."""
+    fused = R.fuse(_channels(spark, sf_dir), WEIGHTS)
+    e = episodes(spark, sf_dir).select("id", F.substring("content", 1, 100).alias("prefix"), "tau_initial", "archived").where("NOT archived")
+    boosted = fused.join(e, "id").withColumn("s", F.round(F.col("score") * (1 + 1 / (1 + F.exp(-F.col("tau_initial") / 60))), 4)).select("query_id", "id", "prefix", "s")
+    best = R.dedup_best(boosted, ["query_id", "prefix"], F.col("s"), "id")
+    return R.top_k(best, ["query_id"], "s", "id", 10).select("query_id", "id", F.least(F.lit(1.0), "s").alias("score"), "rank")
+
+
+COS_SQL = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
+KNN_SQL = f"""(SELECT a.vec_id AS query_id, b.vec_id AS id, round({COS_SQL}, 6)::DOUBLE AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)"""
+
+
+@query(f"SELECT query_id, id, score FROM {KNN_SQL} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10")
+def v2_knn_cosine(spark, sf_dir):
+    return nearest(*vectors(spark, sf_dir)).select("query_id", "id", "score")
+
+
+@query("""SELECT query_id, id, distance FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)), 6)::DOUBLE AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, id) <= 10""")
+def v1_knn_l2(spark, sf_dir):
+    found = nearest(*vectors(spark, sf_dir), metric="l2")
+    return found.select("query_id", "id", F.abs(F.col("score")).alias("distance"))
+
+
+@query(f"SELECT query_id, k.id, round(score, 4)::DOUBLE AS score, tau_initial FROM (SELECT * FROM {KNN_SQL} WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20) k LEFT JOIN {EPISODES_SQL} e ON e.id = k.id")
+def v4_vector_channel(spark, sf_dir):
+    """Similarity to distance and back cancels out: the score is the cosine where positive."""
+    e = episodes(spark, sf_dir).select("id", "tau_initial")
+    k = nearest(*vectors(spark, sf_dir), k=20).where("score > 0")
+    return k.join(e, "id", "left").select("query_id", "id", F.round("score", 4).alias("score"), "tau_initial")
+
+
+@query(f"SELECT query_id, k.id, round(1 - (1 - score), 6)::DOUBLE AS score FROM (SELECT * FROM {KNN_SQL} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20) k JOIN {EPISODES_SQL} e ON e.id = k.id WHERE NOT archived")
+def v5_direct_vector_search(spark, sf_dir):
+    e = episodes(spark, sf_dir).where("NOT archived").select("id")
+    return nearest(*vectors(spark, sf_dir), k=20).join(e, "id").select("query_id", "id", "score")
+
+
+@query(f"SELECT query_id, id, round(1 / (1 + (CASE WHEN score > 0 THEN greatest(0, 1 / score - 1) END)), 4)::DOUBLE AS score FROM (SELECT * FROM {KNN_SQL} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10) WHERE score > 0")
+def v3_similarity_mapping(spark, sf_dir):
+    d = F.greatest(F.lit(0.0), 1 / F.col("score") - 1)
+    return nearest(*vectors(spark, sf_dir)).where("score > 0").select("query_id", "id", F.round(1 / (1 + d), 4).alias("score"))
+
+
+HYPER_SQL = f"""WITH s AS (SELECT query_id, id, score, 'vector' AS via FROM {KNN_SQL} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5),
+m AS (SELECT DISTINCT l_orderkey AS h, l_partkey AS id FROM lineitem), x AS (SELECT s.query_id, b.id, round(max(s.score) * 0.8, 6)::DOUBLE AS score, 'hyperedge' AS via FROM s JOIN m a ON a.id = s.id JOIN m b ON b.h = a.h AND b.id <> s.id GROUP BY s.query_id, b.id)"""
+
+
+@query(f"{HYPER_SQL} SELECT * FROM s UNION ALL SELECT * FROM x")
+def v6_hypergraph_channel(spark, sf_dir):
+    seeds = nearest(*vectors(spark, sf_dir), k=5).select("query_id", "id", "score", F.lit("vector").alias("via"))
+    m = members(spark, sf_dir)
+    edges = m.withColumnRenamed("episode_id", "id").join(seeds, "id").select("hyperedge_id", "query_id", F.col("id").alias("seed"), "score")
+    near = edges.join(m, "hyperedge_id").where("episode_id != seed").groupBy("query_id", F.col("episode_id").alias("id")).agg(F.round(F.max("score") * 0.8, 6).alias("score"))
+    return seeds.union(near.select("query_id", "id", "score", F.lit("hyperedge").alias("via")))
+
+
+@query()
+def v10_tfidf_cosine(spark, sf_dir):
+    """Cosine of character 2- to 4-grams within words, over all benchmark items."""
+    q = questions(spark, sf_dir)
+    return X.tfidf_cosine(q.where("query_id % 5 = 0"), q.withColumnRenamed("query_id", "id"), X.char_grams(F.col("text"))).select("query_id", "id", "score")
+
+
+@query(f"""WITH t AS (SELECT *, 1 AS tier FROM (SELECT query_id, id FROM {KNN_SQL} WHERE score > 0.35 AND query_id <> id) UNION ALL SELECT query_id, id, 2 FROM (SELECT query_id, id FROM {KNN_SQL} WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 3))
+SELECT query_id, id, tier FROM t QUALIFY tier = min(tier) OVER (PARTITION BY query_id)""")
+def v12_cascade(spark, sf_dir):
+    q, rows = vectors(spark, sf_dir)
+    n = rows.count()
+    every = nearest(q, rows, k=n).where("score > 0.35 AND query_id != id").select("query_id", "id", F.lit(1).alias("tier"))
+    few = nearest(q, rows, k=3).where("score > 0").select("query_id", "id", F.lit(2).alias("tier"))
+    return R.cascade(every.union(few), "query_id", "tier")
+
+
+@query("""WITH s AS (SELECT DISTINCT l_orderkey AS community, l_partkey AS id FROM lineitem WHERE l_partkey % 100 = 0), m AS (SELECT DISTINCT l_orderkey AS community, l_partkey AS id FROM lineitem), r AS (SELECT community, (community % 10) / (1 + community % 10)::DOUBLE AS relevance FROM (SELECT DISTINCT community FROM s))
+SELECT s.id AS seed, m.id, round(max(relevance) * 0.9 * 0.6, 6)::DOUBLE AS score FROM s JOIN r USING (community) JOIN m USING (community) WHERE relevance >= 0.5 AND m.id <> s.id GROUP BY ALL""")
+def v15_community_expansion(spark, sf_dir):
+    """Seeds lead to communities that are relevant enough, and those to their members."""
+    m = members(spark, sf_dir).toDF("community", "id")
+    seeds = m.where("id % 100 = 0").select("community", F.col("id").alias("seed"))
+    bm = F.col("community") % 10
+    relevant = seeds.withColumn("relevance", bm / (1 + bm)).where("relevance >= 0.5")
+    return relevant.join(m, "community").where("id != seed").groupBy("seed", "id").agg(F.round(F.max("relevance") * 0.9 * 0.6, 6).alias("score"))
+
+
+@query()
+def v16_community_relevance(spark, sf_dir):
+    """BM25 whose corpus is the summaries themselves, squashed to b / (1 + b)."""
+    d = documents(spark, sf_dir).where("id % 10 = 0")
+    return X.bm25(questions(spark, sf_dir), d, k=5).select("query_id", "id", F.round(F.col("score") / (1 + F.col("score")), 6).alias("relevance"))
+
+
+@query("SELECT seed, community, round(least(0.4, 0.95 * 0.6), 6)::DOUBLE AS score FROM (SELECT DISTINCT l_partkey AS seed, l_orderkey AS community FROM lineitem WHERE l_partkey % 100 = 0) QUALIFY row_number() OVER (PARTITION BY seed ORDER BY community) <= 5")
+def v17_synthesis(spark, sf_dir):
+    m = members(spark, sf_dir).select(F.col("episode_id").alias("seed"), F.col("hyperedge_id").alias("community")).where("seed % 100 = 0")
+    return keep_last(m, ["seed"], [F.col("community")], 5).withColumn("score", F.round(F.least(F.lit(0.4), F.lit(0.95 * 0.6)), 6))
+
+
+@query()
+def v18_visual_recall(spark, sf_dir):
+    """Text vectors projected to the visual space by a fixed random matrix, then nearest neighbours; the encoder is a plug-in."""
+    import numpy as np
+
+    w = np.random.default_rng(384).normal(size=(64, 48)) / 8.0
+    project = F.array(*[F.aggregate(F.zip_with("vector", F.array(*[F.lit(float(x)) for x in w[:, j]]), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x) for j in range(w.shape[1])])
+    q, rows = vectors(spark, sf_dir)
+    found = nearest(q.select("query_id", project.alias("vector")), rows.select("id", project.alias("vector")), k=5, metric="l2")
+    return found.select("query_id", "id", F.round(1 / (1 - F.col("score")) * 0.6, 6).alias("score"))
+
+
+@query(f"""SELECT o_orderkey AS query_id, attr_name, value, round(0.9 * 0.6, 6)::DOUBLE AS score FROM (SELECT o_orderkey, o_custkey % 150 AS entity_id FROM orders WHERE o_orderkey % 100 = 0) q JOIN (SELECT * FROM {VERSIONS_SQL} WHERE valid_from <= TIMESTAMP '2024-01-15' AND (expired_at IS NULL OR expired_at > TIMESTAMP '2024-01-15') QUALIFY row_number() OVER (PARTITION BY entity_id, attr_name ORDER BY valid_from DESC, id DESC) = 1) v USING (entity_id)
+QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY attr_name) <= 5""")
+def v19_property_recall(spark, sf_dir):
+    q = table(spark, sf_dir, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("query_id"), (F.col("o_custkey") % 150).alias("entity_id"))
+    v = as_of(property_versions(spark, sf_dir), F.lit("2024-01-15 00:00:00").cast("timestamp"))
+    return keep_last(q.join(v, "entity_id"), ["query_id"], [F.col("attr_name")], 5).select("query_id", "attr_name", "value", F.lit(0.54).alias("score"))
+
+
+@query(f"SELECT query_id, id, created_at FROM (SELECT q.item_id AS query_id, e.id, e.created_at FROM (SELECT item_id, unnest({NAMES_SQL}[1:3]) AS name FROM benchmark) q JOIN (SELECT doc_id, unnest({NAMES_SQL}) AS name FROM documents) d ON d.name = q.name AND length(q.name) > 3 JOIN {EPISODES_SQL} e ON e.id = d.doc_id WHERE e.created_at <= TIMESTAMP '2024-01-01 10:00:00' GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC, id) <= 10".replace(f"{NAMES_SQL}[1:3]", "(regexp_extract_all(text, '([A-Z][a-z]+(?:\\s[A-Z][a-z]+)*)', 1))[1:3]"))
+def v20_entity_expansion(spark, sf_dir):
+    names = F.regexp_extract_all("text", F.lit(r"([A-Z][a-z]+(?:\s[A-Z][a-z]+)*)"), F.lit(1))
+    q = questions(spark, sf_dir).select("query_id", F.explode(F.slice(names, 1, 3)).alias("name")).where("length(name) > 3").distinct()
+    held = documents(spark, sf_dir).select("id", F.explode(F.array_distinct(names)).alias("name"))
+    e = episodes(spark, sf_dir).select("id", "created_at").where(F.col("created_at") <= F.lit("2024-01-01 10:00:00").cast("timestamp"))
+    hits = held.join(q, "name").join(e, "id").select("query_id", "id", "created_at").distinct()
+    return keep_last(hits, ["query_id"], [F.desc("created_at"), F.col("id")], 10)
+
+
+@query("""WITH s AS (SELECT DISTINCT p_partkey AS seed, p_brand AS term FROM part WHERE p_partkey % 50 = 0)
+SELECT seed, schema_name, support, 0.45::DOUBLE AS score FROM (SELECT seed, p_type AS schema_name, count(*) AS support FROM s JOIN part ON p_brand = term GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY seed ORDER BY support DESC, schema_name) <= 3""")
+def v22_schema_recall(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    schemas = p.groupBy(F.col("p_brand").alias("term"), F.col("p_type").alias("schema_name")).agg(F.count("*").alias("support"))
+    seeds = p.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("seed"), F.col("p_brand").alias("term"))
+    return keep_last(seeds.join(schemas, "term"), ["seed"], [F.desc("support"), F.col("schema_name")], 3).select("seed", "schema_name", "support", F.lit(0.45).alias("score"))
+
+
+@query(f"SELECT seed, id, round(1 / (1 + n)::DOUBLE * 0.5 * 0.8, 6)::DOUBLE AS score FROM {COMEMBERS_SQL} QUALIFY row_number() OVER (PARTITION BY seed ORDER BY n DESC, id) <= 20")
+def v23_graph_expansion(spark, sf_dir):
+    top = keep_last(co_members(spark, sf_dir), ["seed"], [F.desc("n"), F.col("id")], 20)
+    return top.select("seed", "id", F.round(1 / (1 + F.col("n")) * 0.5 * 0.8, 6).alias("score"))
+
+
+@query(f"{BM25_SQL} SELECT query_id, id, max(score)::DOUBLE AS score FROM (SELECT * FROM r WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10) GROUP BY ALL")
+def v24_hypothesis_retrieval(spark, sf_dir):
+    """Dual mode: the question and a hypothetical answer (a column that a model fills; here the text itself) retrieve, the better score stays."""
+    q, d = questions(spark, sf_dir), documents(spark, sf_dir)
+    both = X.bm25(q, d).union(X.bm25(q.withColumn("text", F.col("text")), d))
+    return both.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+
+
+def sufficiency(results, query_col="query_id"):
+    """Enough if scores fall by a quarter and three results differ."""
+    g = results.groupBy(query_col).agg(F.max("score").alias("hi"), F.min("score").alias("lo"), F.countDistinct("id").alias("n"))
+    return g.select(query_col, "n", ((F.col("hi") > 0) & ((F.col("hi") - F.col("lo")) / F.col("hi") >= 0.25) & (F.col("n") >= 3)).alias("enough"))
+
+
+@query(f"SELECT query_id, count(DISTINCT id) AS n, max(score) > 0 AND (max(score) - min(score)) / max(score) >= 0.25 AND count(DISTINCT id) >= 3 AS enough FROM (SELECT * FROM {KNN_SQL} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 12) GROUP BY 1")
+def v27_sufficiency(spark, sf_dir):
+    return sufficiency(nearest(*vectors(spark, sf_dir), k=12))
+
+
+@query()
+def v25_agentic_rounds(spark, sf_dir):
+    """Up to three rounds: where a round isn't enough, the best result becomes the next anchor. The loop is bounded and only plans are built in it."""
+    q, rows = vectors(spark, sf_dir)
+    found, asked = None, q
+    for step in range(3):
+        hits = nearest(asked, rows, k=12).withColumn("step", F.lit(step))
+        found = hits if found is None else found.unionByName(hits)
+        open_ = sufficiency(hits).where("NOT enough").select("query_id")
+        anchor = hits.where("rank = 2").select("query_id", F.col("id").alias("anchor")).join(open_, "query_id", "left_semi")
+        asked = anchor.join(rows.withColumnRenamed("id", "anchor"), "anchor").select("query_id", "vector")
+    return found.groupBy("query_id", "id").agg(F.max("score").alias("score"), F.min("step").alias("step"))
+
+
+@query(f"SELECT query_id, string_agg(source, ',' ORDER BY source) AS anchors FROM (SELECT DISTINCT query_id, source FROM (SELECT * FROM {KNN_SQL} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5) k JOIN documents ON doc_id = id) GROUP BY 1")
+def v28_anchors(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
+    hits = nearest(*vectors(spark, sf_dir), k=5).join(d, "id")
+    return hits.groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_set("source")), ",").alias("anchors"))
+
+
+@query(f"""SELECT query_id, id, round(CASE WHEN query_id % 300 = 0 THEN score * 0.9 WHEN bonus >= 0.95 THEN least(0.9999, score + 0.3) ELSE score * (0.2 + 0.8 * bonus) END, 6)::DOUBLE AS score FROM
+(SELECT k.query_id, k.id, score, (CASE WHEN a.label = b.label THEN 1.0 ELSE 0.3 END) * least(1.0, tau_initial / 0.5) * 1.0 AS bonus FROM (SELECT * FROM {KNN_SQL} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10) k
+JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = k.id JOIN {EPISODES_SQL} e ON e.id = k.id)""")
+def v32_read_time_rescoring(spark, sf_dir):
+    lab = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    e = episodes(spark, sf_dir).select("id", "tau_initial")
+    k = nearest(*vectors(spark, sf_dir)).join(lab.toDF("query_id", "a"), "query_id").join(lab.toDF("id", "b"), "id").join(e, "id")
+    bonus = F.when(F.col("a") == F.col("b"), 1.0).otherwise(0.3) * F.least(F.lit(1.0), F.col("tau_initial") / 0.5)
+    s = F.col("score")
+    out = F.when(F.col("query_id") % 300 == 0, s * 0.9).when(bonus >= 0.95, F.least(F.lit(0.9999), s + 0.3)).otherwise(s * (0.2 + 0.8 * bonus))
+    return k.select("query_id", "id", F.round(out, 6).alias("score"))
+
+
+@query("SELECT p_brand AS community, 'Community ' || p_brand || ': ' || count(*) || ' members. ' || array_to_string((list(left(p_name, 100) ORDER BY p_partkey))[1:5], '; ') AS report FROM part GROUP BY p_brand")
+def v35_template_report(spark, sf_dir):
+    first = F.transform(F.slice(F.sort_array(F.collect_list(F.struct("p_partkey", F.substring("p_name", 1, 100).alias("t")))), 1, 5), lambda x: x["t"])
+    p = keep_last(table(spark, sf_dir, "part"), ["p_brand"], [F.col("p_partkey")], 5).groupBy("p_brand").agg(first.alias("f"))
+    n = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n"))
+    return n.join(p, "p_brand").select(F.col("p_brand").alias("community"), F.concat(F.lit("Community "), "p_brand", F.lit(": "), "n", F.lit(" members. "), F.array_join("f", "; ")).alias("report"))
+
+
+@query()
+def v36_text_embedding(spark, sf_dir):
+    """Fallback encoder: hashed word counts in 384 buckets, unit length, built from expressions; equal texts are encoded once."""
+    d = documents(spark, sf_dir)
+    w = d.select("id", F.explode(X.words(F.col("text"))).alias("w")).groupBy("id", F.pmod(F.xxhash64("w"), F.lit(384)).alias("dim")).agg(F.count("*").cast("double").alias("x"))
+    norm = w.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    return w.join(norm, "id").groupBy("id").agg(F.count("*").alias("dims"), F.round(F.sum((F.col("x") / F.col("norm")) * (F.col("x") / F.col("norm"))), 6).alias("length"))
+
+
+@query(f"""{BM25_SQL}, k AS (SELECT query_id, id FROM r WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10),
+truth AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text))
+SELECT query_id, round(count(k.id) / count(*)::DOUBLE, 6)::DOUBLE AS recall FROM truth LEFT JOIN k USING (query_id, id) GROUP BY query_id""")
+def a17_recall_at_k(spark, sf_dir):
+    """Truth are documents that hold the item word for word; candidates for that test share the item's rarest words through BM25's postings."""
+    q, d = questions(spark, sf_dir), documents(spark, sf_dir)
+    hits = X.bm25(q, d).select("query_id", "id", F.lit(1).alias("hit"))
+    small = F.broadcast(q.withColumnRenamed("text", "item"))
+    truth = d.join(small, F.col("text").contains(F.col("item"))).select("query_id", "id")
+    return truth.join(hits, ["query_id", "id"], "left").groupBy("query_id").agg(F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
+
+
+@query()
+def a18_health_probe(spark, sf_dir):
+    """The 30 strongest episodes ask for themselves by their own first words; recall at 10."""
+    e = episodes(spark, sf_dir).where("NOT archived").orderBy(F.desc("tau_initial"), "id").limit(30)
+    probes = e.select(F.col("id").alias("query_id"), F.substring("content", 1, 40).alias("text"))
+    hits = X.bm25(probes, documents(spark, sf_dir)).where("query_id = id").select("query_id", F.lit(1).alias("hit"))
+    return probes.select("query_id").join(hits, "query_id", "left").agg(F.count("*").alias("probes"), F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
