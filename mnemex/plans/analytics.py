@@ -1 +1,309 @@
-"""Placeholder."""
+"""Consolidation: graphs, communities, patterns, merging."""
+
+from __future__ import annotations
+
+import hashlib
+
+from pyspark.sql import functions as F
+
+from ..operators import graph as G
+from ..operators.temporal import keep_last
+from ..shared import Workspace
+from ..sources.tables import EPISODES_SQL, MEMBERS_SQL, episodes, members, table
+from .catalog import query
+from .retrieval import KNN_SQL, vectors
+
+GRAPH_SQL = KNN_SQL.replace(" AND a.vec_id % 100 = 0", "").replace(" WHERE a.vec_id % 100 = 0", " WHERE a.vec_id <> b.vec_id")
+EDGES_SQL = f"(SELECT query_id AS src, id AS dst, score AS weight FROM {GRAPH_SQL} WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 6)"
+
+
+def knn_graph(spark, sf_dir):
+    return G.knn_edges(vectors(spark, sf_dir)[1])
+
+
+@query(f"SELECT * FROM {EDGES_SQL}".replace("WHERE score >= 0.3 QUALIFY", "WHERE score >= 0.3 QUALIFY"))
+def m9_knn_graph(spark, sf_dir):
+    """Edges to the six nearest others, from 0.3 on: what an index rebuild writes."""
+    return knn_graph(spark, sf_dir)
+
+
+@query(f"SELECT src, count(*) AS degree, round(sum(weight), 4)::DOUBLE AS strength FROM {EDGES_SQL} GROUP BY src")
+def g12_edge_seeding(spark, sf_dir):
+    return knn_graph(spark, sf_dir).groupBy("src").agg(F.count("*").alias("degree"), F.round(F.sum("weight"), 4).alias("strength"))
+
+
+@query(f"SELECT hyperedge_id, count(*) AS size, min(episode_id) AS first_member FROM {MEMBERS_SQL} GROUP BY 1 HAVING count(*) >= 2")
+def g1_hyperedges(spark, sf_dir):
+    return members(spark, sf_dir).groupBy("hyperedge_id").agg(F.count("*").alias("size"), F.min("episode_id").alias("first_member")).where("size >= 2")
+
+
+@query("""SELECT src, dst, max(weight)::DOUBLE AS weight FROM (SELECT l_orderkey AS src, l_orderkey + 1 AS dst, 0.01 * l_linenumber AS weight FROM lineitem WHERE l_linenumber = 1 UNION ALL
+SELECT a.o_orderkey, b.o_orderkey, 0.15 FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND a.o_orderpriority = b.o_orderpriority) GROUP BY ALL""")
+def g2_similarity_graph(spark, sf_dir):
+    """Stored edges and an edge for each pair of one type; the pairs come from an equi-join on customer and priority."""
+    stored = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("src"), (F.col("l_orderkey") + 1).alias("dst"), (0.01 * F.col("l_linenumber")).alias("weight"))
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority", "o_orderkey")
+    pairs = o.withColumnRenamed("o_orderkey", "src").join(o.withColumnRenamed("o_orderkey", "dst"), ["o_custkey", "o_orderpriority"]).where("src < dst")
+    return stored.union(pairs.select("src", "dst", F.lit(0.15))).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT src, dst FROM {EDGES_SQL} UNION SELECT dst, src FROM {EDGES_SQL}),
+r(node, low) AS (SELECT DISTINCT src, src FROM e UNION SELECT e.dst, r.low FROM r JOIN e ON e.src = r.node AND r.low < e.dst)
+SELECT node, min(low) AS component FROM r GROUP BY node""")
+def g3_connected_components(spark, sf_dir):
+    return G.connected_components(knn_graph(spark, sf_dir))
+
+
+@query()
+def g4_label_propagation(spark, sf_dir):
+    return G.label_propagation(knn_graph(spark, sf_dir))
+
+
+@query(f"SELECT id, round(tau_initial * 1.0, 6)::DOUBLE AS strength FROM {EPISODES_SQL} WHERE NOT quarantine")
+def g5_gather(spark, sf_dir):
+    return episodes(spark, sf_dir).where("NOT quarantine").select("id", F.round(F.col("tau_initial") * 1.0, 6).alias("strength"))
+
+
+@query(f"""WITH p AS (SELECT a.episode_id AS src, b.episode_id AS dst, sum((a.episode_id % 10) / 10.0 * (b.episode_id % 10) / 10.0) AS x FROM {MEMBERS_SQL} a JOIN {MEMBERS_SQL} b ON a.hyperedge_id = b.hyperedge_id AND a.episode_id < b.episode_id WHERE a.episode_id % 10 >= 3 AND b.episode_id % 10 >= 3 GROUP BY ALL),
+o AS (SELECT p_partkey AS src, p_partkey + 1 AS dst, 0.5 AS w FROM part), u AS (SELECT coalesce(p.src, o.src) AS src, coalesce(p.dst, o.dst) AS dst, round(coalesce(w, 0) + 0.1 * coalesce(x, 0) - CASE WHEN x IS NOT NULL THEN 0.001 * coalesce(w, 0) ELSE 0 END, 6)::DOUBLE AS weight FROM p FULL JOIN o ON p.src = o.src AND p.dst = o.dst)
+SELECT src, dst, weight FROM u QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) <= 8""")
+def g11_hebbian_update(spark, sf_dir):
+    """Pairs that are active together gain weight, old edges leak, each node keeps its eight strongest."""
+    m = members(spark, sf_dir).where("episode_id % 10 >= 3")
+    a, b = m.withColumnRenamed("episode_id", "src"), m.withColumnRenamed("episode_id", "dst")
+    act = lambda c: F.col(c) % 10 / 10
+    pairs = a.join(b, "hyperedge_id").where("src < dst").groupBy("src", "dst").agg(F.sum(act("src") * act("dst")).alias("x"))
+    old = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + 1).alias("dst"), F.lit(0.5).alias("w"))
+    zero = F.lit(0.0)
+    w = F.coalesce("w", zero) + 0.1 * F.coalesce("x", zero) - F.when(F.col("x").isNotNull(), 0.001 * F.coalesce("w", zero)).otherwise(0.0)
+    new = pairs.join(old, ["src", "dst"], "full").select("src", "dst", F.round(w, 6).alias("weight"))
+    return keep_last(new, ["src"], [F.desc("weight"), F.col("dst")], 8)
+
+
+def token_sets(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("items"))
+
+
+@query()
+def a4_near_duplicate_evidence(spark, sf_dir):
+    """Documents whose word sets overlap by more than 0.75; each component's evidence has the smallest id."""
+    pairs = G.jaccard_pairs(token_sets(spark, sf_dir), 0.75)
+    return G.connected_components(pairs, "a", "b")
+
+
+@query()
+def j12_similar_in_group(spark, sf_dir):
+    return G.jaccard_pairs(token_sets(spark, sf_dir), 0.8)
+
+
+@query()
+def g14_merge_conflicts(spark, sf_dir):
+    """Similar documents merge: the lower tau into the higher, by components so the order of pairs doesn't matter."""
+    comps = G.connected_components(G.jaccard_pairs(token_sets(spark, sf_dir), 0.8), "a", "b").select("component", F.col("node").alias("id"))
+    return G.merge_order(comps, (F.col("id") * 37) % 100)
+
+
+@query("""SELECT a.o_orderkey AS winner, left(a.o_orderpriority || ' | merged: ' || b.o_orderpriority, 2000) AS content FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_orderkey % 7 = 0""")
+def g15_merge_content(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    b = o.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("o_orderpriority").alias("loser"))
+    merged = F.substring(F.concat("o_orderpriority", F.lit(" | merged: "), "loser"), 1, 2000)
+    return o.where("o_orderkey % 7 = 0").join(b, "o_orderkey").select(F.col("o_orderkey").alias("winner"), merged.alias("content"))
+
+
+@query("SELECT p_brand AS community, count(*) AS size, array_to_string((list(DISTINCT p_type ORDER BY p_type))[1:3], ',') AS topics, array_to_string((list(p_partkey ORDER BY p_partkey))[1:20], ',') AS episodes FROM part GROUP BY p_brand HAVING count(*) >= 2")
+def g16_synthesise(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    text = lambda c, n: F.concat_ws(",", F.transform(F.slice(F.sort_array(c), 1, n), lambda x: x.cast("string")))
+    first = keep_last(p, ["p_brand"], [F.col("p_partkey")], 20).groupBy("p_brand").agg(text(F.collect_list("p_partkey"), 20).alias("episodes"))
+    g = p.groupBy("p_brand").agg(F.count("*").alias("size"), text(F.collect_set("p_type"), 3).alias("topics")).where("size >= 2")
+    return g.join(first, "p_brand").select(F.col("p_brand").alias("community"), "size", "topics", "episodes")
+
+
+@query("SELECT doc_id, array_to_string((list_filter(string_split(text, ' '), lambda x: x <> ''))[1:500], ' ') AS report FROM documents WHERE doc_id % 2 = 0 OR doc_id % 2 = 1")
+def g17_compress(spark, sf_dir):
+    cut = F.slice(F.filter(F.split("text", " "), lambda x: x != ""), 1, 500)
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(cut, " ").alias("report"))
+
+
+@query()
+def g18_state_space_consolidation(spark, sf_dir):
+    """Three state-space steps over each community's features; confidence moves by a tenth where the gate saturates."""
+    p = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.avg(F.col("p_size") / 50).alias("a"), F.avg(F.col("p_retailprice") / 2000).alias("b"), F.count("*").alias("n"))
+    x = F.array("a", "b", F.least(F.lit(1.0), F.col("n") / 100))
+    step = lambda h, _: F.zip_with(h, x, lambda s, v: 0.8 * s + 0.2 * v)
+    h = F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)), step)
+    gate = F.aggregate(F.transform(h, lambda s: 1 / (1 + F.exp(-s))), F.lit(0.0), lambda t, s: t + s) / 3
+    return p.select(F.col("p_brand").alias("community"), F.round(gate, 6).alias("gate"), F.when(gate > 0.95, 0.55).when(gate < 0.05, 0.45).otherwise(0.5).alias("confidence"))
+
+
+@query(f"""SELECT id, round(c, 6)::DOUBLE AS confidence, c < 0.1 OR (c < 0.3 AND n >= 3) OR n >= 10 AS flagged FROM (SELECT id, id % 12 AS n, least(1.0, greatest(0.01, tau_initial * (CASE source_type WHEN 'direct' THEN 1.0 WHEN 'inferred' THEN 0.7 ELSE 0.4 END) * exp(-0.15 * (id % 12)))) AS c FROM {EPISODES_SQL})""")
+def g19_calibrate_confidence(spark, sf_dir):
+    n = F.col("id") % 12
+    w = F.when(F.col("source_type") == "direct", 1.0).when(F.col("source_type") == "inferred", 0.7).otherwise(0.4)
+    c = F.least(F.lit(1.0), F.greatest(F.lit(0.01), F.col("tau_initial") * w * F.exp(-0.15 * n)))
+    return episodes(spark, sf_dir).select("id", F.round(c, 6).alias("confidence"), ((c < 0.1) | ((c < 0.3) & (n >= 3)) | (n >= 10)).alias("flagged"))
+
+
+@query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(list_filter(regexp_extract_all(text, '\\b([A-Z]{2,8})\\b', 1), lambda x: x NOT IN ('AI', 'API', 'I', 'II', 'III', 'IV', 'VI')), []::VARCHAR[]))), ',') AS acronyms FROM documents WHERE lang = 'en'")
+def g20_acronyms(spark, sf_dir):
+    caps = F.filter(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9_])([A-Z]{2,8})(?![A-Za-z0-9_])"), F.lit(1)), lambda x: ~x.isin("AI API I II III IV VI".split()))
+    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.array_join(F.sort_array(F.array_distinct(caps)), ",").alias("acronyms"))
+
+
+@query("SELECT 'community' AS kind, count(DISTINCT p_brand) AS n FROM part UNION ALL SELECT 'member', count(*) FROM part UNION ALL SELECT 'hyperedge', count(*) FROM (SELECT p_brand FROM part GROUP BY 1 HAVING count(*) >= 2)")
+def g21_community_persist(spark, sf_dir):
+    """Communities, members and one hyperedge per community are written as tables and read back."""
+    ws = Workspace(spark, "communities")
+    p = table(spark, sf_dir, "part")
+    sized = ws.save(p.groupBy("p_brand").agg(F.count("*").alias("n")), "communities")
+    m = ws.save(p.select("p_brand", "p_partkey"), "members")
+    one = lambda df, kind: df.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
+    return one(sized, "community").union(one(m, "member")).union(one(sized.where("n >= 2"), "hyperedge"))
+
+
+@query("SELECT p_type AS proposal, count(DISTINCT p_brand) AS keys FROM part GROUP BY p_type HAVING count(DISTINCT p_brand) >= 2 AND p_type NOT LIKE 'SMALL%' ORDER BY keys DESC, proposal LIMIT 1")
+def g22_schema_evolution_guard(spark, sf_dir):
+    """Proposals need two keys of their own and a new name; one a round."""
+    g = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("proposal")).agg(F.countDistinct("p_brand").alias("keys"))
+    return g.where((F.col("keys") >= 2) & ~F.col("proposal").startswith("SMALL")).orderBy(F.desc("keys"), "proposal").limit(1)
+
+
+@query("SELECT DISTINCT regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g') AS skill FROM part WHERE length(p_name) > 3")
+def g23_skill_names(spark, sf_dir):
+    return table(spark, sf_dir, "part").where("length(p_name) > 3").select(F.regexp_replace(F.lower("p_name"), "[^a-z0-9]+", "-").alias("skill")).distinct()
+
+
+@query("""WITH t AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([a-z]{6,})', 1)) AS term FROM documents)), f AS (SELECT term, count(*) AS df FROM t GROUP BY 1 HAVING count(*) >= 20),
+s AS (SELECT doc_id, array_to_string((list(term ORDER BY term))[1:5], ' ') AS pattern FROM t JOIN f USING (term) GROUP BY doc_id)
+SELECT pattern, count(*) AS support FROM s GROUP BY 1 HAVING count(*) >= 3""")
+def a9_frequent_patterns(spark, sf_dir):
+    t = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{6,})"), F.lit(1)))).alias("term"))
+    f = t.groupBy("term").agg(F.count("*").alias("df")).where("df >= 20")
+    s = t.join(f, "term").groupBy("doc_id").agg(F.array_join(F.slice(F.sort_array(F.collect_list("term")), 1, 5), " ").alias("pattern"))
+    return s.groupBy("pattern").agg(F.count("*").alias("support")).where("support >= 3")
+
+
+@query("SELECT l_suppkey AS entity, count(DISTINCT l_orderkey) AS nodes FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_orderkey) >= 2")
+def a10_entity_rollup(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("entity")).agg(F.countDistinct("l_orderkey").alias("nodes")).where("nodes >= 2")
+
+
+@query()
+def a11_mention_clusters(spark, sf_dir):
+    """Names within two edits form clusters; the most frequent spelling is canonical. Names meet by their first letters or their last."""
+    names = table(spark, sf_dir, "part").groupBy(F.lower("p_name").alias("name")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("id"))
+    keys = F.array_distinct(F.array(F.concat(F.lit("a"), F.substring("name", 1, 3)), F.concat(F.lit("z"), F.expr("right(name, 3)"))))
+    k = names.select("id", "name", F.explode(keys).alias("key"))
+    close = k.alias("x").join(k.alias("y"), "key").where("x.id < y.id AND abs(length(x.name) - length(y.name)) <= 2").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.levenshtein(F.col("x.name"), F.col("y.name"), 2).alias("d")).where("d >= 0")
+    comps = G.connected_components(close.select("a", "b").distinct(), "a", "b").withColumnRenamed("node", "id")
+    full = names.join(comps, "id", "left").withColumn("cluster", F.coalesce("component", "id"))
+    g = full.groupBy("cluster").agg(F.sum("n").alias("mentions"), F.max(F.struct("n", "name")).alias("b"))
+    return g.where("mentions >= 2").select("cluster", "mentions", F.col("b.name").alias("canonical"), F.least(F.lit(1.0), F.col("mentions") / 10).alias("confidence"))
+
+
+@query("SELECT p_type || 'Discovered' AS name, p_type AS parent, count(*) AS entities FROM part GROUP BY p_type HAVING count(*) >= 2")
+def a12_type_proposals(spark, sf_dir):
+    g = table(spark, sf_dir, "part").groupBy("p_type").agg(F.count("*").alias("entities")).where("entities >= 2")
+    return g.select(F.concat("p_type", F.lit("Discovered")).alias("name"), F.col("p_type").alias("parent"), "entities")
+
+
+@query(f"""SELECT namespace AS community, round(avg(id % 10 / 10.0), 4)::DOUBLE AS importance, round(avg(epoch(TIMESTAMP '2024-02-01' - created_at) / 3600), 4)::DOUBLE AS age_h, round(avg(id % 20), 4)::DOUBLE AS accesses, least(count(*) / 100.0, 1.0)::DOUBLE AS size,
+round(avg(tau_initial), 4)::DOUBLE AS tau, round(var_pop(tau_initial), 4)::DOUBLE AS tau_var FROM {EPISODES_SQL} GROUP BY 1""")
+def a13_community_features(spark, sf_dir):
+    from .temporal import age
+
+    i = F.col("id")
+    return episodes(spark, sf_dir).groupBy(F.col("namespace").alias("community")).agg(
+        F.round(F.avg(i % 10 / 10), 4).alias("importance"), F.round(F.avg(age() / 3600), 4).alias("age_h"), F.round(F.avg(i % 20), 4).alias("accesses"), F.least(F.count("*") / 100, F.lit(1.0)).alias("size"),
+        F.round(F.avg("tau_initial"), 4).alias("tau"), F.round(F.var_pop("tau_initial"), 4).alias("tau_var"),
+    )
+
+
+@query(f"SELECT namespace, arg_max(source_type, (n, source_type)) AS majority FROM (SELECT namespace, source_type, count(*) AS n FROM {EPISODES_SQL} GROUP BY ALL) GROUP BY namespace".replace("arg_max(source_type, (n, source_type))", "(max({'n': n, 's': source_type})).s"))
+def a14_majority_source(spark, sf_dir):
+    g = episodes(spark, sf_dir).groupBy("namespace", "source_type").agg(F.count("*").alias("n"))
+    return g.groupBy("namespace").agg(F.max(F.struct("n", "source_type")).alias("b")).select("namespace", F.col("b.source_type").alias("majority"))
+
+
+@query("SELECT p_type AS concept, count(DISTINCT p_brand) AS communities, CASE WHEN count(DISTINCT p_brand) >= 3 THEN 'theory' ELSE 'hypothesis' END AS level, 0.5::DOUBLE AS confidence FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) >= 2")
+def a15_shared_concepts(spark, sf_dir):
+    g = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("concept")).agg(F.countDistinct("p_brand").alias("communities")).where("communities >= 2")
+    return g.select("concept", "communities", F.when(F.col("communities") >= 3, "theory").otherwise("hypothesis").alias("level"), F.lit(0.5).alias("confidence"))
+
+
+@query(f"""WITH m AS {MEMBERS_SQL}, u AS (SELECT a.episode_id AS x, b.episode_id AS y FROM m a JOIN m b ON a.hyperedge_id = b.hyperedge_id AND a.episode_id <> b.episode_id GROUP BY ALL),
+one AS (SELECT x AS seed, y AS id FROM u WHERE x % 500 = 0), two AS (SELECT DISTINCT o.seed, u.y AS id FROM one o JOIN u ON u.x = o.id)
+SELECT seed, count(DISTINCT id) AS reached FROM (SELECT * FROM one UNION SELECT * FROM two) WHERE seed <> id GROUP BY seed""")
+def j16_scope_reach(spark, sf_dir):
+    """How many nodes two hops of shared hyperedges reach; the hops go through the hyperedges, so no pair of members is listed."""
+    m = members(spark, sf_dir).select(F.col("hyperedge_id").alias("h"), F.col("episode_id").alias("id"))
+    at = m.where("id % 500 = 0").select(F.col("id").alias("seed"), "id").distinct()
+    reached = at
+    for _ in range(2):
+        at = at.join(m, "id").select("seed", "h").distinct().join(m, "h").select("seed", "id").distinct()
+        reached = reached.union(at)
+    return reached.where("seed != id").distinct().groupBy("seed").agg(F.count("*").alias("reached"))
+
+
+@query(f"""WITH m AS {MEMBERS_SQL}, u AS (SELECT a.episode_id AS x, b.episode_id AS y FROM m a JOIN m b ON a.hyperedge_id = b.hyperedge_id GROUP BY ALL),
+r AS (SELECT DISTINCT a.x AS query_id, b.y AS id FROM u a JOIN u b ON a.y = b.x WHERE a.x % 100 = 0)
+SELECT k.query_id, k.id, k.score FROM {KNN_SQL} k JOIN r ON r.query_id = k.query_id AND r.id = k.id WHERE k.id <> k.query_id QUALIFY row_number() OVER (PARTITION BY k.query_id ORDER BY score DESC, k.id) <= 10""")
+def v21_scope_recall(spark, sf_dir):
+    """Neighbours by vector among the nodes within two hops: reach first, score what is left."""
+    from ..operators.ranking import top_k
+    from ..operators.retrieval import dot
+
+    q, rows = vectors(spark, sf_dir)
+    m = members(spark, sf_dir).select(F.col("hyperedge_id").alias("h"), F.col("episode_id").alias("id"))
+    at = q.select("query_id", F.col("query_id").alias("id"))
+    for _ in range(2):
+        at = at.join(m, "id").select("query_id", "h").distinct().join(m, "h").select("query_id", "id").distinct()
+    pairs = at.where("id != query_id").join(rows, "id").join(q.withColumnRenamed("vector", "asked"), "query_id")
+    cos = dot(F.col("asked"), F.col("vector")) / F.sqrt(dot(F.col("asked"), F.col("asked")) * dot(F.col("vector"), F.col("vector")))
+    return top_k(pairs.select("query_id", "id", F.round(cos, 6).alias("score")), ["query_id"], "score", "id", 10).select("query_id", "id", "score")
+
+
+@query()
+def f12_semantic_normalise(spark, sf_dir):
+    """Each entity takes the name of its nearest dictionary entry from cosine 0.85 on."""
+    from ..operators.vectors import nearest
+
+    _, rows = vectors(spark, sf_dir)
+    found = nearest(rows.where("id % 10 = 3").withColumnRenamed("id", "query_id"), rows.where("id % 10 != 3"), k=1)
+    return found.select("query_id", F.when(F.col("score") >= 0.85, F.col("id")).otherwise(F.col("query_id")).alias("name"))
+
+
+@query()
+def g25_consolidation_run(spark, sf_dir):
+    """Gather, cluster, synthesise, prune and resolve in one plan: a row per community with what is kept and merged."""
+    from .temporal import _decayed
+    from ..operators import temporal as T
+
+    nodes = _decayed(spark, sf_dir).where("NOT quarantine")
+    gone = T.is_prunable(F.col("tau"), F.col("protected"), F.col("age"), F.col("id") % 6)
+    comps = G.connected_components(knn_graph(spark, sf_dir)).select(F.col("node").alias("id"), "component")
+    grouped = nodes.join(comps, "id", "left").select(F.coalesce("component", "id").alias("community"), "id", gone.alias("gone"), "tau_initial")
+    return grouped.groupBy("community").agg(F.count("*").alias("size"), F.count_if("gone").alias("pruned"), F.round(F.avg("tau_initial"), 6).alias("mean_tau"))
+
+
+@query()
+def m14_candidates(spark, sf_dir):
+    """A consolidation run as JSON for review, one folder per run, read back."""
+    ws = Workspace(spark, "candidates")
+    p = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("size")).withColumn("run_id", F.lit(1))
+    p.write.mode("overwrite").partitionBy("run_id").json(ws.path("json"))
+    return spark.read.schema("p_brand string, size long, run_id int").json(ws.path("json")).select("run_id", "p_brand", "size")
+
+
+@query("SELECT (SELECT count(*) FROM nation) AS nodes, (SELECT count(*) FROM region) AS edges, true AS equal")
+def m18_migration(spark, sf_dir):
+    """Nodes and edges are copied to another format and verified by counts and differences."""
+    ws = Workspace(spark, "migration")
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    n.write.mode("overwrite").orc(ws.path("nodes"))
+    r.write.mode("overwrite").orc(ws.path("edges"))
+    copy = spark.read.orc(ws.path("nodes"))
+    same = n.exceptAll(copy).union(copy.exceptAll(n)).agg((F.count("*") == 0).alias("equal"), F.lit(1).alias("k"))
+    counts = copy.agg(F.count("*").alias("nodes"), F.lit(1).alias("k")).join(spark.read.orc(ws.path("edges")).agg(F.count("*").alias("edges"), F.lit(1).alias("k")), "k")
+    return counts.join(same, "k").select("nodes", "edges", "equal")

@@ -1 +1,174 @@
-"""Placeholder."""
+"""Defence, trust, conflicts, reconciliation and audit."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from ..functions import text as X
+from ..operators import governance as G
+from ..operators import mutations as M
+from ..sources.tables import EPISODES_SQL, episodes, table
+from .catalog import query
+
+PAIRS_SQL = f"(SELECT a.id, a.source_type AS nt, b.source_type AS ot, (a.id % 10) / 10.0 AS ntr, (b.id % 10) / 10.0 AS otr, CASE WHEN b.id % 9 = 0 THEN NULL ELSE b.tau_initial END AS tau, b.protected, b.fact_track FROM {EPISODES_SQL} a JOIN {EPISODES_SQL} b ON b.id = a.id + 1)"
+
+
+@query(f"""SELECT id, CASE WHEN protected THEN false WHEN fact_track = 'core' THEN n > o WHEN n > o THEN true WHEN n < o THEN false WHEN abs(gap) >= 0.05 THEN gap > 0 ELSE true END AS replaces
+FROM (SELECT *, CASE nt WHEN 'direct' THEN 1.0 WHEN 'tool' THEN 0.7 ELSE 0.5 END AS n, CASE ot WHEN 'direct' THEN 1.0 WHEN 'tool' THEN 0.7 ELSE 0.5 END AS o, (ntr - otr * coalesce(tau, 1.0))::DOUBLE AS gap FROM {PAIRS_SQL})""")
+def f28_winner_decision(spark, sf_dir):
+    e = episodes(spark, sf_dir).drop("content")
+    b = e.select((F.col("id") - 1).alias("id"), F.col("source_type").alias("ot"), (F.col("id") % 10 / 10).alias("otr"), F.when(F.col("id") % 9 != 0, F.col("tau_initial")).alias("tau"), "protected", "fact_track")
+    j = e.select("id", F.col("source_type").alias("nt"), (F.col("id") % 10 / 10).alias("ntr")).join(b, "id")
+    return j.select("id", G.winner(*map(F.col, ("nt", "ot", "ntr", "otr", "tau", "protected", "fact_track"))).alias("replaces"))
+
+
+@query("""SELECT event_id, spike, flood, crowded, CASE WHEN trust < 0.3 THEN 'BLOCK' WHEN spike OR flood OR crowded OR trust < 0.5 THEN 'QUARANTINE' ELSE 'ALLOW' END AS intended, CASE WHEN trust < 0.3 THEN 'BLOCK' ELSE 'ALLOW' END AS enforced
+FROM (SELECT event_id, (user_id % 10) / 10.0 AS trust, event_id % 40 > 15 AS crowded, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW) > 20 AS spike,
+ count(*) OVER (PARTITION BY user_id, event_type ORDER BY epoch_us(ts) RANGE BETWEEN 300000000 PRECEDING AND CURRENT ROW) > 5 AS flood FROM events)""")
+def w4_defence(spark, sf_dir):
+    """Each rule is a column, beside both verdicts: the one the rules mean and the one that only distrust and critical content reach."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    spike = F.count("*").over(W.partitionBy("user_id").orderBy(at).rangeBetween(-60_000_000, 0)) > 20
+    flood = F.count("*").over(W.partitionBy("user_id", "event_type").orderBy(at).rangeBetween(-300_000_000, 0)) > 5
+    e = table(spark, sf_dir, "events").select("event_id", spike.alias("spike"), flood.alias("flood"), (F.col("event_id") % 40 > 15).alias("crowded"), (F.col("user_id") % 10 / 10).alias("trust"))
+    intended, enforced = G.verdict(F.col("spike"), F.lit(False), F.col("crowded"), F.col("flood"), F.col("trust"), F.lit("none"))
+    return e.select("event_id", "spike", "flood", "crowded", intended.alias("intended"), enforced.alias("enforced"))
+
+
+@query()
+def w5_semantic_drift(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    return G.semantic_drift(e, "label", "vec_id", "embedding").select("vec_id", "history", "similarity", "drift")
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '([A-Z][a-z]+)', 1))::INT AS entities, len(regexp_extract_all(text, '([A-Z][a-z]+)', 1)) > 15 AS crowded FROM documents")
+def w6_entity_count(spark, sf_dir):
+    n = F.size(F.regexp_extract_all("text", F.lit("([A-Z][a-z]+)"), F.lit(1)))
+    return table(spark, sf_dir, "documents").select("doc_id", n.alias("entities"), (n > 15).alias("crowded"))
+
+
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT DISTINCT user_id, 0::BIGINT AS k, 1.0::DOUBLE AS t FROM events UNION ALL SELECT r.user_id, o.k, greatest(0.0, least(1.0, r.t + CASE WHEN o.bad THEN -0.2 ELSE 0.05 END)) FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1)
+SELECT user_id, round(arg_max(t, k), 6)::DOUBLE AS trust, max(k) AS writes FROM r GROUP BY user_id""")
+def w7_trust_fold(spark, sf_dir):
+    return G.trust_fold(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "error")
+
+
+@query("SELECT user_id, count(*) AS kept FROM events WHERE ts >= TIMESTAMP '2024-01-20' GROUP BY 1")
+def w8_sliding_history(spark, sf_dir):
+    return table(spark, sf_dir, "events").where(F.col("ts") >= F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")).groupBy("user_id").agg(F.count("*").alias("kept"))
+
+
+@query("""SELECT a.p_partkey AS id, count(b.p_partkey) AS conflicts, greatest(0.1, 1 - 0.5 * count(b.p_partkey))::DOUBLE AS confidence FROM part a LEFT JOIN part b ON a.p_type = b.p_type AND a.p_brand = b.p_brand AND a.p_size <> b.p_size GROUP BY 1""")
+def w9_contradiction_check(spark, sf_dir):
+    """Conflicts per fact: how many share its type and name but not its value, from two aggregates instead of a pair join."""
+    p = table(spark, sf_dir, "part")
+    keyed = p.groupBy("p_type", "p_brand").agg(F.count("*").alias("all")).where("p_type IS NOT NULL AND p_brand IS NOT NULL")
+    same = p.groupBy("p_type", "p_brand", "p_size").agg(F.count("*").alias("same"))
+    j = p.join(keyed, ["p_type", "p_brand"]).join(same, ["p_type", "p_brand", "p_size"])
+    n = F.col("all") - F.col("same")
+    return j.select(F.col("p_partkey").alias("id"), n.alias("conflicts"), F.greatest(F.lit(0.1), 1 - 0.5 * n).alias("confidence"))
+
+
+@query("""SELECT DISTINCT b.p_partkey AS id FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_brand = b.p_brand AND a.p_size <> b.p_size AND a.p_partkey > b.p_partkey WHERE b.p_partkey % 13 <> 0""")
+def w10_revoke_conflicts(spark, sf_dir):
+    """Losers of exact conflicts are archived: an unprotected fact that a newer one contradicts."""
+    p = table(spark, sf_dir, "part")
+    newest = p.groupBy("p_type", "p_brand", "p_size").agg(F.max("p_partkey").alias("k"))
+    top = newest.groupBy("p_type", "p_brand").agg(F.max(F.struct("k", "p_size")).alias("first"), F.slice(F.reverse(F.sort_array(F.collect_list(F.struct("k", "p_size")))), 1, 2).alias("two"))
+    j = p.join(top, ["p_type", "p_brand"]).where("p_partkey % 13 != 0")
+    other = F.when(F.col("first.p_size") != F.col("p_size"), F.col("first.k")).otherwise(F.try_element_at("two", F.lit(2))["k"])
+    return j.where(other > F.col("p_partkey")).select(F.col("p_partkey").alias("id"))
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus <> 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
+def w11_conflict_list(spark, sf_dir):
+    return table(spark, sf_dir, "orders").where("o_orderstatus != 'F'").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(50)
+
+
+INCOMING_SQL = "(SELECT o_orderkey AS id, o_orderdate + to_days((o_orderkey % 3 - 1)::INT) AS at, CASE WHEN o_orderkey % 4 <> 0 THEN 'new' END AS state FROM orders WHERE o_orderkey % 2 = 0)"
+
+
+@query(f"SELECT c.o_orderkey AS id, CASE WHEN i.at >= c.o_orderdate THEN i.at ELSE c.o_orderdate END AS at, CASE WHEN i.at >= c.o_orderdate THEN i.state ELSE c.o_orderstatus END AS state, coalesce(i.at >= c.o_orderdate, false) AS replaced FROM orders c LEFT JOIN {INCOMING_SQL} i ON i.id = c.o_orderkey")
+def w12_last_write_wins(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    cur = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("at"), F.col("o_orderstatus").alias("state"))
+    return M.resolve_last_write(cur, _incoming(o), "id", "at", ["state"])
+
+
+def _incoming(o):
+    k = F.col("o_orderkey")
+    at = F.col("o_orderdate") + F.make_dt_interval((k % 3 - 1).cast("int"))
+    return o.where(k % 2 == 0).select(k.alias("id"), at.alias("at"), F.when(k % 4 != 0, "new").alias("state"))
+
+
+@query(f"SELECT c.o_orderkey AS id, least(c.o_orderdate, coalesce(i.at, c.o_orderdate)) AS at, coalesce(i.state, c.o_orderstatus) AS state FROM orders c LEFT JOIN {INCOMING_SQL} i ON i.id = c.o_orderkey")
+def w12_merge_fields(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    j = o.select(F.col("o_orderkey").alias("id"), "o_orderdate", "o_orderstatus").join(_incoming(o), "id", "left")
+    merged = M.merge_fields({"state": F.col("o_orderstatus")}, {"state": F.col("state")})
+    return j.select("id", F.least("o_orderdate", F.coalesce("at", "o_orderdate")).alias("at"), merged["state"].alias("state"))
+
+
+@query("""SELECT o_custkey AS txn, count(*) AS ops, bool_and(o_orderkey % 3 = o_orderkey % 9 % 3 AND o_orderkey % 17 <> 0) AS committed FROM orders GROUP BY 1""")
+def w13_transactions(spark, sf_dir):
+    """All versions of a transaction are checked before any of its writes counts."""
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("txn")).agg(F.count("*").alias("ops"), F.bool_and((k % 3 == k % 9 % 3) & (k % 17 != 0)).alias("committed"))
+
+
+@query("""SELECT strftime(day, '%Y-%m-%d') AS day, n, n >= 100 AS enough_new, idle_s > 300 AS idle FROM (SELECT date_trunc('day', ts)::DATE AS day, count(*) AS n, epoch(max(ts) - min(ts))::BIGINT % 600 AS idle_s FROM events GROUP BY 1)""")
+def w16_trigger_policy(spark, sf_dir):
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    g = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.floor((F.max(t) - F.min(t)) / 1e6).alias("s"))
+    return g.select(F.col("day").cast("string").alias("day"), "n", (F.col("n") >= 100).alias("enough_new"), (F.col("s") % 600 > 300).alias("idle"))
+
+
+@query("SELECT conv_id AS session, count(*) AS members, min(turn) AS first_turn, max(turn) AS last_turn FROM conversations GROUP BY 1")
+def w17_sessions(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("session")).agg(F.count("*").alias("members"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"))
+
+
+@query("""WITH d AS (SELECT date_trunc('day', ts)::DATE AS day, avg(value) AS q, count(*) AS n FROM events GROUP BY 1), l AS (SELECT *, lag(q) OVER (ORDER BY day) AS before FROM d)
+SELECT strftime(day, '%Y-%m-%d') AS day, round(q, 4)::DOUBLE AS quality, coalesce(n >= 3 AND (before - q) / before > 0.15, false) AS revert FROM l""")
+def w18_self_tuning(spark, sf_dir):
+    """Daily quality; a fall of over 15 % on three samples or more reverts the parameters. Days are few, so one ordered window holds them."""
+    d = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.avg("value").alias("q"), F.count("*").alias("n"))
+    before = F.lag("q").over(W.orderBy("day"))
+    return d.select(F.col("day").cast("string").alias("day"), F.round("q", 4).alias("quality"), F.coalesce((F.col("n") >= 3) & ((before - F.col("q")) / before > 0.15), F.lit(False)).alias("revert"))
+
+
+@query("SELECT l_partkey AS id, 'core' AS fact_track FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1 HAVING count(*) >= 2")
+def w19_feedback_promotion(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("id")).agg(F.count("*").alias("n")).where("n >= 2").select("id", F.lit("core").alias("fact_track"))
+
+
+@query()
+def f33_audit_chain(spark, sf_dir):
+    """One block per day of events, chained by hash, and verified; the second chain has one altered block."""
+    days = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()  # one row a run
+    good = G.audit_chain([(f"ops={r.n}", str(r.d)) for r in days])
+    bad = [(i, "ops=0" if i == 1 else o, a, p, h) for i, o, a, p, h in good]
+    rows = [("good", *b) for b in good] + [("bad", *b) for b in bad]
+    return G.verify_chain(spark.createDataFrame(rows, "chain string, index int, operations string, at string, previous string, hash string"))
+
+
+@query(f"SELECT id, CASE WHEN namespace = 'en' THEN 'core' ELSE 'active' END AS fact_track, version FROM {EPISODES_SQL} WHERE NOT quarantine AND length(trim(content)) > 0")
+def w1_write_pipeline(spark, sf_dir):
+    """The whole path of a write as one plan: guard, quarantine, classification, insert."""
+    level, _ = X.content_risk(F.col("content"))
+    e = episodes(spark, sf_dir).where(~F.col("quarantine") & (F.length(F.trim("content")) > 0)).where(level != "critical")
+    kind = F.when(F.col("namespace") == "en", "location_fact").otherwise("event_date")
+    return e.select("id", X.fact_track(F.col("content"), kind).alias("fact_track"), "version")
+
+
+@query("SELECT doc_id AS id, 'promoted' AS source FROM documents WHERE doc_id % 20 = 0")
+def w2_promote(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("id"), F.lit("promoted").alias("source"))
+
+
+@query("SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def w15_embedding_batch(spark, sf_dir):
+    bad = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("vec_id"))
+    return table(spark, sf_dir, "embeddings").select("vec_id").join(bad, "vec_id", "left_anti")

@@ -1 +1,39 @@
-"""Placeholder."""
+"""Streaming queries, run to the end of what is there."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..shared import Workspace
+from ..streaming import jobs as J
+from .catalog import query
+
+
+def _events(spark, sf_dir):
+    return J.read_events(spark, f"{sf_dir}/events.parquet")
+
+
+@query("""SELECT to_timestamp(0) + to_seconds((epoch(ts)::BIGINT // 60) * 60) AS start, user_id, count(*) AS n FROM events GROUP BY ALL""".replace("to_timestamp(0)", "TIMESTAMP '1970-01-01'").replace("epoch(ts)::BIGINT // 60", "epoch_us(ts) // 60000000"))
+def stream_minute_counts(spark, sf_dir):
+    w = _events(spark, sf_dir).groupBy(F.window("ts", "60 seconds"), "user_id").agg(F.count("*").alias("n"))
+    return J.run_once(w.select(F.col("window.start").alias("start"), "user_id", "n"), Workspace(spark, "stream"), "counts", "complete")
+
+
+@query()
+def stream_rate_windows(spark, sf_dir):
+    return J.run_once(J.rate_windows(_events(spark, sf_dir)), Workspace(spark, "stream"), "rates")
+
+
+@query()
+def stream_sessions(spark, sf_dir):
+    return J.run_once(J.sessions(_events(spark, sf_dir)), Workspace(spark, "stream"), "sessions")
+
+
+@query()
+def stream_temporal_hyperedges(spark, sf_dir):
+    return J.run_once(J.tumbling_hyperedges(_events(spark, sf_dir)), Workspace(spark, "stream"), "hyperedges")
+
+
+@query()
+def stream_trust_state(spark, sf_dir):
+    return J.run_once(J.trust_state(_events(spark, sf_dir)), Workspace(spark, "stream"), "trust", "update")
