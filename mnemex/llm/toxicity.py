@@ -8,7 +8,7 @@ The model is fitted on a bounded sample of labelled rows: the ``sample_rows`` sm
 (8,000 by default). Their words travel as hashed feature numbers, at most
 ``sample_words`` a document in the sample only; scoring reads whole texts of all documents in one map, with no shuffle.
 
-Defined results: null and empty texts have no sentence and score 0; without any usable label every score is 0;
+Defined results: null and empty texts have no sentence and score 0; without labels of both kinds every score is next to 0 (under 1e-9);
 several labels of one id count as the highest; equal rows score alike; null ids are scored, and are not held out; other columns are ignored.
 """
 
