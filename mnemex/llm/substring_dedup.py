@@ -22,6 +22,7 @@ equal; a null id counts as larger than any other; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -82,7 +83,7 @@ def _anchors(buckets: int):
         g = np.concatenate([x[0] for x in held])
         digests = np.concatenate([x[1] for x in held])
         text = np.repeat(np.arange(len(held)), [len(x[0]) for x in held])
-        lows, keys = np.array([x[2] for x in held], dtype="<i8"), np.frombuffer(b"".join(x[3] for x in held), "S16")
+        lows, keys = (np.array([x[c] for x in held], dtype="<i8") for c in (2, 3))
         bucket = (g % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         edges = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]) if len(order) else []
@@ -118,9 +119,9 @@ def _decide(crowd: int):
     def bucket(rows: list) -> pa.RecordBatch:
         g = _from_six(b"".join(r[0] for r in rows))
         digest = _from_six(b"".join(r[1] for r in rows))
-        base = np.cumsum([0, *(len(r[3]) // 16 for r in rows)])
+        base = np.cumsum([0, *(len(r[3]) // 8 for r in rows)])
         text = np.concatenate([np.frombuffer(r[2], "<u2").astype(np.int64) + b for r, b in zip(rows, base, strict=False)])
-        keys, lows = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, 16), np.frombuffer(b"".join(r[4] for r in rows), "<i8")
+        keys, lows = (np.frombuffer(b"".join(r[c] for r in rows), "<i8") for c in (3, 4))
         order = np.lexsort((text, g))
         g, digest, text = g[order], digest[order], text[order]
         new = np.r_[True, g[1:] != g[:-1]]
@@ -134,8 +135,7 @@ def _decide(crowd: int):
         use = several[group] & (~same[group] | (lows[text] > low[group]))
         use &= np.r_[True, (text[1:] != text[:-1]) | (g[1:] != g[:-1])]
         at = np.flatnonzero(use)
-        flat = np.ascontiguousarray(keys[text[at]])
-        return pa.record_batch({"digest": pa.Array.from_buffers(pa.binary(16), len(at), [None, pa.py_buffer(flat.tobytes())]).cast(pa.binary()), "mark": pa.array((g[at] << 2) | kind[group[at]])})
+        return pa.record_batch({"key": pa.array(keys[text[at]]), "mark": pa.array((g[at] << 2) | kind[group[at]])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _by_bucket(batches, bucket)
@@ -157,12 +157,12 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], work):
         yield work(rows)
 
 
-_PIECES = "kind int, bucket int, digest binary, low long, spans binary, payload binary, w1 long, w2 long, start int"
+_PIECES = "kind int, bucket int, key long, keys binary, low long, spans binary, payload binary, w1 long, w2 long, start int"
 
 
 def _collect(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+        types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
         names = [c.split()[0] for c in _PIECES.split(", ")]
         for batch in batches:
             rows, shared = [], {}
@@ -175,69 +175,76 @@ def _collect(buckets: int):
                 kind = np.where(marks[at] >> 2 == six, marks[at] & 3, 0)
                 spans = np.stack([first, last + LENGTH], axis=1)[kind == 1]
                 if len(spans):
-                    rows.append((1, None, key, low, spans.astype("<i4").tobytes(), None, None, None, None))
+                    rows.append((1, None, key, None, low, spans.astype("<i4").tobytes(), None, None, None, None))
                 for j in np.flatnonzero(kind == 2).tolist():
                     a, b = int(first[j]), int(last[j]) + LENGTH
                     shared.setdefault(int(g[j] % np.uint64(buckets)), []).append((key, low, a, data[a:b]))
                 for j in np.flatnonzero(kind == 3).tolist():
                     for a in range(int(first[j]), int(last[j]) + 1):
                         w = xxhash.xxh3_128_digest(data[a : a + LENGTH])
-                        rows.append((3, None, key, low, None, None, int.from_bytes(w[:8], "little", signed=True), int.from_bytes(w[8:], "little", signed=True), a))
+                        rows.append((3, None, key, None, low, None, None, int.from_bytes(w[:8], "little", signed=True), int.from_bytes(w[8:], "little", signed=True), a))
             for b, own in shared.items():
                 head = np.array([(low, a, len(x)) for _, low, a, x in own], dtype="<i8")
-                rows.append((2, b, b"".join(k for k, *_ in own), None, head.tobytes(), b"".join(x for *_, x in own), None, None, None))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 9
+                rows.append((2, b, None, np.array([k for k, *_ in own], dtype="<i8").tobytes(), None, head.tobytes(), b"".join(x for *_, x in own), None, None, None))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 10
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     return run
 
 
-def transform(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array of the texts, each closed by an end mark (earlier ones smaller), and their Burrows-Wheeler transform: 0 for an end mark, else byte + 1."""
-    n = sum(map(len, texts)) + len(texts)
-    symbols = np.zeros(n, dtype=np.int64)
-    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
-    symbols[np.delete(np.arange(n), ends)] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
-    rank = symbols + len(texts)
-    rank[ends] = np.arange(len(texts))
-    step, longest = 1, max(map(len, texts)) + 1
-    order = np.argsort(rank, kind="stable")
-    while step < longest:
-        after = np.zeros(n, dtype=np.int64)
-        after[: n - step] = rank[step:] + 1
-        key = rank * (n + 300) + after
-        order = np.argsort(key, kind="stable")
+def transform(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Suffix array of strings of symbols (1 to 255), each closed by 0; ties end by number of string. From 8 symbols on, ranks are doubled."""
+    n, depth = len(codes), 8
+    string = np.repeat(np.arange(len(ends)), np.diff(np.r_[-1, ends]))
+    left = ends[string] - np.arange(n) + 1  # symbols up to and with the end mark
+    padded = np.r_[codes, np.zeros(8, dtype=codes.dtype)].astype(np.uint64)
+    key = np.zeros(n, dtype=np.uint64)
+    for j in range(8):
+        key = (key << np.uint64(8)) | np.where(left > j, padded[j : j + n], 0).astype(np.uint64)
+    while True:
+        order = np.argsort(key)
+        ordered = key[order]
         rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.cumsum(np.r_[True, key[order][1:] != key[order][:-1]]) - 1
-        step *= 2
-    before = symbols[order - 1]
-    before[order == 0] = 0
-    return order, before.astype(np.uint16)
-
-
-def interleave(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merges transforms: the shard of each suffix in merged order, and the block of suffixes with equal first ``rounds`` symbols it is in."""
-    shard = np.repeat(np.arange(len(transforms), dtype=np.uint16), [len(t) for t in transforms])
-    block = np.zeros(len(shard), dtype=np.int64)
-    marks = np.sort(np.concatenate([np.full((t == 0).sum(), s, dtype=np.uint16) for s, t in enumerate(transforms)]))  # end marks keep this order
-    flat = np.concatenate(transforms)
-    base = np.cumsum([0, *(len(t) for t in transforms)])
+        rank[order] = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]])
+        if depth >= 2 * left.max():
+            return order
+        after = np.where(left <= depth, string, len(ends) + np.r_[rank[depth:], np.zeros(min(depth, n), dtype=np.int64)][:n])
+        key = rank.astype(np.uint64) * np.uint64(n + len(ends) + 1) + after.astype(np.uint64)
+        depth *= 2
+
+
+def interleave(pairs: list[np.ndarray], tails: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Merges transforms two symbols a round. ``pairs`` gives, in a shard's suffix order, the two symbols before each suffix
+    (0 where its text has not two before it); ``tails`` the first pairs of the suffixes of one or two symbols, ascending, which
+    nothing leads to. Returns the shard of each suffix in merged order, and its block: suffixes with equal first 2 x ``rounds`` symbols."""
+    shard = np.repeat(np.arange(len(pairs), dtype=np.uint16), [len(t) for t in pairs])
+    flat = np.concatenate(pairs)
+    fixed = np.concatenate(tails)
+    own = np.repeat(np.arange(len(tails), dtype=np.uint16), [len(t) for t in tails])
+    own, fixed = own[(o := np.argsort(fixed, kind="stable"))], fixed[o]
+    block = np.zeros(len(shard), dtype=np.int32)
+    before = np.full(len(fixed), -1, dtype=np.int32)
     symbol = np.empty(len(shard), dtype=np.uint16)
     for _ in range(rounds):
         # each shard's suffixes keep their order, so its symbols are read in turn
         symbol[np.argsort(shard, kind="stable")] = flat
-        order = np.argsort(symbol, kind="stable")
-        shard, block, sorted_symbol = shard[order], block[order], symbol[order]
-        n = len(marks)
-        shard[:n] = marks
-        block[:n] = 0
-        block = np.cumsum(np.r_[False, (sorted_symbol[1:] != sorted_symbol[:-1]) | (block[1:] != block[:-1])])
-    assert base[-1] == len(shard)
+        led = np.flatnonzero(symbol)
+        code = np.concatenate([fixed, symbol[led]])
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        source = np.concatenate([before, block[led]])[order]
+        shard = np.concatenate([own, shard[led]])[order]
+        block = np.cumsum(np.r_[False, (code[1:] != code[:-1]) | (source[1:] != source[:-1])], dtype=np.int32)
     return shard, block
 
 
-def repeated(texts: list[bytes], lows: np.ndarray, shard_bytes: int = SHARD_BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """(text, place) of each 50-byte window that also stands in a text with a smaller id."""
+def repeated(texts: list[bytes], lows: np.ndarray, shard_bytes: int = SHARD_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, smallest id) of all 50-byte windows; the id is the smallest of the texts that hold the window."""
+    used = np.flatnonzero(np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256))
+    if len(used) > 255:
+        raise ValueError("texts are UTF-8, which leaves some bytes out")
+    table = np.zeros(256, dtype=np.uint8)
+    table[used] = np.arange(1, len(used) + 1)
     shards, size = [[]], 0
     for i, t in enumerate(texts):
         if size >= shard_bytes:
@@ -245,46 +252,71 @@ def repeated(texts: list[bytes], lows: np.ndarray, shard_bytes: int = SHARD_BYTE
             size = 0
         shards[-1].append(i)
         size += len(t)
-    transforms, owners, places = [], [], []
+    pairs, tails, owners, places = [], [], [], []
     for own in shards:
-        order, before = transform([texts[i] for i in own])
         sizes = np.array([len(texts[i]) + 1 for i in own])
-        text = np.repeat(own, sizes)
-        place = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        transforms.append(before), owners.append(text[order]), places.append(place[order])
-    shard, block = interleave(transforms, LENGTH)
-    text, place = np.empty(len(shard), dtype=np.int64), np.empty(len(shard), dtype=np.int64)
+        ends = np.cumsum(sizes) - 1
+        codes = np.zeros(ends[-1] + 1, dtype=np.uint8)
+        inside = np.ones(len(codes), dtype=bool)
+        inside[ends] = False
+        codes[inside] = table[np.frombuffer(b"".join(texts[i] for i in own), np.uint8)]
+        order = transform(codes, ends)
+        first = np.repeat(ends - sizes + 1, sizes)
+        place = np.arange(len(codes)) - first
+        wide = codes.astype(np.uint16)
+        both = np.r_[np.zeros(2, np.uint16), (wide[:-2] << 8) | wide[1:-1]]
+        both[place < 2] = 0
+        pairs.append(both[order])
+        short = np.r_[ends, ends - 1]
+        tails.append(np.sort((wide[short] << 8)))
+        text = np.repeat(np.array(own), sizes)
+        owners.append(text[order].astype(np.int32)), places.append(place[order].astype(np.int32))
+    shard, block = interleave(pairs, tails, LENGTH // 2)
+    text, place = np.empty(len(shard), dtype=np.int32), np.empty(len(shard), dtype=np.int32)
     by_shard = np.argsort(shard, kind="stable")
     text[by_shard], place[by_shard] = np.concatenate(owners), np.concatenate(places)
     sizes = np.array([len(t) for t in texts])
-    whole = place + LENGTH <= sizes[text]
+    whole = np.flatnonzero(place + LENGTH <= sizes[text])
     text, place, block = text[whole], place[whole], block[whole]
-    if not len(text):
-        return text, place
-    start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-    least = np.repeat(np.minimum.reduceat(lows[text], start), np.diff(np.r_[start, len(text)]))
-    gone = lows[text] > least
-    return text[gone], place[gone]
+    start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]][: len(block)])
+    least = np.repeat(np.minimum.reduceat(lows[text], start), np.diff(np.r_[start, len(text)])) if len(text) else lows[:0]
+    return text, place, least
 
 
 def _merge(shard_bytes: int):
     def bucket(rows: list) -> pa.RecordBatch:
-        texts, lows, keys, starts = [], [], [], []
+        number: dict[bytes, int] = {}  # equal regions are compared once
+        lows: list[int] = []
+        holders = []
         for key, head, payload in rows:
-            at = 0
-            for k, (low, a, n) in enumerate(np.frombuffer(head, "<i8").reshape(-1, 3).tolist()):
-                texts.append(payload[at : at + n]), lows.append(low), starts.append(a), keys.append(key[16 * k : 16 * k + 16])
+            keys, at = np.frombuffer(key, "<i8").tolist(), 0
+            for k, (low, a, n) in zip(keys, np.frombuffer(head, "<i8").reshape(-1, 3).tolist(), strict=True):
+                i = number.setdefault(payload[at : at + n], len(lows))
+                if i == len(lows):
+                    lows.append(low)
+                elif low < lows[i]:
+                    lows[i] = low
+                holders.append((i, low, k, a, n))
                 at += n
-        text, place = repeated(texts, np.array(lows, dtype=np.int64), shard_bytes)
+        text, place, least = repeated(list(number), np.array(lows, dtype=np.int64), shard_bytes)
+        gone = least < np.array(lows, dtype=np.int64)[text]
+        text, place = text[gone], place[gone]
         order = np.lexsort((place, text))
-        text, place = text[order], place[order] + np.array(starts, dtype=np.int64)[text[order]]
+        text, place = text[order], place[order]
+        runs: dict[int, np.ndarray] = {}
         cut = np.flatnonzero(np.r_[True, text[1:] != text[:-1]]) if len(text) else np.zeros(0, dtype=np.int64)
-        out_keys, spans = [], []
-        for i, p in zip(text[cut].tolist(), np.split(place, cut[1:]), strict=True) if len(cut) else []:
+        for i, p in zip(text[cut].tolist(), np.split(place.astype(np.int64), cut[1:]), strict=True) if len(cut) else []:
             joins = np.flatnonzero(np.r_[True, np.diff(p) != 1])
-            ends = np.r_[p[joins[1:] - 1], p[-1]] + LENGTH
-            out_keys.append(keys[i]), spans.append(np.stack([p[joins], ends], axis=1).astype("<i4").tobytes())
-        return pa.record_batch({"digest": pa.array(out_keys, pa.binary()), "spans": pa.array(spans, pa.binary())})
+            runs[i] = np.stack([p[joins], np.r_[p[joins[1:] - 1], p[-1]] + LENGTH], axis=1)
+        out: dict[tuple[int, int], list[np.ndarray]] = {}
+        for i, low, k, a, n in holders:
+            if low > lows[i]:
+                out.setdefault((k, low), []).append(np.array([[a, a + n]]))
+            elif i in runs:
+                out.setdefault((k, low), []).append(runs[i] + a)
+        keys = list(out)
+        spans = [np.concatenate(v).astype("<i4").tobytes() for v in out.values()]
+        return pa.record_batch({"key": pa.array([k for k, _ in keys], pa.int64()), "low": pa.array([v for _, v in keys], pa.int64()), "spans": pa.array(spans, pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _by_bucket(batches, bucket)
@@ -305,7 +337,7 @@ def union_of(spans: np.ndarray) -> np.ndarray:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for key, x, spans, starts in zip(*batch.columns, strict=True):
+        for key, low, x, spans, starts in zip(*batch.columns, strict=True):
             data, single = x.as_py(), np.array(starts.as_py() or [], dtype=np.int64)
             pairs = np.frombuffer(b"".join(spans.as_py() or []), "<i4").reshape(-1, 2).astype(np.int64)
             runs = union_of(np.concatenate([pairs, np.stack([single, single + LENGTH], axis=1)]))
@@ -314,10 +346,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept.update(data[at:a])
                 at = b
             kept.update(data[at:])
-            rows.append((key.as_py(), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), kept.hexdigest(), runs.astype("<i4").tobytes()))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        types = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["digest", "n_removed", "n_spans", "kept_sha256", "runs"])
+            rows.append((key.as_py(), low.as_py(), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), kept.hexdigest(), runs.astype("<i4").tobytes()))
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+        types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["digest", "low", "n_removed", "n_spans", "kept_sha256", "runs"])
+
+
+def _free(spark) -> None:
+    """Shuffle files of plans that nothing refers to go when the JVM collects them; the larger ones are worth asking for."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -325,31 +363,35 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     ws = Workspace(spark, "substrings")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 2 * n
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), data.alias("data")).withColumn("digest", F.unhex(F.md5("data")))
     table = f"mnemex_texts_{uuid.uuid4().hex}"
     unique = rows.where(F.octet_length("data") >= LENGTH).groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("low"), F.first("data").alias("data"))
-    unique.write.bucketBy(n, "digest").saveAsTable(table)
+    unique.withColumn("key", F.xxhash64("digest")).write.bucketBy(n, "key").saveAsTable(table)
+    _free(spark)
     try:
         texts = spark.table(table)
-        anchors = texts.select("digest", "low", "data").mapInArrow(_anchors(buckets), "bucket int, anchors binary, regions binary, texts binary, keys binary, lows binary")
-        marks = anchors.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_decide(crowd), "digest binary, mark long")
-        marks = ws.save(marks, "marks")
-        listed = marks.groupBy("digest").agg(F.collect_list("mark").alias("marks"))  # no more than a text has regions
-        pieces = ws.save(texts.join(listed, "digest").select("digest", "low", "data", "marks").mapInArrow(_collect(buckets), _PIECES), "pieces")
-        met = pieces.where("kind = 2").select("bucket", "digest", "spans", "payload").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merge(shard_bytes), "digest binary, spans binary")
+        anchors = texts.select("key", "low", "data").mapInArrow(_anchors(n), "bucket int, anchors binary, regions binary, texts binary, keys binary, lows binary")
+        marks = ws.save(anchors.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_decide(crowd), "key long, mark long"), "marks")
+        _free(spark)
+        listed = marks.groupBy("key").agg(F.collect_list("mark").alias("marks"))  # no more than a text has regions
+        pieces = ws.save(texts.join(listed, "key").select("key", "low", "data", "marks").mapInArrow(_collect(8 * n), _PIECES), "pieces")
+        ws.drop("marks")
+        mixed = pieces.where("kind = 2").select("bucket", "keys", "spans", "payload").repartition(n, "bucket").sortWithinPartitions("bucket")
         none = F.lit(None).cast("int").alias("start")
-        spans = pieces.where("kind = 1").select("digest", "spans", none).union(met.select("digest", "spans", none))
-        crowded = pieces.where("kind = 3").select("digest", "low", "w1", "w2", "start")
+        met = mixed.mapInArrow(_merge(shard_bytes), "key long, low long, spans binary").withColumn("start", none)
+        spans = pieces.where("kind = 1").select("key", "low", "spans", none).union(met)
+        crowded = pieces.where("kind = 3").select("key", "low", "w1", "w2", "start")
         if not within(crowded, 0):
             least = ws.save(crowded.groupBy("w1", "w2").agg(F.min("low").alias("least")), "crowded")
             lost = crowded.join(least, ["w1", "w2"]).where("low > least")
-            spans = spans.union(lost.select("digest", F.lit(None).cast("binary").alias("spans"), "start"))
+            spans = spans.union(lost.select("key", "low", F.lit(None).cast("binary").alias("spans"), "start"))
         spans = ws.save(spans, "spans")
-        gathered = spans.groupBy("digest").agg(F.collect_list("spans").alias("spans"), F.collect_list("start").alias("starts"))
-        cut = texts.join(gathered, "digest").select("digest", "data", "spans", "starts").mapInArrow(_cut, "digest binary, n_removed long, n_spans long, kept_sha256 string, runs binary")
-        cut = ws.save(texts.select("digest", "low").join(cut, "digest", "left"), "results")
+        ws.drop("pieces")
+        _free(spark)
+        gathered = spans.groupBy("key", "low").agg(F.collect_list("spans").alias("spans"), F.collect_list("start").alias("starts"))
+        cut = texts.join(gathered, ["key", "low"], "left").select("digest", "low", "data", "spans", "starts")
+        cut = ws.save(cut.mapInArrow(_cut, "digest binary, low long, n_removed long, n_spans long, kept_sha256 string, runs binary"), "results")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
     ids = rows.select("doc_id", "digest", F.octet_length("data").cast("long").alias("n_bytes"), F.sha2("data", 256).alias("whole"))
