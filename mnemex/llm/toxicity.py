@@ -29,6 +29,7 @@ THRESHOLD = 0.3
 SAMPLE_ROWS = 8_000
 SAMPLE_WORDS = 50_000
 CACHE = 400_000
+RUN = 40
 SENTENCE_END = re.compile(r"[.!?\n…。！？]+")
 TRIM = "\"'`,;:()[]{}<>|*#$%&_-“”‘’«»¿¡"
 
@@ -40,7 +41,9 @@ def feature(word: str) -> int:
 
 
 def sentences(text: str | None) -> list[list[str]]:
-    return [words for part in SENTENCE_END.split((text or "").lower()) if (words := part.split())]
+    """Words of each sentence; what runs on without an end is cut every ``RUN`` words, or many faint words would add up."""
+    parts = [words for part in SENTENCE_END.split((text or "").lower()) if (words := part.split())]
+    return [words[i : i + RUN] for words in parts for i in range(0, len(words), RUN)]
 
 
 @dataclass
@@ -48,9 +51,12 @@ class Model:
     bias: float
     weights: np.ndarray  # float32, by feature
 
+    def run_scores(self, words: list[str]) -> float:
+        z = self.bias + sum(float(self.weights[feature(w)]) for w in words)
+        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
     def sentence_scores(self, text: str | None) -> list[float]:
-        z = [self.bias + sum(float(self.weights[feature(w)]) for w in words) for words in sentences(text)]
-        return [float(x) for x in 1 / (1 + np.exp(-np.clip(z, -30, 30)))] if z else []
+        return [self.run_scores(words) for words in sentences(text)]
 
     def score(self, text: str | None) -> float:
         p = np.array(self.sentence_scores(text))
@@ -150,10 +156,7 @@ def scorer(model: Model):
             for x in batch.column(batch.num_columns - 1):
                 text = x.as_py()
                 if text:
-                    for part in SENTENCE_END.split(text.lower()):
-                        words = part.split()
-                        if words:
-                            z.append(sum(map(known.__getitem__, words)))
+                    z += [sum(map(known.__getitem__, words)) for words in sentences(text)]
                 at.append(len(z))
                 if len(known) > CACHE:
                     known.clear()
@@ -184,8 +187,7 @@ def locate(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 for stop, after in ends:
                     words = text[at:stop].lower().split()
                     if words:
-                        z = model.bias + sum(float(model.weights[feature(w)]) for w in words)
-                        p = float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+                        p = max(model.run_scores(words[j : j + RUN]) for j in range(0, len(words), RUN))
                         if p >= threshold:
                             rows.append((i.as_py(), k, at, stop, p))
                         k += 1
