@@ -65,7 +65,8 @@ def f3_query_entities(spark, sf_dir):
     return planted(spark, sf_dir).select("id", F.array_join(X.query_entities(F.col("text")), "|").alias("entities"))
 
 
-NOW = F.lit("2024-02-01 00:00:00").cast("timestamp")
+def now():
+    return F.lit("2024-02-01 00:00:00").cast("timestamp")
 
 
 @query(f"""SELECT id, CASE WHEN regexp_matches(t, 'recent|now|latest|current|just now') THEN 'latest' WHEN ago IS NOT NULL OR y <> '' THEN 'at_time' ELSE 'current' END AS mode,
@@ -73,7 +74,7 @@ NOW = F.lit("2024-02-01 00:00:00").cast("timestamp")
 FROM (SELECT id, lower(text) AS t, regexp_extract(text, '((?:19|20)\\d{{2}})', 1) AS y,
  CASE WHEN contains(lower(text), '3 days ago') THEN 259200 WHEN contains(lower(text), 'today') THEN 0 WHEN regexp_matches(lower(text), 'yesterday|earlier') THEN 86400 WHEN contains(lower(text), 'last year') THEN 31536000 WHEN regexp_matches(lower(text), 'last|previous') THEN 86400 END AS ago FROM {PLANTED_SQL})""")
 def f4_time_mode(spark, sf_dir):
-    mode, at = X.time_mode(F.col("text"), NOW)
+    mode, at = X.time_mode(F.col("text"), now())
     return planted(spark, sf_dir).select("id", mode.alias("mode"), at.alias("at"))
 
 
@@ -321,7 +322,7 @@ def v33_type_overlap(spark, sf_dir):
 
 @query(f"SELECT id, CASE WHEN contains(text, 'revenue') OR contains(text, 'price') THEN 'attribute' WHEN regexp_matches(lower(text), 'recent|now|latest|current|today|yesterday|earlier|last|previous|ago|(19|20)\\d\\d') THEN 'event' WHEN contains(text, 'api_key') THEN 'multi_hop' ELSE 'identity' END AS intent FROM {PLANTED_SQL}")
 def v26_intent(spark, sf_dir):
-    return planted(spark, sf_dir).select("id", X.intent(F.col("text"), NOW).alias("intent"))
+    return planted(spark, sf_dir).select("id", X.intent(F.col("text"), now()).alias("intent"))
 
 
 @query(f"SELECT id, trim(regexp_replace(translate(text, '，。', '  '), '\\s+', ' ', 'g')) AS text FROM {PLANTED_SQL}")

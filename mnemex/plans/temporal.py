@@ -9,13 +9,15 @@ from ..operators import temporal as T
 from ..sources.tables import EPISODES_SQL, MEMBERS_SQL, VERSIONS_SQL, episodes, members, property_versions, table
 from .catalog import query
 
-AT = F.lit("2024-01-15 00:00:00").cast("timestamp")
-NOW = F.lit("2024-02-01 00:00:00").cast("timestamp")
 SECONDS_SQL = "epoch(TIMESTAMP '2024-02-01' - created_at)"
 
 
+def moment(text: str):
+    return F.lit(text).cast("timestamp")
+
+
 def age(column: str = "created_at"):
-    return (F.unix_micros(NOW) - F.unix_micros(F.col(column).cast("timestamp"))) / 1e6
+    return (F.unix_micros(moment("2024-02-01 00:00:00")) - F.unix_micros(F.col(column).cast("timestamp"))) / 1e6
 
 
 @query(f"SELECT id, value, valid_from FROM {VERSIONS_SQL} WHERE entity_id = 7 AND attr_name = 'click' ORDER BY valid_from")
@@ -32,7 +34,7 @@ def s7_distinct_attributes(spark, sf_dir):
 WHERE valid_from <= TIMESTAMP '2024-01-15' AND (expired_at IS NULL OR expired_at > TIMESTAMP '2024-01-15')
 QUALIFY row_number() OVER (PARTITION BY entity_id, attr_name ORDER BY valid_from DESC, id DESC) = 1""")
 def j9_as_of_version(spark, sf_dir):
-    return T.as_of(property_versions(spark, sf_dir), AT)
+    return T.as_of(property_versions(spark, sf_dir), moment("2024-01-15 00:00:00"))
 
 
 @query(f"""SELECT q.o_orderkey, v.attr_name, v.value FROM (SELECT o_orderkey, o_custkey % 150 AS entity_id, TIMESTAMP '2024-01-01' + to_minutes(o_orderkey % 43200) AS at FROM orders) q
