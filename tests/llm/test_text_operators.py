@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 from mnemex.llm import bpe, pii, token_counts, token_files
 from tests.llm.common import LONG, TEXTS, documents, none
 
+LIBRARY = Tokenizer.from_file(bpe.tokenizer_path("byte_bpe_50k.json"))
 FILES = ["word_bpe_49k.json", "byte_bpe_50k.json"]
 PARTS = st.lists(st.sampled_from(["a", "the", "  ", " ", "\n", "\t", " \n", "É", "é", "Σ", "'s", "'LL", "<|endoftext|>", "<|startoftext|>", "<|", "1", "23", "ß", "漢字", "🙂", "\u200b", "\xa0", "\x1c", "_", "...", "İ", "aaaaaaaaaaaa", "\u3000", "½"]), max_size=14).map("".join)
 
@@ -118,6 +119,19 @@ def test_words_of_repeats_and_blocks():
         token_files.read_image(b"nope" + bytes(60))
 
 
+@settings(max_examples=300, deadline=None)
+@given(text=PARTS)
+def test_fast_encoder_gives_the_ids_of_the_library(text):
+    path = bpe.tokenizer_path("byte_bpe_50k.json")
+    assert np.frombuffer(token_files.loaded(path).encode(text), "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_fast_encoder_takes_endless_runs():
+    path = bpe.tokenizer_path("byte_bpe_50k.json")
+    for text in (" " * 50_000 + "a", "a" * 30_000, "\n" * 20_000, "ab " * 20_000, " \n" * 9000 + "x"):
+        assert np.frombuffer(token_files.loaded(path).encode(text), "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
 def test_op7(spark):
     got = sorted(token_files.op7(documents(spark)).collect(), key=lambda r: r.start)
     library = Tokenizer.from_file(bpe.tokenizer_path("byte_bpe_50k.json"))
