@@ -5,13 +5,13 @@ Sorting all suffixes of a corpus in one place isn't possible, so texts first fin
 1. Equal texts become one, with the smallest id (partial aggregation, so a hot copy travels once a task).
 2. Every 50-byte window names its leftmost smallest 16-byte hash as its anchor: equal windows
    name equal anchors. A run of windows with one anchor is a region, 84 bytes at most. Anchors
-   travel as packed arrays of hash and region digest. An anchor in one text only ends here. If all regions
-   of an anchor are equal, the text with the smallest id keeps them and the others lose them.
-3. Regions of the other anchors travel by anchor. Each task cuts what it gets into shards,
+   travel as packed arrays of hash and region digest. An anchor in one text only ends here. Of equal
+   regions the text with the smallest id keeps its own and the others lose theirs.
+3. Where an anchor has several regions, one of each travels by anchor. Each task cuts what it gets into shards,
    builds the Burrows-Wheeler transform of each, and merges all shards by refining their interleave: round h stably sorts by the
    preceding symbol, after which suffixes stand in order of their first h symbols and blocks of equal ones are known.
    After 50 rounds the blocks are the repeated 50-byte intervals; nothing is sorted again.
-4. An anchor with over ``crowd`` regions doesn't meet in one task. Its windows are
+4. An anchor with over ``crowd`` different regions doesn't meet in one task. Its windows are
    digested (128 bits) and aggregated by digest, which combines before the shuffle.
 5. Removed intervals meet their text again; results per text are joined to the documents that hold it.
 
@@ -104,7 +104,7 @@ def _anchors(buckets: int):
                     digest = np.fromiter((xxhash.xxh3_64_intdigest(data[a : b + LENGTH]) for a, b in zip(first.tolist(), last.tolist(), strict=True)), dtype=np.uint64, count=len(g))
                     held.append((g, digest, low.as_py(), key.as_py()))
                     size += len(g)
-                    if size >= 1_500_000 or len(held) >= 60_000:
+                    if size >= 500_000 or len(held) >= 60_000:
                         yield pack(held)
                         held, size = [], 0
         if held:
@@ -122,20 +122,23 @@ def _decide(crowd: int):
         base = np.cumsum([0, *(len(r[3]) // 8 for r in rows)])
         text = np.concatenate([np.frombuffer(r[2], "<u2").astype(np.int64) + b for r, b in zip(rows, base, strict=False)])
         keys, lows = (np.frombuffer(b"".join(r[c] for r in rows), "<i8") for c in (3, 4))
-        order = np.lexsort((text, g))
-        g, digest, text = g[order], digest[order], text[order]
+        low = lows[text]
+        order = np.lexsort((low, digest, g))
+        g, digest, text, low = g[order], digest[order], text[order], low[order]
         new = np.r_[True, g[1:] != g[:-1]]
-        start = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        several = np.add.reduceat(np.r_[True, text[1:] != text[:-1]] | new, start) > 1
-        same = np.minimum.reduceat(digest, start) == np.maximum.reduceat(digest, start)
-        size = np.diff(np.r_[start, len(g)])
-        low = np.minimum.reduceat(lows[text], start)
-        kind = np.where(same, 1, np.where(size <= crowd, 2, 3))
-        use = several[group] & (~same[group] | (lows[text] > low[group]))
-        use &= np.r_[True, (text[1:] != text[:-1]) | (g[1:] != g[:-1])]
-        at = np.flatnonzero(use)
-        return pa.record_batch({"key": pa.array(keys[text[at]]), "mark": pa.array((g[at] << 2) | kind[group[at]])})
+        new_region = new | np.r_[True, digest[1:] != digest[:-1]]
+        group, region = np.cumsum(new) - 1, np.cumsum(new_region) - 1
+        several = np.maximum.reduceat(text, np.flatnonzero(new)) != np.minimum.reduceat(text, np.flatnonzero(new))
+        n_regions = np.add.reduceat(new_region.astype(np.int64), np.flatnonzero(new))
+        first_low = low[np.flatnonzero(new_region)]
+        compare = np.where(n_regions == 1, 0, np.where(n_regions <= crowd, 2, 3))
+        kind = np.where(several[group], np.where(low > first_low[region], 1, compare[group]), 0)
+        # an anchor may stand in a text more than once: the stronger mark serves all its regions
+        at = np.flatnonzero(kind)
+        order = np.lexsort((-kind[at], text[at], g[at]))
+        at = at[order]
+        at = at[np.r_[True, (g[at][1:] != g[at][:-1]) | (text[at][1:] != text[at][:-1])][: len(at)]]
+        return pa.record_batch({"key": pa.array(keys[text[at]]), "mark": pa.array((g[at] << 2) | kind[at])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _by_bucket(batches, bucket)
@@ -371,7 +374,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     _free(spark)
     try:
         texts = spark.table(table)
-        anchors = texts.select("key", "low", "data").mapInArrow(_anchors(n), "bucket int, anchors binary, regions binary, texts binary, keys binary, lows binary")
+        anchors = texts.select("key", "low", "data").coalesce(n).mapInArrow(_anchors(n), "bucket int, anchors binary, regions binary, texts binary, keys binary, lows binary")
         marks = ws.save(anchors.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_decide(crowd), "key long, mark long"), "marks")
         _free(spark)
         listed = marks.groupBy("key").agg(F.collect_list("mark").alias("marks"))  # no more than a text has regions
