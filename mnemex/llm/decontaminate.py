@@ -35,7 +35,7 @@ WEIGHT = 6
 INDEX_WORDS = 2_000_000
 PART = 1 << 20
 NOT_WORD = re.compile(r"[\W_]+")
-CACHE = 500_000
+CACHE = 150_000
 
 
 def masks(window: int = WINDOW, wrong: int = WINDOW - ALIKE, weight: int = WEIGHT) -> list[tuple[int, ...]]:

@@ -28,7 +28,7 @@ BITS = 18
 THRESHOLD = 0.3
 SAMPLE_ROWS = 8_000
 SAMPLE_WORDS = 50_000
-CACHE = 400_000
+CACHE = 150_000
 RUN = 40
 SENTENCE_END = re.compile(r"[.!?\n…。！？]+")
 TRIM = "\"'`,;:()[]{}<>|*#$%&_-“”‘’«»¿¡"
