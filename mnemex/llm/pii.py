@@ -6,7 +6,8 @@ are entered at their start only, so a long run of digits or dots costs one pass.
 
 Texts that hold a disguise are rewritten by transducers that emit normalised text together with a
 piecewise map to source offsets: zero-width characters vanish, look-alike letters and digits of other scripts become
-ASCII, ``[at]`` / `` at `` and ``(dot)`` / `` dot `` become ``@`` and ``.``, spelled digits become digits. The same finders run on that text, and
+ASCII, ``[at]`` / `` at `` and ``(dot)`` / `` dot `` become ``@`` and ``.``, spelled digits become digits, with and without the
+blanks between them. The same finders run on that text, and
 spans that touch a rewritten place are mapped back. A found span adds to the base spans of its
 kind unless one of them holds it already; base spans never go.
 
@@ -129,8 +130,14 @@ TOKENS = re.compile(
     rf"|(?P<digit>(?<![A-Za-z0-9])(?:{_DIGIT})(?![A-Za-z0-9]))",
     re.IGNORECASE,
 )
-HINT = re.compile(rf"[\[({{<]\s{{0,3}}(?:{_AT}|{_DOT})\s{{0,3}}[\])}}>]|[ \t]dot[ \t]|\b(?:{_DIGIT})[ .-]{{1,2}}(?:{_DIGIT}|[0-9+(])", re.IGNORECASE)
-SPELLED_GAP = re.compile(r"(?<=[0-9])[ \t]{1,2}(?=[0-9])")
+_SPELLED = rf"(?<![A-Za-z0-9])(?:{_DIGIT})(?![A-Za-z0-9])"
+_BETWEEN = r"[ \t().+-]+"
+# What TOKENS rewrites, brackets and words alike. A spelled digit counts next to another digit only: no span has a single one.
+HINT = re.compile(rf"[\[({{<]\s{{0,3}}(?:{_AT}|{_DOT})\s{{0,3}}[\])}}>]|[ \t]dot[ \t]|{_SPELLED}{_BETWEEN}(?:[0-9]|{_SPELLED})|[0-9]{_BETWEEN}{_SPELLED}", re.IGNORECASE)
+# Blanks between single digits, where one at least is spelled.
+SPELLED_GAP = re.compile(r"[ \t]{1,2}\Z")
+GAP_BEFORE_DIGIT = re.compile(r"[ \t]{1,2}(?=[0-9](?![0-9]))")
+GAP_AFTER_DIGIT = re.compile(r"(?<=[0-9])(?<![0-9]{2})[ \t]{1,2}\Z")
 
 
 def disguised(text: str) -> bool:
@@ -142,10 +149,7 @@ def disguised(text: str) -> bool:
         except UnicodeEncodeError:
             if not STRANGE.isdisjoint(text):
                 return True
-    low = text.lower()
-    if "dot" not in low and not any(x in low for x in ("at)", "at]", "at}", "at>", "@)", "@]", "arroba", "point", "punkt", "punto", "at ]", "at )")) and not any(x in low for x in ("zero", "seven", "eight", "five", "four", "three", "nine", "two", "one ", "one-", "six")):
-        return False
-    return HINT.search(low) is not None
+    return HINT.search(text) is not None
 
 
 class Mapped:
@@ -187,7 +191,8 @@ class Mapped:
         return False
 
 
-def normalise(text: str) -> Mapped:
+def normalise(text: str, close_gaps: bool = False) -> Mapped:
+    """The text without disguises; ``close_gaps`` also drops the blanks around spelled digits."""
     plain = text.translate(_LETTERS)  # one character for one, so offsets stay
     out, at = Mapped(), 0
 
@@ -202,34 +207,64 @@ def normalise(text: str) -> Mapped:
                     run = i + 1
         out.emit(plain[run:end], run, end, False)
 
+    def between(start: int, end: int, spelled_before: bool, spelled_after: bool) -> None:
+        """What stands between two tokens."""
+        if close_gaps:
+            gap = plain[start:end]
+            if spelled_before and (m := (SPELLED_GAP.match(gap) if spelled_after else None) or GAP_BEFORE_DIGIT.match(gap)):
+                out.emit("", start, start + m.end(), True)
+                start += m.end()
+            if spelled_after and (m := GAP_AFTER_DIGIT.search(plain, max(start, end - 3), end)):
+                copy(start, m.start())
+                out.emit("", m.start(), end, True)
+                start = end
+        copy(start, end)
+
+    kind = None
     for m in TOKENS.finditer(plain):
-        kind = m.lastgroup
-        copy(at, m.start())
+        last, kind = kind, m.lastgroup
+        between(at, m.start(), last == "digit", kind == "digit")
         new = {"gone": "", "at": "@", "at_word": "@", "dot": ".", "dot_word": "."}.get(kind) if kind != "digit" else SPELLED[m[0].lower()]
         out.emit(new, *m.span(), True)
         at = m.end()
-    copy(at, len(text))
+    between(at, len(text), kind == "digit", False)
     return out
 
 
 def hidden_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
-    """Spans that only the normalised text shows, at their source offsets."""
+    """Spans that only the normalised text shows, at their source offsets; the longest where one holds another.
+
+    The finders run with and without the blanks around spelled digits: dropping them joins the parts of
+    an address, and may join one with a number that isn't part of it.
+    """
     if not disguised(text):
         return {}
-    mapped = normalise(text)
-    if not any(p[3] for p in mapped.pieces):
+    found: dict[str, set[Span]] = {}
+    views = [normalise(text)]
+    if not any(p[3] for p in views[0].pieces):
         return {}
-    found: dict[str, list[Span]] = {}
-    clear = mapped.text
-    for kind, find in FINDERS.items():
-        starts = [s for s, _ in base[kind]]
-        for s, e in find(clear):
-            if mapped.touched(s, e):
-                a, b = mapped.source(s, e)
-                k = bisect_right(starts, a) - 1
-                if k < 0 or base[kind][k][1] < b:
-                    found.setdefault(kind, []).append((a, b))
-    return found
+    closed = normalise(text, close_gaps=True)
+    if closed.size < views[0].size:
+        views.append(closed)
+    for mapped in views:
+        clear = mapped.text
+        for kind, find in FINDERS.items():
+            starts = [s for s, _ in base[kind]]
+            for s, e in find(clear):
+                if mapped.touched(s, e):
+                    a, b = mapped.source(s, e)
+                    k = bisect_right(starts, a) - 1
+                    if k < 0 or base[kind][k][1] < b:
+                        found.setdefault(kind, set()).add((a, b))
+    return {kind: _longest(spans) for kind, spans in found.items()}
+
+
+def _longest(spans: set[Span]) -> list[Span]:
+    out: list[Span] = []
+    for s, e in sorted(spans, key=lambda x: (x[0], -x[1])):
+        if not out or e > out[-1][1]:
+            out.append((s, e))
+    return out
 
 
 def all_spans(text: str | None) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:

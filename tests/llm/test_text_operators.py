@@ -1,6 +1,7 @@
 """Tokens, counts, files, personal data: against the tokenizers library, round trips and plain patterns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -183,6 +184,45 @@ def test_disguises_map_back_to_the_source(text, hidden):
     assert hidden not in pii.redact(text)
 
 
+BRACKETS = ["[]", "()", "{}", "<>"]
+INNER = ["", " ", "  ", "\t", " \n "]
+
+
+@pytest.mark.parametrize("word", ["at", "AT", "@", "arroba"])
+def test_each_bracketed_at_is_found_alone(word):
+    for (left, right), blank in itertools.product(BRACKETS, INNER):
+        hidden = f"anna{left}{blank}{word}{blank}{right}example.com"
+        assert pii.redact(f"write {hidden} today") == "write <EMAIL> today", hidden
+
+
+@pytest.mark.parametrize("word", ["dot", "DOT", ".", "point", "punkt", "punto"])
+def test_each_bracketed_dot_is_found_alone(word):
+    for (left, right), blank in itertools.product(BRACKETS, INNER):
+        dot = f"{left}{blank}{word}{blank}{right}"
+        assert pii.redact(f"write anna@example{dot}com today") == "write <EMAIL> today", dot
+        assert pii.redact(f"host {dot.join(['192', '168', '1', '20'])} today") == "host <IP> today", dot
+
+
+@pytest.mark.parametrize("digit", sorted(pii.SPELLED))
+def test_each_spelled_digit_is_found_alone(digit):
+    for hidden in (f"{digit}.168.1.20", f"192.168.1.{digit}", f"192.{digit.upper()}.1.20", f"{digit} dot 168 dot 1 dot 20"):
+        assert pii.redact(f"host {hidden} today") == "host <IP> today", hidden
+    for hidden in (f"+1 743 555 382 {digit}", f"+1 (743) {digit} 555-382", f"+{digit} 743 555 3824"):
+        assert pii.redact(f"call {hidden} today") == "call <PHONE> today", hidden
+
+
+@pytest.mark.parametrize(
+    "hidden",
+    ["one nine two dot one six eight dot zero dot two oh", "one nine two.one six eight.1.2 zero", "one  nine\ttwo [.] 1 six 8 [.] one [.] 2 zero", "1 nine 2.168.1.20"],
+)
+def test_spelled_digits_lose_their_gaps(hidden):
+    assert pii.redact(f"host {hidden} today") == "host <IP> today"
+
+
+def test_closed_gaps_lose_no_address():
+    assert pii.redact("three 255.1.1.four") == "three <IP>" and pii.redact("room 12 one.2.3.4") == "room 12 <IP>"
+
+
 @pytest.mark.parametrize("text", ["look at the dot of it", "one two three", "meet at noon", "plain", "we at the shop dot the i", ""])
 def test_clean_texts_stay(text):
     assert pii.all_spans(text)[1] == {k: [] for k in pii.KINDS} and pii.redact(text) == text
