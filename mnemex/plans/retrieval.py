@@ -138,9 +138,8 @@ def v6_hypergraph_channel(spark, sf_dir):
 
 @query()
 def v10_tfidf_cosine(spark, sf_dir):
-    """Cosine of character 2- to 4-grams within words, over all benchmark items."""
-    q = questions(spark, sf_dir)
-    return X.tfidf_cosine(q.where("query_id % 5 = 0"), q.withColumnRenamed("query_id", "id"), X.char_grams(F.col("text"))).select("query_id", "id", "score")
+    """Cosine of character 2- to 4-grams within words: all benchmark items against all documents."""
+    return X.tfidf_cosine(questions(spark, sf_dir), documents(spark, sf_dir), X.char_grams(F.col("text"))).select("query_id", "id", "score")
 
 
 @query(f"""WITH t AS (SELECT *, 1 AS tier FROM (SELECT query_id, id FROM {KNN_SQL} WHERE score > 0.35 AND query_id <> id) UNION ALL SELECT query_id, id, 2 FROM (SELECT query_id, id FROM {KNN_SQL} WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 3))
@@ -166,9 +165,8 @@ def v15_community_expansion(spark, sf_dir):
 
 @query()
 def v16_community_relevance(spark, sf_dir):
-    """BM25 whose corpus is the summaries themselves, squashed to b / (1 + b)."""
-    d = documents(spark, sf_dir).where("id % 10 = 0")
-    return X.bm25(questions(spark, sf_dir), d, k=5).select("query_id", "id", F.round(F.col("score") / (1 + F.col("score")), 6).alias("relevance"))
+    """BM25 over all documents as summaries, squashed to b / (1 + b)."""
+    return X.bm25(questions(spark, sf_dir), documents(spark, sf_dir), k=5).select("query_id", "id", F.round(F.col("score") / (1 + F.col("score")), 6).alias("relevance"))
 
 
 @query("SELECT seed, community, round(least(0.4, 0.95 * 0.6), 6)::DOUBLE AS score FROM (SELECT DISTINCT l_partkey AS seed, l_orderkey AS community FROM lineitem WHERE l_partkey % 100 = 0) QUALIFY row_number() OVER (PARTITION BY seed ORDER BY community) <= 5")
