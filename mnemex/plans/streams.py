@@ -21,17 +21,17 @@ def stream_minute_counts(spark, sf_dir):
 
 @query()
 def stream_rate_windows(spark, sf_dir):
-    return J.run_once(J.rate_windows(_events(spark, sf_dir)), Workspace(spark, "stream"), "rates")
+    return J.run_once(J.rate_windows(_events(spark, sf_dir)), Workspace(spark, "stream"), "rates", "complete")
 
 
 @query()
 def stream_sessions(spark, sf_dir):
-    return J.run_once(J.sessions(_events(spark, sf_dir)), Workspace(spark, "stream"), "sessions")
+    return J.run_once(J.sessions(_events(spark, sf_dir)), Workspace(spark, "stream"), "sessions", "complete")
 
 
 @query()
 def stream_temporal_hyperedges(spark, sf_dir):
-    return J.run_once(J.tumbling_hyperedges(_events(spark, sf_dir)), Workspace(spark, "stream"), "hyperedges")
+    return J.run_once(J.tumbling_hyperedges(_events(spark, sf_dir)), Workspace(spark, "stream"), "hyperedges", "complete")
 
 
 @query()

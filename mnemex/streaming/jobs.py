@@ -19,9 +19,12 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_once(stream: DataFrame, ws: Workspace, name: str, mode: str = "append") -> DataFrame:
-    """Processes what is there, with checkpoints in the shared folder, and reads the result."""
+    """Processes what is there, with checkpoints in the shared folder, and reads the result.
+
+    In append mode windows that the watermark hasn't passed are left out; in complete mode each batch has the whole table, and the last one counts.
+    """
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{ws.path(name)}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{ws.path(name)}/batch={0 if mode == 'complete' else number}")
 
     started = stream.writeStream.outputMode(mode).option("checkpointLocation", ws.path(f"{name}-checkpoint")).trigger(availableNow=True).foreachBatch(write).start()
     started.awaitTermination()
