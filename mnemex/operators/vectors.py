@@ -1,7 +1,7 @@
 """Exact nearest neighbours of a stated set of queries against all rows, in blocks.
 
 A block of query vectors is sent to all tasks; each batch of rows is multiplied with it and
-only the k best of each query leave the batch. No pair is ever a row. More queries than a block
+only the k best of each query, by rounded score and id, leave the batch. No pair is ever a row. More queries than a block
 takes mean more passes, so what is sent never grows.
 """
 
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .ranking import top_k
 
 BLOCK = 8192
+SCALE = 1e6  # scores have six digits
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -25,6 +26,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
+def _rounded(score: np.ndarray) -> np.ndarray:
+    """To six digits, halves away from zero as in Spark; ranks are taken on these."""
+    return np.copysign(np.floor(np.abs(score) * SCALE + 0.5) / SCALE, score)
+
+
 def _nearest(ids: np.ndarray, queries: np.ndarray, k: int, metric: str, itself: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -38,11 +44,17 @@ def _nearest(ids: np.ndarray, queries: np.ndarray, k: int, metric: str, itself:
                 score = -((queries**2).sum(1)[:, None] - 2 * queries @ x.T + (x**2).sum(1)[None, :])
             if not itself:
                 score = np.where(ids[:, None] == rows[None, :], -np.inf, score)
-            n = min(k + 8, len(rows))  # some spare for ties
-            best = np.argpartition(-score, n - 1, axis=1)[:, :n]
-            found = np.take_along_axis(score, best, axis=1)
-            ok = np.isfinite(found)
-            yield pa.record_batch({"query_id": pa.array(np.repeat(ids, ok.sum(1))), "id": pa.array(rows[best][ok]), "score": pa.array(found[ok])})
+            score[np.isnan(score)] = -np.inf
+            n = min(k, len(rows))
+            least = np.partition(score, len(rows) - n, axis=1)[:, len(rows) - n] - 2 / SCALE  # no score below rounds to the n-th best
+            kept, found = [], []
+            for own, low in zip(score, least, strict=True):
+                at = np.flatnonzero((own >= low) & np.isfinite(own))
+                value = _rounded(own[at])
+                best = np.lexsort((rows[at], -value))[:n]
+                kept.append(rows[at[best]])
+                found.append(value[best])
+            yield pa.record_batch({"query_id": pa.array(np.repeat(ids, [len(x) for x in kept])), "id": pa.array(np.concatenate(kept)), "score": pa.array(np.concatenate(found))})
 
     return run
 
