@@ -119,11 +119,36 @@ def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
-def align(left: DataFrame, right: DataFrame, least: float = 0.75) -> DataFrame:
-    """Best partner of each name: exact 1.0, else the lexical ratio of names that share their first letters."""
-    norm = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")
+def _keys(name: Column, least: float) -> Column:
+    """Two names whose ratio is at least ``least`` (over 2/3) share one of these.
+
+    Matched pieces of one letter each need a letter that isn't matched between any two of them, so M letters in such pieces give a ratio of at most
+    2M / (3M - 1): either two letters in a row are shared, or both names together have at most 2 / (3 least - 2) letters. Short names also have their letters as keys.
+    """
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - n + 1, F.lit(1))), lambda i: name.substr(i, F.lit(n)))
+    none = F.array().cast("array<string>")
+    pairs = F.when(F.length(name) > 1, cut(2)).otherwise(none)
+    return F.array_distinct(F.concat(pairs, F.when(F.length(name).between(1, int(2 / (3 * least - 2) + 1e-9)), cut(1)).otherwise(none)))
+
+
+def align(left: DataFrame, right: DataFrame, left_near: DataFrame, right_near: DataFrame, least: float = 0.75, least_shared: float = 0.6) -> DataFrame:
+    """Best partner of each name of ``left`` (name) in ``right`` (other): exact 1.0, else by lexical ratio, else by the Jaccard of neighbours.
+
+    ``left_near`` (name, neighbour) and ``right_near`` (other, neighbour) hold the neighbours. Ties go to the first name in order.
+    """
+    if least <= 2 / 3:
+        raise ValueError("the keys cover lexical ratios over 2/3")
+    norm = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
     lexical_ratio = F.pandas_udf(_ratios, "double")  # the built-in distance is another measure
-    a = left.select("name", norm("name").alias("x")).withColumn("block", F.substring("x", 1, 3))
-    b = right.select("other", norm("other").alias("y")).withColumn("block", F.substring("y", 1, 3))
-    scored = a.join(b, "block").withColumn("score", F.when(F.col("x") == F.col("y"), 1.0).otherwise(lexical_ratio("x", "y"))).where(F.col("score") >= least)
-    return scored.groupBy("name").agg(F.max(F.struct("score", "other")).alias("b")).select("name", F.col("b.other").alias("match"), F.round("b.score", 6).alias("score"))
+    a, b = left.select("name", norm("name").alias("x")).distinct(), right.select("other", norm("other").alias("y")).distinct()
+    exact = a.join(b, F.col("x") == F.col("y")).select("name", "other", F.lit(0).alias("step"), F.lit(1.0).alias("score"))
+    fits = F.least(F.length("x"), F.length("y")) * 2 >= least * (F.length("x") + F.length("y"))
+    met = a.withColumn("key", F.explode(_keys(F.col("x"), least))).join(b.withColumn("key", F.explode(_keys(F.col("y"), least))), "key").where(fits & (F.col("x") != F.col("y"))).select("name", "other", "x", "y").distinct()
+    lexical = met.select("name", "other", F.lit(1).alias("step"), lexical_ratio("x", "y").alias("score")).where(F.col("score") >= least)
+    m = left_near.select("name", norm("neighbour").alias("near")).distinct().join(left, "name", "left_semi")
+    n = right_near.select("other", norm("neighbour").alias("near")).distinct().join(right, "other", "left_semi")
+    common = m.join(n, "near").groupBy("name", "other").agg(F.count("*").alias("both"))
+    sized = common.join(m.groupBy("name").agg(F.count("*").alias("p")), "name").join(n.groupBy("other").agg(F.count("*").alias("q")), "other")
+    shared = sized.select("name", "other", F.lit(2).alias("step"), (F.col("both") / (F.col("p") + F.col("q") - F.col("both"))).alias("score")).where(F.col("score") >= least_shared)
+    best = exact.union(lexical).union(shared).groupBy("name").agg(F.min(F.struct("step", (-F.col("score")).alias("minus"), "other")).alias("b"))
+    return best.select("name", F.col("b.other").alias("match"), F.round(-F.col("b.minus"), 6).alias("score"))

@@ -306,10 +306,11 @@ def f37_section_classifier(spark, sf_dir):
 
 @query()
 def g24_ontology_alignment(spark, sf_dir):
-    """Names of parts' types against those of another table: exact, then lexical by shared first letter, then by shared neighbours."""
-    left = table(spark, sf_dir, "part").select(F.col("p_type").alias("name")).distinct()
-    right = left.select(F.lower(F.regexp_replace("name", " ", "_")).alias("other"))
-    return O.align(left, right)
+    """Types of parts against the first words of parts' names: exact, then lexical, then by the brands that both occur with."""
+    part = table(spark, sf_dir, "part")
+    left = part.select(F.col("p_type").alias("name"), F.col("p_brand").alias("neighbour")).where("name IS NOT NULL").distinct()
+    right = part.select(F.split("p_name", " ")[0].alias("other"), F.col("p_brand").alias("neighbour")).where("other IS NOT NULL").distinct()
+    return O.align(left.select("name").distinct(), right.select("other").distinct(), left, right)
 
 
 @query("SELECT doc_id, round(len(list_intersect(w, q)) / len(list_distinct(list_concat(w, q)))::DOUBLE, 6)::DOUBLE AS overlap FROM (SELECT doc_id, list_distinct(list_filter(string_split(lower(left(text, 200)), ' '), lambda x: x <> '')) AS w, ['the', 'and', 'of', 'in'] AS q FROM documents) WHERE len(w) > 0")
