@@ -153,7 +153,7 @@ def plain_removal(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("options", [{}, {"crowd": 2}, {"shard_bytes": 500}])
+@pytest.mark.parametrize("options", [{}, {"crowd": 2}, {"shard_bytes": 500}, {"task_bytes": 2000}])
 def test_substrings_against_brute_force(spark, options):
     r = random.Random(7)
     rows = [(i, t[:3000] if t else t) for i, t in TEXTS]
@@ -165,6 +165,31 @@ def test_substrings_against_brute_force(spark, options):
     assert substring_dedup.op8(none(spark)).count() == 0
 
 
+def test_substrings_of_long_texts_in_small_runs(spark, monkeypatch):
+    r = random.Random(8)
+    texts = ["".join(r.choice("abc ") for _ in range(n)) for n in (40, 50, 130, 400, 900)]
+    texts += [texts[4][100:700], texts[3] + texts[4], "x" * 700, "x" * 60 + texts[2], texts[2] + texts[2], "ab" * 200, "ba" * 90]
+    rows = list(enumerate(r.sample(texts, len(texts))))
+    monkeypatch.setattr(substring_dedup, "RUN", 128)
+    offsets = np.cumsum([0, *(len(t) for _, t in rows)])
+    data = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+    windows: dict[str, set[int]] = {}
+    seen = []
+    for row, first, last, g, _ in substring_dedup.regions(data, offsets):
+        for k, a, b, h in zip(row.tolist(), first.tolist(), last.tolist(), g.tolist(), strict=True):
+            for at in range(a, b + 1):
+                windows.setdefault(rows[k][1][at - offsets[k] :][:50], set()).add(h)
+                seen.append(at)
+    assert all(len(w) == 50 and len(h) == 1 for w, h in windows.items())  # an anchor is a function of its window
+    assert sorted(seen) == [at for k in range(len(rows)) for at in range(offsets[k], offsets[k + 1] - 49)]
+    monkeypatch.undo()
+    long = [(i, t * 700) for i, t in rows if len(t) > 300][:4] + rows
+    got = substring_dedup.removed_spans(documents(spark, long)).drop("runs")
+    assert sorted((str(x.doc_id), *x[1:]) for x in got.collect()) == plain_removal(long)
+    with pytest.raises(TypeError):
+        substring_dedup.op8(documents(spark, rows).withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
 def test_interleave_gives_the_blocks_of_sorted_suffixes():
     r = random.Random(9)
     for _ in range(30):
