@@ -268,7 +268,7 @@ _DECIDED = pa.schema([("block", pa.int32()), ("anchors", pa.binary()), ("regions
 def _decide(crowd: int):
     """For the anchors of a bucket, by block: the smallest id of each region, and whether its windows must be compared with those of other regions (1), in a crowd (2), or not (0)."""
 
-    def bucket(rows: list) -> pa.RecordBatch:
+    def bucket(rows: list) -> tuple[np.ndarray, ...] | None:
         g, digest = (_from_six(b"".join(r[c] for r in rows)) for c in (0, 1))
         base = np.cumsum([0, *(len(r[3]) // 4 for r in rows)])
         holder = np.concatenate([np.frombuffer(r[2], "<u4").astype(np.int64) + b for r, b in zip(rows, base, strict=False)])
@@ -278,7 +278,7 @@ def _decide(crowd: int):
         alike = g[order][1:] == g[order][:-1]
         order = order[np.r_[alike, False][: len(order)] | np.r_[False, alike][: len(order)]]
         if not len(order):
-            return pa.record_batch([pa.array([], t) for t in _DECIDED.types], schema=_DECIDED)
+            return None
         g, digest, block, low = g[order], digest[order], blocks[holder[order]], lows[holder[order]]
         order = np.lexsort((block, low, digest, g))
         g, digest, block, low = g[order], digest[order], block[order], low[order]
@@ -293,13 +293,17 @@ def _decide(crowd: int):
         use = np.flatnonzero(several & ((mark > 0) | (low > least)))
         use = use[np.lexsort((region[use], block[use]))]
         use = use[np.r_[True, (region[use][1:] != region[use][:-1]) | (block[use][1:] != block[use][:-1])][: len(use)]]
-        rows = []
-        for part in np.split(use, np.flatnonzero(np.diff(block[use])) + 1) if len(use) else []:
-            rows.append((int(block[part[0]]), _six(g[part]), _six(digest[part]), least[part].astype("<i8").tobytes(), mark[part].astype("u1").tobytes()))
-        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, _DECIDED.types, strict=True)], schema=_DECIDED)
+        return block[use], g[use], digest[use], least[use], mark[use].astype("u1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _by_bucket(batches, bucket)
+        found = [x for x in _by_bucket(batches, bucket) if x is not None]
+        if found:
+            block, g, digest, least, mark = map(np.concatenate, zip(*found, strict=True))
+            order = np.argsort(block, kind="stable")
+            rows = []
+            for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1) if len(order) else []:
+                rows.append((int(block[part[0]]), _six(g[part]), _six(digest[part]), least[part].astype("<i8").tobytes(), mark[part].tobytes()))
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, _DECIDED.types, strict=True)], schema=_DECIDED)
 
     return run
 
@@ -579,7 +583,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n *= max(1, -(-size // (task_bytes * n)))
     rows = rows.withColumn("digest", F.unhex(F.md5("data")))
-    block = F.pmod(F.xxhash64("digest"), F.lit(8 * n)).cast("int")
+    block = F.pmod(F.xxhash64("digest"), F.lit(4 * n)).cast("int")
     sent = rows.where(F.octet_length("data") >= LENGTH).select(block.alias("block"), "digest", F.coalesce("doc_id", F.lit(LAST)).alias("low"), "data").mapInArrow(_combine, "block int, digest binary, low long, data binary")
     unique = sent.repartition(n, "block").mapInArrow(_unite, "block int, digest binary, low long, data binary").withColumn("key", F.xxhash64("digest"))
     table = f"mnemex_texts_{uuid.uuid4().hex}"
@@ -589,7 +593,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         anchors = texts.select("block", "low", "data").mapInArrow(_anchors(2 * n), _ddl(_ANCHORS))
         decided = anchors.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_decide(crowd), _ddl(_DECIDED))
         met = texts.select("block", "key", "low", "data").groupBy("block").cogroup(decided.groupBy("block"))
-        pieces = ws.save(met.applyInArrow(_collect(2 * n), _ddl(_PIECES)), "pieces")
+        pieces = ws.save(met.applyInArrow(_collect(n), _ddl(_PIECES)), "pieces")
         mixed = pieces.where("kind = 2").select("at", "spans", "payload").repartition(n, "at").sortWithinPartitions("at")
         spans = pieces.where("kind = 1").select(F.col("at").alias("block"), "key", "low", "spans").union(mixed.mapInArrow(_merge(shard_bytes), _ddl(_SPANS)))
         crowded = pieces.where("kind = 3")
