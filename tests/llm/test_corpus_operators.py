@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -94,19 +95,29 @@ def test_near_dedup_keeps_one(spark):
 
 
 def plain_overlaps(rows, items):
-    known = decontaminate.Words()
-    index = decontaminate.Index(items)
+    """All diagonals of all pairs, word by word."""
+
+    def words(text):
+        return [w for raw in (text or "").split() if (w := "".join(c for c in raw.lower() if c.isalnum()))]
+
     out = set()
     for i, t in rows:
-        w = known.of(t)
-        for q, (item, _) in enumerate(items):
+        w = words(t)
+        for item, x in items:
+            own = words(x)
+            need = min(12, len(own))
+            wanted = 10 if need == 12 else -(-8 * need // 10)
             best = None
-            for first in range(-len(index.words[q]) + 1, len(w)):
-                got = index.verify(w, q, first)
-                if got and (best is None or got[1] > best[1]):
-                    best = got
-            if best and len(index.words[q]) >= decontaminate.WINDOW:
-                out.add((i, item, best[1], best[2]))
+            for first in range(1 - len(own), len(w)) if len(own) >= 5 else []:
+                lo, hi = max(0, -first), min(len(own), len(w) - first)
+                good = [k for k in range(lo, hi - need + 1) if sum(own[j] == w[first + j] for j in range(k, k + need)) >= wanted]
+                if good:
+                    a, b = good[0], good[-1] + need
+                    got = (first + a, b - a, sum(own[j] == w[first + j] for j in range(a, b)))
+                    if best is None or got[1] > best[1]:
+                        best = got
+            if best:
+                out.add((i, item, *best))
     return out
 
 
@@ -114,26 +125,51 @@ def test_decontamination_finds_all_substituted_passages(spark):
     assert decontaminate.masks() == decontaminate.MASKS
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(r.randint(2, 5)))
-    items = [(k, " ".join(word() for _ in range(r.randint(12, 30)))) for k in range(12)]
-    rows = []
-    for i in range(60):
+    items = [(k, " ".join(word() for _ in range(r.randint(12, 30)))) for k in range(12)] + [(20 + n, " ".join(word() for _ in range(n))) for n in range(3, 12)]
+    items += [(40, "ha " * 15), (41, "ha ho " * 7)]
+    rows = [(200, "ha " * 30), (201, "ho ha " * 9 + "x"), (202, "ha " * 13)]
+    for i in range(90):
         words = [word() for _ in range(r.randint(0, 60))]
         own = r.choice(items)[1].split()
         for k in range(len(own)):
             if r.random() < 0.12:
                 own[k] = "zz"
         at = r.randint(0, len(words))
-        rows.append((i, " ".join(words[:at] + own[r.randint(0, 6) :] + words[at:])))
+        rows.append((i, " ".join(words[:at] + own[r.randint(0, 6) if len(own) > 11 else 0 :] + words[at:])))
     bench = spark.createDataFrame([*items, (None, "x"), (90, None), (91, "too short")], "item_id long, text string")
-    for most in (10**6, 100):  # one pass and several
-        got = decontaminate.overlaps(documents(spark, rows + TEXTS), bench, index_words=most)
-        assert {(x.doc_id, x.item_id, x.n_words, x.n_same) for x in got.collect()} == plain_overlaps(rows, items)
-    dirty = {i for i, *_ in plain_overlaps(rows, items)}
-    clean = decontaminate.remove_contaminated(documents(spark, rows + TEXTS), bench)
-    assert sorted(str(x.doc_id) for x in clean.collect()) == sorted(str(i) for i, _ in rows + TEXTS if i not in dirty or (i, _) in TEXTS)
-    short = spark.createDataFrame([(1, "seven little words stand in this item")], "item_id long, text string")
-    assert decontaminate.overlaps(documents(spark, [(1, "so seven little words stand in this item, yes"), (2, "seven little other words")]), short).count() == 1
+    wanted = plain_overlaps(rows, items)
+    assert {item for _, item, *_ in wanted} > {20 + n for n in range(5, 12)} | {40, 41}
+    for most in (1 << 27, 1 << 9):  # a table that decides, and one that lets nearly all through
+        got = decontaminate.overlaps(documents(spark, rows + TEXTS), bench, filter_bits=most)
+        assert sorted(map(tuple, got.collect())) == sorted(wanted)
+    dirty = {i for i, *_ in wanted}
+    odd = documents(spark, rows + TEXTS).withColumnRenamed("fp", "_dirty_text").withColumnRenamed("low", "words")
+    clean = decontaminate.remove_contaminated(odd, bench)
+    assert clean.columns == odd.columns and sorted(str(x.doc_id) for x in clean.collect()) == sorted(str(i) for i, _ in rows + TEXTS if i not in dirty or (i, _) in TEXTS)
     assert decontaminate.op4(none(spark), bench).count() == 0 and decontaminate.op4(documents(spark), bench.where("false")).count() == 0
+    assert decontaminate.remove_contaminated(documents(spark), bench.where("false")).count() == len(TEXTS)
+
+
+def test_masks_of_short_items_miss_nothing():
+    for n in range(5, 12):
+        for gone in combinations(range(n), n - decontaminate.least_alike(n)):
+            assert any(not {p + s for p in m} & set(gone) for m in decontaminate.masks_for(n) for s in range(n - m[-1])), (n, gone)
+
+
+def test_repeated_words_take_little(spark):
+    import tracemalloc
+
+    w, own = np.full(50_000, 7, dtype=np.uint64), np.full(3000, 7, dtype=np.uint64)
+    tracemalloc.start()
+    found = decontaminate.diagonals([(np.arange(49_990), np.arange(2990))])
+    assert decontaminate.longest(w, own, found) == (0, 3000, 3000)
+    own[::4] = 8  # no stretch is long enough, so every diagonal is looked at
+    assert decontaminate.longest(w, own, found[:2000]) is None
+    assert tracemalloc.get_traced_memory()[1] < 50 << 20
+    tracemalloc.stop()
+    bench = spark.createDataFrame([(1, "ha " * 3000)], "item_id long, text string")
+    got = decontaminate.op4(documents(spark, [(5, "ha " * 50_000), (5, "ha " * 50_000), (6, "ha " * 11)]), bench).collect()
+    assert [tuple(x) for x in got] == [(5, 1, 0, 3000, 3000)] * 2
 
 
 def plain_removal(rows):
@@ -204,6 +240,57 @@ def test_interleave_gives_the_blocks_of_sorted_suffixes():
         assert all(wanted[texts[t][p : p + 50]] == v for t, p, v in zip(text, place, least, strict=True))
 
 
+def test_fit_is_that_of_the_plain_formula():
+    """One step over all bags, against the gradient of the noisy-or likelihood taken by differences."""
+    r = np.random.default_rng(3)
+    bags = []
+    for k in range(40):
+        sizes = r.integers(0, 5, r.integers(1, 6))
+        bags.append((k % 4 == 0, r.integers(1, 12, sizes.sum()).astype("<i4"), np.repeat(np.arange(len(sizes)), sizes).astype("<i4"), r.integers(1, 3, len(sizes)).astype("<i4")))
+
+    def loss(weights, bias):
+        total = 0.0
+        for y, words, sents, times in bags:
+            p = [1 / (1 + np.exp(-(bias + sum(weights[w] for w, s in zip(words, sents, strict=True) if s == k)))) for k in range(len(times))]
+            bag = 1 - np.prod([(1 - x) ** n for x, n in zip(p, times, strict=True)])
+            total -= np.log(bag) if y else np.log(1 - bag)
+        return total / len(bags)
+
+    start = toxicity.fit(bags, epochs=0, least=1)
+    after = toxicity.fit(bags, epochs=1, rate=1e-3, least=1)
+    weights = np.zeros(13)
+    for f, v in start.weights.items():
+        weights[f] = v
+    for f in range(1, 12):
+        up, down = weights.copy(), weights.copy()
+        up[f] += 1e-5
+        down[f] -= 1e-5
+        slope = (loss(up, start.bias) - loss(down, start.bias)) / 2e-5
+        if slope:
+            assert after.weights.get(f, 0.0) - start.weights.get(f, 0.0) == pytest.approx(-3e-4 * slope, rel=0.1, abs=1e-7)
+
+
+def test_held_out_recall_by_language(spark, sf):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    got = toxicity.op9(docs, labels).where("held_out").join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    table = {(x.lang, x.toxic): (x.n, x.hit) for x in got.groupBy("lang", "toxic").agg(F.count("*").alias("n"), F.sum("predicted").alias("hit")).collect()}
+    found, n = (sum(v[k] for (_, t), v in table.items() if t == 1) for k in (1, 0))
+    wrong, clean = (sum(v[k] for (_, t), v in table.items() if t == 0) for k in (1, 0))
+    assert found / n >= 0.9 and wrong / clean < 0.01, table
+    assert all(hit / n >= 0.75 for (_, t), (n, hit) in table.items() if t == 1), table
+
+
+def test_scores_do_not_depend_on_neighbours():
+    r = random.Random(2)
+    texts = [" ".join(r.choice(["idiot", "a", "b", "c."]) for _ in range(r.randint(0, 80))) for _ in range(50)]
+    model = toxicity.Model(-5.0, {toxicity.features("idiot")[0]: 1.37, toxicity.features("a")[0]: 0.213})
+    import pyarrow as pa
+
+    every = toxicity.Scorer(model).scores(pa.array(texts))
+    assert [toxicity.Scorer(model).scores(pa.array([t]))[0] for t in texts] == every.tolist()
+
+
 def test_toxicity_learns_and_locates(spark):
     r = random.Random(1)
     rows, labels = [], []
@@ -223,6 +310,8 @@ def test_toxicity_learns_and_locates(spark):
     assert got[1002].score == 0 and got[1003].score == 0 and all(0 <= x.score <= 1 for x in got.values())
     assert abs(got[0].score - model.score(rows[0][1])) < 1e-6
     text = dict(rows)
+    assert all(any(w in rows[i][1][int(a) : int(b)] for w in ("idiot", "scum")) for i in held if got[i].located for a, b in [got[i].located.split(",")[0].split(":")])
+    assert toxicity.reject_toxic(docs.withColumnRenamed("fp", "_id").withColumnRenamed("low", "_y").withColumnRenamed("words", "y"), marks).count() == toxicity.reject_toxic(docs, marks).count()
     for x in toxicity.locate(docs, model).where("doc_id < 600").collect():
         assert any(w in text[x.doc_id][x.start : x.end] for w in ("idiot", "scum"))
     kept = {x.doc_id for x in toxicity.reject_toxic(docs, marks).collect()}

@@ -234,7 +234,7 @@ def test_long_runs_take_linear_time():
 
 
 def test_op5(spark):
-    got = pii.op5(documents(spark, [*TEXTS, (20, "a@b.co 1.2.3.4 +1 (743) 555-3824 4111 1111 1111 1111")]))
+    got = pii.op5(documents(spark, [*TEXTS, (20, "a@b.co 1.2.3.4 call +1 (743) 555-3824, pay 4111 1111 1111 1111")]))
     row = got.where("doc_id = 20").first()
     assert (row.n_email, row.n_ip, row.n_card, row.n_phone) == (1, 1, 1, 1)
     assert row.base_sha256 == hashlib.sha256(row.spans.encode()).hexdigest()
