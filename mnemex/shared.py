@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +21,20 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def passing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written in this block go once it is written: what comes later starts from the table."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 class Workspace:
     """Named tables of one run. A table is written once and read back, so later
     plans start from files that outlive any executor; ``drop`` frees one early."""
@@ -32,7 +48,8 @@ class Workspace:
 
     def save(self, df: DataFrame, table: str) -> DataFrame:
         schema = df.schema
-        df.write.mode("overwrite").parquet(self.path(table))
+        with passing_shuffles(self.spark):
+            df.write.mode("overwrite").parquet(self.path(table))
         return self.spark.read.schema(schema).parquet(self.path(table))
 
     def drop(self, table: str) -> None:
