@@ -7,9 +7,9 @@ Hamming code [31, 26] are the anchors: covering radius 1, so any two points with
 2 = radius + half the threshold of both. Every distinct fingerprint is replicated to all
 anchors within that distance (16 at most a half) and compared per anchor only.
 
-An anchor with more than ``bucket_rows`` fingerprints isn't compared pair by pair. Its
+An anchor with more than ``bucket_rows`` fingerprints isn't compared pair by pair (a size switch). Its
 fingerprints are replicated to all 2,081 points within 2 bits (the covering
-code of radius 0): two are within 4 bits if and only if they share such a point, so
+code of radius 0; for smaller limits, to those within half of it): two are within 4 bits if and only if they share such a point, so
 linking each to the first at its points is exact and linear in their number.
 
 Defined results: null and word-less texts have fingerprint 0 and link like any
@@ -93,32 +93,40 @@ def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"key": pa.array(keys.astype("<i8")), "fp": pa.array(fps[rows])})
 
 
-def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every point within 2 bits of each fingerprint."""
-    flips = [0] + [1 << i for i in range(64)] + [(1 << i) | (1 << j) for i, j in combinations(range(64), 2)]
-    flips = np.array(flips, dtype="<u8")
-    for batch in batches:
-        fps = batch.column(0).to_numpy(zero_copy_only=False).astype("<i8")
-        for i in range(0, len(fps), 256):
-            part = fps[i : i + 256]
-            points = (part.view("<u8")[:, None] ^ flips).ravel()
-            yield pa.record_batch({"key": pa.array(points.view("<i8")), "fp": pa.array(np.repeat(part, len(flips)))})
+def surround(limit: int):
+    """Points around each fingerprint: within half the limit (side 0) and, if it is odd, one bit further (side 1). Two fingerprints are within
+    the limit if and only if some point is near both and on side 0 for one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = range(limit // 2 + 1 + limit % 2)
+        flips = [(w, sum(1 << b for b in bits)) for w in weights for bits in combinations(range(64), w)]
+        side = np.array([w > limit // 2 for w, _ in flips], dtype=np.int32)
+        flips = np.array([x for _, x in flips], dtype="<u8")
+        for batch in batches:
+            fps = batch.column(0).to_numpy(zero_copy_only=False).astype("<i8")
+            for i in range(0, len(fps), 256):
+                part = fps[i : i + 256]
+                points = (part.view("<u8")[:, None] ^ flips).ravel()
+                yield pa.record_batch({"key": pa.array(points.view("<i8")), "side": pa.array(np.tile(side, len(part))), "fp": pa.array(np.repeat(part, len(flips)))})
+
+    return run
 
 
 def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key: links each to the first of its key."""
-    key = first = None
+    """Rows come sorted by key and side: links each to the first of its key if that is on side 0."""
+    key = first = side = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        k, f = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        k, s, f = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        heads = f[starts].copy()
+        heads, sides = f[starts].copy(), s[starts].copy()
         if key is not None and k[0] == key:
-            heads[0] = first
-        lead = np.repeat(heads, np.diff(np.r_[starts, len(k)]))
-        key, first = k[-1], heads[-1]
-        links = np.unique(np.stack([f, lead])[:, f != lead], axis=1)
+            heads[0], sides[0] = first, side
+        sizes = np.diff(np.r_[starts, len(k)])
+        lead, ok = np.repeat(heads, sizes), np.repeat(sides == 0, sizes)
+        key, first, side = k[-1], heads[-1], sides[-1]
+        links = np.unique(np.stack([f, lead])[:, (f != lead) & ok], axis=1)
         yield pa.record_batch({"src": pa.array(links[0]), "dst": pa.array(links[1])})
 
 
@@ -188,10 +196,8 @@ def near_links(fps: DataFrame, ws: Workspace, limit: int = 4, bucket_rows: int =
         small = F.broadcast(hot) if within(hot, 100_000) else hot
         crowd = ws.save(covered.join(small, "key", "left_semi").select("fp").distinct(), "crowded")
         cold = covered.join(small, "key", "left_anti")
-        points = crowd.mapInArrow(surround, "key long, fp long")
-        if limit < 4:
-            raise ValueError("points within 2 bits decide a limit of 4 only; raise bucket_rows")
-        extra = points.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(star, "src long, dst long")
+        points = crowd.mapInArrow(surround(limit), "key long, side int, fp long")
+        extra = points.repartition("key").sortWithinPartitions("key", "side", "fp").mapInArrow(star, "src long, dst long")
     found = cold.repartition("key").sortWithinPartitions("key").mapInArrow(compare(limit), "src long, dst long")
     return (found if extra is None else found.union(extra)).distinct()
 
@@ -220,10 +226,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = docs.where(F.col(id_col).isNotNull())
     ws = Workspace(docs.sparkSession, "near-dedup")
     found = simhash_groups(known.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text", limit)
-    heads = ws.save(found.where("doc_id = component_id").select(F.col("doc_id.id").alias("_head_id"), F.col("doc_id.hash").alias("_head_hash")), "heads")
-    kept = known.join(heads.distinct(), (F.col(id_col) == F.col("_head_id")) & (F.xxhash64(F.col(text_col)) == F.col("_head_hash")), "left_semi")
-    if not within(heads.groupBy("_head_id", "_head_hash").count().where("count > 1"), 0):
-        kept = kept.withColumn("_head_hash", F.xxhash64(F.col(text_col))).dropDuplicates([id_col, "_head_hash"]).drop("_head_hash")
+    heads = ws.save(found.where("doc_id = component_id").select("doc_id.id", "doc_id.hash"), "heads")
+    kept = known.join(heads.distinct(), (known[id_col] == heads["id"]) & (F.xxhash64(known[text_col]) == heads["hash"]), "left_semi")
+    if not within(heads.groupBy("id", "hash").count().where("count > 1"), 0):
+        kept = kept.dropDuplicates([id_col, text_col])
     return kept.union(docs.where(F.col(id_col).isNull()))
 
 

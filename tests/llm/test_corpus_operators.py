@@ -6,6 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -59,8 +60,22 @@ def components(rows, limit=4):
     return sorted((str(rows[i][0]), f"{fps[i]:016x}", min((d for d in ids[find(i)] if d is not None), default=None)) for i in range(len(rows)))
 
 
-@pytest.mark.parametrize("crowd", [2000, 2])
-def test_simhash_links_all_that_are_near(spark, crowd):
+def plain_fingerprint(text):
+    words = [w for w in (text or "").translate({c: c + 32 for c in range(65, 91)}).translate(dict.fromkeys([9, 10, 11, 12, 13], " ")).split(" ") if w]
+    shingles = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprints_are_those_of_the_contract():
+    r = random.Random(6)
+    texts = [t for _, t in TEXTS] + ["A b\x0bC\x0cd\re f", "É É é é É x", "one two three", "a\xa0b c\u2003d e f g"]
+    texts += [" ".join(r.choice(["Aa", "b", "ß", "é", "c,"]) for _ in range(r.randint(0, 30))) for _ in range(100)]
+    assert [simhash.fingerprint(t) for t in texts] == [plain_fingerprint(t) for t in texts]
+
+
+@pytest.mark.parametrize(("crowd", "limit"), [(2000, 4), (2, 4), (2, 3), (2000, 2), (2, 2), (2, 1), (2, 0)])
+def test_simhash_links_all_that_are_near(spark, crowd, limit):
     r = random.Random(3)
     base = [" ".join(r.choice("abcdefghijklmnopqrst") * r.randint(1, 3) for _ in range(80)) for _ in range(12)]
     rows = list(TEXTS)
@@ -69,8 +84,8 @@ def test_simhash_links_all_that_are_near(spark, crowd):
         for _ in range(r.randint(0, 3)):
             words[r.randrange(80)] = r.choice(["x", "y", "zz"])
         rows.append((100 + i, " ".join(words)))
-    got = simhash.simhash_groups(documents(spark, rows), bucket_rows=crowd).withColumn("h", F.lpad(F.lower(F.hex("fp")), 16, "0"))
-    assert sorted((str(x.doc_id), x.h, x.component_id) for x in got.collect()) == components(rows)
+    got = simhash.simhash_groups(documents(spark, rows), limit=limit, bucket_rows=crowd).withColumn("h", F.lpad(F.lower(F.hex("fp")), 16, "0"))
+    assert sorted((str(x.doc_id), x.h, x.component_id) for x in got.collect()) == components(rows, limit)
 
 
 def test_anchors_cover():
@@ -90,6 +105,8 @@ def test_near_dedup_keeps_one(spark):
     rows = [(3, LONG), (1, LONG), (2, LONG + "x"), (4, "other words here that are not alike at all"), (4, "other words here that are not alike at all"), (None, "a"), (None, "a")]
     got = simhash.near_dedup(documents(spark, rows))
     assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "4", "None", "None"]
+    odd = documents(spark, rows).withColumnRenamed("fp", "_head_id").withColumnRenamed("low", "_head_hash").withColumnRenamed("key", "hash").withColumnRenamed("uid", "id")
+    assert sorted(str(r.doc_id) for r in simhash.near_dedup(odd).collect()) == ["1", "4", "None", "None"]
     assert got.columns == documents(spark).columns and simhash.near_dedup(none(spark)).count() == 0
     assert simhash.op6(none(spark)).count() == 0
 
