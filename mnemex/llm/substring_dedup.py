@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from ..shared import Workspace, within
+from ..shared import Workspace, passing_shuffles, within
 
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1
@@ -588,7 +588,8 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     unique = sent.repartition(n, "block").mapInArrow(_unite, "block int, digest binary, low long, data binary").withColumn("key", F.xxhash64("digest"))
     table = f"mnemex_texts_{uuid.uuid4().hex}"
     try:
-        unique.write.option("path", ws.path("texts")).bucketBy(n, "block").saveAsTable(table)
+        with passing_shuffles(spark):
+            unique.write.option("path", ws.path("texts")).bucketBy(n, "block").saveAsTable(table)
         texts = spark.table(table)
         anchors = texts.select("block", "low", "data").mapInArrow(_anchors(2 * n), _ddl(_ANCHORS))
         decided = anchors.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_decide(crowd), _ddl(_DECIDED))
