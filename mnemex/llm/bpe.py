@@ -5,11 +5,13 @@ symbols to the right of a place can still change the tokens left of it. What lie
 through a chain of merges of rising rank, each of which has what the one before took or made as its
 right part; the longest such chain, in symbols, bounds the reach. The transducer holds a window of
 that many symbols beyond what it emits: a token is emitted once that lookahead is read, and
-encoding restarts behind it, which is sound because no merge ever crossed its end. Memory is
-constant for a piece of any length. Short pieces repeat and are kept in a bounded table.
+encoding restarts behind it, which is sound because no merge ever crossed its end. A text is read in parts of
+``PART`` characters, cut at a space where a piece always begins; what has no such space is read piece by piece, a long piece symbol by symbol. Ids leave
+in arrays of bounded size. So beyond the text itself (and, where it has no space to cut at, a normalised copy) memory is constant, whatever
+the text's length. Short pieces and stretches between spaces repeat and are kept in tables that are emptied when full.
 
 The decoder is a state machine: bytes of a character that tokens split are
-held back until the character is complete.
+held back until the character is complete. Ids are digested and decoded as they leave the transducer.
 
 Files are of the tokenizers library: BPE over bytes, with or without normaliser and end-of-word
 suffix. One map over whole texts, no shuffle. Defined results: null and empty texts have no ids and
@@ -27,6 +29,7 @@ import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,9 @@ from pyspark.sql import functions as F
 
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CACHE = 300_000
+PART = 1 << 18
+STEP = 1 << 16  # ids that leave at a time
+SHORT = 64  # longer strings are not kept
 
 
 def tokenizer_path(name: str) -> str:
@@ -175,33 +181,49 @@ class Transducer:
                 del held[:done]
         yield from merge(held, self.tokens.merges)
 
+    def symbols(self, text: str) -> Iterator[int]:
+        byte_ids, last = self.tokens.byte_ids, None
+        for i in range(0, len(text), STEP):
+            for b in text[i : i + STEP].encode("utf-8", "surrogatepass"):
+                if last is not None:
+                    yield byte_ids[last]
+                last = b
+        if last is not None:
+            yield self.tokens.last_ids[last]
+
     def piece(self, text: str) -> list[int]:
+        """Ids of a short piece."""
         data = text.encode("utf-8", "surrogatepass")
         byte_ids = self.tokens.byte_ids
         symbols = [byte_ids[b] for b in data]
         symbols[-1] = self.tokens.last_ids[data[-1]]
         return merge(symbols, self.tokens.merges) if len(symbols) < self.window else list(self.stable(symbols))
 
-    def chunk(self, text: str) -> list[int]:
-        """A stretch between two safe places, special tokens and all."""
-        tokens, out = self.tokens, []
-        parts = tokens.splitter.split(text) if tokens.splitter and "<" in text else [text]
-        for part in parts:
-            if not part:
-                continue
-            if part in tokens.special:
-                out.append(tokens.special[part])
-                continue
-            for m in tokens.pattern.findall(tokens.normalise(part)):
-                ids = self.pieces.get(m)
+    def ids(self, text: str) -> Iterator[int]:
+        """Ids of a stretch between two safe places, special tokens and all, one after the other."""
+        tokens = self.tokens
+        at, special = 0, tokens.splitter.finditer(text) if tokens.splitter and "<" in text else ()
+        for m in (*special, None):
+            part = text[at : m.start() if m else None]
+            for x in tokens.pattern.finditer(tokens.normalise(part)) if part else ():
+                if x.end() - x.start() >= SHORT:
+                    yield from self.stable(self.symbols(x[0]))
+                    continue
+                ids = self.pieces.get(x[0])
                 if ids is None:
-                    ids = self.piece(m)
-                    if len(m) < 64:
-                        if len(self.pieces) >= self.cache:
-                            self.pieces.clear()
-                        self.pieces[m] = ids
-                out += ids
-        return out
+                    if len(self.pieces) >= self.cache:
+                        self.pieces.clear()
+                    ids = self.pieces[x[0]] = self.piece(x[0])
+                yield from ids
+            if m:
+                yield tokens.special[m[0]]
+                at = m.end()
+
+
+def arrays(ids: Iterator[int]) -> Iterator[bytes]:
+    """Ids as little-endian 32-bit numbers, ``STEP`` at a time."""
+    while len(part := np.fromiter(islice(ids, STEP), dtype="<u4")):
+        yield part.tobytes()
 
 
 class Encoder(dict):
@@ -212,10 +234,16 @@ class Encoder(dict):
         self.tokens, self.limit, self.machine = tokens, cache, Transducer(tokens, cache)
         self.odd_space = regex.compile(f" (?=[{SPACE}]|\\Z)")
         self.cut = regex.compile(f" (?=[^{SPACE}])")
+        self.white = regex.compile(f"[{SPACE}]")
+
+    def spaced(self, chunk: str) -> str:
+        return " " + chunk if self.tokens.keeps_space else chunk
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.machine.chunk(" " + chunk if self.tokens.keeps_space else chunk), dtype="<u4").tobytes()
-        if len(chunk) < 64:
+        ids = b"".join(arrays(self.machine.ids(self.spaced(chunk))))
+        if len(chunk) < SHORT:
+            if len(self) >= self.limit:
+                self.clear()
             self[chunk] = ids
         return ids
 
@@ -225,39 +253,61 @@ class Encoder(dict):
             return text.split(" ")
         return self.cut.split(text)
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if len(self) > self.limit:
-            self.clear()
+    def _part(self, text: str, first: bool) -> bytes:
         chunks = self.chunks(text)
-        if not self.tokens.keeps_space:
+        if not first or not self.tokens.keeps_space:
             return b"".join(map(self.__getitem__, chunks))
-        first = np.array(self.machine.chunk(chunks[0]), dtype="<u4").tobytes() if chunks[0] else b""
-        return first + b"".join(map(self.__getitem__, chunks[1:]))
+        head = b"".join(arrays(self.machine.ids(chunks[0]))) if chunks[0] else b""
+        return head + b"".join(map(self.__getitem__, chunks[1:]))
+
+    def _last_cut(self, text: str, low: int, high: int) -> int:
+        """The last safe space from ``low`` on that ``text[:high]`` tells to be one, or -1."""
+        at = text.rfind(" ", low, high - 1)
+        while at >= 0 and self.white.match(text, at + 1):
+            at = text.rfind(" ", low, at)
+        return at
+
+    def stream(self, text: str | None) -> Iterator[bytes]:
+        """Ids of a whole text in parts of bounded size."""
+        at, n = 0, len(text or "")
+        while at < n:
+            end = n if n - at <= PART else self._last_cut(text, at + 1, at + PART)
+            if end < 0:
+                found = self.cut.search(text, at + PART - 1)
+                end = found.start() if found else n
+            if end - at <= PART:
+                yield self._part(text[at:end], at == 0)
+            else:  # no safe space in a whole part
+                yield from arrays(self.machine.ids(text[at:end] if at == 0 else self.spaced(text[at:end])))
+            at = end + 1
+
+    def encode(self, text: str | None) -> bytes:
+        return b"".join(self.stream(text))
 
     def encode_parts(self, parts: Iterable[str]) -> Iterator[bytes]:
         """Ids of a text that comes in parts; holds back what stands behind the last safe space."""
-        held, begun = "", False
-
-        def out(text: str) -> bytes:
-            nonlocal begun
-            chunks = self.cut.split(text)
-            if begun or not self.tokens.keeps_space:
-                got = b"".join(map(self.__getitem__, chunks))
-            else:
-                got = self.encode(text)
-            begun = True
-            return got
-
+        held: list[str] = []  # the first begins a stretch; no safe space lies in or between them
+        first = True
         for part in parts:
-            held += part
-            cuts = [m.start() for m in self.cut.finditer(held)]
-            if cuts:
-                yield out(held[: cuts[-1]])
-                held = held[cuts[-1] + 1 :]
-        if held:
-            yield out(held)
+            tail = held[-1][-1:] if held else ""
+            both = tail + part
+            cut = self._last_cut(both, 0, len(both))
+            if cut < 0 or not part:
+                held += [part] if part else []
+                continue
+            text = "".join(held)[: -1 if tail else None] + both[:cut]
+            if text or not first:
+                yield from self._stretch(text, first)
+            first, held = False, [both[cut + 1 :]]
+        text = "".join(held)
+        if text:
+            yield from self._stretch(text, first)
+
+    def _stretch(self, text: str, first: bool) -> Iterator[bytes]:
+        if first or not self.tokens.keeps_space:
+            yield from self.stream(text)
+        else:  # a space stood before it
+            yield from self.stream(" " + text)
 
 
 class Decoder:
@@ -280,9 +330,6 @@ class Decoder:
         return self.utf8.decode(b"", True) if self.tokens.joins_bytes else ""
 
 
-STEP = 1 << 16
-
-
 def decode(ids: np.ndarray, tokens: Tokens) -> Iterator[str]:
     machine = Decoder(tokens)
     for i in range(0, len(ids), STEP):
@@ -303,16 +350,21 @@ def _digests(path: str, keep_ids: bool):
         for batch in batches:
             counts, id_sums, text_sums, lists = [], [], [], []
             for x in batch.column(1):
-                data = encoder.encode(x.as_py())
-                ids = np.frombuffer(data, "<u4")
-                text = hashlib.sha256()
-                for part in decode(ids, tokens):
-                    text.update(part.encode("utf-8", "surrogatepass"))
-                counts.append(len(ids))
-                id_sums.append(hashlib.sha256(data).hexdigest())
+                n, data, text, machine, kept = 0, hashlib.sha256(), hashlib.sha256(), Decoder(tokens), []
+                for part in encoder.stream(x.as_py()):
+                    data.update(part)
+                    ids = np.frombuffer(part, "<u4")
+                    n += len(ids)
+                    for i in range(0, len(ids), STEP):
+                        text.update(machine.feed(ids[i : i + STEP].tolist()).encode("utf-8", "surrogatepass"))
+                    if keep_ids:
+                        kept.append(ids.astype(np.int32))
+                text.update(machine.finish().encode("utf-8", "surrogatepass"))
+                counts.append(n)
+                id_sums.append(data.hexdigest())
                 text_sums.append(text.hexdigest())
                 if keep_ids:
-                    lists.append(ids.astype(np.int32))
+                    lists.append(np.concatenate([np.zeros(0, np.int32), *kept]))
             columns = {"doc_id": batch.column(0), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(id_sums, pa.string()), "decoded_sha256": pa.array(text_sums, pa.string())}
             if keep_ids:
                 ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
