@@ -3,11 +3,14 @@
 A document's pre-tokens are kept as leaves of a segment tree, each a run of them that begins where a pre-token always
 begins (a space before something that is no space). Inner nodes hold sums of characters and of tokens. An
 edit descends by characters to the leaves it touches, takes the leaf before
-too if it reaches the start of one, re-encodes those alone and updates the sums above. Leaves are split when they grow, which
-rebuilds the sums but encodes nothing.
+too if it reaches the start of one, and re-encodes those alone. The new leaves take the place of the old ones, nodes that grow too wide are split, and only sums on
+the way to the root are updated.
+
+Trees are tables: ``build_trees`` encodes each text once and stores, per document, the text with characters and tokens of its leaves; ``apply_edits``
+takes stored trees and returns the trees after the edits, so counts of the next revision start from there and a document without edits is not encoded again.
 
 One map over whole texts, no shuffle. Defined results: null and empty texts count 0; offsets beyond the
-text are cut to its end; edits apply in the order given, each to the text that the ones before left; no edits leave the count;
+text are cut to its end, null ones mean its start and end; edits apply in the order given, each to the text that the ones before left; no edits leave the count;
 equal rows count alike; null ids and other columns pass.
 """
 
@@ -21,106 +24,158 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import Workspace
 from .bpe import Encoder, Tokens, tokenizer_path
 
 LEAF = 64
+FAN = 32
+
+
+class Leaf:
+    __slots__ = ("text", "tokens")
+    n_leaves = 1
+
+    def __init__(self, text: str, tokens: int):
+        self.text, self.tokens = text, tokens
+
+    @property
+    def chars(self) -> int:
+        return len(self.text)
+
+
+class Node:
+    """Sums over up to ``FAN`` children, all leaves or all nodes of one height."""
+
+    __slots__ = ("kids", "chars", "tokens", "n_leaves")
+
+    def __init__(self, kids: list):
+        self.kids = kids
+        self.chars, self.tokens, self.n_leaves = sum(k.chars for k in kids), sum(k.tokens for k in kids), sum(k.n_leaves for k in kids)
+
+    def find(self, at: int) -> tuple[int, int]:
+        """Number of the leaf that holds the character, and where in it."""
+        before = 0
+        for kid in self.kids:
+            if at < kid.chars:
+                inner = kid.find(at) if isinstance(kid, Node) else (0, at)
+                return before + inner[0], inner[1]
+            at -= kid.chars
+            before += kid.n_leaves
+        raise IndexError(at)
+
+    def leaves(self, first: int, stop: int) -> Iterator[Leaf]:
+        for kid in self.kids:
+            if first < kid.n_leaves and stop > 0:
+                if isinstance(kid, Node):
+                    yield from kid.leaves(max(first, 0), stop)
+                else:
+                    yield kid
+            first -= kid.n_leaves
+            stop -= kid.n_leaves
+
+    def replaced(self, first: int, stop: int, new: list[Leaf]) -> list:
+        """What stands in this node's place, at its height, when leaves from first to stop (not included) give way to ``new``."""
+        kids, given = [], False
+        for kid in self.kids:
+            n = kid.n_leaves
+            if stop <= 0 and given or first >= n:
+                kids.append(kid)
+            elif isinstance(kid, Leaf):
+                if not given:
+                    kids += new
+                    given = True
+                if stop <= 0:
+                    kids.append(kid)
+            else:
+                kids += kid.replaced(max(first, 0), min(stop, n), [] if given else new)
+                given = True
+            first -= n
+            stop -= n
+        return grouped(kids)
+
+
+def grouped(kids: list) -> list[Node]:
+    """Nodes of equal width over the children, none if there are none."""
+    parts = -(-len(kids) // FAN)
+    edges = [len(kids) * i // parts for i in range(parts + 1)] if parts else []
+    return [Node(kids[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
 
 
 class TokenTree:
-    def __init__(self, encoder: Encoder, text: str):
+    """``leaves`` are those of a stored tree; without them the text is encoded."""
+
+    def __init__(self, encoder: Encoder, text: str, leaves: tuple[np.ndarray, np.ndarray] | None = None):
         self.encoder, self.reencoded = encoder, 0
-        self.leaves, self.counts = self._runs(text, True)
-        self._build()
+        if leaves is None:
+            self.root = self._rooted(self._runs(text, True))
+        else:
+            ends = np.cumsum(leaves[0]).tolist()
+            self.root = self._rooted([Leaf(text[a:b], n) for a, b, n in zip([0, *ends], ends, leaves[1].tolist(), strict=False)])
 
-    def _runs(self, text: str, first: bool) -> tuple[list[str], list[int]]:
+    def _runs(self, text: str, first: bool) -> list[Leaf]:
         """Leaves of a stretch with their tokens; all but the first of a document begin with a space."""
         if not text:
-            return [], []
+            return []
         chunks = self.encoder.chunks(text if first else text[1:])
         head = [len(self.encoder.encode(chunks[0]))] if first else [len(self.encoder[chunks[0]])]
         sizes = head + [len(self.encoder[c]) for c in chunks[1:]]
-        leaves, counts = [], []
+        leaves = []
         for i in range(0, len(chunks), LEAF):
             run = " ".join(chunks[i : i + LEAF])
-            leaves.append(run if first and not i else " " + run)
-            counts.append(sum(sizes[i : i + LEAF]) // 4)
-        return leaves, counts
-
-    def _build(self) -> None:
-        width = 1 << max(0, len(self.leaves) - 1).bit_length()
-        self.width = width
-        self.chars, self.tokens = np.zeros(2 * width, dtype=np.int64), np.zeros(2 * width, dtype=np.int64)
-        self.chars[width : width + len(self.leaves)] = [len(x) for x in self.leaves]
-        self.tokens[width : width + len(self.leaves)] = self.counts
-        for a in (self.chars, self.tokens):
-            level = width
-            while level > 1:
-                a[level // 2 : level] = a[level : 2 * level : 2] + a[level + 1 : 2 * level : 2]
-                level //= 2
+            leaves.append(Leaf(run if first and not i else " " + run, sum(sizes[i : i + LEAF]) // 4))
+        return leaves
+
+    @staticmethod
+    def _rooted(kids: list) -> Node:
+        kids = grouped(kids) if not kids or isinstance(kids[0], Leaf) else kids
+        while len(kids) > 1:
+            kids = grouped(kids)
+        root = kids[0] if kids else Node([])
+        while len(root.kids) == 1 and isinstance(root.kids[0], Node):
+            root = root.kids[0]
+        return root
 
     @property
     def n_tokens(self) -> int:
-        return int(self.tokens[1])
+        return self.root.tokens
 
     @property
     def n_chars(self) -> int:
-        return int(self.chars[1])
+        return self.root.chars
 
     @property
     def text(self) -> str:
-        return "".join(self.leaves)
-
-    def _find(self, at: int) -> tuple[int, int]:
-        """The leaf that holds the character, and where in it."""
-        node = 1
-        while node < self.width:
-            node *= 2
-            if at >= self.chars[node]:
-                at -= int(self.chars[node])
-                node += 1
-        return node - self.width, at
-
-    def _set(self, leaf: int, text: str, count: int) -> None:
-        self.leaves[leaf], self.counts[leaf] = text, count
-        node = self.width + leaf
-        by_chars, by_tokens = len(text) - int(self.chars[node]), count - int(self.tokens[node])
-        while node:
-            self.chars[node] += by_chars
-            self.tokens[node] += by_tokens
-            node //= 2
+        return "".join(x.text for x in self.root.leaves(0, self.root.n_leaves))
+
+    def stored(self) -> tuple[np.ndarray, np.ndarray]:
+        """Characters and tokens of the leaves."""
+        own = list(self.root.leaves(0, self.root.n_leaves))
+        return np.array([x.chars for x in own], dtype="<i4"), np.array([x.tokens for x in own], dtype="<i4")
 
     def edit(self, start: int, stop: int, insert: str) -> None:
         """Replaces the characters from start to stop."""
-        size = self.n_chars
+        size, n = self.n_chars, self.root.n_leaves
         start = min(max(start, 0), size)
         stop = min(max(stop, start), size)
-        if not self.leaves:
-            if insert:
-                self.leaves, self.counts = self._runs(insert, True)
-                self.reencoded += len(insert)
-                self._build()
-            return
         if start == stop and not insert:
             return
-        a, i = self._find(min(start, size - 1))
+        if not n:
+            self.root = self._rooted(self._runs(insert, True))
+            self.reencoded += len(insert)
+            return
+        a, i = self.root.find(min(start, size - 1))
         i += start - min(start, size - 1)
         if i < 2 and a:  # the space and what follows it are what makes a leaf begin here
             a -= 1
-            i += len(self.leaves[a])
-        b, _ = self._find(max(start, stop - 1)) if max(start, stop - 1) < size else (len(self.leaves) - 1, 0)
+            i += next(self.root.leaves(a, a + 1)).chars
+        b = self.root.find(max(start, stop - 1))[0] if max(start, stop - 1) < size else n - 1
         b = max(a, b)
-        if b + 1 < len(self.leaves) and stop - start + i == sum(len(x) for x in self.leaves[a : b + 1]):
+        if b + 1 < n and stop - start + i == sum(x.chars for x in self.root.leaves(a, b + 1)):
             b += 1  # what stands before the next leaf's space changes; its beginning may be gone with the rest
-        region = "".join(self.leaves[a : b + 1])
+        region = "".join(x.text for x in self.root.leaves(a, b + 1))
         region = region[:i] + insert + region[i + stop - start :]
-        leaves, counts = self._runs(region, a == 0)
         self.reencoded += len(region)
-        if len(leaves) == b + 1 - a:
-            for k, (text, count) in enumerate(zip(leaves, counts, strict=True)):
-                self._set(a + k, text, count)
-        else:
-            self.leaves[a : b + 1], self.counts[a : b + 1] = leaves, counts
-            self._build()
+        self.root = self._rooted(self.root.replaced(a, b + 1, self._runs(region, a == 0)))
 
 
 @lru_cache(maxsize=2)
@@ -128,32 +183,71 @@ def loaded(path: str) -> Encoder:
     return Encoder(Tokens(path))
 
 
-def _count(path: str):
+def _build(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = loaded(path)
         for batch in batches:
-            rows = []
-            for x, e in zip(batch.column(1), batch.column(2), strict=True):
-                if len(encoder) > encoder.limit:
-                    encoder.clear()
+            trees = []
+            for x in batch.column(1):
                 tree = TokenTree(encoder, x.as_py() or "")
-                before, edits = tree.n_tokens, e.as_py() or []
-                for step in edits:
-                    tree.edit(step["start"] or 0, step["stop"] if step["stop"] is not None else tree.n_chars, step["insert"] or "")
-                rows.append((before, tree.n_tokens, tree.n_chars, tree.reencoded, len(edits)))
+                chars, tokens = tree.stored()
+                trees.append((tree.n_tokens, chars.tobytes(), tokens.tobytes()))
+            columns = list(zip(*trees, strict=True)) if trees else [[]] * 3
+            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True))], names=["doc_id", "text", "n_tokens", "leaf_chars", "leaf_tokens"])
+
+    return run
+
+
+def build_trees(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, text, n_tokens, leaf_chars, leaf_tokens``: the tree of each text; the last two are little-endian 32-bit numbers."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_build(path or tokenizer_path("byte_bpe_50k.json")), f"doc_id {kind}, text string, n_tokens long, leaf_chars binary, leaf_tokens binary")
+
+
+EDITS = "array<struct<start:int,stop:int,insert:string>>"
+
+
+def _apply(path: str, keep: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, trees = [], []
+            for text, before, chars, tokens, edits in zip(*(batch.column(i) for i in range(1, 6)), strict=True):
+                text, before, chars, tokens, edits = text.as_py(), before.as_py(), chars.as_py(), tokens.as_py(), edits.as_py() or []
+                if edits:
+                    tree = TokenTree(loaded(path), text or "", (np.frombuffer(chars, "<i4"), np.frombuffer(tokens, "<i4")))
+                    for step in edits:
+                        tree.edit(step["start"] or 0, step["stop"] if step["stop"] is not None else tree.n_chars, step["insert"] or "")
+                    rows.append((before, tree.n_tokens, tree.n_chars, tree.reencoded, len(edits)))
+                    if keep:
+                        trees.append((tree.text, *(x.tobytes() for x in tree.stored())))
+                else:
+                    rows.append((before, before, len(text or ""), 0, 0))
+                    trees.append((text, chars, tokens))
             columns = np.array(rows, dtype=np.int64).reshape(-1, 5).T
             names = ["n_tokens", "n_tokens_after", "n_chars_after", "n_chars_reencoded", "n_edits"]
-            yield pa.record_batch([batch.column(0), *map(pa.array, columns)], names=["doc_id", *names])
+            out = {"doc_id": batch.column(0), **dict(zip(names, map(pa.array, columns), strict=True))}
+            if keep:
+                stored = list(zip(*trees, strict=True)) if trees else [[]] * 3
+                out |= {n: pa.array(c, t) for n, c, t in zip(("text", "leaf_chars", "leaf_tokens"), stored, (pa.string(), pa.binary(), pa.binary()), strict=True)}
+            yield pa.record_batch(out)
 
     return run
 
 
+def apply_edits(trees: DataFrame, edits, path: str | None = None, keep: bool = True) -> DataFrame:
+    """Tokens of stored trees before and after ``edits``, a column of array<struct<start int, stop int, insert string>>; if ``keep``, with the trees they
+    become: ``doc_id, n_tokens_after AS n_tokens, text, leaf_chars, leaf_tokens`` of the result are trees again."""
+    kind = trees.schema["doc_id"].dataType.simpleString()
+    rows = trees.select("doc_id", "text", "n_tokens", "leaf_chars", "leaf_tokens", edits.cast(EDITS).alias("edits"))
+    schema = f"doc_id {kind}, n_tokens long, n_tokens_after long, n_chars_after long, n_chars_reencoded long, n_edits long"
+    return rows.mapInArrow(_apply(path or tokenizer_path("byte_bpe_50k.json"), keep), schema + ", text string, leaf_chars binary, leaf_tokens binary" * keep)
+
+
 def count_tokens(docs: DataFrame, edits=None, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokens of each text before and after ``edits``, a column of array<struct<start int, stop int, insert string>>."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    none = F.lit(None).cast("array<struct<start:int,stop:int,insert:string>>")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (none if edits is None else edits).alias("edits"))
-    return rows.mapInArrow(_count(path or tokenizer_path("byte_bpe_50k.json")), f"doc_id {kind}, n_tokens long, n_tokens_after long, n_chars_after long, n_chars_reencoded long, n_edits long")
+    """Stores the trees of all texts and counts what ``edits``, a column over (doc_id, text), make of them."""
+    trees = Workspace(docs.sparkSession, "token-counts").save(build_trees(docs, path, id_col, text_col), "trees")
+    return apply_edits(trees, F.lit(None) if edits is None else edits, path, keep=False)
 
 
 def revision(text):
