@@ -4,12 +4,14 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from mnemex.llm import bpe, pii, token_counts, token_files
@@ -58,6 +60,39 @@ def test_parts_give_the_same_ids(pair):
         assert b"".join(encoder.encode_parts(parts)) == encoder.encode(text)
 
 
+@settings(max_examples=200, deadline=None)
+@given(text=PARTS, part=st.sampled_from([2, 3, 5, 11]))
+def test_parts_of_any_size_give_the_ids_of_the_library(pair, text, part):
+    encoder, library = pair
+    old, bpe.PART = bpe.PART, part
+    try:
+        got = list(encoder.stream(text))
+        assert np.frombuffer(b"".join(got), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        both = [text[i : i + part] for i in range(0, len(text), part)]
+        assert b"".join(encoder.encode_parts(both)) == b"".join(got)
+    finally:
+        bpe.PART = old
+
+
+@pytest.mark.parametrize("text", ["word and " * 300_000, "x" * 400_000, "ab\n" * 200_000, " " * 700_000])
+def test_memory_does_not_grow_with_the_text(pair, text):
+    encoder, _ = pair
+    list(encoder.stream(text[:1000]))
+    tracemalloc.start()
+    n = sum(len(x) for x in encoder.stream(text))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20, (peak, n)
+
+
+def test_tables_are_emptied_when_full():
+    tokens = bpe.Tokens(bpe.tokenizer_path("byte_bpe_50k.json"))
+    encoder = bpe.Encoder(tokens, 50)
+    text = " ".join(f"w{i}" for i in range(3000))
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert len(encoder) <= 50 and len(encoder.machine.pieces) <= 50
+
+
 def test_decoder_holds_back_split_characters():
     tokens = bpe.Tokens(bpe.tokenizer_path("byte_bpe_50k.json"))
     ids = np.frombuffer(bpe.Encoder(tokens).encode("漢字🙂"), "<u4").tolist()
@@ -75,21 +110,57 @@ def test_op2(spark):
 
 
 @settings(max_examples=150, deadline=None)
-@given(text=PARTS, edits=st.lists(st.tuples(st.integers(0, 40), st.integers(0, 15), st.sampled_from(["", "x", " ", "\n", " y z ", "'s", "  ", "é"])), max_size=4), leaf=st.sampled_from([2, 3, 64]))
-def test_trees_count_what_encoding_counts(text, edits, leaf):
+@given(text=PARTS, edits=st.lists(st.tuples(st.integers(0, 40), st.integers(0, 15), st.sampled_from(["", "x", " ", "\n", " y z ", "'s", "  ", "é", "a b c d e f g h i j k l "])), max_size=6), leaf=st.sampled_from([1, 2, 3, 64]), fan=st.sampled_from([2, 3, 32]), stored=st.booleans())
+def test_trees_count_what_encoding_counts(text, edits, leaf, fan, stored):
     encoder = token_counts.loaded(bpe.tokenizer_path("byte_bpe_50k.json"))
-    old, token_counts.LEAF = token_counts.LEAF, leaf
+    old, (token_counts.LEAF, token_counts.FAN) = (token_counts.LEAF, token_counts.FAN), (leaf, fan)
+
+    def sound(node):
+        kinds = {type(k) for k in node.kids}
+        assert len(node.kids) <= fan and len(kinds) < 2 and node.chars == sum(k.chars for k in node.kids) and node.tokens == sum(k.tokens for k in node.kids)
+        heights = {sound(k) if isinstance(k, token_counts.Node) else 0 for k in node.kids}
+        assert len(heights) < 2
+        return 1 + max(heights, default=0)
+
     try:
         tree = token_counts.TokenTree(encoder, text)
         for start, size, insert in edits:
+            if stored:
+                tree = token_counts.TokenTree(encoder, tree.text, tree.stored())
             tree.edit(start, start + size, insert)
             a = min(start, len(text))
             b = min(max(start + size, a), len(text))
             text = text[:a] + insert + text[b:]
             assert tree.text == text and tree.n_chars == len(text)
             assert tree.n_tokens == len(encoder.encode(text)) // 4
+            sound(tree.root)
     finally:
-        token_counts.LEAF = old
+        token_counts.LEAF, token_counts.FAN = old
+
+
+def test_edits_leave_other_subtrees_alone():
+    encoder = token_counts.loaded(bpe.tokenizer_path("byte_bpe_50k.json"))
+    text = " ".join(f"word{i % 7} and" for i in range(60_000))
+    tree = token_counts.TokenTree(encoder, text)
+
+    def nodes(node):
+        return {id(node): node} | {k: v for kid in node.kids if isinstance(kid, token_counts.Node) for k, v in nodes(kid).items()}
+
+    before = nodes(tree.root)
+    tree.edit(len(text) // 2, len(text) // 2 + 4, "another " * 200)
+    after = nodes(tree.root)
+    assert len(after) > 50 and len(set(after) - set(before)) <= 8 and tree.reencoded < 4000
+    assert tree.n_tokens == len(encoder.encode(tree.text)) // 4
+
+
+def test_stored_trees_take_further_edits(spark):
+    docs = documents(spark)
+    first = token_counts.apply_edits(token_counts.build_trees(docs), token_counts.revision(F.col("text")))
+    trees = first.select("doc_id", F.col("n_tokens_after").alias("n_tokens"), "text", "leaf_chars", "leaf_tokens")
+    second = F.when(F.length("text") > 100, F.array(F.struct(F.lit(50).alias("start"), F.lit(None).cast("int").alias("stop"), F.lit(" the end").alias("insert"))))
+    for r in token_counts.apply_edits(trees, second).collect():
+        assert r.n_tokens_after == len(LIBRARY.encode(r.text or "", add_special_tokens=False).ids) and r.n_chars_after == len(r.text or "")
+        assert r.n_edits or r.n_chars_reencoded == 0
 
 
 def test_op3_reencodes_little(spark):
