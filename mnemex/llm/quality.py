@@ -1,15 +1,16 @@
 """Quality rules per document and per host, in DataFrame functions only.
 
-Base rules fail single documents. Failures are then aggregated by host, each host's rate is
-shrunk towards a beta prior fitted to all hosts (method of moments), and a host whose
-shrunken rate passes ``max_rate`` fails with all its documents.
+Base rules fail single documents. For hosts more rules count (``RULES``): too few or repeated words, repeated lines, symbols, and words of odd length. Failures of each
+rule are aggregated by host, each host's rate is
+shrunk towards a beta prior fitted to all hosts (method of moments, rule by rule), and a host whose
+shrunken rate of some rule passes ``max_rate`` fails with all its documents. A document that fails a rule other than the base is kept if its host is.
 
 Five-word windows are compared by 64-bit hashes within one text. Arrays are only ever combined element
 by element or sorted, so a text costs n log n at most; nothing is exploded. Only one row of sums reaches the driver. The features
 are written once, then joined to the bad hosts (broadcast if few, else a join AQE can split).
 
 Defined results: null or empty text: no words, base_failed; a null host is never judged as a host and its
-documents keep their own verdict; equal rows are judged each; empty tables give empty results; other columns are ignored.
+documents keep their own verdict; equal rows are judged each; empty tables give empty results; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +23,13 @@ from ..shared import Workspace, within
 SPACE = r"[\x20\x09-\x0D]+"
 MAX_RATE = 0.5
 BROADCAST_HOSTS = 20_000
+#: What counts against a host, over the features of a document; a document without words fails the base rule only.
+RULES = {
+    "base": "base_failed",
+    "lines": "n_words > 0 AND 10 * n_dup_lines > 3 * n_lines",
+    "symbols": "n_words > 0 AND 10 * n_symbols > word_chars",
+    "lengths": "n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words)",
+}
 
 
 def _shift(array: Column, by: int) -> Column:
@@ -41,6 +49,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
         F.size("words").cast("long").alias("n_words"),
         F.length(F.regexp_replace("text", SPACE, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
+        F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("h1"),
     )
@@ -57,34 +66,40 @@ def features(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
     covered = F.zip_with("starts", _shift(F.col("starts"), 1), lambda a, b: F.least(F.lit(5), F.coalesce(b - a, F.lit(5))))
     df = df.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0).cast("long"), lambda s, x: s + x))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return df.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
+    return df.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
 
 
 def host_rates(feats: DataFrame) -> DataFrame:
-    """``host, n, failed, rate``: the rate shrunk by the beta prior that fits all hosts."""
-    hosts = feats.where("host IS NOT NULL").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
-    s = hosts.agg(
-        F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("failed").alias("f"),
-        F.sum(F.col("n").cast("double") * F.col("n")).alias("nn"), F.sum(F.col("failed").cast("double") * F.col("failed") / F.col("n")).alias("ffn"),
-    ).first()
-    if not s.k:
-        return hosts.withColumn("rate", F.lit(None).cast("double"))
-    mean = s.f / s.n
-    within_var = mean * (1 - mean)
-    spread = (s.ffn - s.f * mean) - (s.k - 1) * within_var
-    room = s.n - s.nn / s.n
-    between = spread / room if room > 0 else 0.0
-    strength = min(max(within_var / between - 1, 2.0), 1e6) if between > 0 else 1e6
-    return hosts.withColumn("rate", (F.col("failed") + mean * strength) / (F.col("n") + strength))
+    """``host, n`` and, of each rule, how many documents fail it and their rate, shrunk by the beta prior that fits all hosts."""
+    hosts = feats.where("host IS NOT NULL").groupBy("host").agg(F.count("*").alias("n"), *(F.sum(F.expr(rule).cast("long")).alias(f"failed_{name}") for name, rule in RULES.items()))
+    sums = [F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("nn")]
+    for name in RULES:
+        x = F.col(f"failed_{name}").cast("double")
+        sums += [F.sum(x).alias(f"f_{name}"), F.sum(x * x / F.col("n")).alias(f"ffn_{name}")]
+    s = hosts.agg(*sums).first()
+    rates = []
+    for name in RULES:
+        if not s.k:
+            rates.append(F.lit(None).cast("double").alias(f"rate_{name}"))
+            continue
+        mean = s[f"f_{name}"] / s.n
+        inside = mean * (1 - mean)
+        spread = (s[f"ffn_{name}"] - s[f"f_{name}"] * mean) - (s.k - 1) * inside
+        room = s.n - s.nn / s.n
+        between = spread / room if room > 0 else 0.0
+        strength = min(max(inside / between - 1, 2.0), 1e6) if between > 0 else 1e6
+        rates.append(((F.col(f"failed_{name}") + mean * strength) / (F.col("n") + strength)).alias(f"rate_{name}"))
+    return hosts.select("*", *rates)
 
 
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
-    """Features, ``base_failed``, ``host_rate`` (bad hosts only) and ``kept`` per row of ``docs``."""
+    """Features, ``base_failed``, ``kept`` and ``host_failed`` (the first rule that the host fails, else null) per row of ``docs``."""
     ws = Workspace(docs.sparkSession, "quality")
     feats = ws.save(features(docs, id_col, text_col, host_col), "features")
-    bad = ws.save(host_rates(feats).where(F.col("rate") > max_rate).select("host", F.col("rate").alias("host_rate")), "bad-hosts")
+    failed = F.coalesce(*(F.when(F.col(f"rate_{name}") > max_rate, name) for name in RULES))
+    bad = ws.save(host_rates(feats).select("host", failed.alias("host_failed")).where("host_failed IS NOT NULL"), "bad-hosts")
     joined = feats.join(F.broadcast(bad) if within(bad, BROADCAST_HOSTS) else bad, "host", "left")
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("host_rate").isNull()).alias("kept"))
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("host_failed").isNull()).alias("kept"), "host_failed")
 
 
 def op10(docs: DataFrame) -> DataFrame:
@@ -101,14 +116,15 @@ o AS (SELECT rid, i, least(5, coalesce(lead(i) OVER (PARTITION BY rid ORDER BY i
 r AS (SELECT rid, sum(cov) AS rep FROM o GROUP BY rid),
 f AS (SELECT w.rid, doc_id, source, len(words)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
              (length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')))::BIGINT AS n_symbols,
-             (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep, 0)::BIGINT AS n_repeat_words
+             len(ls) AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep, 0)::BIGINT AS n_repeat_words
       FROM w LEFT JOIN r ON w.rid = r.rid),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f),
-h AS (SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS x FROM b WHERE source IS NOT NULL GROUP BY source),
-s AS (SELECT count(*) AS k, sum(n) AS nt, sum(x) AS ft, sum(n * n) AS nn, sum(x * x / n) AS ffn FROM h),
-p AS (SELECT ft / nt AS m, ft / nt * (1 - ft / nt) AS v, (ffn - ft * ft / nt - (k - 1) * (ft / nt * (1 - ft / nt))) / nullif(nt - nn / nt, 0) AS bt FROM s),
-q AS (SELECT m, CASE WHEN bt > 0 THEN least(greatest(v / bt - 1, 2.0), 1e6) ELSE 1e6 END AS st FROM p),
-bad AS (SELECT source FROM h, q WHERE (x + m * st) / (n + st) > 0.5)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND (source IS NULL OR source NOT IN (SELECT source FROM bad)) AS kept FROM b
+u AS (SELECT source, 1 AS k, 'base' AS rule, base_failed AS x FROM b UNION ALL SELECT source, 2, 'lines', n_words > 0 AND 10 * n_dup_lines > 3 * n_lines FROM b
+      UNION ALL SELECT source, 3, 'symbols', n_words > 0 AND 10 * n_symbols > word_chars FROM b UNION ALL SELECT source, 4, 'lengths', n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words) FROM b),
+h AS (SELECT source, k, rule, count(*)::DOUBLE AS n, sum(x::INT)::DOUBLE AS x FROM u WHERE source IS NOT NULL GROUP BY ALL),
+s AS (SELECT k, count(*) AS hosts, sum(n) AS nt, sum(x) AS ft, sum(n * n) AS nn, sum(x * x / n) AS ffn FROM h GROUP BY k),
+p AS (SELECT k, ft / nt AS m, ft / nt * (1 - ft / nt) AS v, (ffn - ft * ft / nt - (hosts - 1) * (ft / nt * (1 - ft / nt))) / nullif(nt - nn / nt, 0) AS bt FROM s),
+q AS (SELECT k, m, CASE WHEN bt > 0 THEN least(greatest(v / bt - 1, 2.0), 1e6) ELSE 1e6 END AS st FROM p),
+bad AS (SELECT source, arg_min(rule, k) AS host_failed FROM h JOIN q USING (k) WHERE (x + m * st) / (n + st) > 0.5 GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_failed IS NULL AS kept, host_failed FROM b LEFT JOIN bad USING (source)
 """

@@ -4,6 +4,7 @@ import hashlib
 import random
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -353,15 +354,55 @@ def plain_quality(text):
 
 def test_quality(spark):
     rows = [*TEXTS, (30, "# a *b* <c>\nx y\nx y\n\n \nx y z"), (31, "one two three four five six one two three four five six seven"), (32, "a b c d e " * 9)]
-    got = quality.features(documents(spark, rows), "doc_id", "text", "source").drop("host").collect()
+    got = quality.features(documents(spark, rows), "doc_id", "text", "source").drop("host", "n_lines").collect()
     assert sorted(map(str, (tuple(x) for x in got))) == sorted(str((i, *plain_quality(t))) for i, t in rows)
-    good = " ".join(f"w{k}" for k in range(30))
-    docs = spark.createDataFrame([(i, "bad", "bad.com") for i in range(40)] + [(100 + i, good, "bad.com") for i in range(3)] + [(200 + i, good, "good.com") for i in range(60)] + [(300, good, None)], "doc_id long, text string, source string")
-    kept = {x.doc_id for x in quality.judge_quality(docs).where("kept").collect()}
-    assert kept == {300, *range(200, 260)}
     assert quality.op10(none(spark)).count() == 0
 
 
+def plain_hosts(rows):
+    """Hosts that some rule fails: counts, then the beta prior by moments."""
+    tables = {}
+    for _, text, host in rows:
+        n, chars, symbols, dup, _, base = plain_quality(text)
+        lines = sum(1 for x in (text or "").split("\n") if x.strip("\t\n\x0b\x0c\r "))
+        marks = {"base": base, "lines": n and 10 * dup > 3 * lines, "symbols": n and 10 * symbols > chars, "lengths": n and not 2 * n <= chars <= 20 * n}
+        for rule, mark in marks.items():
+            if host is not None:
+                own = tables.setdefault(rule, {}).setdefault(host, [0, 0])
+                own[0] += 1
+                own[1] += bool(mark)
+    out = {}
+    for rule, hosts in tables.items():
+        n = sum(a for a, _ in hosts.values())
+        mean = sum(x for _, x in hosts.values()) / n
+        spread = sum(a * (x / a - mean) ** 2 for a, x in hosts.values())
+        room = n - sum(a * a for a, _ in hosts.values()) / n
+        between = (spread - (len(hosts) - 1) * mean * (1 - mean)) / room if room else 0
+        strength = min(max(mean * (1 - mean) / between - 1, 2), 1e6) if between > 0 else 1e6
+        for host, (a, x) in hosts.items():
+            if (x + mean * strength) / (a + strength) > 0.5:
+                out.setdefault(host, rule)
+    return out
+
+
+def test_quality_of_hosts(spark):
+    good = " ".join(f"w{k}" for k in range(30))
+    kinds = {"short.com": "bad", "lines.com": "\n".join([good] + ["the same line here"] * 2), "symbols.com": " ".join(f"w{k}##" for k in range(30)), "long.com": " ".join("x" * 30 + str(k) for k in range(12))}
+    rows = [(1000 * k + i, t if i % 10 else good, host) for k, (host, t) in enumerate(kinds.items()) for i in range(40)]
+    rows += [(9000 + i, good, "good.com") for i in range(400)] + [(9500 + i, list(kinds.values())[i % 4] if i % 10 == 0 else good, f"mixed{i % 7}.com") for i in range(140)]
+    rows += [(9800, good, None), (9801, "bad", None), (9802, None, "good.com"), (9803, "", "good.com"), (9804, kinds["symbols.com"], "tiny.com"), (9805, kinds["symbols.com"], "good.com")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("host", F.lit("clash")).withColumn("host_failed", F.lit(1)).withColumn("n", F.lit(2))
+    failed = plain_hosts(rows)
+    assert {h: failed[h] for h in kinds} == {"short.com": "base", "lines.com": "lines", "symbols.com": "symbols", "long.com": "lengths"} and not any("mixed" in h or "good" in h for h in failed)
+    got = quality.judge_quality(docs).collect()
+    assert {x.doc_id: (x.kept, x.host_failed) for x in got} == {i: (not plain_quality(t)[-1] and h not in failed, failed.get(h)) for i, t, h in rows} and len(got) == len(rows)
+    duck = duckdb.connect()
+    documents = docs.toPandas()  # noqa: F841  the view of the SQL
+    duck.register("documents", documents)
+    same = duck.sql(quality.ORACLE).df()
+    assert sorted(zip(same.doc_id, same.kept, strict=True)) == sorted((x.doc_id, x.kept) for x in got) and same.host_failed.notna().sum() == sum(x.host_failed is not None for x in got) > 150
+
+
 def test_pipeline_against_a_plain_one(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
