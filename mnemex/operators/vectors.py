@@ -31,6 +31,20 @@ def _rounded(score: np.ndarray) -> np.ndarray:
     return np.copysign(np.floor(np.abs(score) * SCALE + 0.5) / SCALE, score)
 
 
+def best_of(score: np.ndarray, rows: np.ndarray, k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each line of scores the ids of its k best rows by rounded score, the smaller id on a tie, and the rounded scores; -inf never counts."""
+    n = min(k, len(rows))
+    least = np.partition(score, len(rows) - n, axis=1)[:, len(rows) - n] - 2 / SCALE  # no score below rounds to the n-th best
+    kept, found = [], []
+    for own, low in zip(score, least, strict=True):
+        at = np.flatnonzero((own >= low) & np.isfinite(own))
+        value = _rounded(own[at])
+        best = np.lexsort((rows[at], -value))[:n]
+        kept.append(rows[at[best]])
+        found.append(value[best])
+    return kept, found
+
+
 def _nearest(ids: np.ndarray, queries: np.ndarray, k: int, metric: str, itself: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -45,15 +59,7 @@ def _nearest(ids: np.ndarray, queries: np.ndarray, k: int, metric: str, itself:
             if not itself:
                 score = np.where(ids[:, None] == rows[None, :], -np.inf, score)
             score[np.isnan(score)] = -np.inf
-            n = min(k, len(rows))
-            least = np.partition(score, len(rows) - n, axis=1)[:, len(rows) - n] - 2 / SCALE  # no score below rounds to the n-th best
-            kept, found = [], []
-            for own, low in zip(score, least, strict=True):
-                at = np.flatnonzero((own >= low) & np.isfinite(own))
-                value = _rounded(own[at])
-                best = np.lexsort((rows[at], -value))[:n]
-                kept.append(rows[at[best]])
-                found.append(value[best])
+            kept, found = best_of(score, rows, k)
             yield pa.record_batch({"query_id": pa.array(np.repeat(ids, [len(x) for x in kept])), "id": pa.array(np.concatenate(kept)), "score": pa.array(np.concatenate(found))})
 
     return run

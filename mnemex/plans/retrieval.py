@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import ranking as R
 from ..operators import retrieval as X
 from ..operators.temporal import as_of, keep_last
 from ..operators.vectors import nearest
+from ..shared import Workspace
 from ..sources.tables import EPISODES_SQL, VERSIONS_SQL, episodes, members, property_versions, table
 from .catalog import query
 from .relational import COMEMBERS_SQL, co_members
 
+TEN = "WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10"
 WEIGHTS = {"vector": 0.35, "bm25": 0.40, "entity": 0.25}
 
 
@@ -30,22 +36,51 @@ def vectors(spark, sf_dir):
 
 
 WORDS_SQL = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9à-ÿ]+'), lambda x: length(x) > 1)"
-BM25_SQL = f"""WITH d AS (SELECT doc_id AS id, {WORDS_SQL} AS w FROM documents), s AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM d),
+QUESTIONS_SQL = "SELECT item_id AS query_id, text FROM benchmark"
+
+
+def bm25_sql(asked: str = QUESTIONS_SQL) -> str:
+    """The common tables of BM25; ``r`` has query_id, id and score of all hits."""
+    return f"""WITH d AS (SELECT doc_id AS id, {WORDS_SQL} AS w FROM documents), s AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM d),
 p AS (SELECT id, term, n AS length, count(*) AS tf FROM (SELECT id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
-q AS (SELECT DISTINCT item_id AS query_id, unnest({WORDS_SQL}) AS term FROM benchmark), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+q AS (SELECT DISTINCT query_id, unnest({WORDS_SQL}) AS term FROM ({asked})), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
 r AS (SELECT query_id, id, round(sum((ln((1 + docs) / (1 + df)) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))), 6)::DOUBLE AS score FROM q JOIN p USING (term) JOIN f USING (term), s GROUP BY ALL)"""
 
 
+BM25_SQL = bm25_sql()
+
+
 @query(f"{BM25_SQL} SELECT query_id, id, score FROM r WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10")
 def v8_bm25_topk(spark, sf_dir):
     return X.bm25(questions(spark, sf_dir), documents(spark, sf_dir)).select("query_id", "id", "score")
 
 
-@query("SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM (SELECT doc_id, unnest(" + WORDS_SQL + ") AS term, 1 AS tf FROM documents) GROUP BY term".replace("count(*)", "count(*)"))
+@query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS total FROM (SELECT doc_id, unnest({WORDS_SQL}) AS term FROM documents) GROUP BY term")
 def v7_term_totals(spark, sf_dir):
-    """Index statistics: postings and total frequency of every term."""
+    """Index statistics: documents that hold a term, and how often it stands."""
     p = X.postings(documents(spark, sf_dir), X.words(F.col("text")))
-    return p.groupBy("term").agg(F.sum("tf").alias("df"), F.sum("tf").alias("total"))
+    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+
+
+GRAMS_SQL = "flatten(list_transform(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> ''), lambda t: flatten(list_transform([2, 3, 4], lambda k: list_transform(range(1, length(t) + 4 - k), lambda i: substr(' ' || t || ' ', i, k))))))"
+
+
+def gram_bm25_sql(asked: str, held: str) -> str:
+    """Common tables of BM25 over character grams; ``asked`` has query_id, corpus, text, ``held`` has corpus, id, text; ``g`` has the scores."""
+    return f"""h AS ({held}), t AS (SELECT corpus, id, term, count(*) AS tf FROM (SELECT corpus, id, unnest({GRAMS_SQL}) AS term FROM h) GROUP BY ALL), n AS (SELECT corpus, count(*) AS n FROM h GROUP BY 1),
+i AS (SELECT corpus, term, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM t JOIN n USING (corpus) GROUP BY ALL), w AS (SELECT t.*, idf, tf * idf AS w FROM t JOIN i USING (corpus, term)),
+l AS (SELECT corpus, id, sqrt(sum(w * w)) AS norm, sum(w) / sqrt(sum(w * w)) AS length FROM w GROUP BY ALL), m AS (SELECT corpus, avg(coalesce(length, 0)) AS mean FROM h LEFT JOIN l USING (corpus, id) GROUP BY 1),
+g AS (SELECT query_id, corpus, id, sum(idf * (w / norm) * 2.5 / (w / norm + 1.5 * (0.25 + 0.75 * length / mean))) AS score
+  FROM (SELECT DISTINCT query_id, corpus, unnest({GRAMS_SQL}) AS term FROM ({asked})) JOIN w USING (corpus, term) JOIN l USING (corpus, id) JOIN m USING (corpus) GROUP BY ALL)"""
+
+
+@query(f"""WITH {gram_bm25_sql("SELECT p_partkey AS query_id, 0 AS corpus, p_name AS text FROM part WHERE p_partkey % 100 = 0", "SELECT 0 AS corpus, p_partkey AS id, p_name AS text FROM part")}
+SELECT query_id, id, round(score, 4)::DOUBLE AS score FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 4) DESC, id) <= 10""")
+def v8_gram_bm25(spark, sf_dir):
+    """BM25 as the index builds it: grams within words, TF-IDF weights of unit length for counts; names of parts against each other."""
+    p = table(spark, sf_dir, "part").select(F.lit(0).alias("corpus"), F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
+    found = X.gram_bm25(p.where("id % 100 = 0").withColumnRenamed("id", "query_id"), p, "corpus")
+    return R.top_k(found.withColumn("score", F.round("score", 4)), ["query_id"], "score", "id", 10).select("query_id", "id", "score")
 
 
 NAMES_SQL = "list_distinct(regexp_extract_all(text, '([A-Z][a-z]+(?:\\s[A-Z][a-z]+)*)', 1))"
@@ -59,15 +94,22 @@ def v9_entity_channel(spark, sf_dir):
     return X.entity_channel(questions(spark, sf_dir), documents(spark, sf_dir)).select("query_id", "id", "score")
 
 
-FUSED_SQL = f"""{BM25_SQL}, c AS (SELECT query_id, id, 'bm25' AS channel, score FROM (SELECT * FROM r WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10) UNION ALL SELECT query_id, id, 'entity', score FROM {ENTITY_SQL}),
+COS_SQL = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
+FUSED_SQL = f"""{BM25_SQL}, v AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round({COS_SQL}, 6)::DOUBLE AS score FROM embeddings a, embeddings b WHERE a.vec_id IN (SELECT item_id FROM benchmark)),
+c AS (SELECT query_id, id, 'bm25' AS channel, score FROM (SELECT * FROM r WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10) UNION ALL SELECT query_id, id, 'entity', score FROM {ENTITY_SQL}
+  UNION ALL SELECT query_id, id, 'vector', score FROM (SELECT * FROM v WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10)),
 n AS (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM c WINDOW w AS (PARTITION BY query_id, channel)),
-u AS (SELECT query_id, id, sum((CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END) * CASE channel WHEN 'bm25' THEN 0.40 ELSE 0.25 END) AS score, string_agg(DISTINCT channel, '+' ORDER BY channel) AS channels FROM n GROUP BY ALL)"""
+u AS (SELECT query_id, id, sum((CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END) * CASE channel WHEN 'bm25' THEN 0.40 WHEN 'entity' THEN 0.25 ELSE 0.35 END) AS score, string_agg(DISTINCT channel, '+' ORDER BY channel) AS channels FROM n GROUP BY ALL)"""
 
 
 def _channels(spark, sf_dir):
+    """Ten best of each channel. The vector of a question is the stored one of its id: encoders are plug-ins. Written once, since fusion reads them twice."""
     q, d = questions(spark, sf_dir), documents(spark, sf_dir)
-    a = X.bm25(q, d).select("query_id", "id", F.lit("bm25").alias("channel"), "score")
-    return a.union(X.entity_channel(q, d).select("query_id", "id", F.lit("entity").alias("channel"), "score"))
+    rows = vectors(spark, sf_dir)[1]
+    asked = rows.withColumnRenamed("id", "query_id").join(q.select("query_id"), "query_id", "left_semi")
+    parts = {"bm25": X.bm25(q, d), "entity": X.entity_channel(q, d), "vector": nearest(asked, rows).where("score > 0")}
+    every = reduce(DataFrame.union, [x.select("query_id", "id", F.lit(name).alias("channel"), "score") for name, x in parts.items()])
+    return Workspace(spark, "channels").save(every, "channels")
 
 
 @query(f"{FUSED_SQL} SELECT query_id, id, round(score, 4)::DOUBLE AS score, channels FROM u")
@@ -79,7 +121,7 @@ def a21_score_fusion(spark, sf_dir):
 b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY query_id, prefix ORDER BY s DESC, id) = 1)
 SELECT query_id, id, least(1.0, s)::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id)::INT AS rank FROM b QUALIFY rank <= 10""")
 def v13_fused_retrieval(spark, sf_dir):
-    """BM25 and entities, fused, boosted by tau, archived ones dropped, copies by prefix dropped, ten best by the unclamped score."""
+    """BM25, entities and vectors, fused, boosted by tau, archived ones dropped, copies by prefix dropped, ten best by the unclamped score."""
     fused = R.fuse(_channels(spark, sf_dir), WEIGHTS)
     e = episodes(spark, sf_dir).select("id", F.substring("content", 1, 100).alias("prefix"), "tau_initial", "archived").where("NOT archived")
     boosted = fused.join(e, "id").withColumn("s", F.round(F.col("score") * (1 + 1 / (1 + F.exp(-F.col("tau_initial") / 60))), 4)).select("query_id", "id", "prefix", "s")
@@ -87,7 +129,6 @@ def v13_fused_retrieval(spark, sf_dir):
     return R.top_k(best, ["query_id"], "s", "id", 10).select("query_id", "id", F.least(F.lit(1.0), "s").alias("score"), "rank")
 
 
-COS_SQL = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
 KNN_SQL = f"""(SELECT a.vec_id AS query_id, b.vec_id AS id, round({COS_SQL}, 6)::DOUBLE AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)"""
 
 
@@ -111,10 +152,13 @@ def v4_vector_channel(spark, sf_dir):
     return k.join(e, "id", "left").select("query_id", "id", F.round("score", 4).alias("score"), "tau_initial")
 
 
-@query(f"SELECT query_id, k.id, round(1 - (1 - score), 6)::DOUBLE AS score FROM (SELECT * FROM {KNN_SQL} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20) k JOIN {EPISODES_SQL} e ON e.id = k.id WHERE NOT archived")
+@query(f"""SELECT query_id, k.id, round(greatest(0, 1 - distance / 2), 6)::DOUBLE AS score FROM (SELECT query_id, id, distance FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)), 6)::DOUBLE AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, id) <= 20) k JOIN {EPISODES_SQL} e ON e.id = k.id WHERE NOT archived""")
 def v5_direct_vector_search(spark, sf_dir):
+    """The score falls with half the squared distance; archived episodes go."""
     e = episodes(spark, sf_dir).where("NOT archived").select("id")
-    return nearest(*vectors(spark, sf_dir), k=20).join(e, "id").select("query_id", "id", "score")
+    found = nearest(*vectors(spark, sf_dir), k=20, metric="l2").join(e, "id")
+    return found.select("query_id", "id", F.round(F.greatest(F.lit(0.0), 1 + F.col("score") / 2), 6).alias("score"))
 
 
 @query(f"SELECT query_id, id, round(1 / (1 + (CASE WHEN score > 0 THEN greatest(0, 1 / score - 1) END)), 4)::DOUBLE AS score FROM (SELECT * FROM {KNN_SQL} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10) WHERE score > 0")
@@ -142,37 +186,79 @@ def v10_tfidf_cosine(spark, sf_dir):
     return X.tfidf_cosine(questions(spark, sf_dir), documents(spark, sf_dir), X.char_grams(F.col("text"))).select("query_id", "id", "score")
 
 
-@query(f"""WITH t AS (SELECT *, 1 AS tier FROM (SELECT query_id, id FROM {KNN_SQL} WHERE score > 0.35 AND query_id <> id) UNION ALL SELECT query_id, id, 2 FROM (SELECT query_id, id FROM {KNN_SQL} WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 3))
-SELECT query_id, id, tier FROM t QUALIFY tier = min(tier) OVER (PARTITION BY query_id)""")
+CASCADE_SQL = f"""{HYPER_SQL}, asked AS (SELECT vec_id AS query_id, left(text, 40) AS phrase FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 100 = 0),
+t AS (SELECT query_id, id, max(score) AS score, 1 AS tier FROM (SELECT query_id, id, score FROM s WHERE query_id % 300 = 0 UNION ALL SELECT query_id, id, score FROM x WHERE query_id % 300 = 0) GROUP BY ALL
+  UNION ALL SELECT query_id, id, score, 2 FROM (SELECT * FROM {KNN_SQL} WHERE score > 0.9 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10) WHERE query_id % 200 = 0
+  UNION ALL SELECT query_id, doc_id, 0.5, 4 FROM asked JOIN documents ON contains(lower(text), lower(phrase)))"""
+
+
+@query(f"{CASCADE_SQL} SELECT query_id, id, score::DOUBLE AS score, tier FROM t QUALIFY tier = min(tier) OVER (PARTITION BY query_id)")
 def v12_cascade(spark, sf_dir):
+    """Hypergraph, vectors, then the text: a level answers only what the ones before left empty. Here the first level serves ids divisible by 300, the second those divisible by 200."""
     q, rows = vectors(spark, sf_dir)
-    n = rows.count()
-    every = nearest(q, rows, k=n).where("score > 0.35 AND query_id != id").select("query_id", "id", F.lit(1).alias("tier"))
-    few = nearest(q, rows, k=3).where("score > 0").select("query_id", "id", F.lit(2).alias("tier"))
-    return R.cascade(every.union(few), "query_id", "tier")
+    one = v6_hypergraph_channel(spark, sf_dir).where("query_id % 300 = 0").groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    two = nearest(q.where("query_id % 200 = 0"), rows).where("score > 0.9").select("query_id", "id", "score")
+    d = documents(spark, sf_dir)
+    asked = d.join(q.select(F.col("query_id").alias("id")), "id", "left_semi").select(F.col("id").alias("query_id"), F.substring("text", 1, 40).alias("phrase"))
+    four = X.text_fallback(asked, d)
+    tiers = [x.select("query_id", "id", "score", F.lit(t).alias("tier")) for t, x in ((1, one), (2, two), (4, four))]
+    return R.cascade(reduce(DataFrame.union, tiers), "query_id", "tier")
 
 
-@query("""WITH s AS (SELECT DISTINCT l_orderkey AS community, l_partkey AS id FROM lineitem WHERE l_partkey % 100 = 0), m AS (SELECT DISTINCT l_orderkey AS community, l_partkey AS id FROM lineitem), r AS (SELECT community, (community % 10) / (1 + community % 10)::DOUBLE AS relevance FROM (SELECT DISTINCT community FROM s))
-SELECT s.id AS seed, m.id, round(max(relevance) * 0.9 * 0.6, 6)::DOUBLE AS score FROM s JOIN r USING (community) JOIN m USING (community) WHERE relevance >= 0.5 AND m.id <> s.id GROUP BY ALL""")
-def v15_community_expansion(spark, sf_dir):
-    """Seeds lead to communities that are relevant enough, and those to their members."""
-    m = members(spark, sf_dir).toDF("community", "id")
-    seeds = m.where("id % 100 = 0").select("community", F.col("id").alias("seed"))
-    bm = F.col("community") % 10
-    relevant = seeds.withColumn("relevance", bm / (1 + bm)).where("relevance >= 0.5")
-    return relevant.join(m, "community").where("id != seed").groupBy("seed", "id").agg(F.round(F.max("relevance") * 0.9 * 0.6, 6).alias("score"))
+@query("SELECT query_id, doc_id AS id, 0.5::DOUBLE AS score FROM (SELECT doc_id AS query_id, left(text, 40) AS phrase FROM documents WHERE doc_id % 100 = 0) JOIN documents ON contains(lower(text), lower(phrase))")
+def v11_text_fallback(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    return X.text_fallback(d.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.substring("text", 1, 40).alias("phrase")), d)
 
 
-@query()
+#: Twenty consecutive documents are a community; its summary is the beginnings of the first five.
+COMMUNITY_SQL = """(SELECT doc_id // 20 AS community, string_agg(left(text, 100), ' ' ORDER BY doc_id) AS text FROM (SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id) <= 5) GROUP BY 1)"""
+HITS_SQL = "SELECT query_id, id, score FROM (SELECT * FROM r WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10)"
+RELEVANCE_SQL = gram_bm25_sql("SELECT DISTINCT query_id, query_id AS corpus, text FROM top JOIN benchmark ON item_id = query_id WHERE place <= 5", f"SELECT DISTINCT query_id AS corpus, community AS id, c.text FROM top JOIN {COMMUNITY_SQL} c ON c.community = top.id // 20 WHERE place <= 5")
+RELEVANCE_SQL = f"{BM25_SQL}, top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM ({HITS_SQL})), {RELEVANCE_SQL}"
+
+
+def _community_hits(spark, sf_dir):
+    """Ten best of each question, the communities of its five best, and how relevant each is to the question among those."""
+    q, d = questions(spark, sf_dir), documents(spark, sf_dir).where("text IS NOT NULL")
+    hits = Workspace(spark, "communities").save(X.bm25(q, d).select("query_id", "id", "score", "rank"), "hits")
+    seeds = hits.where("rank <= 5").select("query_id", F.floor(F.col("id") / 20).alias("community")).distinct()
+    number = F.floor(F.col("id") / 20)
+    first = keep_last(d.select(number.alias("community"), "id", F.substring("text", 1, 100).alias("t")), ["community"], [F.col("id")], 5)
+    summaries = first.groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "t"))), lambda x: x["t"]), " ").alias("text"))
+    corpora = seeds.join(summaries, "community").select(F.col("query_id").alias("corpus"), F.col("community").alias("id"), "text")
+    score = X.gram_bm25(q.withColumn("corpus", F.col("query_id")), corpora, "corpus")
+    return hits, score.select("query_id", F.col("id").alias("community"), F.round(F.col("score") / (1 + F.col("score")), 6).alias("relevance"))
+
+
+@query(f"{RELEVANCE_SQL} SELECT query_id, id AS community, round(score / (1 + score), 6)::DOUBLE AS relevance FROM g")
 def v16_community_relevance(spark, sf_dir):
-    """BM25 over all documents as summaries, squashed to b / (1 + b)."""
-    return X.bm25(questions(spark, sf_dir), documents(spark, sf_dir), k=5).select("query_id", "id", F.round(F.col("score") / (1 + F.col("score")), 6).alias("relevance"))
+    """BM25 of the question among the summaries of its own candidate communities, squashed to b / (1 + b)."""
+    return _community_hits(spark, sf_dir)[1]
 
 
-@query("SELECT seed, community, round(least(0.4, 0.95 * 0.6), 6)::DOUBLE AS score FROM (SELECT DISTINCT l_partkey AS seed, l_orderkey AS community FROM lineitem WHERE l_partkey % 100 = 0) QUALIFY row_number() OVER (PARTITION BY seed ORDER BY community) <= 5")
+@query(f"""{RELEVANCE_SQL}, least AS (SELECT query_id, min(score) AS s FROM top WHERE place <= 5 GROUP BY 1), rel AS (SELECT query_id, id AS community, round(score / (1 + score), 6) AS relevance FROM g WHERE round(score / (1 + score), 6) >= 0.5),
+mem AS (SELECT doc_id, doc_id // 20 AS community FROM documents QUALIFY row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id) <= 10)
+SELECT query_id, doc_id AS id, round(relevance * s * 0.6, 6)::DOUBLE AS score FROM rel JOIN least USING (query_id) JOIN mem USING (community) WHERE (query_id, doc_id) NOT IN (SELECT (query_id, id) FROM top)""")
+def v15_community_expansion(spark, sf_dir):
+    """Five best results lead to their communities; those relevant enough add up to ten members that aren't results yet, below the weakest seed."""
+    hits, relevance = _community_hits(spark, sf_dir)
+    least = hits.where("rank <= 5").groupBy("query_id").agg(F.min("score").alias("s"))
+    ids = documents(spark, sf_dir).select(F.floor(F.col("id") / 20).alias("community"), "id")
+    members_ = keep_last(ids, ["community"], [F.col("id")], 10)
+    found = relevance.where("relevance >= 0.5").join(least, "query_id").join(members_, "community").join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    return found.select("query_id", "id", F.round(F.col("relevance") * F.col("s") * 0.6, 6).alias("score"))
+
+
+@query(f"{RELEVANCE_SQL} SELECT query_id, id AS community, 'Community ' || id || ': ' || c.text AS content, round(round(score / (1 + score), 6) * least(0.4, 0.95 * 0.6), 6)::DOUBLE AS score FROM g JOIN {COMMUNITY_SQL} c ON c.community = g.id WHERE round(score / (1 + score), 6) >= 0.5")
 def v17_synthesis(spark, sf_dir):
-    m = members(spark, sf_dir).select(F.col("episode_id").alias("seed"), F.col("hyperedge_id").alias("community")).where("seed % 100 = 0")
-    return keep_last(m, ["seed"], [F.col("community")], 5).withColumn("score", F.round(F.least(F.lit(0.4), F.lit(0.95 * 0.6)), 6))
+    """The summaries of relevant communities become results of their own, five at most since seeds are five."""
+    _, relevance = _community_hits(spark, sf_dir)
+    d = documents(spark, sf_dir).select(F.floor(F.col("id") / 20).alias("community"), "id", F.substring("text", 1, 100).alias("t")).where("t IS NOT NULL")
+    first = keep_last(d, ["community"], [F.col("id")], 5).groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "t"))), lambda x: x["t"]), " ").alias("text"))
+    found = relevance.where("relevance >= 0.5").join(first, "community")
+    boost = min(0.4, 0.95 * 0.6)
+    return found.select("query_id", "community", F.concat(F.lit("Community "), "community", F.lit(": "), "text").alias("content"), F.round(F.col("relevance") * boost, 6).alias("score"))
 
 
 @query()
@@ -220,11 +306,17 @@ def v23_graph_expansion(spark, sf_dir):
     return top.select("seed", "id", F.round(1 / (1 + F.col("n")) * 0.5 * 0.8, 6).alias("score"))
 
 
-@query(f"{BM25_SQL} SELECT query_id, id, max(score)::DOUBLE AS score FROM (SELECT * FROM r WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10) GROUP BY ALL")
+ANSWERS_SQL = "SELECT item_id AS query_id, c.text FROM benchmark JOIN conversations c ON conv_id = item_id WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY turn) = 1"
+
+
+@query(f"SELECT query_id, id, max(score)::DOUBLE AS score FROM (SELECT * FROM ({BM25_SQL} SELECT query_id, id, score FROM r {TEN}) UNION ALL SELECT * FROM ({bm25_sql(ANSWERS_SQL)} SELECT query_id, id, score FROM r {TEN})) GROUP BY ALL")
 def v24_hypothesis_retrieval(spark, sf_dir):
-    """Dual mode: the question and a hypothetical answer (a column that a model fills; here the text itself) retrieve, the better score stays."""
+    """Dual mode: the question and a hypothetical answer retrieve, the better score stays. The answer is a column that a model fills; here the first
+    turn that an assistant gave in the conversation of the question's id. A question without one retrieves alone."""
     q, d = questions(spark, sf_dir), documents(spark, sf_dir)
-    both = X.bm25(q, d).union(X.bm25(q.withColumn("text", F.col("text")), d))
+    said = table(spark, sf_dir, "conversations").where("role = 'assistant'").select(F.col("conv_id").alias("query_id"), "turn", "text")
+    answers = keep_last(said, ["query_id"], [F.col("turn")], 1).join(q.select("query_id"), "query_id", "left_semi").select("query_id", "text")
+    both = X.bm25(q, d).select("query_id", "id", "score").union(X.bm25(answers, d).select("query_id", "id", "score"))
     return both.groupBy("query_id", "id").agg(F.max("score").alias("score"))
 
 
@@ -281,25 +373,49 @@ def v35_template_report(spark, sf_dir):
     return n.join(p, "p_brand").select(F.col("p_brand").alias("community"), F.concat(F.lit("Community "), "p_brand", F.lit(": "), "n", F.lit(" members. "), F.array_join("f", "; ")).alias("report"))
 
 
-@query()
+@query(f"""WITH w AS (SELECT doc_id AS id, ('0x' || left(md5(term), 8))::BIGINT % 384 AS dim, count(*)::DOUBLE AS x FROM (SELECT doc_id, unnest({WORDS_SQL}) AS term FROM documents) GROUP BY ALL)
+SELECT id, dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 6)::DOUBLE AS x FROM w""")
 def v36_text_embedding(spark, sf_dir):
-    """Fallback encoder: hashed word counts in 384 buckets, unit length, built from expressions; equal texts are encoded once."""
+    """Fallback encoder: word counts hashed to 384 dimensions, unit length; the components of each vector that aren't 0."""
     d = documents(spark, sf_dir)
-    w = d.select("id", F.explode(X.words(F.col("text"))).alias("w")).groupBy("id", F.pmod(F.xxhash64("w"), F.lit(384)).alias("dim")).agg(F.count("*").cast("double").alias("x"))
-    norm = w.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return w.join(norm, "id").groupBy("id").agg(F.count("*").alias("dims"), F.round(F.sum((F.col("x") / F.col("norm")) * (F.col("x") / F.col("norm"))), 6).alias("length"))
+    bucket = F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long") % 384
+    w = d.select("id", F.explode(X.words(F.col("text"))).alias("w")).groupBy("id", bucket.alias("dim")).agg(F.count("*").cast("double").alias("x"))
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy("id")))
+    return w.select("id", "dim", F.round(F.col("x") / norm, 6).alias("x"))
+
+
+INNER_SQL = "list_filter(list_slice(regexp_split_to_array(lower(text), '[^a-z0-9à-ÿ]+'), 2, -2), lambda x: length(x) > 1)"
 
 
-@query(f"""{BM25_SQL}, k AS (SELECT query_id, id FROM r WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10),
-truth AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text))
-SELECT query_id, round(count(k.id) / count(*)::DOUBLE, 6)::DOUBLE AS recall FROM truth LEFT JOIN k USING (query_id, id) GROUP BY query_id""")
+@query(f"""{BM25_SQL}, k AS (SELECT query_id, id FROM r {TEN}),
+truth AS (SELECT item_id AS query_id, doc_id AS id FROM (SELECT *, {INNER_SQL} AS inside FROM benchmark) b JOIN documents d ON contains(d.text, b.text) WHERE len(inside) > 0),
+n AS (SELECT query_id, count(*) AS found FROM k GROUP BY 1), t AS (SELECT query_id, count(*) AS relevant, count(k.id) AS hits FROM truth LEFT JOIN k USING (query_id, id) GROUP BY 1)
+SELECT query_id, round(hits / relevant::DOUBLE, 6)::DOUBLE AS recall, round(coalesce(hits / found::DOUBLE, 0), 6)::DOUBLE AS precision, round(coalesce(2 * hits / (relevant + found)::DOUBLE, 0), 6)::DOUBLE AS f1 FROM t LEFT JOIN n USING (query_id)""")
 def a17_recall_at_k(spark, sf_dir):
-    """Truth are documents that hold the item word for word; candidates for that test share the item's rarest words through BM25's postings."""
+    """Precision, recall and F1 of the ten best. Truth are documents that hold the item word for word: they hold the words inside it, so they are looked for under the rarest of those and then compared."""
     q, d = questions(spark, sf_dir), documents(spark, sf_dir)
-    hits = X.bm25(q, d).select("query_id", "id", F.lit(1).alias("hit"))
-    small = F.broadcast(q.withColumnRenamed("text", "item"))
-    truth = d.join(small, F.col("text").contains(F.col("item"))).select("query_id", "id")
-    return truth.join(hits, ["query_id", "id"], "left").groupBy("query_id").agg(F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
+    hits = Workspace(spark, "recall").save(X.bm25(q, d).select("query_id", "id"), "hits")
+    pieces = F.split(F.lower(F.col("text")), r"[^a-z0-9à-ÿ]+")
+    inside = F.filter(F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0))), lambda w: F.length(w) > 1)
+    asked = q.select("query_id", F.col("text").alias("item"), F.explode(F.array_distinct(inside)).alias("term"))
+    held = d.select("id", F.explode(F.array_distinct(X.words(F.col("text")))).alias("term")).join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+    held = Workspace(spark, "recall").save(held, "held")
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
+    rarest = asked.join(df, "term").groupBy("query_id").agg(F.min_by(F.struct("term", "item"), F.struct("df", "term")).alias("r")).select("query_id", "r.term", "r.item")
+    truth = held.join(rarest, "term").join(d, "id").where(F.col("text").contains(F.col("item"))).select("query_id", "id")
+    good = truth.join(hits.withColumn("hit", F.lit(1)), ["query_id", "id"], "left").groupBy("query_id").agg(F.count("*").alias("relevant"), F.count("hit").alias("hits"))
+    n = good.join(hits.groupBy("query_id").agg(F.count("*").alias("found")), "query_id", "left")
+    share = {"recall": F.col("hits") / F.col("relevant"), "precision": F.col("hits") / F.col("found"), "f1": 2 * F.col("hits") / (F.col("relevant") + F.col("found"))}
+    return n.select("query_id", *(F.round(F.coalesce(x, F.lit(0.0)), 6).alias(name) for name, x in share.items()))
+
+
+@query("""SELECT conv_id, round(coalesce(sum((turn >= before)::INT) / count(before)::DOUBLE, 1), 6)::DOUBLE AS accuracy FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM conversations) GROUP BY 1""")
+def a17_temporal_accuracy(spark, sf_dir):
+    """Share of neighbouring memories of a session that stand in the order of their time; one alone is in order."""
+    before = F.lag("turn").over(W.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", before.alias("before"))
+    right = F.sum((F.col("turn") >= F.col("before")).cast("int")) / F.count("before")
+    return c.groupBy("conv_id").agg(F.round(F.coalesce(right, F.lit(1.0)), 6).alias("accuracy"))
 
 
 @query()

@@ -41,15 +41,47 @@ def best(scores, k):
     return sorted(((i, s) for i, s in scores.items() if s > 0), key=lambda x: (-x[1], x[0]))[:k]
 
 
-def test_community_relevance_ranks_every_document(spark, folder):
+def ranked():
+    """All BM25 scores of all questions, over all documents."""
     tf = {i: Counter(words(t)) for i, t in DOCS}
     idf, mean = idfs(tf), sum(sum(c.values()) for c in tf.values()) / len(tf)
-    wanted = []
     for q, text in ITEMS:
         scores = {i: round(sum(idf[t] * c[t] * 2.5 / (c[t] + 1.5 * (0.25 + 0.75 * sum(c.values()) / mean)) for t in set(words(text)) if t in c), 6) for i, c in tf.items()}
-        wanted += [(q, i, pytest.approx(s / (1 + s), abs=2e-6)) for i, s in best(scores, 5)]
+        yield q, text, best(scores, 10)
+
+
+def test_bm25_ranks_every_document(spark, folder):
+    wanted = [(q, i, pytest.approx(s, abs=2e-6)) for q, _, found in ranked() for i, s in found]
+    got = QUERIES["v8_bm25_topk"](spark, folder).collect()
+    assert sorted((r.query_id, r.id, r.score) for r in got) == sorted(wanted, key=lambda x: x[:2])
+
+
+def test_community_relevance_is_that_among_the_candidates(spark, folder):
+    summaries = {}
+    for i, t in sorted(DOCS):
+        summaries.setdefault(i // 20, []).append(t[:100])
+    wanted, expanded = [], []
+    for q, text, found in ranked():
+        own = {c: Counter(grams(" ".join(summaries[c][:5]))) for c in {i // 20 for i, _ in found[:5]}}
+        idf = idfs(own) if own else {}
+        weights = {}
+        for c, tf in own.items():
+            raw = {t: n * idf[t] for t, n in tf.items()}
+            norm = math.sqrt(sum(x * x for x in raw.values()))
+            weights[c] = {t: x / norm for t, x in raw.items()}
+        mean = sum(sum(w.values()) for w in weights.values()) / len(weights) if weights else 1
+        for c, w in weights.items():
+            score = sum(idf[t] * w[t] * 2.5 / (w[t] + 1.5 * (0.25 + 0.75 * sum(w.values()) / mean)) for t in set(grams(text)) if t in w)
+            if score:
+                relevance = score / (1 + score)
+                wanted.append((q, c, pytest.approx(relevance, abs=2e-6)))
+                if relevance >= 0.5:
+                    members = [i for i, _ in sorted(DOCS) if i // 20 == c][:10]
+                    expanded += [(q, i, pytest.approx(relevance * found[:5][-1][1] * 0.6, abs=1e-5)) for i in members if i not in dict(found)]
     got = QUERIES["v16_community_relevance"](spark, folder).collect()
-    assert sorted((r.query_id, r.id, r.relevance) for r in got) == sorted(wanted, key=lambda x: x[:2])
+    assert sorted((r.query_id, r.community, r.relevance) for r in got) == sorted(wanted, key=lambda x: x[:2])
+    more = QUERIES["v15_community_expansion"](spark, folder).collect()
+    assert expanded and sorted((r.query_id, r.id, r.score) for r in more) == sorted(expanded, key=lambda x: x[:2])
 
 
 def test_tfidf_cosine_searches_every_document(spark, folder):
