@@ -6,7 +6,8 @@ sentence is: noisy-or, 1 - prod(1 - p). The weights are fitted to document label
 gradient reaches the sentences that carry the label, which are then located by their own scores.
 
 The model is fitted on a bounded sample of labelled rows: the ``sample_rows`` smallest hashes of the id
-(8,000 by default), whole texts. Features that few of them hold have no weight and are dropped where the texts are read, and equal sentences of a text
+(8,000 by default), whole texts. Features that few of them hold, or that don't stand in toxic ones notably more often than in others, have no weight: they are counted first, as a table, and
+dropped where the texts are read. Equal sentences of a text
 travel once with their count; scoring reads whole texts of all documents in one map, with no shuffle.
 
 Defined results: null and empty texts have no sentence and score 0; without labels of both kinds every score is next to 0 (under 1e-9);
@@ -23,6 +24,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,20 +34,25 @@ BITS = 20
 STEMS = (4, 5, 6)
 THRESHOLD = 0.3
 SAMPLE_ROWS = 8_000
-LEAST = 5
+LEAST, LIFT, PRIOR = 5, 0.5, 2.0
 CACHE = 150_000
 RUN = 40
 SENTENCE_END = re.compile(r"[.!?\n…。！？]+")
 TRIM = "\"'`,;:()[]{}<>|*#$%&_-“”‘’«»¿¡"
 
 
+def number(part: str) -> int:
+    return 1 + (crc32(part.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1))
+
+
+def stems(bare: str) -> tuple[int, ...]:
+    return tuple(number("^" + bare[:n]) for n in STEMS if len(bare) > n)
+
+
 def features(word: str) -> tuple[int, ...]:
     """Numbers of the weights of a word, from 1 on; none for words that are punctuation only."""
     bare = word.strip(TRIM)
-    if not bare:
-        return ()
-    parts = [bare, *("^" + bare[:n] for n in STEMS if len(bare) > n)]
-    return tuple(1 + (crc32(x.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)) for x in parts)
+    return (number(bare), *stems(bare)) if bare else ()
 
 
 def sentences(text: str | None) -> list[list[str]]:
@@ -90,7 +97,7 @@ class Model:
         return out
 
 
-def fit(bags: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], epochs: int = 40, rate: float = 2.0, least: int = LEAST, prior: float = 2.0, seed: int = 7) -> Model:
+def fit(bags: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], epochs: int = 40, rate: float = 2.0, least: int = LEAST, prior: float = PRIOR, seed: int = 7) -> Model:
     """``bags``: label, features, the sentence of each feature (ascending, from 0), and how often each sentence stands.
 
     Features in fewer than ``least`` documents keep weight 0: a rare word of a toxic document would
@@ -101,9 +108,12 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], epochs: int
     n_toxic = sum(b[0] for b in bags)
     if not 0 < n_toxic < len(bags):
         return Model(-30.0, {})
-    names, flat = np.unique(np.concatenate([b[1] for b in bags]), return_inverse=True)
-    cuts = np.cumsum([len(b[1]) for b in bags])[:-1]
-    bags = [(y, own, sents, times) for (y, _, sents, times), own in zip(bags, np.split(flat, cuts), strict=True)]
+    place = np.zeros(2 + (1 << BITS), dtype=np.int32)
+    for b in bags:
+        place[b[1]] = 1
+    names = np.flatnonzero(place)
+    place[names] = np.arange(len(names))
+    bags = [(y, place[words], sents, times) for y, words, sents, times in bags]
     weights, bias = np.zeros(len(names)), -7.0
     seen, toxic = np.zeros_like(weights), np.zeros_like(weights)
     for y, words, *_ in bags:
@@ -152,11 +162,13 @@ def bag_of(text: str | None, used=None) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def _held_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many texts hold each feature."""
+    """How many texts, and how many toxic ones, hold each feature."""
     for batch in batches:
-        found = [np.unique(bag_of(x.as_py())[0]) for x in batch.column(1)]
-        names, n = np.unique(np.concatenate([np.zeros(0, "<i4"), *found]), return_counts=True)
-        yield pa.record_batch({"feature": pa.array(names, pa.int32()), "n": pa.array(n, pa.int64())})
+        for y in (0, 1):
+            own = batch.filter(pc.equal(batch.column(0), y)).column(1)
+            found = [np.unique(bag_of(x.as_py())[0]) for x in own]
+            names, n = np.unique(np.concatenate([np.zeros(0, "<i4"), *found]), return_counts=True)
+            yield pa.record_batch({"feature": pa.array(names, pa.int32()), "n": pa.array(n, pa.int64()), "toxic": pa.array(n * y, pa.int64())})
 
 
 def _featurise(used: np.ndarray):
@@ -179,9 +191,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text"))
     rows = texts.join(F.broadcast(sample), "i").groupBy("i", "y").agg(F.min("text").alias("text"))  # an id may have several texts
     rows = ws.save(rows.select("y", "text"), "sample")
+    n, toxic = rows.agg(F.count("*"), F.sum("y")).first()
+    if not n or not 0 < toxic < n:
+        return Model(-30.0, {})
+    held = rows.mapInArrow(_held_by, "feature int, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where(F.col("n") >= LEAST)
+    share = toxic / n
+    odds = (F.col("toxic") + PRIOR * share) / (F.col("n") - F.col("toxic") + PRIOR * (1 - share))
     used = np.zeros(8 + (1 << BITS), dtype=np.uint8)
-    held = rows.mapInArrow(_held_by, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
-    used[held.select("feature").toArrow().column(0).to_numpy()] = 1  # no more than 2 ** BITS
+    used[held.where(F.log(odds * (1 - share) / share) > LIFT).select("feature").toArrow().column(0).to_numpy()] = 1  # no more than 2 ** BITS
     found = rows.mapInArrow(_featurise(np.packbits(used)), "y int, words binary, sents binary, times binary").collect()  # at most sample_rows rows
     found.sort(key=lambda r: (r.y, bytes(r.words), bytes(r.times)))
     return fit([(r.y, *(np.frombuffer(x, "<i4") for x in (r.words, r.sents, r.times))) for r in found])
@@ -192,16 +209,29 @@ def held_out(id_column):
 
 
 class Scorer(dict):
-    """Scores of texts; holds the weights of at most ``CACHE`` words."""
+    """Scores of texts; holds the weights of at most ``CACHE`` words, and of as many stems."""
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model = model
+        self.model, self.stems = model, {}
+
+    def stem(self, start: str) -> float:
+        """What the first characters of a word add; seven tell which of them are all there is."""
+        if len(self.stems) >= CACHE:
+            self.stems.clear()
+        value = self.stems[start] = sum(self.model.weights.get(f, 0.0) for f in stems(start))
+        return value
 
     def __missing__(self, word: str) -> float:
         if len(self) >= CACHE:
             self.clear()
-        value = self[word] = self.model.word(word)
+        bare = word.strip(TRIM)
+        value = 0.0
+        if bare:
+            start = bare[: STEMS[-1] + 1]
+            value = self.stems.get(start)
+            value = self.model.weights.get(number(bare), 0.0) + (self.stem(start) if value is None else value)
+        self[word] = value
         return value
 
     def scores(self, texts: pa.Array) -> np.ndarray:

@@ -307,6 +307,9 @@ def test_scores_do_not_depend_on_neighbours():
 
     every = toxicity.Scorer(model).scores(pa.array(texts))
     assert [toxicity.Scorer(model).scores(pa.array([t]))[0] for t in texts] == every.tolist()
+    odd = ["abcdef-ghi", "--abcdefg", "abcd", "abcde.", "x", "---", "abcdefghijkl", "abcdéfgh", ""]
+    model = toxicity.Model(-1.0, {f: 0.01 * k for k, f in enumerate({f for w in odd for f in toxicity.features(w)}, 1)})
+    assert [toxicity.Scorer(model)[w] for w in odd] == pytest.approx([model.word(w) for w in odd])
 
 
 def test_toxicity_learns_and_locates(spark):
