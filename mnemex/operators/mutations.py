@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..shared import Workspace
+
 
 def upsert(current: DataFrame, incoming: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Incoming rows replace those with their key; of several incoming ones the last by ``order`` wins."""
@@ -51,3 +54,27 @@ def resolve_last_write(current: DataFrame, incoming: DataFrame, key: str, at: st
 def merge_fields(current: dict[str, Column], incoming: dict[str, Column]) -> dict[str, Column]:
     """Field by field: the incoming value where there is one."""
     return {k: F.coalesce(incoming[k], v) if k in incoming else v for k, v in current.items()}
+
+
+def next_of(ids: DataFrame, id_col: str) -> DataFrame:
+    """Each id with the next larger one as ``by``: ranges are sorted apart, and only their first ids meet in one task."""
+    parts = ids.select(id_col).distinct().repartitionByRange(id_col).withColumn("_part", F.spark_partition_id())
+    inner = F.lead(id_col).over(W.partitionBy("_part").orderBy(id_col))
+    own = Workspace(ids.sparkSession, "next").save(parts, "ids")
+    first = own.groupBy("_part").agg(F.min(id_col).alias("_first"))  # one row a range
+    following = first.select("_part", F.lead("_first").over(W.orderBy("_part")).alias("_next"))
+    return own.withColumn("_inner", inner).join(following, "_part").select(id_col, F.coalesce("_inner", "_next").alias("by"))
+
+
+def archive_with_lineage(nodes: DataFrame, replaced: DataFrame, id_col: str) -> DataFrame:
+    """``kind, id, value``: each node with its flag (1: archived), and for each replaced node that is there an edge SUPERSEDES from ``by``, where known."""
+    flagged = archive(nodes.select(id_col, "archived"), replaced.select(id_col), id_col)
+    edges = replaced.join(nodes.select(id_col), id_col, "left_semi").where("by IS NOT NULL")
+    return flagged.select(F.lit("node").alias("kind"), F.col(id_col).alias("id"), F.col("archived").cast("long").alias("value")).union(edges.select(F.lit("SUPERSEDES"), "by", id_col))
+
+
+def upsert_vectors(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """``id, vector, state`` of (id, vector) after a batch: ``written`` or ``kept``. Null vectors of the batch write nothing; of several for one id the smallest counts."""
+    new = batch.where("vector IS NOT NULL").groupBy("id").agg(F.min("vector").alias("_new"))
+    both = stored.join(new, "id", "full")
+    return both.select("id", F.coalesce("_new", "vector").alias("vector"), F.when(F.col("_new").isNotNull(), "written").otherwise("kept").alias("state"))

@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 from ..operators import mutations as M
 from ..operators import ranking as R
 from ..operators.temporal import keep_last
-from ..shared import within
+from ..shared import Workspace, within
+from ..sources.files import alias_files, benchmark_instances, media_files, save_media
 from ..sources.tables import EPISODES_SQL, MEMBERS_SQL, episodes, members, table
 from .catalog import query
 
@@ -39,7 +40,7 @@ def s4_tau_range(spark, sf_dir):
     return episodes(spark, sf_dir).where(F.col("tau_initial").between(0.2, 0.4)).select("id", "tau_initial").orderBy("id").limit(50)
 
 
-@query("SELECT c.c_custkey, n.n_name FROM (SELECT *, lower(n_name) AS p FROM nation WHERE n_nationkey % 4 = 1) n JOIN customer c ON lower(c_name) = p OR starts_with(lower(c_mktsegment) || ' ' || p || ' x', p || ' ') OR starts_with(p || ' ' || lower(c_name), p || ' ') AND c.c_nationkey = n.n_nationkey".replace(" OR starts_with(lower(c_mktsegment) || ' ' || p || ' x', p || ' ')", ""))
+@query("SELECT c.c_custkey, n.n_name FROM (SELECT *, lower(n_name) AS p FROM nation WHERE n_nationkey % 4 = 1) n JOIN customer c ON lower(c_name) = p OR starts_with(p || ' ' || lower(c_name), p || ' ') AND c.c_nationkey = n.n_nationkey")
 def s6_prefix_scan(spark, sf_dir):
     """Names equal to a candidate or beginning with it and a space: a true prefix, joined by the first word."""
     n = table(spark, sf_dir, "nation").where("n_nationkey % 4 = 1").select("n_name", F.lower("n_name").alias("p"), F.split(F.lower("n_name"), " ")[0].alias("word"), "n_nationkey")
@@ -54,10 +55,45 @@ def s8_adjacency(spark, sf_dir):
     return members(spark, sf_dir).groupBy(F.col("hyperedge_id").alias("src")).agg(F.count("*").alias("degree"), F.concat_ws(",", lists).alias("neighbours"))
 
 
-@query("SELECT p_partkey, p_size FROM part WHERE contains(lower(p_name), 'green') OR contains(lower(p_type), 'steel') ORDER BY p_size DESC, p_partkey LIMIT 5")
+@query("SELECT p_type, support FROM (SELECT p_type, max(p_brand) AS brand, count(*) AS support FROM part GROUP BY p_type) WHERE contains(lower(p_type), 'large') OR contains(lower(brand), 'brand#5') ORDER BY support DESC, p_type LIMIT 5")
 def s9_keyword_scan(spark, sf_dir):
-    hit = F.lower("p_name").contains("green") | F.lower("p_type").contains("steel")
-    return table(spark, sf_dir, "part").where(hit).select("p_partkey", "p_size").orderBy(F.desc("p_size"), "p_partkey").limit(5)
+    """Schema rows that hold one of the terms in either column, the best supported first."""
+    schemas = table(spark, sf_dir, "part").groupBy("p_type").agg(F.max("p_brand").alias("brand"), F.count("*").alias("support"))
+    hit = F.lower("p_type").contains("large") | F.lower("brand").contains("brand#5")
+    return schemas.where(hit).select("p_type", "support").orderBy(F.desc("support"), "p_type").limit(5)
+
+
+@query("SELECT question_id, question, turns, first_date::VARCHAR AS first_date, last_date::VARCHAR AS last_date FROM (SELECT conv_id AS question_id, min(text) FILTER (turn = 0 OR role = 'user') AS question, count(*) AS turns, min(DATE '2024-01-01' + (conv_id % 300)::INT) AS first_date, max(DATE '2024-01-01' + (conv_id % 300)::INT) AS last_date FROM conversations GROUP BY 1)")
+def s13_benchmark_json(spark, sf_dir):
+    """A benchmark file is an array of instances: question, sessions of turns, dates as text. One is written from the conversations, then read."""
+    c = table(spark, sf_dir, "conversations")
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("conv_id") % 300).cast("int"))
+    asked = F.min(F.when((F.col("turn") == 0) | (F.col("role") == "user"), F.col("text")))
+    made = c.groupBy("conv_id").agg(asked.alias("question"), F.array(turns).alias("haystack_sessions")).select(F.col("conv_id").alias("question_id"), "question", "haystack_sessions", F.array(F.date_format(day, "yyyy/MM/dd (EEE) HH:mm")).alias("haystack_dates"))
+    path = Workspace(spark, "instances").path("instances")
+    made.write.mode("overwrite").json(path)
+    got = benchmark_instances(spark, path)
+    return got.select("question_id", "question", F.aggregate("haystack_sessions", F.lit(0).cast("long"), lambda n, s: n + F.size(s)).alias("turns"), F.to_date(F.array_min("dates")).cast("string").alias("first_date"), F.to_date(F.array_max("dates")).cast("string").alias("last_date"))
+
+
+@query("SELECT name, kind, size::BIGINT AS size FROM (SELECT n_name || '.png' AS name, 'image' AS kind, 8 + n_nationkey AS size FROM nation UNION ALL SELECT r_name || '.wav', 'audio', 16 FROM region)")
+def s14_media_files(spark, sf_dir):
+    """Media under a base folder, by kind; the files are written first."""
+    png = table(spark, sf_dir, "nation").select(F.concat("n_name", F.lit(".png")).alias("name"), F.concat(F.unhex(F.lit("89504E470D0A1A0A")), F.rpad(F.lit("").cast("binary"), F.col("n_nationkey"), F.unhex(F.lit("00")))).alias("content"))
+    wav = table(spark, sf_dir, "region").select(F.concat("r_name", F.lit(".wav")).alias("name"), F.rpad(F.lit("").cast("binary"), F.lit(16), F.unhex(F.lit("01"))).alias("content"))
+    folder = Workspace(spark, "media").path("media")
+    save_media(png.union(wav), folder)
+    return media_files(spark, folder).select("name", "kind", "size")
+
+
+@query("SELECT alias, entity FROM (SELECT lower(n_name) AS alias, n_name AS entity FROM nation)")
+def s15_rule_files(spark, sf_dir):
+    """Alias files are JSON maps; a missing or broken one is an empty table."""
+    ws = Workspace(spark, "rules")
+    table(spark, sf_dir, "nation").select(F.create_map(F.lower("n_name"), "n_name").alias("aliases")).write.mode("overwrite").json(ws.path("good"))
+    table(spark, sf_dir, "region").select(F.concat(F.lit("{broken "), "r_name").alias("value")).write.mode("overwrite").text(ws.path("broken"))
+    return alias_files(spark, ws.path("good")).union(alias_files(spark, ws.path("broken"))).union(alias_files(spark, ws.path("missing")))
 
 
 @query("SELECT vec_id, label FROM embeddings ORDER BY vec_id LIMIT 10")
@@ -113,10 +149,15 @@ def m3_compare_and_set(spark, sf_dir):
     return M.compare_and_set(cur, upd, "id", "state").select("id", "state", "version", "conflict")
 
 
-@query(f"SELECT id, archived OR id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS archived FROM {EPISODES_SQL}")
+LINEAGE_SQL = "(SELECT doc_id AS id, min(doc_id) OVER (ORDER BY doc_id ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS repl FROM (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1))"
+
+
+@query(f"SELECT 'node' AS kind, id, CASE WHEN archived OR id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 1 ELSE 0 END AS value FROM {EPISODES_SQL} UNION ALL SELECT 'SUPERSEDES', repl, l.id FROM {LINEAGE_SQL} l JOIN documents ON doc_id = l.id WHERE repl IS NOT NULL")
 def m4_archive(spark, sf_dir):
-    bad = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
-    return M.archive(episodes(spark, sf_dir).select("id", "archived"), bad, "id")
+    """Nodes with their flag, and an edge from each replacement to what it replaces; the next flagged document replaces one."""
+    bad = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id")).distinct()
+    step = M.next_of(bad, "id")
+    return M.archive_with_lineage(episodes(spark, sf_dir).select("id", "archived"), step, "id")
 
 
 @query(f"SELECT id, archived AND id NOT IN (SELECT doc_id FROM labels WHERE quality = 1) AS archived FROM {EPISODES_SQL}")
@@ -125,16 +166,27 @@ def m5_unarchive(spark, sf_dir):
     return M.archive(episodes(spark, sf_dir).select("id", "archived"), good, "id", False)
 
 
-@query("SELECT conv_id, turn FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE turn = 3)")
+@query("""WITH gone AS (SELECT DISTINCT conv_id FROM conversations WHERE turn = 3)
+SELECT 'member' AS kind, conv_id, turn FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM gone) UNION ALL SELECT DISTINCT 'session', conv_id, -1 FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM gone)
+UNION ALL SELECT 'deleted', conv_id, count(*) FROM conversations WHERE conv_id IN (SELECT conv_id FROM gone) GROUP BY conv_id""")
 def m6_cascade_delete(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    return M.delete(c.select("conv_id", "turn"), c.where("turn = 3"), "conv_id")
+    """Sessions that reached a third turn go with their members: what is left of both, and how many members each lost session had."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    gone = c.where("turn = 3").select("conv_id").distinct()
+    left = M.delete(c, gone, "conv_id").select(F.lit("member").alias("kind"), "conv_id", "turn")
+    sessions = M.delete(c.select("conv_id").distinct(), gone, "conv_id").select(F.lit("session"), "conv_id", F.lit(-1).cast("long"))
+    counts = c.join(gone, "conv_id", "left_semi").groupBy("conv_id").agg(F.count("*").alias("n")).select(F.lit("deleted"), "conv_id", "n")
+    return left.union(sessions).union(counts)
 
 
-@query("SELECT doc_id AS id, len(embedding) AS dims FROM documents LEFT JOIN embeddings ON vec_id = doc_id")
-def m7_attach_vectors(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.when(F.col("embedding").isNotNull(), F.size("embedding")).cast("long").alias("dims"))
-    return table(spark, sf_dir, "documents").select("doc_id").join(v, "doc_id", "left").select(F.col("doc_id").alias("id"), "dims")
+@query("""SELECT coalesce(a.vec_id, b.id) AS id, CASE WHEN b.id IS NOT NULL THEN 'written' ELSE 'kept' END AS state, round(coalesce(b.v, a.embedding)[1]::DOUBLE, 3)::DOUBLE AS first, len(coalesce(b.v, a.embedding)) AS dims FROM embeddings a
+FULL JOIN (SELECT vec_id + 40 AS id, embedding AS v FROM embeddings WHERE vec_id % 3 = 0 AND embedding IS NOT NULL) b ON b.id = a.vec_id""")
+def m7_upsert_vectors(spark, sf_dir):
+    """A batch of vectors is merged with the stored ones: new ids are added, known ones replaced, the rest kept; rows without a vector write nothing."""
+    stored = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    batch = stored.where("id % 3 = 0").select((F.col("id") + 40).alias("id"), "vector")
+    merged = M.upsert_vectors(stored, batch)
+    return merged.select("id", "state", F.round(F.col("vector")[0].cast("double"), 3).alias("first"), F.size("vector").cast("long").alias("dims"))
 
 
 @query("SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
@@ -143,12 +195,18 @@ def m8_index_removal(spark, sf_dir):
     return M.delete(table(spark, sf_dir, "embeddings").select("vec_id"), gone, "vec_id")
 
 
-@query("""WITH r AS (SELECT trim(p_brand) AS s, trim(p_type) AS o FROM part), v AS (SELECT * FROM r WHERE s <> '' AND o <> '')
-SELECT (SELECT count(*) FROM (SELECT DISTINCT s, o FROM v)) AS created, (SELECT count(*) FROM r) - (SELECT count(*) FROM v) AS errors""")
+@query("""WITH r AS (SELECT trim(p_brand) AS s, trim(CASE WHEN p_size % 9 = 0 THEN ' ' ELSE p_type END) AS o FROM part), v AS (SELECT * FROM r WHERE s <> '' AND o <> '')
+SELECT 'edge' AS kind, s AS a, o AS b, count(*) AS n FROM v GROUP BY ALL UNION ALL SELECT 'node', x, '', 0 FROM (SELECT s AS x FROM v UNION SELECT o FROM v) UNION ALL SELECT 'errors', '', '', (SELECT count(*) FROM r) - (SELECT count(*) FROM v)""")
 def m10_bulk_relations(spark, sf_dir):
-    r = table(spark, sf_dir, "part").select(F.trim("p_brand").alias("s"), F.trim("p_type").alias("o"))
-    ok = (F.col("s") != "") & (F.col("o") != "")
-    return r.agg(F.countDistinct(F.when(ok, F.struct("s", "o"))).alias("created"), (F.count("*") - F.count_if(ok)).alias("errors"))
+    """Triples without blank ends become nodes and typed edges, each once; the rest is counted."""
+    r = table(spark, sf_dir, "part").select(F.trim("p_brand").alias("s"), F.trim(F.when(F.col("p_size") % 9 == 0, " ").otherwise(F.col("p_type"))).alias("o"))
+    good = (F.col("s") != "") & (F.col("o") != "")
+    v = r.where(good)
+    edges = v.groupBy("s", "o").agg(F.count("*").alias("n")).select(F.lit("edge").alias("kind"), F.col("s").alias("a"), F.col("o").alias("b"), "n")
+    none = F.lit("")
+    nodes = v.select("s").union(v.select("o")).distinct().select(F.lit("node"), "s", none, F.lit(0).cast("long"))
+    errors = r.agg((F.count("*") - F.count_if(good)).alias("n")).select(F.lit("errors"), none, none, "n")
+    return edges.union(nodes).union(errors)
 
 
 @query("SELECT doc_id AS id, 'direct' AS source_type, 'active' AS fact_track, 1 AS version, false AS archived FROM documents WHERE length(trim(text)) > 0")
@@ -163,10 +221,14 @@ def m12_orphan_hyperedges(spark, sf_dir):
     return M.orphans(table(spark, sf_dir, "orders").select("o_orderkey"), m, "o_orderkey")
 
 
-@query(f"SELECT hyperedge_id, episode_id FROM {MEMBERS_SQL} WHERE hyperedge_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+@query(f"""SELECT 'edge' AS kind, hyperedge_id, episode_id FROM {MEMBERS_SQL} WHERE hyperedge_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')
+UNION ALL SELECT 'node', o_orderkey, -1 FROM orders WHERE o_orderstatus <> 'F' OR o_orderstatus IS NULL""")
 def m13_detach_delete(spark, sf_dir):
-    gone = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("hyperedge_id"))
-    return M.delete(members(spark, sf_dir), gone, "hyperedge_id")
+    """The hyperedge and its edges go together: what is left of both."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("hyperedge_id"), "o_orderstatus")
+    gone = o.where("o_orderstatus = 'F'").select("hyperedge_id")
+    edges = M.delete(members(spark, sf_dir), gone, "hyperedge_id").select(F.lit("edge").alias("kind"), "hyperedge_id", "episode_id")
+    return edges.union(M.delete(o.select("hyperedge_id"), gone, "hyperedge_id").select(F.lit("node"), "hyperedge_id", F.lit(-1).cast("long")))
 
 
 @query("""WITH run AS (SELECT l_orderkey AS run_id, count(*) AS members, max(length(l_returnflag)) AS flags FROM lineitem GROUP BY 1)
@@ -191,19 +253,34 @@ def m17_turtle_export(spark, sf_dir):
     return top.union(n.join(r, n.n_regionkey == r.r_regionkey).select(F.concat(F.lit(":"), "n_name", F.lit(" a owl:Class ; rdfs:subClassOf :"), "r_name", F.lit(" ."))))
 
 
-@query("SELECT 'orders' AS label, (SELECT count(*) FROM orders) AS n_source, (SELECT count(*) FROM orders) AS n_copy, 0::BIGINT AS differing")
+@query("SELECT 'orders' AS label, (SELECT count(*) FROM orders) AS n_source, (SELECT count(*) FROM orders WHERE o_orderkey % 50 <> 7) AS n_copy, (SELECT 2 * count(*) FILTER (o_orderkey % 50 = 8) + count(*) FILTER (o_orderkey % 50 = 7) FROM orders) AS differing")
 def f38_copy_verification(spark, sf_dir):
-    """A copy is verified by counts and by rows that only one side has, both ways."""
+    """A copy is verified by counts and by rows that only one side has, both ways; this one lost some rows and changed others."""
     a = table(spark, sf_dir, "orders")
-    b = a.select("*")
-    differing = a.exceptAll(b).union(b.exceptAll(a)).agg(F.count("*").alias("differing"))
-    n = a.agg(F.lit("orders").alias("label"), F.count("*").alias("n_source")).join(b.agg(F.lit("orders").alias("label"), F.count("*").alias("n_copy")), "label")
-    return n.join(differing.withColumn("label", F.lit("orders")), "label").select("label", "n_source", "n_copy", "differing")
+    k = F.col("o_orderkey")
+    b = Workspace(spark, "copy").save(a.where(k % 50 != 7).withColumn("o_totalprice", F.when(k % 50 == 8, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))), "orders")
+    sides = a.select(F.lit(1).alias("side"), "*").union(b.select(F.lit(2), "*"))
+    rows = sides.groupBy(*a.columns).agg(F.count_if(F.col("side") == 1).alias("x"), F.count_if(F.col("side") == 2).alias("y"))
+    return rows.agg(F.lit("orders").alias("label"), F.sum("x").alias("n_source"), F.sum("y").alias("n_copy"), F.sum(F.abs(F.col("x") - F.col("y"))).alias("differing"))
 
 
 # --- filters and projections
 
 
+@query("SELECT r_regionkey, r_name, n.n_nationkey, n.n_name, n.n_regionkey FROM region JOIN nation n ON n_regionkey = r_regionkey")
+def p1_star_projection(spark, sf_dir):
+    """All properties of both nodes, whatever they are called."""
+    r, n = table(spark, sf_dir, "region").alias("r"), table(spark, sf_dir, "nation").alias("n")
+    return r.join(n, F.col("n.n_regionkey") == F.col("r.r_regionkey")).select("r.*", "n.*")
+
+
+@query("SELECT a.l_orderkey, a.l_partkey AS seed, b.l_partkey AS other FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_partkey % 100 = 0) a JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) b ON a.l_orderkey = b.l_orderkey WHERE a.l_partkey <> b.l_partkey")
+def p10_unequal_pairs(spark, sf_dir):
+    m = members(spark, sf_dir).toDF("l_orderkey", "other")
+    seeds = m.where("other % 100 = 0").withColumnRenamed("other", "seed")
+    return seeds.join(m, "l_orderkey").where("seed != other").select("l_orderkey", "seed", "other")
+
+
 @query(f"SELECT id, source, namespace FROM {EPISODES_SQL} WHERE NOT coalesce(archived, false) AND NOT quarantine")
 def p2_visible_episodes(spark, sf_dir):
     return episodes(spark, sf_dir).where(~F.coalesce("archived", F.lit(False)) & ~F.col("quarantine")).select("id", "source", "namespace")
@@ -285,14 +362,14 @@ def j2_cooccurrence_neighbours(spark, sf_dir):
     return keep_last(co_members(spark, sf_dir), ["seed"], [F.desc("n"), F.col("id")], 10)
 
 
-@query("""WITH e AS (SELECT DISTINCT s_nationkey AS a, c_nationkey AS b FROM supplier JOIN customer ON c_custkey % 40 = s_suppkey % 40 AND c_custkey % 7 = 0 WHERE s_suppkey % 5 = 0),
+@query("""WITH e AS (SELECT DISTINCT s_nationkey AS a, c_nationkey AS b FROM supplier JOIN customer ON c_custkey % 1500 = s_suppkey),
 u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), two AS (SELECT DISTINCT x.a, y.b FROM u x JOIN u y ON x.b = y.a), three AS (SELECT DISTINCT x.a, y.b FROM two x JOIN u y ON x.b = y.a),
 r AS (SELECT * FROM u UNION SELECT * FROM two UNION SELECT * FROM three)
 SELECT a, count(*) AS reached, round(0.6 + 0.4 * count(*) / 25.0, 6)::DOUBLE AS score FROM r WHERE a <> b GROUP BY a""")
 def j3_paths_up_to_three(spark, sf_dir):
     """Pairs joined by an undirected path of 1 to 3 edges: unrolled joins, distinct after each hop."""
-    s, c = table(spark, sf_dir, "supplier").where("s_suppkey % 5 = 0"), table(spark, sf_dir, "customer").where("c_custkey % 7 = 0")
-    e = s.join(c, F.col("c_custkey") % 40 == F.col("s_suppkey") % 40).select(F.col("s_nationkey").alias("a"), F.col("c_nationkey").alias("b")).distinct()
+    s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
+    e = s.join(c, F.col("c_custkey") % 1500 == F.col("s_suppkey")).select(F.col("s_nationkey").alias("a"), F.col("c_nationkey").alias("b")).distinct()
     u = e.union(e.select("b", "a")).distinct()
     step = u.select(F.col("a").alias("b"), F.col("b").alias("c"))
     two = u.join(step, "b").select("a", F.col("c").alias("b")).distinct()
@@ -310,9 +387,9 @@ def j4_left_collect(spark, sf_dir):
     return j.groupBy("o_orderkey").agg(F.count("episode_id").alias("n"), ids.alias("ids"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)")
 def j5_anti_join(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").where("o_totalprice > 150000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)")
@@ -343,20 +420,34 @@ def j10_contradictions(spark, sf_dir):
     return keep_last(a.join(b, ["p_type", "p_brand"]).where("v != w AND id != other").select("id", "other"), ["id"], [F.col("other")], 5)
 
 
-@query("SELECT d.doc_id, w.term FROM documents d JOIN (VALUES ('en', 'clown'), ('de', 'keit'), ('fr', 'eaux'), ('es', 'mente')) w(lang, term) ON w.lang = d.lang AND contains(d.text, w.term)")
+@query("SELECT DISTINCT d.doc_id, n.n_name AS entity FROM documents d JOIN (SELECT n_nationkey, n_name, lower(substr(n_name, 1, 4)) AS stem FROM nation) n ON n.n_nationkey % 4 = d.doc_id % 4 AND list_contains(regexp_split_to_array(lower(text), '[^a-z0-9à-ÿ]+'), n.stem)")
 def j11_contradictory_claims(spark, sf_dir):
-    w = spark.createDataFrame([("en", "clown"), ("de", "keit"), ("fr", "eaux"), ("es", "mente")], "lang string, term string")
-    return table(spark, sf_dir, "documents").join(F.broadcast(w), "lang").where(F.col("text").contains(F.col("term"))).select("doc_id", "term")
+    """Claims of one type (here the id modulo 4) whose text holds the entity as a word: both sides meet by type and word, not by scanning all texts for all entities."""
+    n = table(spark, sf_dir, "nation").select((F.col("n_nationkey") % 4).cast("long").alias("kind"), F.col("n_name").alias("entity"), F.lower(F.substring("n_name", 1, 4)).alias("word"))
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 4).alias("kind"), F.explode(F.array_distinct(F.split(F.lower("text"), r"[^a-z0-9à-ÿ]+"))).alias("word"))
+    return d.join(n, ["kind", "word"]).select("doc_id", "entity").distinct()
+
+
+@query("SELECT event_id, list_sort(list(other)) AS near FROM (SELECT a.event_id, b.event_id AS other FROM events a JOIN events b ON b.user_id = a.user_id AND epoch_us(b.ts) BETWEEN epoch_us(a.ts) - 300000000 AND epoch_us(a.ts) - 1) GROUP BY event_id")
+def j13_window_self_match(spark, sf_dir):
+    """Writes of one source in the 300 seconds before, by a range frame: no pair is joined."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    near = F.collect_list("event_id").over(W.partitionBy("user_id").orderBy(at).rangeBetween(-300_000_000, -1))
+    return table(spark, sf_dir, "events").select("event_id", F.sort_array(near).alias("near")).where(F.size("near") > 0)
 
 
-@query("""SELECT c.c_custkey, s.s_suppkey, (CASE WHEN c.c_nationkey = s.s_nationkey THEN 0.9 WHEN a.n_regionkey = b.n_regionkey THEN 0.5 ELSE 0.3 END)::DOUBLE AS distance
-FROM customer c JOIN nation a ON a.n_nationkey = c.c_nationkey JOIN supplier s ON s.s_suppkey = c.c_custkey % 100 JOIN nation b ON b.n_nationkey = s.s_nationkey""")
+@query("""WITH p AS (SELECT c_custkey, s_suppkey, (c_custkey + s_suppkey) % 11 = 0 AS unknown, c_nationkey AS na, s_nationkey AS nb, c_mktsegment AS seg FROM customer JOIN supplier ON s_suppkey = c_custkey % 100)
+SELECT c_custkey, s_suppkey, (CASE WHEN unknown OR a.n_nationkey IS NULL OR b.n_nationkey IS NULL THEN 1.0 WHEN na = nb AND c_custkey % 100 = s_suppkey AND c_custkey < 100 THEN 1.0 WHEN na = nb THEN 0.9 WHEN a.n_regionkey = b.n_regionkey THEN 0.7 WHEN a.n_regionkey % 2 = b.n_regionkey % 2 THEN 0.5 ELSE 0.3 END)::DOUBLE AS distance
+FROM p LEFT JOIN nation a ON a.n_nationkey = na LEFT JOIN nation b ON b.n_nationkey = nb""")
 def j14_ontological_distance(spark, sf_dir):
+    """Entity, type, category, parent: one entity 1.0, one type (nation) 0.9, one category (region) 0.7, one parent 0.5, else 0.3; what the hierarchy doesn't know is no ground for doubt: 1.0."""
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", (F.col("c_custkey") % 100).alias("s_suppkey"))
-    j = c.join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), "s_suppkey")
-    j = j.join(n.toDF("c_nationkey", "ra"), "c_nationkey").join(n.toDF("s_nationkey", "rb"), "s_nationkey")
-    d = F.when(F.col("c_nationkey") == F.col("s_nationkey"), 0.9).when(F.col("ra") == F.col("rb"), 0.5).otherwise(0.3)
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("na"), (F.col("c_custkey") % 100).alias("s_suppkey"))
+    j = c.join(table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nb")), "s_suppkey")
+    unknown = (F.col("c_custkey") + F.col("s_suppkey")) % 11 == 0
+    j = j.withColumn("ka", F.when(~unknown, F.col("na"))).join(n.toDF("ka", "ra"), "ka", "left").join(n.toDF("nb", "rb"), "nb", "left")
+    same = (F.col("c_custkey") % 100 == F.col("s_suppkey")) & (F.col("c_custkey") < 100)
+    d = F.when(F.col("ra").isNull() | F.col("rb").isNull(), 1.0).when((F.col("na") == F.col("nb")) & same, 1.0).when(F.col("na") == F.col("nb"), 0.9).when(F.col("ra") == F.col("rb"), 0.7).when(F.col("ra") % 2 == F.col("rb") % 2, 0.5).otherwise(0.3)
     return j.select("c_custkey", "s_suppkey", d.alias("distance"))
 
 
@@ -464,6 +555,13 @@ def t2_offset(spark, sf_dir):
     return table(spark, sf_dir, "orders").orderBy("o_orderdate", "o_orderkey").offset(25).limit(10).select("o_orderkey")
 
 
+@query("SELECT o_orderkey, o_totalprice - 100000 AS score FROM orders WHERE o_totalprice > 100000 ORDER BY score DESC, o_orderkey LIMIT 25")
+def t3_global_top_k(spark, sf_dir):
+    """The best of all by score, none of 0 or less; each task keeps its own 25 before they meet."""
+    score = F.col("o_totalprice") - 100000
+    return table(spark, sf_dir, "orders").select("o_orderkey", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "o_orderkey").limit(25)
+
+
 @query(f"SELECT source, id FROM {EPISODES_SQL} WHERE tau_initial > 0 QUALIFY row_number() OVER (PARTITION BY source ORDER BY tau_initial DESC, id) <= 3")
 def t4_top_per_key(spark, sf_dir):
     return R.top_k(episodes(spark, sf_dir).where("tau_initial > 0").select("source", "id", "tau_initial"), ["source"], "tau_initial", "id", 3).select("source", "id")
