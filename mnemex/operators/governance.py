@@ -66,3 +66,9 @@ def verify_chain(chain: DataFrame) -> DataFrame:
     before = F.lag("hash", 1, "0" * 64).over(W.partitionBy("chain").orderBy("index"))
     right = F.sha2(F.concat_ws("|", "previous", "operations", "at"), 256)
     return chain.select("chain", "index", ((F.col("hash") == right) & (F.col("previous") == before)).alias("valid"))
+
+
+def check_versions(ops: DataFrame) -> DataFrame:
+    """``txn, ops, conflicts, committed`` of operations (txn, node, checked, expected, version): a checked one that expects another version than the node has is a conflict; without an expectation it is none."""
+    wrong = F.col("checked") & (F.col("expected") != F.col("version"))
+    return ops.groupBy("txn").agg(F.count("*").alias("ops"), F.count_if(wrong).alias("conflicts")).withColumn("committed", F.col("conflicts") == 0)

@@ -6,6 +6,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import graph as G
 from ..operators.temporal import keep_last
 from ..shared import Workspace
@@ -21,7 +22,7 @@ def knn_graph(spark, sf_dir):
     return G.knn_edges(vectors(spark, sf_dir)[1])
 
 
-@query(f"SELECT * FROM {EDGES_SQL}".replace("WHERE score >= 0.3 QUALIFY", "WHERE score >= 0.3 QUALIFY"))
+@query(f"SELECT * FROM {EDGES_SQL}")
 def m9_knn_graph(spark, sf_dir):
     """Edges to the six nearest others, from 0.3 on: what an index rebuild writes."""
     return knn_graph(spark, sf_dir)
@@ -32,9 +33,17 @@ def g12_edge_seeding(spark, sf_dir):
     return knn_graph(spark, sf_dir).groupBy("src").agg(F.count("*").alias("degree"), F.round(F.sum("weight"), 4).alias("strength"))
 
 
-@query(f"SELECT hyperedge_id, count(*) AS size, min(episode_id) AS first_member FROM {MEMBERS_SQL} GROUP BY 1 HAVING count(*) >= 2")
+@query(f"""WITH k AS (SELECT 'episode' AS kind, 'order-' || hyperedge_id AS topic, episode_id, source FROM {MEMBERS_SQL} JOIN {EPISODES_SQL} e ON e.id = episode_id
+UNION ALL SELECT 'temporal', source || '@' || strftime(created_at, '%Y-%m-%d %H'), id, source FROM {EPISODES_SQL} UNION ALL SELECT 'community', 'community-' || (id // 20), id, source FROM {EPISODES_SQL})
+SELECT kind, topic, count(DISTINCT episode_id) AS size, min(episode_id) AS first_member, count(DISTINCT source) >= 2 AS several_agents FROM k GROUP BY kind, topic HAVING count(DISTINCT episode_id) >= 2""")
 def g1_hyperedges(spark, sf_dir):
-    return members(spark, sf_dir).groupBy("hyperedge_id").agg(F.count("*").alias("size"), F.min("episode_id").alias("first_member")).where("size >= 2")
+    """Hyperedges of three kinds: members of an order, episodes of one source in one hour, and communities of twenty; two members at least. Those whose members come from two sources or more are shared between agents."""
+    e = episodes(spark, sf_dir).select("id", "source", "created_at")
+    of_order = members(spark, sf_dir).join(e, F.col("episode_id") == F.col("id")).select(F.lit("episode").alias("kind"), F.concat(F.lit("order-"), "hyperedge_id").alias("topic"), "id", "source")
+    of_hour = e.select(F.lit("temporal"), F.concat("source", F.lit("@"), F.date_format("created_at", "yyyy-MM-dd HH")), "id", "source")
+    of_community = e.select(F.lit("community"), F.concat(F.lit("community-"), F.floor(F.col("id") / 20)), "id", "source")
+    every = of_order.union(of_hour).union(of_community).where("topic IS NOT NULL")
+    return every.groupBy("kind", "topic").agg(F.countDistinct("id").alias("size"), F.min("id").alias("first_member"), (F.countDistinct("source") >= 2).alias("several_agents")).where("size >= 2")
 
 
 @query("""SELECT src, dst, max(weight)::DOUBLE AS weight FROM (SELECT l_orderkey AS src, l_orderkey + 1 AS dst, 0.01 * l_linenumber AS weight FROM lineitem WHERE l_linenumber = 1 UNION ALL
@@ -145,10 +154,14 @@ def g19_calibrate_confidence(spark, sf_dir):
     return episodes(spark, sf_dir).select("id", F.round(c, 6).alias("confidence"), ((c < 0.1) | ((c < 0.3) & (n >= 3)) | (n >= 10)).alias("flagged"))
 
 
-@query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(list_filter(regexp_extract_all(text, '\\b([A-Z]{2,8})\\b', 1), lambda x: x NOT IN ('AI', 'API', 'I', 'II', 'III', 'IV', 'VI')), []::VARCHAR[]))), ',') AS acronyms FROM documents WHERE lang = 'en'")
-def g20_acronyms(spark, sf_dir):
-    caps = F.filter(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9_])([A-Z]{2,8})(?![A-Za-z0-9_])"), F.lit(1)), lambda x: ~x.isin("AI API I II III IV VI".split()))
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.array_join(F.sort_array(F.array_distinct(caps)), ",").alias("acronyms"))
+@query("""WITH e AS (SELECT doc_id, list_concat(list_filter(list_transform(regexp_extract_all(text, '["「『“]([^"「『“”」』]{2,50})["」』”]', 1), lambda x: trim(x)), lambda x: length(x) >= 2),
+ list_filter(regexp_extract_all(plain, '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+){0,3})\\b', 1), lambda x: lower(x) NOT IN ('this', 'that', 'the', 'what', 'when', 'where', 'which', 'there', 'these', 'those', 'then', 'than', 'also', 'with', 'from')),
+ list_filter(regexp_extract_all(plain, '\\b([A-Z]{2,8})\\b', 1), lambda x: x NOT IN ('AI', 'API', 'I', 'II', 'III', 'IV', 'VI'))) AS names FROM (SELECT doc_id, text, regexp_replace(text, '[À-ÖØ-öø-ÿ]', '_', 'g') AS plain FROM documents) WHERE text IS NOT NULL)
+SELECT doc_id, len(list_distinct(names))::INT AS n, array_to_string(list_sort(list_distinct(names)), ',') AS names FROM e""")
+def g20_named_entities(spark, sf_dir):
+    """Quoted strings, capitalised runs of one to four words and acronyms of every text, less the words that name nothing."""
+    found = X.named_entities(F.col("text"))
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.size(found).alias("n"), F.array_join(found, ",").alias("names"))
 
 
 @query("SELECT 'community' AS kind, count(DISTINCT p_brand) AS n FROM part UNION ALL SELECT 'member', count(*) FROM part UNION ALL SELECT 'hyperedge', count(*) FROM (SELECT p_brand FROM part GROUP BY 1 HAVING count(*) >= 2)")
@@ -208,15 +221,17 @@ def a12_type_proposals(spark, sf_dir):
     return g.select(F.concat("p_type", F.lit("Discovered")).alias("name"), F.col("p_type").alias("parent"), "entities")
 
 
-@query(f"""SELECT namespace AS community, round(avg(id % 10 / 10.0), 4)::DOUBLE AS importance, round(avg(epoch(TIMESTAMP '2024-02-01' - created_at) / 3600), 4)::DOUBLE AS age_h, round(avg(id % 20), 4)::DOUBLE AS accesses, least(count(*) / 100.0, 1.0)::DOUBLE AS size,
-round(avg(tau_initial), 4)::DOUBLE AS tau, round(var_pop(tau_initial), 4)::DOUBLE AS tau_var FROM {EPISODES_SQL} GROUP BY 1""")
+@query(f"""SELECT namespace AS community, round(avg(id % 10 / 10.0), 4)::DOUBLE AS importance, round(avg(epoch(TIMESTAMP '2024-02-01' - created_at) / 3600), 4)::DOUBLE AS age_h, round(avg(id % 20), 4)::DOUBLE AS accesses, least(count(*) / 100.0, 1.0)::DOUBLE AS size, 0.0::DOUBLE AS reserved_a,
+round(avg(tau_initial), 4)::DOUBLE AS tau, round(var_pop(tau_initial), 4)::DOUBLE AS tau_var, 0.0::DOUBLE AS reserved_b, round(avg(CASE source_type WHEN 'direct' THEN 1.0 WHEN 'tool' THEN 0.7 ELSE 0.5 END), 4)::DOUBLE AS confidence FROM {EPISODES_SQL} GROUP BY 1""")
 def a13_community_features(spark, sf_dir):
+    """Nine features a community: importance, age, accesses, size, a reserved 0, tau and its variance, a reserved 0, confidence."""
+    from ..operators.governance import source_rank
     from .temporal import age
 
     i = F.col("id")
     return episodes(spark, sf_dir).groupBy(F.col("namespace").alias("community")).agg(
-        F.round(F.avg(i % 10 / 10), 4).alias("importance"), F.round(F.avg(age() / 3600), 4).alias("age_h"), F.round(F.avg(i % 20), 4).alias("accesses"), F.least(F.count("*") / 100, F.lit(1.0)).alias("size"),
-        F.round(F.avg("tau_initial"), 4).alias("tau"), F.round(F.var_pop("tau_initial"), 4).alias("tau_var"),
+        F.round(F.avg(i % 10 / 10), 4).alias("importance"), F.round(F.avg(age() / 3600), 4).alias("age_h"), F.round(F.avg(i % 20), 4).alias("accesses"), F.least(F.count("*") / 100, F.lit(1.0)).alias("size"), F.lit(0.0).alias("reserved_a"),
+        F.round(F.avg("tau_initial"), 4).alias("tau"), F.round(F.var_pop("tau_initial"), 4).alias("tau_var"), F.lit(0.0).alias("reserved_b"), F.round(F.avg(source_rank(F.col("source_type"))), 4).alias("confidence"),
     )
 
 
@@ -233,12 +248,12 @@ def a15_shared_concepts(spark, sf_dir):
 
 
 @query(f"""WITH m AS {MEMBERS_SQL}, u AS (SELECT a.episode_id AS x, b.episode_id AS y FROM m a JOIN m b ON a.hyperedge_id = b.hyperedge_id AND a.episode_id <> b.episode_id GROUP BY ALL),
-one AS (SELECT x AS seed, y AS id FROM u WHERE x % 500 = 0), two AS (SELECT DISTINCT o.seed, u.y AS id FROM one o JOIN u ON u.x = o.id)
+one AS (SELECT x AS seed, y AS id FROM u WHERE x % 100 = 0), two AS (SELECT DISTINCT o.seed, u.y AS id FROM one o JOIN u ON u.x = o.id)
 SELECT seed, count(DISTINCT id) AS reached FROM (SELECT * FROM one UNION SELECT * FROM two) WHERE seed <> id GROUP BY seed""")
 def j16_scope_reach(spark, sf_dir):
     """How many nodes two hops of shared hyperedges reach; the hops go through the hyperedges, so no pair of members is listed."""
     m = members(spark, sf_dir).select(F.col("hyperedge_id").alias("h"), F.col("episode_id").alias("id"))
-    at = m.where("id % 500 = 0").select(F.col("id").alias("seed"), "id").distinct()
+    at = m.where("id % 100 = 0").select(F.col("id").alias("seed"), "id").distinct()
     reached = at
     for _ in range(2):
         at = at.join(m, "id").select("seed", "h").distinct().join(m, "h").select("seed", "id").distinct()

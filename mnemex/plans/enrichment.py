@@ -113,11 +113,11 @@ def f9_key_value(spark, sf_dir):
     return planted(spark, sf_dir).select("id", X.key_value(F.col("text")).alias("value"))
 
 
-@query("SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)\\b', 1)))[1:20], '|') AS entities FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)\\b', 1))), '|') AS entities FROM (SELECT doc_id, regexp_replace(text, '[À-ÖØ-öø-ÿ]', '_', 'g') AS text FROM documents) WHERE text IS NOT NULL")
 def f10_candidate_entities(spark, sf_dir):
-    # boundaries by look-around: those of Java know letters beyond ASCII
-    found = F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9_])([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)(?![A-Za-z0-9_])"), F.lit(1))
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.array_join(F.slice(F.sort_array(F.array_distinct(found)), 1, 20), "|").alias("entities"))
+    """Capitalised runs of every text, each once."""
+    found = F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9_À-ÖØ-öø-ÿ])([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)(?![A-Za-z0-9_À-ÖØ-öø-ÿ])"), F.lit(1))
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.array_join(F.sort_array(F.array_distinct(found)), "|").alias("entities"))
 
 
 DICTIONARY = [("apple", "Organization", "company"), ("paris", "Location", "city"), ("berlin", "Location", "city"), ("nasa", "Organization", "agency"), ("revenue", "Concept", "finance")]
@@ -165,12 +165,17 @@ def f16_coreference(spark, sf_dir):
     return planted(spark, sf_dir).select("id", resolve(t).alias("text"))
 
 
-@query("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND (contains(lower(a.n_name), lower(b.n_name)) OR contains(lower(b.n_name), lower(a.n_name))) AND lower(a.n_name) <> lower(b.n_name) AND string_split(lower(a.n_name), ' ')[1] = string_split(lower(b.n_name), ' ')[1]")
+@query("""WITH n AS (SELECT DISTINCT lower(trim(name)) AS x, string_split(lower(trim(name)), ' ') AS w FROM (SELECT p_name AS name FROM part UNION ALL SELECT string_split(p_name, ' ')[1] || ' ' || p_type || ' ' || string_split(p_name, ' ')[-1] FROM part UNION ALL SELECT string_split(p_name, ' ')[1] FROM part) WHERE trim(name) <> '')
+SELECT a.x AS a, b.x AS b FROM n a JOIN n b ON a.w[1] = b.w[1] AND a.x < b.x WHERE contains(a.x, b.x) OR contains(b.x, a.x) OR (len(a.w) >= 2 AND len(b.w) >= 2 AND a.w[-1] = b.w[-1])""")
 def f17_alias_pairs(spark, sf_dir):
-    """Alias candidates share their first word."""
-    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.split(F.lower("n_name"), " ")[0].alias("word"))
-    j = n.alias("a").join(n.alias("b"), "word").where("a.n_nationkey < b.n_nationkey")
-    return j.where(X.same_entity(F.col("a.n_name"), F.col("b.n_name"))).select(F.col("a.n_nationkey").alias("a"), F.col("b.n_nationkey").alias("b"))
+    """Names of parts, their first words, and the names with the type between: aliases share their first word, and one holds the other or their last words agree."""
+    name = F.col("p_name")
+    words = F.split(name, " ")
+    p = table(spark, sf_dir, "part")
+    long = p.select(F.concat_ws(" ", words[0], "p_type", F.element_at(words, -1)))
+    n = p.select(name.alias("x")).union(long).union(p.select(words[0])).select(F.lower(F.trim("x")).alias("x")).where("x != ''").distinct().withColumn("word", F.split("x", " ")[0])
+    j = n.alias("a").join(n.alias("b"), "word").where("a.x < b.x")
+    return j.where(X.same_entity(F.col("a.x"), F.col("b.x"))).select(F.col("a.x").alias("a"), F.col("b.x").alias("b"))
 
 
 @query(f"SELECT id, CASE WHEN contains(lower(text), 'revenue') OR contains(lower(text), 'tim cook') OR contains(lower(text), 'works') THEN 'Organization' ELSE 'ambiguous' END AS meaning FROM {PLANTED_SQL} WHERE contains(lower(text), 'apple')".replace("contains(lower(text), 'revenue') OR ", "").replace(" OR contains(lower(text), 'works')", ""))
@@ -270,14 +275,27 @@ def f34_json_values(spark, sf_dir):
 HOST_SQL = "(SELECT page_id, url, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host FROM pages)"
 
 
-@query(f"""SELECT DISTINCT subject, relation, object FROM (SELECT url AS subject, 'URL_ON' AS relation, host AS object FROM {HOST_SQL}
-UNION ALL SELECT host, 'SUBDOMAIN_OF', array_to_string(string_split(host, '.')[-2:], '.') FROM {HOST_SQL} WHERE len(string_split(host, '.')) >= 3)""")
+OWNERS = [("example.com", "Example Organisation"), ("example.net", "Example Network"), ("example.org", "Example Foundation")]
+LAST_TWO_SQL = "array_to_string(string_split(host, '.')[-2:], '.')"
+
+
+@query(f"""SELECT min(subject) AS subject, relation, min(object) AS object FROM (SELECT url AS subject, 'URL_ON' AS relation, host AS object FROM {HOST_SQL} WHERE host <> ''
+UNION ALL SELECT host, 'SUBDOMAIN_OF', {LAST_TWO_SQL} FROM {HOST_SQL} WHERE len(string_split(host, '.')) >= 3
+UNION ALL SELECT host, 'OWNED_BY', o.name FROM {HOST_SQL} JOIN (VALUES {', '.join(map(str, OWNERS))}) o(domain, name) ON o.domain = {LAST_TWO_SQL}
+UNION ALL SELECT ip, 'IN_RANGE', array_to_string(string_split(ip, '.')[1:3], '.') || '.0/24' FROM (SELECT unnest(regexp_extract_all(text, '([0-9]{{1,3}}\\.[0-9]{{1,3}}\\.[0-9]{{1,3}}\\.[0-9]{{1,3}})', 1)) AS ip FROM documents))
+GROUP BY lower(subject), relation, lower(object)""")
 def f35_domain_relations(spark, sf_dir):
+    """Urls on hosts, hosts under domains, domains of known owners, addresses in ranges; each relation once without regard to case."""
     h = table(spark, sf_dir, "pages").select("url", F.lower(F.regexp_extract("url", "://([^/?#]*)", 1)).alias("host"))
     labels = F.split("host", r"\.")
-    a = h.select(F.col("url").alias("subject"), F.lit("URL_ON").alias("relation"), F.col("host").alias("object"))
-    b = h.where(F.size(labels) >= 3).select(F.col("host").alias("subject"), F.lit("SUBDOMAIN_OF").alias("relation"), F.array_join(F.slice(labels, -2, 2), ".").alias("object"))
-    return a.union(b).distinct()
+    last = F.array_join(F.slice(labels, -2, 2), ".")
+    two = h.where(F.size(labels) >= 2).select("host", last.alias("domain"), F.size(labels).alias("n"))
+    owners = F.broadcast(spark.createDataFrame(OWNERS, "domain string, name string"))
+    ips = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})"), F.lit(1))).alias("ip"))
+    found = h.where("host != ''").select(F.col("url").alias("subject"), F.lit("URL_ON").alias("relation"), F.col("host").alias("object"))
+    found = found.union(two.where("n >= 3").select("host", F.lit("SUBDOMAIN_OF"), "domain")).union(two.join(owners, "domain").select("host", F.lit("OWNED_BY"), "name"))
+    found = found.union(ips.select("ip", F.lit("IN_RANGE"), F.concat(F.substring_index("ip", ".", 3), F.lit(".0/24"))))
+    return found.groupBy(F.lower("subject").alias("s"), "relation", F.lower("object").alias("o")).agg(F.min("subject").alias("subject"), F.min("object").alias("object")).select("subject", "relation", "object")
 
 
 @query(f"""WITH d AS (SELECT DISTINCT array_to_string(string_split(host, '.')[-2:], '.') AS org, host FROM {HOST_SQL}),
@@ -313,12 +331,22 @@ def g24_ontology_alignment(spark, sf_dir):
     return O.align(left.select("name").distinct(), right.select("other").distinct(), left, right)
 
 
-@query("SELECT doc_id, round(len(list_intersect(w, q)) / len(list_distinct(list_concat(w, q)))::DOUBLE, 6)::DOUBLE AS overlap FROM (SELECT doc_id, list_distinct(list_filter(string_split(lower(left(text, 200)), ' '), lambda x: x <> '')) AS w, ['the', 'and', 'of', 'in'] AS q FROM documents) WHERE len(w) > 0")
+TYPES_SQL = "(SELECT l_orderkey AS id, list_sort(list_distinct(list(p_type))) AS t, list_sort(list_distinct(list(string_split(p_type, ' ')[1]))) AS c FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size > 5 GROUP BY 1)"
+
+
+@query(f"""SELECT o_orderkey AS id, CASE WHEN a.id IS NULL OR b.id IS NULL THEN 0.5 ELSE round(0.6 * len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) + 0.4 * len(list_intersect(a.c, b.c)) / len(list_distinct(list_concat(a.c, b.c))), 3) END::DOUBLE AS overlap
+FROM orders LEFT JOIN {TYPES_SQL} a ON a.id = o_orderkey LEFT JOIN {TYPES_SQL} b ON b.id = o_orderkey + 1""")
 def v33_type_overlap(spark, sf_dir):
+    """Types and categories (first words) of the parts of each order and of the one after it: 0.6 of the first Jaccard, 0.4 of the second, 0.5 where a side has none."""
     from ..operators.ranking import jaccard
 
-    w = F.array_distinct(F.filter(F.split(F.lower(F.substring("text", 1, 200)), " "), lambda x: x != ""))
-    return table(spark, sf_dir, "documents").select("doc_id", w.alias("w")).where("size(w) > 0").select("doc_id", F.round(jaccard(F.col("w"), F.array(*map(F.lit, ["the", "and", "of", "in"]))), 6).alias("overlap"))
+    p = table(spark, sf_dir, "part").where("p_size > 5").select(F.col("p_partkey").alias("l_partkey"), "p_type")
+    held = table(spark, sf_dir, "lineitem").join(p, "l_partkey").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("p_type").alias("t"))
+    held = held.withColumn("c", F.array_distinct(F.transform("t", lambda x: F.split(x, " ")[0])))
+    other = held.select((F.col("id") - 1).alias("id"), F.col("t").alias("u"), F.col("c").alias("d"))
+    j = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")).join(held, "id", "left").join(other, "id", "left")
+    score = F.round(0.6 * jaccard(F.col("t"), F.col("u")) + 0.4 * jaccard(F.col("c"), F.col("d")), 3)
+    return j.select("id", F.when(F.col("t").isNull() | F.col("u").isNull(), 0.5).otherwise(score).alias("overlap"))
 
 
 @query(f"SELECT id, CASE WHEN contains(text, 'revenue') OR contains(text, 'price') THEN 'attribute' WHEN regexp_matches(lower(text), 'recent|now|latest|current|today|yesterday|earlier|last|previous|ago|(19|20)\\d\\d') THEN 'event' WHEN contains(text, 'api_key') THEN 'multi_hop' ELSE 'identity' END AS intent FROM {PLANTED_SQL}")
@@ -343,10 +371,10 @@ def v31_strategy_level(spark, sf_dir):
     return planted(spark, sf_dir).select("id", O.level(strategy, F.lit(True)).alias("level"))
 
 
-@query("SELECT doc_id, string_agg(x, ' ' ORDER BY x) AS keywords FROM (SELECT doc_id, x FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([a-z]{4,})', 1)) AS x FROM documents WHERE lang = 'en') GROUP BY doc_id, x QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, x) <= 5) GROUP BY doc_id")
+@query("SELECT doc_id, string_agg(x, ' ' ORDER BY x) AS keywords FROM (SELECT doc_id, x FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([a-z]{4,})', 1)) AS x FROM documents) GROUP BY doc_id, x QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, x) <= 5) GROUP BY doc_id")
 def v34_keywords(spark, sf_dir):
     from ..operators.temporal import keep_last
 
-    words = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), F.lit(1))).alias("x"))
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), F.lit(1))).alias("x"))
     top = keep_last(words.groupBy("doc_id", "x").agg(F.count("*").alias("n")), ["doc_id"], [F.desc("n"), F.col("x")], 5)
     return top.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("x")), " ").alias("keywords"))

@@ -23,17 +23,24 @@ def f28_winner_decision(spark, sf_dir):
     return j.select("id", G.winner(*map(F.col, ("nt", "ot", "ntr", "otr", "tau", "protected", "fact_track"))).alias("replaces"))
 
 
-@query("""SELECT event_id, spike, flood, crowded, CASE WHEN trust < 0.3 THEN 'BLOCK' WHEN spike OR flood OR crowded OR trust < 0.5 THEN 'QUARANTINE' ELSE 'ALLOW' END AS intended, CASE WHEN trust < 0.3 THEN 'BLOCK' ELSE 'ALLOW' END AS enforced
-FROM (SELECT event_id, (user_id % 10) / 10.0 AS trust, event_id % 40 > 15 AS crowded, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW) > 20 AS spike,
- count(*) OVER (PARTITION BY user_id, event_type ORDER BY epoch_us(ts) RANGE BETWEEN 300000000 PRECEDING AND CURRENT ROW) > 5 AS flood FROM events)""")
+@query(f"""WITH d AS (SELECT doc_id, source, text, lang, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE text IS NOT NULL),
+t AS (SELECT d.*, TIMESTAMP '2024-01-01' + to_seconds(doc_id) AS ts FROM d), r AS (SELECT doc_id, count(*) OVER (PARTITION BY source ORDER BY epoch_us(ts) RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW) > 5 AS spike,
+ count(*) OVER (PARTITION BY source, md5(text) ORDER BY epoch_us(ts) RANGE BETWEEN 300000000 PRECEDING AND CURRENT ROW) > 5 AS flood, len(regexp_extract_all(text, '([A-Z][a-z]+)', 1)) > 15 AS crowded, ((doc_id * 7) % 10) / 10.0 AS trust,
+ CASE WHEN regexp_matches(text, '(?i)api_key|password') THEN 'high' ELSE 'none' END AS secret FROM t)
+SELECT doc_id, spike, flood, crowded, CASE WHEN trust < 0.3 THEN 'BLOCK' WHEN spike OR flood OR crowded OR trust < 0.5 OR secret = 'high' THEN 'QUARANTINE' ELSE 'ALLOW' END AS intended, CASE WHEN trust < 0.3 THEN 'BLOCK' ELSE 'ALLOW' END AS enforced FROM r""")
 def w4_defence(spark, sf_dir):
-    """Each rule is a column, beside both verdicts: the one the rules mean and the one that only distrust and critical content reach."""
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    spike = F.count("*").over(W.partitionBy("user_id").orderBy(at).rangeBetween(-60_000_000, 0)) > 20
-    flood = F.count("*").over(W.partitionBy("user_id", "event_type").orderBy(at).rangeBetween(-300_000_000, 0)) > 5
-    e = table(spark, sf_dir, "events").select("event_id", spike.alias("spike"), flood.alias("flood"), (F.col("event_id") % 40 > 15).alias("crowded"), (F.col("user_id") % 10 / 10).alias("trust"))
-    intended, enforced = G.verdict(F.col("spike"), F.lit(False), F.col("crowded"), F.col("flood"), F.col("trust"), F.lit("none"))
-    return e.select("event_id", "spike", "flood", "crowded", intended.alias("intended"), enforced.alias("enforced"))
+    """Rules over the writes themselves: rate and repetition by source and time, entities in the text, trust, and the risk of the content; beside both verdicts, the one the rules mean and the one that only distrust and
+    critical content reach. Drift is ``w5_semantic_drift``, for rows with vectors."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "source", "text", (F.col("doc_id") * 1_000_000).alias("at"))
+    spike = F.count("*").over(W.partitionBy("source").orderBy("at").rangeBetween(-60_000_000, 0)) > 5
+    flood = F.count("*").over(W.partitionBy("source", F.md5("text")).orderBy("at").rangeBetween(-300_000_000, 0)) > 5
+    level, _ = X.content_risk(F.col("text"))
+    secret = F.col("text").rlike("(?i)api_key|password")
+    risk = F.when(level == "critical", "none").when(secret, "high").otherwise("none")
+    crowded = F.size(F.regexp_extract_all("text", F.lit("([A-Z][a-z]+)"), F.lit(1))) > 15
+    e = d.select("doc_id", spike.alias("spike"), flood.alias("flood"), crowded.alias("crowded"), (F.col("doc_id") * 7 % 10 / 10).alias("trust"), risk.alias("risk"))
+    intended, enforced = G.verdict(F.col("spike"), F.lit(False), F.col("crowded"), F.col("flood"), F.col("trust"), F.col("risk"))
+    return e.select("doc_id", "spike", "flood", "crowded", intended.alias("intended"), enforced.alias("enforced"))
 
 
 @query()
@@ -111,11 +118,31 @@ def w12_merge_fields(spark, sf_dir):
     return j.select("id", F.least("o_orderdate", F.coalesce("at", "o_orderdate")).alias("at"), merged["state"].alias("state"))
 
 
-@query("""SELECT o_custkey AS txn, count(*) AS ops, bool_and(o_orderkey % 3 = o_orderkey % 9 % 3 AND o_orderkey % 17 <> 0) AS committed FROM orders GROUP BY 1""")
+OPS_SQL = "(SELECT l_orderkey AS txn, l_partkey AS node, l_returnflag <> 'N' AS checked, CASE WHEN l_linenumber % 3 <> 0 THEN 1 + l_suppkey % 2 END AS expected, 1 + l_partkey % 2 AS version FROM lineitem)"
+TXN_SQL = f"(SELECT txn, count(*) AS ops, count(*) FILTER (checked AND expected <> version) AS conflicts FROM {OPS_SQL} GROUP BY 1)"
+
+
+def _transactions(spark, sf_dir):
+    """Operations on parts by order: those of returned lines change a node, and most of them name the version that they expect."""
+    ops = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("txn"), F.col("l_partkey").alias("node"), (F.col("l_returnflag") != "N").alias("checked"),
+        F.when(F.col("l_linenumber") % 3 != 0, 1 + F.col("l_suppkey") % 2).alias("expected"), (1 + F.col("l_partkey") % 2).alias("version"),
+    )
+    return ops, G.check_versions(ops)
+
+
+@query(f"SELECT txn, ops, conflicts, conflicts = 0 AS committed FROM {TXN_SQL}")
 def w13_transactions(spark, sf_dir):
-    """All versions of a transaction are checked before any of its writes counts."""
-    k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("txn")).agg(F.count("*").alias("ops"), F.bool_and((k % 3 == k % 9 % 3) & (k % 17 != 0)).alias("committed"))
+    """All versions of a transaction are checked before any of its writes counts: one conflict aborts the whole."""
+    return _transactions(spark, sf_dir)[1].select("txn", "ops", "conflicts", "committed")
+
+
+@query(f"SELECT node, any_value(version) AS before, any_value(version) + count(*) FILTER (checked AND conflicts = 0) AS version FROM {OPS_SQL} JOIN {TXN_SQL} USING (txn) GROUP BY node")
+def w13_versions(spark, sf_dir):
+    """Versions after the batch: each change of a committed transaction raises its node's by one."""
+    ops, checked = _transactions(spark, sf_dir)
+    done = ops.join(checked.select("txn", "committed"), "txn")
+    return done.groupBy("node").agg(F.first("version").alias("before"), (F.first("version") + F.count_if(F.col("checked") & F.col("committed"))).alias("version"))
 
 
 @query("""SELECT strftime(day, '%Y-%m-%d') AS day, n, n >= 100 AS enough_new, idle_s > 300 AS idle FROM (SELECT date_trunc('day', ts)::DATE AS day, count(*) AS n, epoch(max(ts) - min(ts))::BIGINT % 600 AS idle_s FROM events GROUP BY 1)""")

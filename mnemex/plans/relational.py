@@ -420,12 +420,14 @@ def j10_contradictions(spark, sf_dir):
     return keep_last(a.join(b, ["p_type", "p_brand"]).where("v != w AND id != other").select("id", "other"), ["id"], [F.col("other")], 5)
 
 
-@query("SELECT DISTINCT d.doc_id, n.n_name AS entity FROM documents d JOIN (SELECT n_nationkey, n_name, lower(substr(n_name, 1, 4)) AS stem FROM nation) n ON n.n_nationkey % 4 = d.doc_id % 4 AND list_contains(regexp_split_to_array(lower(text), '[^a-z0-9à-ÿ]+'), n.stem)")
+@query("""SELECT DISTINCT d.doc_id, e.entity FROM (SELECT doc_id, doc_id % 4 AS kind, unnest(regexp_split_to_array(lower(text), '[^a-z0-9à-ÿ]+')) AS word FROM documents) d
+JOIN (SELECT item_id % 4 AS kind, regexp_split_to_array(lower(text), '[^a-z0-9à-ÿ]+')[2] AS entity FROM benchmark) e ON e.kind = d.kind AND e.entity = d.word WHERE e.entity <> ''""")
 def j11_contradictory_claims(spark, sf_dir):
-    """Claims of one type (here the id modulo 4) whose text holds the entity as a word: both sides meet by type and word, not by scanning all texts for all entities."""
-    n = table(spark, sf_dir, "nation").select((F.col("n_nationkey") % 4).cast("long").alias("kind"), F.col("n_name").alias("entity"), F.lower(F.substring("n_name", 1, 4)).alias("word"))
-    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 4).alias("kind"), F.explode(F.array_distinct(F.split(F.lower("text"), r"[^a-z0-9à-ÿ]+"))).alias("word"))
-    return d.join(n, ["kind", "word"]).select("doc_id", "entity").distinct()
+    """Claims of one type (the id modulo 4) whose text holds an entity (the second word of an item) as a word: both sides meet by type and word, not by scanning all texts for all entities."""
+    split = F.split(F.lower("text"), r"[^a-z0-9à-ÿ]+")
+    e = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 4).alias("kind"), F.try_element_at(split, F.lit(2)).alias("word")).where("word != ''").distinct()
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 4).alias("kind"), F.explode(F.array_distinct(split)).alias("word"))
+    return d.join(e, ["kind", "word"]).select("doc_id", F.col("word").alias("entity"))
 
 
 @query("SELECT event_id, list_sort(list(other)) AS near FROM (SELECT a.event_id, b.event_id AS other FROM events a JOIN events b ON b.user_id = a.user_id AND epoch_us(b.ts) BETWEEN epoch_us(a.ts) - 300000000 AND epoch_us(a.ts) - 1) GROUP BY event_id")
@@ -615,9 +617,9 @@ def u4_new_anchors(spark, sf_dir):
     return o.where("o_orderstatus = 'O'").select("o_custkey").distinct().join(o.where("o_orderstatus = 'F'").select("o_custkey"), "o_custkey", "left_anti")
 
 
-@query("WITH w AS (SELECT doc_id, string_split(lower(text), ' ')[1:20] AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w), f AS (SELECT doc_id, x, min(i) AS i FROM u GROUP BY 1, 2) SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS words FROM f GROUP BY 1")
+@query("WITH w AS (SELECT doc_id, string_split(lower(text), ' ') AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w), f AS (SELECT doc_id, x, min(i) AS i FROM u GROUP BY 1, 2) SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS words FROM f GROUP BY 1")
 def u5_ordered_distinct(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_distinct(F.slice(F.split(F.lower("text"), " "), 1, 20)), " ").alias("words"))
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.array_join(F.array_distinct(F.split(F.lower("text"), " ")), " ").alias("words"))
 
 
 @query("SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_partkey FROM lineitem WHERE l_linestatus = 'F'")
