@@ -181,13 +181,35 @@ def f33_audit_chain(spark, sf_dir):
     return G.verify_chain(spark.createDataFrame(rows, "chain string, index int, operations string, at string, previous string, hash string"))
 
 
-@query(f"SELECT id, CASE WHEN namespace = 'en' THEN 'core' ELSE 'active' END AS fact_track, version FROM {EPISODES_SQL} WHERE NOT quarantine AND length(trim(content)) > 0")
+KIND_SQL = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(content), {chr(39)}{k}{chr(39)})' for k in keys)} THEN '{name}'" for name, keys in X.TYPE_KEYS) + " ELSE 'generic_fact' END"
+CORE_SQL = ", ".join(f"'{t}'" for t in X.CORE_TYPES)
+BEFORE = "RANGE BETWEEN 300000000 PRECEDING AND 1 PRECEDING"
+
+
+@query(f"""WITH w AS (SELECT *, epoch_us(created_at) AS micros, {KIND_SQL} AS kind, md5(content) AS digest, (id * 7 % 10) / 10.0 AS trust FROM {EPISODES_SQL}),
+g AS (SELECT *, tau_initial >= 0.01 AND length(trim(coalesce(content, ''))) > 0 AS open FROM w),
+r AS (SELECT *, count(*) OVER (PARTITION BY source ORDER BY micros {BEFORE}) AS near, count(*) OVER (PARTITION BY source, digest ORDER BY micros {BEFORE}) AS same, len(regexp_extract_all(content, '([A-Z][a-z]+)', 1)) AS names,
+ row_number() OVER (PARTITION BY digest ORDER BY micros, id) - 1 AS copies FROM g WHERE open),
+v AS (SELECT *, CASE WHEN trust < 0.3 THEN 'blocked' WHEN near >= 4 OR same >= 5 OR names > 15 OR trust < 0.5 THEN 'quarantined' ELSE 'stored' END AS state FROM r)
+SELECT id, state, kind, CASE WHEN kind IN ({CORE_SQL}) OR regexp_matches(content, '{'|'.join(X.CORE_WORDS)}') THEN 'core' ELSE 'active' END AS fact_track, round(least(1.0, 0.5 + 0.1 * copies), 2)::DOUBLE AS confidence, (copies + 1)::BIGINT AS version,
+ CASE WHEN state = 'stored' AND near >= 1 THEN source || '@' || strftime(created_at, '%Y-%m-%d %H:%M') ELSE '' END AS hyperedge, namespace AS session, state = 'stored' AND length(content) > 50 AS extract FROM v WHERE state <> 'blocked'
+UNION ALL SELECT id, CASE WHEN open THEN 'blocked' ELSE 'rejected' END, kind, '', 0, 0, '', namespace, false FROM g WHERE NOT open OR trust < 0.3""")
 def w1_write_pipeline(spark, sf_dir):
-    """The whole path of a write as one plan: guard, quarantine, classification, insert."""
-    level, _ = X.content_risk(F.col("content"))
-    e = episodes(spark, sf_dir).where(~F.col("quarantine") & (F.length(F.trim("content")) > 0)).where(level != "critical")
-    kind = F.when(F.col("namespace") == "en", "location_fact").otherwise("event_date")
-    return e.select("id", X.fact_track(F.col("content"), kind).alias("fact_track"), "version")
+    """The path of a write as one plan: gate (tau, empty content), defence (rate, repetition, entities, trust), type and track, evidence from equal contents, version, hyperedge with what
+    its source wrote in the five minutes before, session, and whether relations are extracted. Blocked and rejected writes say so and change nothing."""
+    content = F.col("content")
+    e = episodes(spark, sf_dir).withColumn("at", F.unix_micros("created_at")).withColumn("kind", X.ontology_type(content)).withColumn("digest", F.md5("content")).withColumn("trust", F.col("id") * 7 % 10 / 10)
+    g = e.withColumn("open", (F.col("tau_initial") >= 0.01) & (F.length(F.trim(F.coalesce(content, F.lit("")))) > 0))
+    by_source, by_text = W.partitionBy("source").orderBy("at").rangeBetween(-300_000_000, -1), W.partitionBy("source", "digest").orderBy("at").rangeBetween(-300_000_000, -1)
+    r = g.where("open").withColumn("near", F.count("*").over(by_source)).withColumn("same", F.count("*").over(by_text))
+    r = r.withColumn("names", F.size(F.regexp_extract_all("content", F.lit("([A-Z][a-z]+)"), F.lit(1)))).withColumn("copies", F.row_number().over(W.partitionBy("digest").orderBy("at", "id")) - 1)
+    intended, _ = G.verdict(F.col("near") >= 4, F.lit(False), F.col("names") > 15, F.col("same") >= 5, F.col("trust"), F.lit("none"))
+    v = r.withColumn("state", F.when(intended == "BLOCK", "blocked").when(intended == "QUARANTINE", "quarantined").otherwise("stored")).where("state != 'blocked'")
+    stored = F.col("state") == "stored"
+    edge = F.when(stored & (F.col("near") >= 1), F.concat("source", F.lit("@"), F.date_format("created_at", "yyyy-MM-dd HH:mm"))).otherwise("")
+    kept = v.select("id", "state", "kind", X.fact_track(content, F.col("kind")).alias("fact_track"), F.round(F.least(F.lit(1.0), 0.5 + 0.1 * F.col("copies")), 2).alias("confidence"), (F.col("copies") + 1).cast("long").alias("version"), edge.alias("hyperedge"), F.col("namespace").alias("session"), (stored & (F.length(content) > 50)).alias("extract"))
+    lost = g.where(~F.col("open") | (F.col("trust") < 0.3)).select("id", F.when(F.col("open"), "blocked").otherwise("rejected"), "kind", F.lit(""), F.lit(0.0), F.lit(0).cast("long"), F.lit(""), "namespace", F.lit(False))
+    return kept.union(lost)
 
 
 @query("SELECT doc_id AS id, 'promoted' AS source FROM documents WHERE doc_id % 20 = 0")
