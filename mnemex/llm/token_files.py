@@ -12,7 +12,10 @@ leaves no half file and any Hadoop file system will do. Only lengths of segments
 to find where each document starts; one row a range goes through one task.
 
 Defined results: null and empty texts hold the end id alone; rows with one id follow each other by hash of text; a
-null id comes first; an empty table gives no segment; other columns are ignored.
+null id comes first; an empty table gives no segment; other columns are ignored. Ids are integers, since files hold them as numbers in their order: other types are refused.
+
+Texts are encoded by tiktoken with the ranks of the tokenizers file (the ids are the same, tests hold them against the library); a text with an endless run of one character,
+``RUN`` or more, takes the transducer: a size switch.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import IntegralType
 
 from ..shared import Workspace, within
 from .bpe import Encoder, Tokens, tokenizer_path
@@ -222,6 +226,8 @@ def _segments(path: str, end_id: int, segment_ids: int):
 
 def write_token_files(docs: DataFrame, path: str, out: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, segment_ids: int = SEGMENT_IDS) -> None:
     """Writes all documents in ascending order of id to the folder ``out``."""
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be an integer column: files hold ids as numbers, in their order")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     order = [F.col("doc_id"), F.xxhash64("text")]
     sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)

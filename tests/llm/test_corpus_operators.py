@@ -425,6 +425,49 @@ def test_pipeline_against_a_plain_one(spark, sf):
     assert {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, sf).collect()} == wanted
 
 
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    home = str(tmp_path_factory.mktemp("stages"))
+    r = random.Random(4)
+    words = "lorem ipsum dolor sit amet elit sed eiusmod tempor".split()
+    bad = [(500 + i, " ".join(r.choice(words) for _ in range(20)) + (" idiot" if i % 4 == 0 else "")) for i in range(80)]
+    item = " ".join(f"passage{k}" for k in range(20))
+    rows = [*TEXTS, *bad, (900, f"before {item} after"), (901, f"before {item} after"), (902, "mail me at a@b.co today please do"), (903, "mail me at a@b.co today please do")]
+    documents(spark, rows).write.parquet(f"{home}/documents.parquet")
+    spark.createDataFrame([(i, 1, int("idiot" in t)) for i, t in bad], "doc_id long, quality int, toxic int").write.parquet(f"{home}/labels.parquet")
+    spark.createDataFrame([(1, item), (None, "x"), (2, None)], "item_id long, text string").write.parquet(f"{home}/benchmark.parquet")
+    return home
+
+
+@pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES)
+def test_stages_take_what_goes_wrong(spark, tables, name, stage):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    odd = docs.withColumnRenamed("fp", "_id").withColumnRenamed("low", "term").withColumnRenamed("key", "rid").withColumnRenamed("digest", "score")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    for given in (docs, odd):
+        got = stage(spark, given, tables)
+        assert name == "bpe" or got.columns == given.columns
+        assert stage(spark, given.where("false"), tables).count() == 0
+    kept = sorted(str(r.doc_id) for r in got.collect())
+    ids = sorted(str(i) for i, _ in rows)
+    if name in ("pii", "bpe"):
+        assert kept == ids
+    elif name == "toxicity":
+        gone = {i for i, t in rows if t and "idiot" in t}
+        assert kept == sorted(str(i) for i, _ in rows if i not in gone)
+    elif name == "decontamination":
+        assert kept == sorted(str(i) for i, _ in rows if i not in (900, 901))
+    else:
+        heads = {(d, fp) for d, fp, low in components([(i, t) for i, t in rows if i is not None]) if d == str(low)}
+        assert kept == sorted([d for d, _ in heads] + ["None"])
+    if name == "pii":
+        texts = {r.doc_id: (r.text, r.n_chars) for r in got.collect()}
+        assert texts[902] == ("mail me at <EMAIL> today please do", 34) and texts[2] == (None, None) and texts[3] == ("", 0)
+    if name == "bpe":
+        by_id = {r.doc_id: r for r in got.collect()}
+        assert by_id[2].n_tokens == by_id[3].n_tokens == 0 and list(by_id[2].ids) == []
+
+
 def _overlap(words, own):
     same = own[:, None] == words[None, :]
     if same.any(axis=1).sum() < 10:

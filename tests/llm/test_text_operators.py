@@ -217,6 +217,8 @@ def test_op7(spark):
         assert r.start == at and (r.n_tokens, r.ids_crc32) in by_id[r.doc_id]
         at += r.n_tokens
     assert token_files.op7(none(spark)).count() == 0
+    with pytest.raises(TypeError):
+        token_files.op7(documents(spark).withColumn("doc_id", F.col("doc_id").cast("string")))
 
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
