@@ -146,7 +146,9 @@ def g17_compress(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(cut, " ").alias("report"))
 
 
-@query()
+@query("""WITH f AS (SELECT p_brand, avg(p_size / 50) AS a, avg(p_retailprice / 2000) AS b, least(1.0, count(*) / 100) AS n FROM part GROUP BY 1),
+g AS (SELECT p_brand, (1 / (1 + exp(-0.488 * a)) + 1 / (1 + exp(-0.488 * b)) + 1 / (1 + exp(-0.488 * n))) / 3 AS gate FROM f)
+SELECT p_brand AS community, round(gate, 6)::DOUBLE AS gate, (CASE WHEN gate > 0.95 THEN 0.55 WHEN gate < 0.05 THEN 0.45 ELSE 0.5 END)::DOUBLE AS confidence FROM g""")
 def g18_state_space_consolidation(spark, sf_dir):
     """Three state-space steps over each community's features; confidence moves by a tenth where the gate saturates."""
     p = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.avg(F.col("p_size") / 50).alias("a"), F.avg(F.col("p_retailprice") / 2000).alias("b"), F.count("*").alias("n"))
