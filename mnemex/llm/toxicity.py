@@ -3,7 +3,8 @@
 A sentence scores sigmoid(bias + sum of its words' weights); a word has the weights of its hash and of the hashes of its first four, five and six
 characters, so inflected forms of one stem share what was learnt. A document is toxic if any
 sentence is: noisy-or, 1 - prod(1 - p). The weights are fitted to document labels through the noisy-or, so the
-gradient reaches the sentences that carry the label, which are then located by their own scores.
+gradient reaches the sentences that carry the label, which are then located by their own scores. In a score, sentences under ``FAINT`` add up to ``FAINT_MOST`` together
+at most: thousands of them, in a long clean text, are no evidence.
 
 The model is fitted on a bounded sample of labelled rows: the ``sample_rows`` smallest hashes of the id
 (8,000 by default), whole texts. Features that few of them hold, or that don't stand in toxic ones notably more often than in others, have no weight: they are counted first, as a table, and
@@ -37,6 +38,7 @@ SAMPLE_ROWS = 8_000
 LEAST, LIFT, PRIOR = 5, 0.5, 2.0
 CACHE = 150_000
 RUN = 40
+FAINT, FAINT_MOST = 0.05, 0.29
 SENTENCE_END = re.compile(r"[.!?\n…。！？]+")
 TRIM = "\"'`,;:()[]{}<>|*#$%&_-“”‘’«»¿¡"
 
@@ -65,6 +67,13 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def combined(own: np.ndarray, p: np.ndarray, n: int) -> np.ndarray:
+    """Noisy-or of the sentence scores of each of ``n`` documents; ``own`` is the document of each."""
+    quiet = np.log1p(-np.minimum(p, 1 - 1e-12))
+    every, strong = (-np.expm1(np.bincount(own, x, minlength=n)) for x in (quiet, np.where(p >= FAINT, quiet, 0.0)))
+    return np.clip(np.maximum(strong, np.minimum(every, FAINT_MOST)), 0.0, 1.0)
+
+
 @dataclass
 class Model:
     bias: float
@@ -81,7 +90,7 @@ class Model:
 
     def score(self, text: str | None) -> float:
         p = np.array(self.sentence_scores(text))
-        return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())) if len(p) else 0.0
+        return float(combined(np.zeros(len(p), dtype=np.int64), p, 1)[0])
 
     def locate(self, text: str | None, threshold: float = THRESHOLD) -> list[tuple[int, int, int, float]]:
         """(number, start, end, score) of the sentences that score ``threshold`` or more alone; code points, end exclusive."""
@@ -241,9 +250,7 @@ class Scorer(dict):
                 got = [sum(map(self.__getitem__, words)) for words in sentences(text)]
                 z += got
                 own += [k] * len(got)
-        s = np.clip(np.array(z, dtype=float) + self.model.bias, -30, 30)
-        quiet = np.bincount(np.array(own, dtype=np.int64), -np.log1p(np.exp(s)), minlength=len(texts))
-        return np.clip(-np.expm1(quiet), 0.0, 1.0)
+        return combined(np.array(own, dtype=np.int64), sigmoid(np.array(z, dtype=float) + self.model.bias), len(texts))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

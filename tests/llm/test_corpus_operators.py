@@ -299,6 +299,12 @@ def test_held_out_recall_by_language(spark, sf):
     assert all(hit / n >= 0.75 for (_, t), (n, hit) in table.items() if t == 1), table
 
 
+def test_faint_sentences_are_no_evidence():
+    model = toxicity.Model(-6.0, {toxicity.features("faint")[0]: 1.0, toxicity.features("idiot")[0]: 9.0})
+    assert model.score("word. " * 100_000) == model.score("faint. " * 100_000) == toxicity.FAINT_MOST
+    assert model.score("faint. " * 1000 + "an idiot.") > 0.9 and 0 < model.score("word.") < model.score("faint.") < 0.01
+
+
 def test_scores_do_not_depend_on_neighbours():
     r = random.Random(2)
     texts = [" ".join(r.choice(["idiot", "a", "b", "c."]) for _ in range(r.randint(0, 80))) for _ in range(50)]
@@ -454,8 +460,7 @@ def test_stages_take_what_goes_wrong(spark, tables, name, stage):
         assert kept == ids
     elif name == "toxicity":
         gone = {i for i, t in rows if t and "idiot" in t}
-        long = {"5", "6", "10"}  # hundreds of sentences against a model of eighty: their faint scores add up
-        assert [i for i in kept if i not in long] == sorted(str(i) for i, _ in rows if i not in gone and str(i) not in long)
+        assert kept == sorted(str(i) for i, _ in rows if i not in gone)
     elif name == "decontamination":
         assert kept == sorted(str(i) for i, _ in rows if i not in (900, 901))
     else:
