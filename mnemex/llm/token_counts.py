@@ -4,7 +4,7 @@ A document's pre-tokens are kept as leaves of a segment tree, each a run of them
 begins (a space before something that is no space). Inner nodes hold sums of characters and of tokens. An
 edit descends by characters to the leaves it touches, takes the leaf before
 too if it reaches the start of one, and re-encodes those alone. The new leaves take the place of the old ones, nodes that grow too wide are split, and only sums on
-the way to the root are updated.
+the way to the root are updated. Nodes of a stored tree come into being where an edit passes; their sums are differences of running sums.
 
 Trees are tables: ``build_trees`` encodes each text once and stores, per document, the text with characters and tokens of its leaves; ``apply_edits``
 takes stored trees and returns the trees after the edits, so counts of the next revision start from there and a document without edits is not encoded again.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..shared import Workspace
 from .bpe import Encoder, Tokens, tokenizer_path
 
-LEAF = 64
+LEAF = 16
 FAN = 32
 
 
@@ -46,12 +46,33 @@ class Leaf:
 class Node:
     """Sums over up to ``FAN`` children, all leaves or all nodes of one height."""
 
-    __slots__ = ("kids", "chars", "tokens", "n_leaves")
+    __slots__ = ("_kids", "_stored", "chars", "tokens", "n_leaves")
 
     def __init__(self, kids: list):
-        self.kids = kids
+        self._kids, self._stored = kids, None
         self.chars, self.tokens, self.n_leaves = sum(k.chars for k in kids), sum(k.tokens for k in kids), sum(k.n_leaves for k in kids)
 
+    @classmethod
+    def stored(cls, text: str, ends: np.ndarray, sums: np.ndarray, low: int, high: int, height: int) -> Node:
+        """The node over leaves from low to high (not included) of a stored tree; ``ends`` and ``sums`` run over characters and tokens of its leaves, from 0."""
+        node = cls([])
+        node._kids, node._stored = None, (text, ends, sums, low, high, height)
+        node.chars, node.tokens, node.n_leaves = int(ends[high] - ends[low]), int(sums[high] - sums[low]), high - low
+        return node
+
+    @property
+    def kids(self) -> list:
+        if self._kids is None:
+            text, ends, sums, low, high, height = self._stored
+            if height == 1:
+                at, tokens = ends[low : high + 1].tolist(), np.diff(sums[low : high + 1]).tolist()
+                self._kids = [Leaf(text[a:b], n) for a, b, n in zip(at, at[1:], tokens, strict=False)]
+            else:
+                width = FAN ** (height - 1)
+                self._kids = [Node.stored(text, ends, sums, a, min(a + width, high), height - 1) for a in range(low, high, width)]
+            self._stored = None
+        return self._kids
+
     def find(self, at: int) -> tuple[int, int]:
         """Number of the leaf that holds the character, and where in it."""
         before = 0
@@ -101,29 +122,37 @@ def grouped(kids: list) -> list[Node]:
     return [Node(kids[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def leaf_sums(encoder: Encoder, text: str, first: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Characters and tokens of the leaves of a stretch; all but the first leaf of a document begin with a space."""
+    if not text:
+        return np.zeros(0, dtype="<i4"), np.zeros(0, dtype="<i4")
+    chunks = encoder.chunks(text if first else text[1:])
+    n = len(chunks)
+    chars, sizes = np.fromiter(map(len, chunks), dtype=np.int64, count=n) + 1, np.zeros(n, dtype=np.int64)
+    sizes[0] = len(encoder.encode(chunks[0])) if first else len(encoder[chunks[0]])
+    sizes[1:] = np.fromiter(map(len, map(encoder.__getitem__, chunks[1:])), dtype=np.int64, count=n - 1)
+    chars[0] -= first
+    starts = np.arange(0, n, LEAF)
+    return np.add.reduceat(chars, starts).astype("<i4"), (np.add.reduceat(sizes, starts) // 4).astype("<i4")
+
+
 class TokenTree:
     """``leaves`` are those of a stored tree; without them the text is encoded."""
 
     def __init__(self, encoder: Encoder, text: str, leaves: tuple[np.ndarray, np.ndarray] | None = None):
         self.encoder, self.reencoded = encoder, 0
-        if leaves is None:
-            self.root = self._rooted(self._runs(text, True))
-        else:
-            ends = np.cumsum(leaves[0]).tolist()
-            self.root = self._rooted([Leaf(text[a:b], n) for a, b, n in zip([0, *ends], ends, leaves[1].tolist(), strict=False)])
+        chars, tokens = leaf_sums(encoder, text, True) if leaves is None else leaves
+        ends, sums = (np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(x, dtype=np.int64)]) for x in (chars, tokens))
+        height = 1
+        while FAN**height < len(chars):
+            height += 1
+        self.root = Node.stored(text, ends, sums, 0, len(chars), height)
 
     def _runs(self, text: str, first: bool) -> list[Leaf]:
-        """Leaves of a stretch with their tokens; all but the first of a document begin with a space."""
-        if not text:
-            return []
-        chunks = self.encoder.chunks(text if first else text[1:])
-        head = [len(self.encoder.encode(chunks[0]))] if first else [len(self.encoder[chunks[0]])]
-        sizes = head + [len(self.encoder[c]) for c in chunks[1:]]
-        leaves = []
-        for i in range(0, len(chunks), LEAF):
-            run = " ".join(chunks[i : i + LEAF])
-            leaves.append(Leaf(run if first and not i else " " + run, sum(sizes[i : i + LEAF]) // 4))
-        return leaves
+        """Leaves of a stretch."""
+        chars, tokens = leaf_sums(self.encoder, text, first)
+        ends = np.cumsum(chars).tolist()
+        return [Leaf(text[a:b], n) for a, b, n in zip([0, *ends], ends, tokens.tolist(), strict=False)]
 
     @staticmethod
     def _rooted(kids: list) -> Node:
@@ -189,9 +218,8 @@ def _build(path: str):
         for batch in batches:
             trees = []
             for x in batch.column(1):
-                tree = TokenTree(encoder, x.as_py() or "")
-                chars, tokens = tree.stored()
-                trees.append((tree.n_tokens, chars.tobytes(), tokens.tobytes()))
+                chars, tokens = leaf_sums(encoder, x.as_py() or "", True)
+                trees.append((int(tokens.sum(dtype=np.int64)), chars.tobytes(), tokens.tobytes()))
             columns = list(zip(*trees, strict=True)) if trees else [[]] * 3
             yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True))], names=["doc_id", "text", "n_tokens", "leaf_chars", "leaf_tokens"])
 
