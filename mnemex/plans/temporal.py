@@ -124,9 +124,10 @@ def w9_exclusive_community(spark, sf_dir):
 r AS (SELECT user_id, k, 0.3 * x AS q FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.k, 0.7 * r.q + 0.3 * o.x FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1)
 SELECT user_id, round(arg_max(q, k), 4)::DOUBLE AS quality FROM r GROUP BY user_id""")
 def w10_quality_ema(spark, sf_dir):
-    seen = F.sort_array(F.collect_list(F.struct("ts", "event_id", "value")))
-    folded = F.aggregate(seen, F.lit(0.0), lambda q, x: 0.7 * q + 0.3 * x["value"])
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(folded, 4).alias("quality"))
+    """The recurrence unrolled: an event counts 0.3 times 0.7 to the number of later ones, so a sum does and no user's events are held in one row."""
+    later = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))) - 1
+    e = table(spark, sf_dir, "events").select("user_id", (0.3 * F.pow(F.lit(0.7), later) * F.col("value")).alias("part"))
+    return e.groupBy("user_id").agg(F.round(F.sum("part"), 4).alias("quality"))
 
 
 @query("""WITH p AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)
