@@ -105,8 +105,8 @@ def _inside(offsets: np.ndarray, n: int) -> np.ndarray:
 def regions(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     """Row, first and last window (as places in ``data``), anchor and digest (48 bits each) of the regions of texts that lie end to end, a run at a time.
 
-    The low bits of an anchor's hash tell its place, so the smallest of a stretch is found by plain minima. A long text is cut between
-    two windows; that splits a region, which stays under its anchor."""
+    The low bits of an anchor's hash tell its place, counted from the start of its text, so the smallest of a stretch is found by plain minima and a text has the same
+    regions wherever it lies. A long text is cut between two windows; that splits a region, which stays under its anchor."""
     for low_row, high_row, start, until in _runs(offsets):
         stop = min(until + LENGTH - 1, int(offsets[high_row]))
         n = min(until - start, stop - start - LENGTH + 1)
@@ -114,7 +114,9 @@ def regions(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
             continue
         s = sums(data[start:stop])
         least = window_hashes(s, GRAM)
-        least = (least & ~np.uint64(63)) | (np.arange(len(least), dtype=np.uint64) & np.uint64(63))
+        own = offsets[low_row:high_row]
+        behind = start + np.arange(len(least)) - np.repeat(own, np.diff(np.r_[np.maximum(own, start), stop]))[: len(least)]
+        least = (least & ~np.uint64(63)) | (behind & 63).astype(np.uint64)
         have = 1
         while have < SPAN:
             by = min(have, SPAN - have)
@@ -124,7 +126,7 @@ def regions(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
         if not len(at):
             continue
         least = least[at]
-        place = at + (((least & np.uint64(63)).astype(np.int64) - at) & 63)
+        place = at + (((least & np.uint64(63)).astype(np.int64) - behind[at]) & 63)
         cut = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
         first, last = at[cut], at[np.r_[cut[1:] - 1, len(at) - 1]]
         digest = mix((s[last + LENGTH] - s[first]) * _powers()[1][first] + (last - first).astype(np.uint64))
@@ -342,10 +344,12 @@ def _collect(buckets: int):
             keys, lows = _ints(texts.column("key")), _ints(texts.column("low"))
             shared: dict[int, list] = {}
             raw = data.tobytes()
+            met = np.zeros(len(known), dtype=bool)
             for row, first, last, g, digest in regions(data, offsets):
                 both = _both(g, digest)
                 at = np.minimum(np.searchsorted(known, both), len(known) - 1)
                 hit = np.flatnonzero(known[at] == both)
+                met[at[hit]] = True
                 row, first, last, g, at = row[hit], first[hit], last[hit] + LENGTH, g[hit], at[hit]
                 loses = lows[row] > least[at]
                 spans = np.stack([first - offsets[row], last - offsets[row]], axis=1).astype("<i4")
@@ -361,6 +365,8 @@ def _collect(buckets: int):
                     for a in range(int(first[j]), int(last[j]) - LENGTH + 1):
                         w = xxhash.xxh3_128_digest(raw[a : a + LENGTH])
                         rows.append((3, number, int(keys[k]), int(lows[k]), np.array([a - from_, a - from_ + LENGTH], "<i4").tobytes(), None, int.from_bytes(w[:8], "little", signed=True), int.from_bytes(w[8:], "little", signed=True)))
+            if not met.all():
+                raise RuntimeError(f"{len(met) - int(met.sum())} regions that were decided for block {number} are not in its texts")
             for b, own in shared.items():
                 rows.append((2, b, None, None, np.array([x[:5] for x in own], dtype=_HOLDER).tobytes(), b"".join(x[5] for x in own), None, None))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, _PIECES.types, strict=True)], schema=_PIECES)

@@ -225,6 +225,7 @@ def test_substrings_of_long_texts_in_small_runs(spark, monkeypatch):
     texts += [texts[4][100:700], texts[3] + texts[4], "x" * 700, "x" * 60 + texts[2], texts[2] + texts[2], "ab" * 200, "ba" * 90]
     rows = list(enumerate(r.sample(texts, len(texts))))
     monkeypatch.setattr(substring_dedup, "RUN", 128)
+    substring_dedup._powers.cache_clear()
     offsets = np.cumsum([0, *(len(t) for _, t in rows)])
     data = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
     windows: dict[str, set[int]] = {}
@@ -237,6 +238,7 @@ def test_substrings_of_long_texts_in_small_runs(spark, monkeypatch):
     assert all(len(w) == 50 and len(h) == 1 for w, h in windows.items())  # an anchor is a function of its window
     assert sorted(seen) == [at for k in range(len(rows)) for at in range(offsets[k], offsets[k + 1] - 49)]
     monkeypatch.undo()
+    substring_dedup._powers.cache_clear()
     long = [(i, t * 700) for i, t in rows if len(t) > 300][:4] + rows
     got = substring_dedup.removed_spans(documents(spark, long)).drop("runs")
     assert sorted((str(x.doc_id), *x[1:]) for x in got.collect()) == plain_removal(long)
@@ -244,6 +246,31 @@ def test_substrings_of_long_texts_in_small_runs(spark, monkeypatch):
         substring_dedup.op8(documents(spark, rows).withColumn("doc_id", F.col("doc_id").cast("string")))
 
 
+def test_substrings_of_periodic_texts(spark):
+    """Texts of every period from 1 to 49 and of a repeated word, over many blocks and batches: ties between equal grams fall alike wherever a text lies."""
+    r = random.Random(10)
+    rows = []
+    for period in range(1, 50):
+        word = "".join(r.choice("abcdef ") for _ in range(period))
+        rows += [("".join(r.choice("xyz") for _ in range(r.randint(0, 70))) + word * (r.randint(60, 300) // period + 2) + "".join(r.choice("xyz") for _ in range(r.randint(0, 70)))) for _ in range(3)]
+    rows += ["abcde " * n + "".join(r.choice("uvw") for _ in range(r.randint(0, 40))) for n in range(11, 41)]
+    rows = list(enumerate(r.sample(rows, len(rows))))
+    got = substring_dedup.removed_spans(documents(spark, rows).repartition(7)).drop("runs")
+    assert sorted((str(x.doc_id), *x[1:]) for x in got.collect()) == plain_removal(rows)
+
+
+def test_regions_do_not_depend_on_the_place_of_a_text():
+    r = random.Random(11)
+    texts = [("abcde " * 40).encode(), b"x" * 300, "".join(r.choice("ab") for _ in range(500)).encode()]
+    for text in texts:
+        found = set()
+        for before in (0, 1, 33, 64, 70):
+            data = np.frombuffer(b"q" * before + text, np.uint8)
+            offsets = np.array([0, before, len(data)])
+            found.add(repr([(x - before, y - before, g, d) for k, f, l, gs, ds in substring_dedup.regions(data, offsets) for row, x, y, g, d in zip(k.tolist(), f.tolist(), l.tolist(), gs.tolist(), ds.tolist(), strict=True) if row == 1]))
+        assert len(found) == 1
+
+
 def test_interleave_gives_the_blocks_of_sorted_suffixes():
     r = random.Random(9)
     for _ in range(30):
