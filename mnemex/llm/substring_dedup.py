@@ -45,6 +45,7 @@ SHARD_BYTES = 1 << 20
 TASK_BYTES = 32 << 20  # of text a task
 RUN = 1 << 18  # bytes hashed at a time
 CHUNK = 1_000_000  # regions packed at a time
+FINE = 8  # buckets of regions a task merges, one after the other
 SEEN = 200_000  # digests a task remembers when it combines copies
 LAST = (1 << 63) - 1
 FACTOR = 0xD6E8FEB86659FD93
@@ -600,7 +601,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         anchors = texts.select("block", "low", "data").mapInArrow(_anchors(2 * n), _ddl(_ANCHORS))
         decided = anchors.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_decide(crowd), _ddl(_DECIDED))
         met = texts.select("block", "key", "low", "data").groupBy("block").cogroup(decided.groupBy("block"))
-        pieces = ws.save(met.applyInArrow(_collect(n), _ddl(_PIECES)), "pieces")
+        pieces = ws.save(met.applyInArrow(_collect(FINE * n), _ddl(_PIECES)), "pieces")
         mixed = pieces.where("kind = 2").select("at", "spans", "payload").repartition(n, "at").sortWithinPartitions("at")
         spans = pieces.where("kind = 1").select(F.col("at").alias("block"), "key", "low", "spans").union(mixed.mapInArrow(_merge(shard_bytes), _ddl(_SPANS)))
         crowded = pieces.where("kind = 3")
