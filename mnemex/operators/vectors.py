@@ -2,7 +2,8 @@
 
 A block of query vectors is sent to all tasks; each batch of rows is multiplied with it and
 only the k best of each query, by rounded score and id, leave the batch. No pair is ever a row. More queries than a block
-takes mean more passes, so what is sent never grows.
+takes mean more passes, so what is sent never grows. Queries meet only vectors of their own length; null vectors, ids and
+components take no part. For all rows as queries there is ``vector_index``.
 """
 
 from __future__ import annotations
@@ -21,9 +22,11 @@ BLOCK = 8192
 SCALE = 1e6  # scores have six digits
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+def _matrix(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the vectors of this length, and the vectors."""
+    at = np.flatnonzero(column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) == size)
+    flat = column.take(pa.array(at)).flatten()
+    return at, flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), size)
 
 
 def _rounded(score: np.ndarray) -> np.ndarray:
@@ -48,10 +51,11 @@ def best_of(score: np.ndarray, rows: np.ndarray, k: int) -> tuple[list[np.ndarra
 def _nearest(ids: np.ndarray, queries: np.ndarray, k: int, metric: str, itself: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(batch.column(1).is_valid())
-            if not batch.num_rows:
+            batch = batch.filter(batch.column(0).is_valid())
+            at, x = _matrix(batch.column(1), queries.shape[1])
+            if not len(at):
                 continue
-            rows, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            rows = batch.column(0).to_numpy()[at]
             if metric == "cosine":
                 score = queries @ x.T / np.maximum(np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :], 1e-12)
             else:
@@ -72,11 +76,11 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 10, metric: str = "cos
     parts = []
     for i in range(passes):
         own = queries if passes == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)
-        got = own.select("query_id", "vector").where("vector IS NOT NULL").collect()  # a block
-        if not got:
-            continue
-        ids, q = np.array([r.query_id for r in got], dtype=np.int64), np.array([r.vector for r in got], dtype=np.float64)
-        parts.append(rows.select("id", "vector").mapInArrow(_nearest(ids, q, k, metric, itself), "query_id long, id long, score double"))
+        got = own.select("query_id", "vector").where("query_id IS NOT NULL AND vector IS NOT NULL").where(~F.exists("vector", lambda x: x.isNull())).collect()  # a block
+        for size in sorted({len(r.vector) for r in got}):
+            same = [r for r in got if len(r.vector) == size]
+            ids, q = np.array([r.query_id for r in same], dtype=np.int64), np.array([r.vector for r in same], dtype=np.float64).reshape(-1, size)
+            parts.append(rows.select("id", "vector").mapInArrow(_nearest(ids, q, k, metric, itself), "query_id long, id long, score double"))
     if not parts:
         return queries.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
     return top_k(reduce(DataFrame.union, parts).withColumn("score", F.round("score", 6)), ["query_id"], "score", "id", k)
