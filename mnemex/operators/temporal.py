@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -37,6 +40,30 @@ def keep_last(df: DataFrame, keys: list[str], order: list[Column], n: int) -> Da
     return df.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_k") <= n).drop("_k")
 
 
+def sliding_count(rows: DataFrame, keys: list[str], at: str, span: int, name: str, itself: bool = True) -> DataFrame:
+    """``rows`` with how many of their keys lie in the ``span`` before them (both ends count; without ``itself`` nothing at the same moment does).
+
+    ``at`` is a whole number, as microseconds. Each row stands in the stretch of its moment and, for others to count, in the next one; a window sorts
+    one key's two stretches instead of all its history, so a key that holds much of the rows is spread over time."""
+    own = F.floor(F.col(at) / (span + 1))
+    both = rows.withColumn("_own", own).withColumn("_stretch", F.explode(F.array(own, own + 1)))
+    w = W.partitionBy(*keys, "_stretch").orderBy(at).rangeBetween(-span, 0 if itself else -1)
+    return both.withColumn(name, F.count(F.lit(1)).over(w)).where("_own = _stretch").drop("_own", "_stretch")
+
+
+def running_number(rows: DataFrame, keys: list[str], at: str, tie: str, stretch: int, name: str) -> DataFrame:
+    """``rows`` with their number, from 0 on, among those of their keys by (``at``, ``tie``).
+
+    Numbers are counted within stretches of ``at`` (whole numbers) and raised by how many rows the stretches before hold, so no task sorts all rows of a key."""
+    cut = rows.withColumn("_stretch", F.floor(F.col(at) / stretch))
+    inner = cut.withColumn("_in", F.row_number().over(W.partitionBy(*keys, "_stretch").orderBy(at, tie)) - 1)
+    held = cut.groupBy(*keys, "_stretch").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    held = held.select(*keys, "_stretch", before.alias("_before"))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "_stretch"]]
+    return inner.alias("a").join(held.alias("b"), reduce(and_, same), "left").select("a.*", (F.col("a._in") + F.col("b._before")).alias(name)).drop("_stretch", "_in")
+
+
 def tau_window(importance: Column, core: Column, accesses: Column) -> Column:
     """Seconds after which tau falls to 1/e."""
     factor = (1 + importance * 0.5 * 2.0) * F.when(core, 2.0).otherwise(1.0) * F.when(accesses > 5, 1 + F.least(F.lit(1.0), accesses / 50)).otherwise(1.0)

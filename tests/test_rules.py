@@ -146,3 +146,29 @@ def test_pronouns_and_profiles(spark):
     assert O.resolve_pronouns("Tim Cook met Acme Corp. He praised the company.") == "Tim Cook met Acme Corp. Tim Cook praised Acme Corp."
     df = spark.createDataFrame([("direct", "我喜欢喝茶。"), ("tool", "我喜欢喝茶。"), ("direct", "I live in Paris, France"), ("direct", "they live")], "source_type string, text string")
     assert {(r.grp, r.value) for r in O.profile_candidates(df).collect()} == {("preferences", "喝茶"), ("identity", "Paris")}
+
+
+def test_every_risk_reaches_the_verdict(spark):
+    """Each kind of pattern, through the verdict: critical content blocks, links are put aside, what only looks alike passes."""
+    from mnemex.plans.governance import RISKY
+
+    df = spark.createDataFrame(list(enumerate(RISKY)), "i int, text string")
+    level, name = X.content_risk(F.col("text"))
+    intended, enforced = G.verdict(F.lit(False), F.lit(False), F.lit(False), F.lit(False), F.lit(0.9), level)
+    got = df.select("i", level, name, intended, enforced).orderBy("i").collect()
+    first = [n for n, _ in X.INJECTION[:-1]] + ["role_override_zh"]  # what the last pattern finds, an earlier one found
+    assert [r[2] for r in got] == first + [n for n, _ in X.PHISHING] + ["zero_width", "control_chars", "latin_cyrillic_mix", "", ""]
+    assert [r[1] for r in got] == ["critical"] * 7 + ["high"] * 3 + ["critical"] * 3 + ["none"] * 2
+    assert [(r[3], r[4]) for r in got] == [("BLOCK", "BLOCK")] * 7 + [("QUARANTINE", "ALLOW")] * 3 + [("BLOCK", "BLOCK")] * 3 + [("ALLOW", "ALLOW")] * 2
+
+
+def test_counts_and_numbers_by_stretches(spark):
+    from pyspark.sql import Window as W
+
+    df = spark.createDataFrame([(i, None if i % 11 == 0 else i % 3, (i * i * 7) % 500) for i in range(300)], "id long, k long, at long")
+    for itself in (True, False):
+        w = W.partitionBy("k").orderBy("at").rangeBetween(-40, 0 if itself else -1)
+        wanted = df.withColumn("n", F.count("*").over(w))
+        assert T.sliding_count(df, ["k"], "at", 40, "n", itself).exceptAll(wanted).count() == 0
+    wanted = df.withColumn("n", F.row_number().over(W.partitionBy("k").orderBy("at", "id")) - 1)
+    assert T.running_number(df, ["k"], "at", "id", 60, "n").select("id", "k", "at", "n").exceptAll(wanted).count() == 0
