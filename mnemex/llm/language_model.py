@@ -40,14 +40,17 @@ FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Whole numbers from 0 on, as wide as the greatest."""
+    """Whole numbers from 0 on, as wide as the greatest, the bytes of one weight together and compressed."""
     most = int(x.max()) if len(x) else 0
     width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w))
-    return bytes([width]) + np.ascontiguousarray(x, dtype=f"<u{width}").tobytes()
+    planes = np.ascontiguousarray(x, dtype=f"<u{width}").view(np.uint8).reshape(-1, width).T
+    return np.array([width, len(x)], dtype="<u4").tobytes() + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+    width, n = np.frombuffer(data, "<u4", 2).tolist()
+    planes = np.frombuffer(pa.decompress(data[8:], width * n, "zstd"), np.uint8) if n else np.zeros(0, dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(f"<u{width}").ravel().astype(np.int64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
