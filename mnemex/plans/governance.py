@@ -239,14 +239,13 @@ def w1_write_pipeline(spark, sf_dir):
     content, i = F.col("content"), F.col("id")
     e = episodes(spark, sf_dir).withColumn("content", F.when(i % 10 == 3, carrying(i, content, RISKY, 3)).otherwise(carrying(i, content, STATED, 7)))
     level, _ = X.content_risk(content)
-    kind = X.ontology_type(content)
     stated = F.when((F.length(content) > 50) & content.rlike("|".join(X.RELATION_WORDS)), F.size(X.relations(content))).otherwise(0)
     names = F.size(F.regexp_extract_all("content", F.lit("([A-Z][a-z]+)"), F.lit(1)))
     open_ = (F.col("tau_initial") >= 0.01) & (F.length(F.trim(F.coalesce(content, F.lit("")))) > 0)
     small = e.select(
-        "id", "source", "created_at", "namespace", F.unix_micros("created_at").alias("at"), F.md5("content").alias("digest"), kind.alias("kind"), X.fact_track(content, kind).alias("fact_track"), open_.alias("open"), (i * 7 % 10 / 10).alias("trust"),
-        F.when(open_, level).alias("risk"), F.when(open_, names).alias("names"), F.when(open_ & (level != "critical"), stated).otherwise(0).alias("stated"),
-    )
+        "id", "source", "created_at", "namespace", F.unix_micros("created_at").alias("at"), F.md5("content").alias("digest"), X.ontology_type(content).alias("kind"), X.fact_track(content, F.lit("")).alias("said"), open_.alias("open"), (i * 7 % 10 / 10).alias("trust"),
+        F.when(open_, level).alias("risk"), F.when(open_, names).alias("names"), F.when(open_, stated).otherwise(0).alias("stated"),
+    ).withColumn("fact_track", F.when(F.col("kind").isin(X.CORE_TYPES), "core").otherwise(F.col("said")))
     small = Workspace(spark, "writes").save(small, "features")  # texts are read once
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
     drift = G.semantic_drift(vectors, "label", "vec_id", "embedding").select(F.col("vec_id").alias("id"), F.col("drift").alias("drifts"))
