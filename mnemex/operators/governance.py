@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .scans import clamped_sum
+
 # How much a source type counts.
 SOURCE_RANK = {"direct": 1.0, "tool": 0.7, "inferred": 0.5}
 
@@ -26,9 +28,8 @@ def winner(new_type: Column, old_type: Column, new_trust: Column, old_trust: Col
 
 def trust_fold(writes: DataFrame, source: str, order: list[str], blocked: Column) -> DataFrame:
     """Trust of each source after its writes in order: minus 0.2 for a blocked one, plus 1/20 for a good one, between 0 and 1."""
-    seen = F.sort_array(F.collect_list(F.struct(*order, blocked.cast("int").alias("bad"))))
-    fold = F.aggregate(seen, F.lit(1.0), lambda t, w: F.greatest(F.lit(0.0), F.least(F.lit(1.0), t + F.when(w["bad"] == 1, -0.2).otherwise(0.05))))
-    return writes.groupBy(source).agg(F.round(fold, 6).alias("trust"), F.count("*").alias("writes"))
+    out = clamped_sum(writes, source, order, F.when(blocked, -0.2).otherwise(0.05), 1.0, 0.0, 1.0)
+    return out.select(source, F.round("value", 6).alias("trust"), F.col("n").alias("writes"))
 
 
 def semantic_drift(rows: DataFrame, source: str, order: str, vector: str, least: float = 0.65) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scans import leaky_states
+
 # Pronouns and the types they stand for.
 PRONOUNS = [(re.compile(r"\b(?:he|she|him|her)\b", re.I), "Person"), (re.compile(r"\b(?:the company|it)\b", re.I), "Organization"), (re.compile("该公司|该企业"), "Organization"), (re.compile("该人|此人"), "Person")]
 COMPANY = re.compile(r"\b[A-Z][A-Za-z]+(?:\s[A-Z][A-Za-z]+)*\s(?:Inc|Corp|Ltd|Group|Labs)\b")
@@ -107,12 +109,11 @@ def level(strategy: Column, reranks: Column) -> Column:
     return F.when(strategy == "hybrid", "fusion").when((strategy == "auto") & reranks, "fusion").otherwise("hypergraph")
 
 
-def gate_step(state: Column, x: Column) -> Column:
-    """One step of the write gate: a leaky state and a squashed input, kept during warm-up or above one half."""
-    h = 0.9 * state["h"] + 0.1 * F.tanh(x["value"] / 100)
-    gate = 1 / (1 + F.exp(-(0.5 * h + 0.5 * x["value"] / 100)))
-    n = state["n"] + 1
-    return F.struct(h.alias("h"), (state["kept"] + F.when((n <= 100) | (gate > 0.5), 1).otherwise(0)).alias("kept"), n.alias("n"))
+def write_gate(writes: DataFrame, source: str, order: list[str], value: Column, warmup: int = 100, threshold: float = 0.5) -> DataFrame:
+    """``place, hidden, gate, kept`` of each write of a source: a leaky state of squashed inputs; kept during warm-up, then where state and input together pass the threshold."""
+    states = leaky_states(writes, source, order, 0.1 * F.tanh(value), 0.9, value)
+    gate = 1 / (1 + F.exp(-(0.5 * F.col("state") + 0.5 * F.col("carry"))))
+    return states.select(source, "place", F.col("state").alias("hidden"), gate.alias("gate"), ((F.col("place") <= warmup) | (gate > threshold)).alias("kept"))
 
 
 def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
