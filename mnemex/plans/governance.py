@@ -90,16 +90,21 @@ def w6_entity_count(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", n.alias("entities"), (n > 15).alias("crowded"))
 
 
-@query("""WITH RECURSIVE o AS (SELECT user_id, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+TRUST_SQL = """WITH RECURSIVE o AS (SELECT user_id, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 r AS (SELECT DISTINCT user_id, 0::BIGINT AS k, 1.0::DOUBLE AS t FROM events UNION ALL SELECT r.user_id, o.k, greatest(0.0, least(1.0, r.t + CASE WHEN o.bad THEN -0.2 ELSE 0.05 END)) FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1)
-SELECT user_id, round(arg_max(t, k), 6)::DOUBLE AS trust, max(k) AS writes FROM r GROUP BY user_id""")
+SELECT user_id, round(arg_max(t, k), 6)::DOUBLE AS trust, max(k) AS writes FROM r GROUP BY user_id"""
+
+
+@query(TRUST_SQL)
 def w7_trust_fold(spark, sf_dir):
     return G.trust_fold(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "error")
 
 
-@query("SELECT user_id, count(*) AS kept FROM events WHERE ts >= TIMESTAMP '2024-01-20' GROUP BY 1")
+@query("SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 2 HOURS PRECEDING AND CURRENT ROW) AS n FROM events")
 def w8_sliding_history(spark, sf_dir):
-    return table(spark, sf_dir, "events").where(F.col("ts") >= F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")).groupBy("user_id").agg(F.count("*").alias("kept"))
+    """How many writes of its source lie in the two hours up to each write; ``stream_sliding_history`` keeps the same as state."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return T.sliding_count(e, ["user_id"], "at", 7_200_000_000, "n").select("event_id", "user_id", "n")
 
 
 @query("""SELECT a.p_partkey AS id, count(b.p_partkey) AS conflicts, greatest(0.1, 1 - 0.5 * count(b.p_partkey))::DOUBLE AS confidence FROM part a LEFT JOIN part b ON a.p_type = b.p_type AND a.p_brand = b.p_brand AND a.p_size <> b.p_size GROUP BY 1""")
@@ -264,9 +269,3 @@ def w1_write_pipeline(spark, sf_dir):
 @query("SELECT doc_id AS id, 'promoted' AS source FROM documents WHERE doc_id % 20 = 0")
 def w2_promote(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("id"), F.lit("promoted").alias("source"))
-
-
-@query("SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
-def w15_embedding_batch(spark, sf_dir):
-    bad = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("vec_id"))
-    return table(spark, sf_dir, "embeddings").select("vec_id").join(bad, "vec_id", "left_anti")
