@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import graph as G
+from ..operators.communities import louvain
+from ..operators.strings import edit_pairs
 from ..operators.temporal import keep_last
 from ..shared import Workspace
 from ..sources.tables import EPISODES_SQL, MEMBERS_SQL, episodes, members, table
@@ -38,12 +40,17 @@ UNION ALL SELECT 'temporal', source || '@' || strftime(created_at, '%Y-%m-%d %H'
 SELECT kind, topic, count(DISTINCT episode_id) AS size, min(episode_id) AS first_member, count(DISTINCT source) >= 2 AS several_agents FROM k GROUP BY kind, topic HAVING count(DISTINCT episode_id) >= 2""")
 def g1_hyperedges(spark, sf_dir):
     """Hyperedges of three kinds: members of an order, episodes of one source in one hour, and communities of twenty; two members at least. Those whose members come from two sources or more are shared between agents."""
+    every = hyperedge_members(spark, sf_dir)
+    return every.groupBy("kind", "topic").agg(F.countDistinct("id").alias("size"), F.min("id").alias("first_member"), (F.countDistinct("source") >= 2).alias("several_agents")).where("size >= 2")
+
+
+def hyperedge_members(spark, sf_dir):
+    """``kind, topic, id, source``: which episodes belong together."""
     e = episodes(spark, sf_dir).select("id", "source", "created_at")
     of_order = members(spark, sf_dir).join(e, F.col("episode_id") == F.col("id")).select(F.lit("episode").alias("kind"), F.concat(F.lit("order-"), "hyperedge_id").alias("topic"), "id", "source")
     of_hour = e.select(F.lit("temporal"), F.concat("source", F.lit("@"), F.date_format("created_at", "yyyy-MM-dd HH")), "id", "source")
     of_community = e.select(F.lit("community"), F.concat(F.lit("community-"), F.floor(F.col("id") / 20)), "id", "source")
-    every = of_order.union(of_hour).union(of_community).where("topic IS NOT NULL")
-    return every.groupBy("kind", "topic").agg(F.countDistinct("id").alias("size"), F.min("id").alias("first_member"), (F.countDistinct("source") >= 2).alias("several_agents")).where("size >= 2")
+    return of_order.union(of_hour).union(of_community).where("topic IS NOT NULL")
 
 
 @query("""SELECT src, dst, max(weight)::DOUBLE AS weight FROM (SELECT l_orderkey AS src, l_orderkey + 1 AS dst, 0.01 * l_linenumber AS weight FROM lineitem WHERE l_linenumber = 1 UNION ALL
@@ -63,11 +70,38 @@ def g3_connected_components(spark, sf_dir):
     return G.connected_components(knn_graph(spark, sf_dir))
 
 
-@query()
+def propagation_sql(rounds: int = 5) -> str:
+    """Each round as common tables of its own: votes by weight, the smaller label on a tie."""
+    steps = [f"""v{k} AS MATERIALIZED (SELECT e.src AS id, l.label, round(sum(e.weight), 9) AS w FROM e JOIN l{k} l ON l.id = e.dst GROUP BY ALL),
+l{k + 1} AS MATERIALIZED (SELECT id, label FROM v{k} QUALIFY row_number() OVER (PARTITION BY id ORDER BY w DESC, label) = 1)""" for k in range(rounds)]
+    return f"WITH k AS MATERIALIZED (SELECT * FROM {EDGES_SQL}), e AS MATERIALIZED (SELECT * FROM k UNION ALL SELECT dst, src, weight FROM k), l0 AS (SELECT DISTINCT src AS id, src AS label FROM e), {', '.join(steps)} SELECT id, label FROM l{rounds}"
+
+
+@query(propagation_sql())
 def g4_label_propagation(spark, sf_dir):
     return G.label_propagation(knn_graph(spark, sf_dir))
 
 
+@query()
+def g4_louvain(spark, sf_dir):
+    """Communities of the neighbour graph by modularity, in levels. What no SQL says is held against a plain version in tests."""
+    return louvain(knn_graph(spark, sf_dir))
+
+
+KINDS_SQL = f"""(SELECT 'episode' AS kind, 'order-' || hyperedge_id AS topic, episode_id AS id, source FROM {MEMBERS_SQL} JOIN {EPISODES_SQL} e ON e.id = episode_id
+UNION ALL SELECT 'temporal', source || '@' || strftime(created_at, '%Y-%m-%d %H'), id, source FROM {EPISODES_SQL} UNION ALL SELECT 'community', 'community-' || (id // 20), id, source FROM {EPISODES_SQL})"""
+
+
+@query(f"""SELECT 'node' AS row, md5(kind || '|' || topic) AS edge, kind, topic, -1::BIGINT AS member, count(DISTINCT id) AS size FROM {KINDS_SQL} WHERE topic IS NOT NULL GROUP BY kind, topic HAVING count(DISTINCT id) >= 2
+UNION ALL SELECT DISTINCT 'member', md5(kind || '|' || topic), kind, topic, id, count(DISTINCT id) OVER (PARTITION BY kind, topic) AS size FROM {KINDS_SQL} WHERE topic IS NOT NULL QUALIFY size >= 2""")
+def g1_hyperedge_rows(spark, sf_dir):
+    """What creating the hyperedges writes: a node a hyperedge, named by its kind and topic so that a second run adds none, and an edge a member (a node names none: -1). Members are counted by an aggregate that joins back, so no list is built."""
+    every = hyperedge_members(spark, sf_dir).select("kind", "topic", "id").distinct()
+    sized = every.groupBy("kind", "topic").agg(F.count("*").alias("size")).where("size >= 2").withColumn("edge", F.md5(F.concat_ws("|", "kind", "topic")))
+    nodes = sized.select(F.lit("node").alias("row"), "edge", "kind", "topic", F.lit(-1).cast("long").alias("member"), "size")
+    return nodes.union(every.join(sized, ["kind", "topic"]).select(F.lit("member"), "edge", "kind", "topic", "id", "size"))
+
+
 @query(f"SELECT id, round(tau_initial * 1.0, 6)::DOUBLE AS strength FROM {EPISODES_SQL} WHERE NOT quarantine")
 def g5_gather(spark, sf_dir):
     return episodes(spark, sf_dir).where("NOT quarantine").select("id", F.round(F.col("tau_initial") * 1.0, 6).alias("strength"))
@@ -215,14 +249,15 @@ def a10_entity_rollup(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("entity")).agg(F.countDistinct("l_orderkey").alias("nodes")).where("nodes >= 2")
 
 
-@query()
+@query("""WITH RECURSIVE n AS MATERIALIZED (SELECT lower(p_name) AS name, count(*) AS n, min(p_partkey) AS id FROM part WHERE p_name IS NOT NULL GROUP BY 1),
+e AS MATERIALIZED (SELECT a.id AS x, b.id AS y FROM n a JOIN n b ON a.id <> b.id AND abs(length(a.name) - length(b.name)) <= 2 AND levenshtein(a.name, b.name) <= 2),
+r(id, low) AS (SELECT id, id FROM n UNION SELECT e.y, r.low FROM r JOIN e ON e.x = r.id AND r.low < e.y), k AS (SELECT id, min(low) AS cluster FROM r GROUP BY id)
+SELECT cluster, sum(n)::BIGINT AS mentions, arg_max(name, n * 1000000000 + rank) AS canonical, least(1.0, sum(n) / 10)::DOUBLE AS confidence FROM (SELECT *, rank() OVER (ORDER BY name) AS rank FROM n JOIN k USING (id)) GROUP BY cluster HAVING sum(n) >= 2""")
 def a11_mention_clusters(spark, sf_dir):
-    """Names within two edits form clusters; the most frequent spelling is canonical. Names meet by their first letters or their last."""
-    names = table(spark, sf_dir, "part").groupBy(F.lower("p_name").alias("name")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("id"))
-    keys = F.array_distinct(F.array(F.concat(F.lit("a"), F.substring("name", 1, 3)), F.concat(F.lit("z"), F.expr("right(name, 3)"))))
-    k = names.select("id", "name", F.explode(keys).alias("key"))
-    close = k.alias("x").join(k.alias("y"), "key").where("x.id < y.id AND abs(length(x.name) - length(y.name)) <= 2").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.levenshtein(F.col("x.name"), F.col("y.name"), 2).alias("d")).where("d >= 0")
-    comps = G.connected_components(close.select("a", "b").distinct(), "a", "b").withColumnRenamed("node", "id")
+    """Names within two edits form clusters, through what deletions leave of them; the most frequent spelling is canonical, the last in order on a tie."""
+    names = table(spark, sf_dir, "part").where("p_name IS NOT NULL").groupBy(F.lower("p_name").alias("name")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("id"))
+    names = Workspace(spark, "mentions").save(names, "names")
+    comps = G.connected_components(edit_pairs(names, 2), "a", "b").withColumnRenamed("node", "id")
     full = names.join(comps, "id", "left").withColumn("cluster", F.coalesce("component", "id"))
     g = full.groupBy("cluster").agg(F.sum("n").alias("mentions"), F.max(F.struct("n", "name")).alias("b"))
     return g.where("mentions >= 2").select("cluster", "mentions", F.col("b.name").alias("canonical"), F.least(F.lit(1.0), F.col("mentions") / 10).alias("confidence"))
