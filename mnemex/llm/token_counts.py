@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import Workspace
-from .bpe import Encoder, Tokens, tokenizer_path
+from .bpe import CACHE, SHORT, Encoder, Tokens, tokenizer_path
+from .token_files import fast_encoding
 
 LEAF = 16
 FAN = 32
@@ -122,24 +123,45 @@ def grouped(kids: list) -> list[Node]:
     return [Node(kids[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def leaf_sums(encoder: Encoder, text: str, first: bool) -> tuple[np.ndarray, np.ndarray]:
+class Counts(dict):
+    """Tokens of a chunk with the space before it, by chunk. Short ones without a special token are counted by tiktoken with the ranks of the same file, others go through the transducer."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        self.whole = Encoder(Tokens(path))
+        self.chunks = self.whole.chunks
+        self.fast = fast_encoding(self.whole.tokens) if self.whole.tokens.keeps_space and not self.whole.tokens.suffix and not self.whole.tokens.normal else None
+
+    def encode(self, text: str) -> bytes:
+        return self.whole.encode(text)
+
+    def __missing__(self, chunk: str) -> int:
+        if self.fast is None or len(chunk) >= SHORT or "<" in chunk:
+            return len(self.whole[chunk]) // 4
+        if len(self) >= CACHE:
+            self.clear()
+        n = self[chunk] = len(self.fast.encode_ordinary(" " + chunk))
+        return n
+
+
+def leaf_sums(encoder: Counts, text: str, first: bool) -> tuple[np.ndarray, np.ndarray]:
     """Characters and tokens of the leaves of a stretch; all but the first leaf of a document begin with a space."""
     if not text:
         return np.zeros(0, dtype="<i4"), np.zeros(0, dtype="<i4")
     chunks = encoder.chunks(text if first else text[1:])
     n = len(chunks)
-    chars, sizes = np.fromiter(map(len, chunks), dtype=np.int64, count=n) + 1, np.zeros(n, dtype=np.int64)
-    sizes[0] = len(encoder.encode(chunks[0])) if first else len(encoder[chunks[0]])
-    sizes[1:] = np.fromiter(map(len, map(encoder.__getitem__, chunks[1:])), dtype=np.int64, count=n - 1)
-    chars[0] -= first
+    chars = np.fromiter(map(len, chunks), dtype=np.int64, count=n) + 1
+    sizes = np.fromiter(map(encoder.__getitem__, chunks), dtype=np.int64, count=n)
+    if first:
+        chars[0], sizes[0] = chars[0] - 1, len(encoder.encode(chunks[0])) // 4
     starts = np.arange(0, n, LEAF)
-    return np.add.reduceat(chars, starts).astype("<i4"), (np.add.reduceat(sizes, starts) // 4).astype("<i4")
+    return np.add.reduceat(chars, starts).astype("<i4"), np.add.reduceat(sizes, starts).astype("<i4")
 
 
 class TokenTree:
     """``leaves`` are those of a stored tree; without them the text is encoded."""
 
-    def __init__(self, encoder: Encoder, text: str, leaves: tuple[np.ndarray, np.ndarray] | None = None):
+    def __init__(self, encoder: Counts, text: str, leaves: tuple[np.ndarray, np.ndarray] | None = None):
         self.encoder, self.reencoded = encoder, 0
         chars, tokens = leaf_sums(encoder, text, True) if leaves is None else leaves
         ends, sums = (np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(x, dtype=np.int64)]) for x in (chars, tokens))
@@ -208,8 +230,8 @@ class TokenTree:
 
 
 @lru_cache(maxsize=2)
-def loaded(path: str) -> Encoder:
-    return Encoder(Tokens(path))
+def loaded(path: str) -> Counts:
+    return Counts(path)
 
 
 def _build(path: str):

@@ -171,6 +171,13 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 RUN = 4096
 
 
+def fast_encoding(tokens: Tokens):
+    """tiktoken's encoding of a byte-level tokenizers file: its ids rise with the rank of their merges."""
+    import tiktoken
+
+    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks={tokens.bytes_of[i]: i for i in tokens.vocab.values()}, special_tokens=tokens.special)
+
+
 class FastEncoder:
     """Whole texts by tiktoken with the ranks of a tokenizers file: ids of byte-level files rise with the rank of their merges.
 
@@ -179,11 +186,8 @@ class FastEncoder:
     """
 
     def __init__(self, path: str):
-        import tiktoken
-
         tokens = Tokens(path)
-        ranks = {tokens.bytes_of[i]: i for i in tokens.vocab.values()}
-        self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=tokens.special)
+        self.fast = fast_encoding(tokens)
         self.plain = Encoder(tokens, 50_000)
         self.endless = regex.compile(r"(.)\1{%d}" % RUN, regex.S)
 
