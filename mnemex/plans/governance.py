@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -9,6 +11,7 @@ from ..functions import text as X
 from ..operators import governance as G
 from ..operators import mutations as M
 from ..operators import temporal as T
+from ..operators.multimodal import media_items, write_multimodal
 from ..shared import Workspace
 from ..sources.tables import EPISODES_SQL, episodes, table
 from .catalog import query
@@ -269,3 +272,34 @@ def w1_write_pipeline(spark, sf_dir):
 @query("SELECT doc_id AS id, 'promoted' AS source FROM documents WHERE doc_id % 20 = 0")
 def w2_promote(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("id"), F.lit("promoted").alias("source"))
+
+
+def plain_embedding(content):
+    """A stand-in for an image encoder, in Arrow batches: shares of sixteen ranges of byte values. It fails (null) on what begins like no markup."""
+
+    @F.pandas_udf("array<double>")
+    def embed(contents: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None or not c.startswith(b"<") else (np.bincount(np.frombuffer(c, np.uint8) >> 4, minlength=16) / len(c)).tolist() for c in contents])
+
+    return embed(content)
+
+
+HEARD_SQL = "concat_ws(chr(10), nullif(url, ''), CASE WHEN page_id % 4 = 0 THEN '[audio transcription]: ' || url || ' ' || page_id END)"
+
+
+@query(f"""WITH i AS (SELECT page_id AS id, 'image' AS kind, html AS content FROM pages WHERE page_id % 3 = 0 AND html IS NOT NULL UNION ALL SELECT page_id, 'image', 'no image ' || page_id FROM pages WHERE page_id % 6 = 0
+UNION ALL SELECT page_id, 'audio', url FROM pages WHERE page_id % 4 = 0 AND url IS NOT NULL UNION ALL SELECT page_id, 'audio', page_id::VARCHAR FROM pages WHERE page_id % 4 = 0 UNION ALL SELECT page_id, 'video', 'same film' FROM pages WHERE page_id % 5 = 0)
+SELECT 'file' AS kind, sha256(content) || CASE kind WHEN 'image' THEN '.png' WHEN 'audio' THEN '.wav' ELSE '.mp4' END AS name, any_value(strlen(content))::BIGINT AS size, count(*)::BIGINT AS uses, count(*) FILTER (kind = 'image' AND NOT starts_with(content, '<')) AS failed FROM i GROUP BY ALL
+UNION ALL SELECT 'visual', page_id::VARCHAR, length(left(coalesce({HEARD_SQL}, ''), 1024))::BIGINT, (1 + (page_id % 6 = 0)::INT)::BIGINT, 0 FROM pages WHERE page_id % 3 = 0 AND starts_with(html, '<')
+UNION ALL SELECT 'episode', page_id::VARCHAR, length({HEARD_SQL})::BIGINT, (page_id % 4 = 0)::BIGINT, 0 FROM pages WHERE {HEARD_SQL} <> ''""")
+def w3_multimodal_write(spark, sf_dir):
+    """Pages as records with media: images, sound and film as base64, some of them broken or beyond their encoder; files, visual nodes and episodes are written."""
+    p, i = table(spark, sf_dir, "pages"), F.col("page_id")
+    packed = lambda c: F.base64(c.cast("binary"))
+    some = lambda test, *payloads: F.when(test, F.array(*payloads))
+    images = F.filter(F.concat(F.coalesce(some(i % 3 == 0, packed(F.col("html"))), F.array()), F.coalesce(some(i % 6 == 0, packed(F.concat(F.lit("no image "), i))), F.array())), lambda x: x.isNotNull())
+    records = p.select(i.alias("id"), F.col("url").alias("text"), images.alias("images"), some(i % 4 == 0, packed(F.col("url")), F.lit("%broken%"), packed(i.cast("string"))).alias("audio"), some(i % 5 == 0, packed(F.lit("same film")), F.lit("*")).alias("video"))
+    files, visual, episodes_ = write_multimodal(records, media_items(records), plain_embedding, lambda c: c.cast("string"), Workspace(spark, "multimodal"))
+    rows = files.select(F.lit("file").alias("kind"), F.col("path").alias("name"), "size", "uses", F.col("not_encoded").alias("failed"))
+    rows = rows.union(visual.select(F.lit("visual"), F.col("id").cast("string"), F.length("caption").cast("long"), "images", F.lit(0).cast("long")))
+    return rows.union(episodes_.select(F.lit("episode"), F.col("id").cast("string"), F.length("content").cast("long"), F.col("transcription").isNotNull().cast("long"), F.lit(0).cast("long")))
