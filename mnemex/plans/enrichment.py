@@ -80,12 +80,7 @@ def f4_time_mode(spark, sf_dir):
 
 @query(f"SELECT id, CASE WHEN contains(text, '3 days ago') THEN '3_day_ago' WHEN contains(text, 'today') THEN 'today' WHEN contains(text, 'yesterday') THEN 'yesterday' WHEN contains(text, 'last year') THEN 'last_year' END AS key FROM {PLANTED_SQL}")
 def f5_time_anchor(spark, sf_dir):
-    """A label of the phrase that stays the same however the clock moves."""
-    q = F.lower("text")
-    n, u = (F.regexp_extract(q, r"(\d+)\s*(minute|hour|day|week|month|year)s?\s*ago", k) for k in (1, 2))
-    key = F.when(n != "", F.concat(n, F.lit("_"), u, F.lit("_ago"))).when(q.contains("today"), "today").when(q.contains("yesterday"), "yesterday")
-    last = F.regexp_extract(q, r"(?:last|previous) (year|month|week|day)", 1)
-    return planted(spark, sf_dir).select("id", key.when(last != "", F.concat(F.lit("last_"), last)).alias("key"))
+    return planted(spark, sf_dir).select("id", X.time_key(F.col("text")).alias("key"))
 
 
 @query(f"SELECT id, CASE WHEN regexp_matches(lower(text), '\\brevenue\\b') THEN 'revenue' WHEN regexp_matches(lower(text), '\\bprice\\b') THEN 'price' ELSE '' END AS attributes FROM {PLANTED_SQL}")

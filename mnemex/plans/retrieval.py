@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import ranking as R
 from ..operators import retrieval as X
+from ..operators.agentic import agentic, anchors, sufficient
 from ..operators.temporal import as_of, keep_last
 from ..operators.vectors import nearest
 from ..shared import Workspace
@@ -320,36 +322,47 @@ def v24_hypothesis_retrieval(spark, sf_dir):
     return both.groupBy("query_id", "id").agg(F.max("score").alias("score"))
 
 
-def sufficiency(results, query_col="query_id"):
-    """Enough if scores fall by a quarter and three results differ."""
-    g = results.groupBy(query_col).agg(F.max("score").alias("hi"), F.min("score").alias("lo"), F.countDistinct("id").alias("n"))
-    return g.select(query_col, "n", ((F.col("hi") > 0) & ((F.col("hi") - F.col("lo")) / F.col("hi") >= 0.25) & (F.col("n") >= 3)).alias("enough"))
-
-
 @query(f"SELECT query_id, count(DISTINCT id) AS n, max(score) > 0 AND (max(score) - min(score)) / max(score) >= 0.25 AND count(DISTINCT id) >= 3 AS enough FROM (SELECT * FROM {KNN_SQL} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 12) GROUP BY 1")
 def v27_sufficiency(spark, sf_dir):
-    return sufficiency(nearest(*vectors(spark, sf_dir), k=12))
+    return sufficient(nearest(*vectors(spark, sf_dir), k=12))
 
 
 @query()
 def v25_agentic_rounds(spark, sf_dir):
-    """Up to three rounds: where a round isn't enough, the best result becomes the next anchor. The loop is bounded and only plans are built in it."""
-    q, rows = vectors(spark, sf_dir)
-    found, asked = None, q
-    for step in range(3):
-        hits = nearest(asked, rows, k=12).withColumn("step", F.lit(step))
-        found = hits if found is None else found.unionByName(hits)
-        open_ = sufficiency(hits).where("NOT enough").select("query_id")
-        anchor = hits.where("rank = 2").select("query_id", F.col("id").alias("anchor")).join(open_, "query_id", "left_semi")
-        asked = anchor.join(rows.withColumnRenamed("id", "anchor"), "anchor").select("query_id", "vector")
-    return found.groupBy("query_id", "id").agg(F.max("score").alias("score"), F.min("step").alias("step"))
+    """Up to three rounds of BM25: where results aren't enough and name three new anchors, those are asked for next. What no SQL says is held against a plain loop in tests."""
+    d = documents(spark, sf_dir).where("text IS NOT NULL")
+    return agentic(questions(spark, sf_dir), lambda q: X.bm25(q, d), d.withColumnRenamed("text", "content"), F.lit("2024-02-01 00:00:00").cast("timestamp"))
+
+
+STOP_SQL = ", ".join(f"'{w.replace(chr(39), chr(39) * 2)}'" for w in T.QUERY_STOP + T.TIME_STOP)
+
+
+def contracted_sql(text: str) -> str:
+    """Contractions spelled out, in the order of the list."""
+    for short, full in T.CONTRACTIONS.items():
+        text = f"regexp_replace({text}, '(?i)\\b{short.replace(chr(39), chr(39) * 2)}\\b', '{full}', 'g')"
+    return text
+
+
+ATTRIBUTES_SQL = " UNION ALL ".join(f"SELECT query_id, '{a}' AS x FROM t WHERE regexp_matches(lower(text), '\\b{a.replace('_', '[_ ]')}\\b')" for a in T.ATTRIBUTES)
 
 
-@query(f"SELECT query_id, string_agg(source, ',' ORDER BY source) AS anchors FROM (SELECT DISTINCT query_id, source FROM (SELECT * FROM {KNN_SQL} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5) k JOIN documents ON doc_id = id) GROUP BY 1")
+@query(f"""WITH k AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {KNN_SQL} QUALIFY rank <= 5),
+t AS (SELECT query_id, rank, replace(replace(text, '’', chr(39)), '‘', chr(39)) AS text, regexp_replace({contracted_sql("replace(replace(text, '’', chr(39)), '‘', chr(39))")}, '[À-ÖØ-öø-ÿ]', '_', 'g') AS plain FROM k JOIN documents ON doc_id = id WHERE text IS NOT NULL),
+f AS (SELECT query_id, rank, list_filter(list_concat(regexp_extract_all(plain, '\\b({T.NAME})\\b', 1), regexp_extract_all(plain, '\\b([a-z]{{2,}})\\b', 1)), lambda x: lower(x) NOT IN ({STOP_SQL})) AS e FROM t),
+u AS (SELECT query_id, rank, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM f), o AS (SELECT query_id, rank, lower(x) AS low, arg_min(x, i) AS x, min(i) AS i FROM u GROUP BY ALL),
+five AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY query_id, rank ORDER BY i) <= 5), once AS (SELECT query_id, low, arg_min(x, rank * 100000000 + i) AS x, min(rank * 100000000 + i) AS i FROM five GROUP BY query_id, low), every AS (SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY i) <= 5),
+a AS (SELECT query_id, string_agg(DISTINCT x, ',' ORDER BY x) AS attributes FROM ({ATTRIBUTES_SQL}) GROUP BY 1),
+w AS (SELECT query_id, rank, lower(text) AS low, regexp_extract(text, '((?:19|20)\\d{{2}})', 1) AS year FROM t),
+m AS (SELECT query_id, arg_min(CASE WHEN contains(low, 'today') THEN 'time:today' WHEN contains(low, 'yesterday') THEN 'time:yesterday' WHEN regexp_matches(low, '(last|previous) (year|month|week|day)') THEN 'time:last_' || regexp_extract(low, '(last|previous) (year|month|week|day)', 2)
+ WHEN regexp_matches(low, 'earlier|yesterday') THEN 'time:1706659200' WHEN regexp_matches(low, 'last|previous') THEN 'time:1706659200' ELSE 'time:' || epoch(make_timestamp(year::BIGINT, 12, 31, 23, 59, 59.0))::BIGINT END, rank) AS time
+ FROM w WHERE NOT regexp_matches(low, '{T.NEWEST}') AND (year <> '' OR regexp_matches(low, 'today|yesterday|earlier|last|previous')) GROUP BY 1)
+SELECT query_id, string_agg(x, ',' ORDER BY i) AS entities, coalesce(any_value(attributes), '') AS attributes, coalesce(any_value(time), '') AS time FROM (SELECT DISTINCT query_id FROM t) LEFT JOIN every USING (query_id) LEFT JOIN a USING (query_id) LEFT JOIN m USING (query_id) GROUP BY query_id""")
 def v28_anchors(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
-    hits = nearest(*vectors(spark, sf_dir), k=5).join(d, "id")
-    return hits.groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_set("source")), ",").alias("anchors"))
+    """What the five best results of each query name: entities, attribute words, a time."""
+    hits = nearest(*vectors(spark, sf_dir), k=5).join(documents(spark, sf_dir).withColumnRenamed("text", "content"), "id").where("content IS NOT NULL")
+    found = anchors(hits.select("query_id", "rank", "content"), F.lit("2024-02-01 00:00:00").cast("timestamp"))
+    return found.select("query_id", F.array_join("entities", ",").alias("entities"), F.array_join("attributes", ",").alias("attributes"), F.coalesce("time", F.lit("")).alias("time"))
 
 
 @query(f"""SELECT query_id, id, round(CASE WHEN query_id % 300 = 0 THEN score * 0.9 WHEN bonus >= 0.95 THEN least(0.9999, score + 0.3) ELSE score * (0.2 + 0.8 * bonus) END, 6)::DOUBLE AS score FROM
