@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..shared import Workspace, within
+
 
 def top_k(df: DataFrame, keys: list[str], score: str, id_col: str, k: int) -> DataFrame:
     """The k best of each key with their rank; ties go to the smaller id."""
@@ -48,6 +53,18 @@ def cascade(df: DataFrame, query_col: str, tier: str) -> DataFrame:
     return df.join(first, query_col).where(F.col(tier) == F.col("_first")).drop("_first")
 
 
+def fall_through(queries: DataFrame, levels: list[Callable[[DataFrame], DataFrame]], ws: Workspace) -> DataFrame:
+    """``query_id, id, score, tier``: each level (queries to query_id, id, score) is asked only the queries that the levels before found nothing for; what it finds is written, so it is computed once."""
+    found: list[DataFrame] = []
+    rest = queries
+    for tier, level in enumerate(levels, 1):
+        found.append(ws.save(level(rest).select("query_id", "id", F.col("score").cast("double").alias("score"), F.lit(tier).alias("tier")), f"tier-{tier}"))
+        rest = ws.save(rest.join(found[-1].select("query_id").distinct(), "query_id", "left_anti"), f"rest-{tier}")
+        if within(rest, 0):
+            break
+    return reduce(DataFrame.union, found)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)

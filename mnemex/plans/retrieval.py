@@ -13,6 +13,7 @@ from ..operators import ranking as R
 from ..operators import retrieval as X
 from ..operators.agentic import agentic, anchors, sufficient
 from ..operators.temporal import as_of, keep_last
+from ..operators.tfidf import tfidf_cosine
 from ..operators.vectors import nearest
 from ..shared import Workspace
 from ..sources.tables import EPISODES_SQL, VERSIONS_SQL, episodes, members, property_versions, table
@@ -182,29 +183,57 @@ def v6_hypergraph_channel(spark, sf_dir):
     return seeds.union(near.select("query_id", "id", "score", F.lit("hyperedge").alias("via")))
 
 
-@query()
+def tfidf_sql(asked: str, k: int = 20) -> str:
+    """Common tables of the cosine; ``z`` has the ``k`` best of each query (query_id, text)."""
+    return f"""dt AS MATERIALIZED (SELECT id, term, count(*) AS tf FROM (SELECT doc_id AS id, unnest({GRAMS_SQL}) AS term FROM documents) GROUP BY ALL), dn AS (SELECT count(*) AS n FROM documents),
+di AS MATERIALIZED (SELECT term, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM dt, dn GROUP BY term), dl AS (SELECT id, sqrt(sum(tf * idf * tf * idf)) AS norm FROM dt JOIN di USING (term) GROUP BY id),
+qt AS (SELECT query_id, term, count(*) AS tf FROM (SELECT query_id, unnest({GRAMS_SQL}) AS term FROM ({asked})) GROUP BY ALL), qw AS (SELECT query_id, term, tf * idf AS w, idf FROM qt JOIN di USING (term)), ql AS (SELECT query_id, sqrt(sum(w * w)) AS norm FROM qw GROUP BY 1),
+zs AS (SELECT query_id, id, round(sum(w * tf * idf) / (any_value(dl.norm) * any_value(ql.norm)), 6)::DOUBLE AS score FROM qw JOIN dt USING (term) JOIN dl USING (id) JOIN ql USING (query_id) GROUP BY query_id, id),
+z AS (SELECT * FROM zs WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {k})"""
+
+
+@query(f"WITH {tfidf_sql(QUESTIONS_SQL)} SELECT query_id, id, score FROM z")
 def v10_tfidf_cosine(spark, sf_dir):
     """Cosine of character 2- to 4-grams within words: all benchmark items against all documents."""
-    return X.tfidf_cosine(questions(spark, sf_dir), documents(spark, sf_dir), X.char_grams(F.col("text"))).select("query_id", "id", "score")
+    return tfidf_cosine(questions(spark, sf_dir), documents(spark, sf_dir)).select("query_id", "id", "score")
 
 
-CASCADE_SQL = f"""{HYPER_SQL}, asked AS (SELECT vec_id AS query_id, left(text, 40) AS phrase FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 100 = 0),
-t AS (SELECT query_id, id, max(score) AS score, 1 AS tier FROM (SELECT query_id, id, score FROM s WHERE query_id % 300 = 0 UNION ALL SELECT query_id, id, score FROM x WHERE query_id % 300 = 0) GROUP BY ALL
-  UNION ALL SELECT query_id, id, score, 2 FROM (SELECT * FROM {KNN_SQL} WHERE score > 0.9 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10) WHERE query_id % 200 = 0
-  UNION ALL SELECT query_id, doc_id, 0.5, 4 FROM asked JOIN documents ON contains(lower(text), lower(phrase)))"""
+#: What the cascade is asked: every hundredth document's beginning. A level's results count from this score on.
+CASCADE = {"shared": 2, "vector": 0.37, "grams": 0.4}
+ASKED_SQL = "SELECT doc_id AS query_id, left(text, 40) AS text FROM documents WHERE doc_id % 100 = 0 AND text IS NOT NULL"
 
 
-@query(f"{CASCADE_SQL} SELECT query_id, id, score::DOUBLE AS score, tier FROM t QUALIFY tier = min(tier) OVER (PARTITION BY query_id)")
+@query(f"""WITH asked AS ({ASKED_SQL}), m AS (SELECT DISTINCT l_orderkey AS h, l_partkey AS id FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F'),
+one AS (SELECT query_id, b.id, (count(*) / 10)::DOUBLE AS score, 1 AS tier FROM asked JOIN m a ON a.id = query_id JOIN m b ON b.h = a.h AND b.id <> a.id GROUP BY query_id, b.id HAVING count(*) >= {CASCADE["shared"]}),
+two AS (SELECT query_id, id, score, 2 AS tier FROM (SELECT * FROM {KNN_SQL} WHERE id <> query_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10) WHERE score >= {CASCADE["vector"]} AND query_id IN (SELECT query_id FROM asked) AND query_id NOT IN (SELECT query_id FROM one)),
+{tfidf_sql("SELECT * FROM asked")}, three AS (SELECT query_id, id, score, 3 AS tier FROM z WHERE score >= {CASCADE["grams"]} AND query_id NOT IN (SELECT query_id FROM one UNION ALL SELECT query_id FROM two)),
+four AS (SELECT query_id, doc_id, 0.5::DOUBLE, 4 FROM asked JOIN documents d ON contains(lower(d.text), lower(asked.text)) WHERE query_id NOT IN (SELECT query_id FROM one UNION ALL SELECT query_id FROM two UNION ALL SELECT query_id FROM three))
+SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three UNION ALL SELECT * FROM four""")
 def v12_cascade(spark, sf_dir):
-    """Hypergraph, vectors, then the text: a level answers only what the ones before left empty. Here the first level serves ids divisible by 300, the second those divisible by 200."""
-    q, rows = vectors(spark, sf_dir)
-    one = v6_hypergraph_channel(spark, sf_dir).where("query_id % 300 = 0").groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    two = nearest(q.where("query_id % 200 = 0"), rows).where("score > 0.9").select("query_id", "id", "score")
+    """Hyperedges, vectors, grams, then the text itself: each level is asked only what the ones before found nothing for."""
     d = documents(spark, sf_dir)
-    asked = d.join(q.select(F.col("query_id").alias("id")), "id", "left_semi").select(F.col("id").alias("query_id"), F.substring("text", 1, 40).alias("phrase"))
-    four = X.text_fallback(asked, d)
-    tiers = [x.select("query_id", "id", "score", F.lit(t).alias("tier")) for t, x in ((1, one), (2, two), (4, four))]
-    return R.cascade(reduce(DataFrame.union, tiers), "query_id", "tier")
+    ws = Workspace(spark, "cascade")
+    asked = ws.save(d.where("id % 100 = 0 AND text IS NOT NULL").select(F.col("id").alias("query_id"), F.substring("text", 1, 40).alias("text")), "asked")
+    finished = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("hyperedge_id"))
+    m = members(spark, sf_dir).join(finished, "hyperedge_id", "left_semi").withColumnRenamed("episode_id", "id")
+    vectors_ = vectors(spark, sf_dir)[1]
+
+    def shared(q):
+        edges = m.join(q.select(F.col("query_id").alias("id")), "id").select(F.col("id").alias("query_id"), "hyperedge_id")
+        near = edges.join(m, "hyperedge_id").where("id <> query_id").groupBy("query_id", "id").agg(F.count("*").alias("n"))
+        return near.where(F.col("n") >= CASCADE["shared"]).select("query_id", "id", (F.col("n") / 10).alias("score"))
+
+    def alike(q):
+        own = q.select(F.col("query_id").alias("id")).join(vectors_, "id").select(F.col("id").alias("query_id"), "vector")
+        return nearest(own, vectors_, itself=False).where(F.col("score") >= CASCADE["vector"]).select("query_id", "id", "score")
+
+    def grams(q):
+        return tfidf_cosine(q, d).where(F.col("score") >= CASCADE["grams"]).select("query_id", "id", "score")
+
+    def text(q):
+        return X.text_fallback(q.withColumnRenamed("text", "phrase"), d)
+
+    return R.fall_through(asked, [shared, alike, grams, text], ws)
 
 
 @query("SELECT query_id, doc_id AS id, 0.5::DOUBLE AS score FROM (SELECT doc_id AS query_id, left(text, 40) AS phrase FROM documents WHERE doc_id % 100 = 0) JOIN documents ON contains(lower(text), lower(phrase))")

@@ -96,3 +96,18 @@ def test_tfidf_cosine_searches_every_document(spark, folder):
         wanted += [(q, i, pytest.approx(s, abs=2e-6)) for i, s in best(scores, 20)]
     got = QUERIES["v10_tfidf_cosine"](spark, folder).collect()
     assert sorted((r.query_id, r.id, r.score) for r in got) == sorted(wanted, key=lambda x: x[:2])
+
+
+def test_tfidf_over_a_large_vocabulary_and_many_blocks(spark):
+    """The size switch and blocks of queries change nothing."""
+    from mnemex.operators.tfidf import tfidf_cosine
+
+    docs = spark.createDataFrame([*DOCS, (None, "no id"), (10_000, None), (10_001, " ")], "id long, text string")
+    asked = spark.createDataFrame([*ITEMS, (900, None), (901, "漢字 ÄÖ"), (None, "x y")], "query_id long, text string")
+    want = sorted(map(tuple, tfidf_cosine(asked, docs).collect()))
+    assert want
+    for options in ({"block": 1}, {"largest": 3}):
+        got = sorted(map(tuple, tfidf_cosine(asked.where("query_id IS NOT NULL"), docs.where("id IS NOT NULL"), **options).collect()))
+        assert [(x[0], x[1], x[3]) for x in got] == [(x[0], x[1], x[3]) for x in want]
+        assert [x[2] for x in got] == [pytest.approx(x[2], abs=2e-6) for x in want]
+    assert tfidf_cosine(asked, docs.where("false")).count() == 0
