@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import graph as G
 from ..operators.communities import louvain
+from ..operators.consolidation import consolidate
 from ..operators.strings import edit_pairs
 from ..operators.temporal import keep_last
 from ..shared import Workspace
 from ..sources.tables import EPISODES_SQL, MEMBERS_SQL, episodes, members, table
 from .catalog import query
 from .retrieval import KNN_SQL, vectors
+from .temporal import TAU_SQL, _decayed
 
 GRAPH_SQL = KNN_SQL.replace(" AND a.vec_id % 100 = 0", "").replace(" WHERE a.vec_id % 100 = 0", " WHERE a.vec_id <> b.vec_id")
 EDGES_SQL = f"(SELECT query_id AS src, id AS dst, score AS weight FROM {GRAPH_SQL} WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 6)"
@@ -337,17 +339,24 @@ def f12_semantic_normalise(spark, sf_dir):
     return found.select("query_id", F.when(F.col("score") >= 0.85, F.col("id")).otherwise(F.col("query_id")).alias("name"))
 
 
-@query()
+REPORT_SQL = f"""WITH RECURSIVE g AS MATERIALIZED (SELECT id, content, source, tau_initial * exp(-(age / 1000) / win) AS tau, protected, age, id % 6 AS degree FROM {TAU_SQL} WHERE NOT quarantine),
+e AS MATERIALIZED (SELECT src, dst FROM {EDGES_SQL} WHERE src IN (SELECT id FROM g) AND dst IN (SELECT id FROM g)), u AS MATERIALIZED (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+r(id, low) AS (SELECT DISTINCT src, src FROM u UNION SELECT u.dst, r.low FROM r JOIN u ON u.src = r.id AND r.low < u.dst), m AS MATERIALIZED (SELECT id, min(low) AS community FROM r GROUP BY id),
+c AS (SELECT community, count(*) AS size, least(3, count(DISTINCT source)) AS topics, least(20, count(*)) AS episodes, 'Community ' || community || ': ' || count(*) || ' members. ' || array_to_string((list(left(content, 100) ORDER BY id))[1:5], '; ') AS report FROM m JOIN g USING (id) GROUP BY community HAVING count(*) >= 2),
+x AS MATERIALIZED (SELECT *, tau < 0.1 AND NOT (protected OR age < 7200 OR tau > 0.3 OR degree > 1) AS faded FROM g), gone AS (SELECT id FROM x WHERE faded AND (SELECT avg(faded::INT) FROM x) <= 0.5),
+d AS (SELECT community, lower(trim(content)) AS t, count(*) AS n FROM m JOIN g USING (id) WHERE id NOT IN (SELECT id FROM gone) AND content IS NOT NULL GROUP BY ALL HAVING count(*) > 1)
+SELECT count(*) AS communities, sum(size)::BIGINT AS members, sum(topics)::BIGINT AS topics, sum(episodes)::BIGINT AS episodes, sum(least(20, len(list_distinct(regexp_extract_all(lower(report), '([a-z]{{4,}})', 1)))))::BIGINT AS keywords, (SELECT count(*) FROM gone) AS pruned,
+ (SELECT coalesce(sum(n - 1), 0)::BIGINT FROM d) AS conflicts, (SELECT count(*) FROM d) AS updated, (SELECT count(*) FROM g) AS size_before, (SELECT count(*) FROM g) - (SELECT count(*) FROM gone) - (SELECT coalesce(sum(n - 1), 0)::BIGINT FROM d) AS size_after FROM c"""
+
+
+@query(REPORT_SQL)
 def g25_consolidation_run(spark, sf_dir):
-    """Gather, cluster, synthesise, prune and resolve in one plan: a row per community with what is kept and merged."""
-    from .temporal import _decayed
-    from ..operators import temporal as T
-
-    nodes = _decayed(spark, sf_dir).where("NOT quarantine")
-    gone = T.is_prunable(F.col("tau"), F.col("protected"), F.col("age"), F.col("id") % 6)
-    comps = G.connected_components(knn_graph(spark, sf_dir)).select(F.col("node").alias("id"), "component")
-    grouped = nodes.join(comps, "id", "left").select(F.coalesce("component", "id").alias("community"), "id", gone.alias("gone"), "tau_initial")
-    return grouped.groupBy("community").agg(F.count("*").alias("size"), F.count_if("gone").alias("pruned"), F.round(F.avg("tau_initial"), 6).alias("mean_tau"))
+    """All eight stages, with connected components as communities, which SQL can say; the report's counts. Stages lie in the run's folder and a run that was cut off goes on where it stopped."""
+    e = episodes(spark, sf_dir).select("id", "content")
+    nodes = _decayed(spark, sf_dir).join(e, "id").select("id", "content", "source", "tau", "protected", "age", (F.col("id") % 6).alias("degree"), "quarantine")
+    parts = lambda edges: G.connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("community"))
+    report, _ = consolidate(nodes, knn_graph(spark, sf_dir), Workspace(spark, "consolidation").path("run"), parts)
+    return report.drop("at", "previous", "hash")
 
 
 @query()
