@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..operators import graph as G
 from ..operators.communities import louvain
 from ..operators.consolidation import consolidate
+from ..operators.hierarchy import judge_edges
 from ..operators.strings import edit_pairs
 from ..operators.temporal import keep_last
 from ..shared import Workspace
@@ -231,6 +232,19 @@ def g22_schema_evolution_guard(spark, sf_dir):
     return g.where((F.col("keys") >= 2) & ~F.col("proposal").startswith("SMALL")).orderBy(F.desc("keys"), "proposal").limit(1)
 
 
+@query("""WITH RECURSIVE t AS (SELECT p_partkey AS child, p_partkey // 3 AS parent FROM part WHERE p_partkey > 0), q AS (SELECT p_partkey AS proposal, CASE WHEN p_partkey % 20 = 0 THEN p_partkey // 9 ELSE p_partkey + 1 END AS child, p_partkey AS parent FROM part WHERE p_partkey % 5 = 0),
+u AS (SELECT proposal, parent AS node, 0 AS steps FROM q UNION ALL SELECT proposal, t.parent, steps + 1 FROM u JOIN t ON t.child = u.node WHERE steps < 9), d AS (SELECT proposal, child AS node, 0 AS steps FROM q UNION ALL SELECT proposal, t.child, steps + 1 FROM d JOIN t ON t.parent = d.node WHERE steps < 9),
+x AS (SELECT proposal, child, parent, proposal IN (SELECT proposal FROM u WHERE u.node = q.child AND u.proposal = q.proposal) AS cyclic, least(9, (SELECT max(steps) FROM u WHERE u.proposal = q.proposal) + (SELECT max(steps) FROM d WHERE d.proposal = q.proposal) + 1)::INT AS depth FROM q)
+SELECT *, NOT cyclic AND depth <= 8 AS accepted FROM x""")
+def g22_hierarchy_guard(spark, sf_dir):
+    """Proposed parents of types in a tree of parts: some would close a circle, some make it deeper than eight."""
+    i = F.col("p_partkey")
+    p = table(spark, sf_dir, "part").select("p_partkey")
+    tree = p.where(i > 0).select(i.alias("child"), F.floor(i / 3).alias("parent"))
+    asked = p.where(i % 5 == 0).select(i.alias("proposal"), F.when(i % 20 == 0, F.floor(i / 9)).otherwise(i + 1).alias("child"), i.alias("parent"))
+    return judge_edges(tree, asked, 8)
+
+
 @query("SELECT DISTINCT regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g') AS skill FROM part WHERE length(p_name) > 3")
 def g23_skill_names(spark, sf_dir):
     return table(spark, sf_dir, "part").where("length(p_name) > 3").select(F.regexp_replace(F.lower("p_name"), "[^a-z0-9]+", "-").alias("skill")).distinct()

@@ -12,6 +12,7 @@ from ..operators import governance as G
 from ..operators import mutations as M
 from ..operators import temporal as T
 from ..operators.multimodal import media_items, write_multimodal
+from ..operators.tuning import rounds, tune
 from ..shared import Workspace
 from ..sources.tables import EPISODES_SQL, episodes, table
 from .catalog import query
@@ -209,6 +210,36 @@ def w18_self_tuning(spark, sf_dir):
     return d.select(F.col("day").cast("string").alias("day"), F.round("q", 4).alias("quality"), F.coalesce((F.col("n") >= 3) & ((before - F.col("q")) / before > 0.15), F.lit(False)).alias("revert"))
 
 
+SNAPSHOTS_SQL = """(SELECT user_id AS key, ts::DATE::VARCHAR AS day, round(avg(event_id % 7), 6) AS results, round(avg(value / 100), 6) AS score, round(avg(event_id % 4), 6) AS distinct_, round(avg(value * 12), 6) AS latency, round(avg(event_id % 3), 6) AS hits,
+ round(avg(value / 80), 6) AS hit_score, round(avg(value / 100), 6) AS quality, max((event_type = 'error' AND event_id % 5 = 0)::INT) AS degraded FROM events WHERE user_id IS NOT NULL GROUP BY 1, 2)"""
+_P = "first, vector, keyword, boost, w0, w1, w2"
+
+
+@query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY key ORDER BY day) AS k, ('0x' || left(md5(key || '|' || day), 8))::BIGINT / 4294967296.0::DOUBLE AS draw FROM {SNAPSHOTS_SQL}),
+r AS (SELECT DISTINCT key, 0::BIGINT AS k, 5 AS first, 20 AS vector, 20 AS keyword, 0.4::DOUBLE AS boost, 0.35::DOUBLE AS w0, 0.4::DOUBLE AS w1, 0.25::DOUBLE AS w2, 0.0::DOUBLE AS quality, 0 AS samples, 0 AS version, 0 AS kept, 0 AS reverts, 0 AS idle,
+ 5 AS bfirst, 20 AS bvector, 20 AS bkeyword, 0.4::DOUBLE AS bboost, 0.35::DOUBLE AS bw0, 0.4::DOUBLE AS bw1, 0.25::DOUBLE AS bw2, 0.0::DOUBLE AS bquality FROM e
+UNION ALL SELECT key, k, CASE WHEN worse THEN bfirst ELSE nfirst END, CASE WHEN worse THEN bvector ELSE nvector END, CASE WHEN worse THEN bkeyword ELSE nkeyword END, CASE WHEN worse THEN bboost ELSE nboost END, CASE WHEN worse THEN bw0 ELSE n0 END, CASE WHEN worse THEN bw1 ELSE n1 END, CASE WHEN worse THEN bw2 ELSE n2 END,
+ CASE WHEN worse THEN bquality ELSE q END, CASE WHEN fresh THEN 0 ELSE m END, version + fresh::INT, CASE WHEN worse THEN version ELSE kept END, reverts + worse::INT, CASE WHEN fresh OR worse THEN 0 ELSE idle + 1 END,
+ CASE WHEN fresh THEN first ELSE bfirst END, CASE WHEN fresh THEN vector ELSE bvector END, CASE WHEN fresh THEN keyword ELSE bkeyword END, CASE WHEN fresh THEN boost ELSE bboost END, CASE WHEN fresh THEN w0 ELSE bw0 END, CASE WHEN fresh THEN w1 ELSE bw1 END, CASE WHEN fresh THEN w2 ELSE bw2 END, CASE WHEN fresh THEN q ELSE bquality END
+FROM (SELECT *, NOT worse AND (changed OR tries) AS fresh, CASE WHEN tries AND floor(draw * 3) = 0 THEN round(least(1.0, greatest(0.0, w0 + moved)), 4) ELSE w0 END AS n0, CASE WHEN tries AND floor(draw * 3) = 1 THEN round(least(1.0, greatest(0.0, w1 + moved)), 4) ELSE w1 END AS n1,
+  CASE WHEN tries AND floor(draw * 3) = 2 THEN round(least(1.0, greatest(0.0, w2 + moved)), 4) ELSE w2 END AS n2 FROM (
+ SELECT *, (nfirst, nvector, nkeyword, nboost) <> (first, vector, keyword, boost) AS changed, (nfirst, nvector, nkeyword, nboost) = (first, vector, keyword, boost) AND idle + 1 >= 6 AS tries, round(draw * 3 - floor(draw * 3), 6) * 0.2::DOUBLE - 0.1::DOUBLE AS moved FROM (
+  SELECT *, version > kept AND m >= 3 AND bquality > 0 AND (bquality - q) / bquality > 0.15 AS worse, CASE WHEN results < 3 OR degraded = 1 THEN least(100, first + 1) ELSE first END AS nfirst,
+   CASE WHEN dv <> 0 THEN least(greatest(100, vector + 1), greatest(1, floor(vector * (1 + dv))::INT)) ELSE vector END AS nvector, CASE WHEN dk <> 0 THEN least(greatest(100, keyword + 1), greatest(1, floor(keyword * (1 + dk))::INT)) ELSE keyword END AS nkeyword,
+   CASE WHEN hits >= 1 AND hit_score >= 0.3 THEN least(0.55::DOUBLE, round(boost + 0.025::DOUBLE, 4)) WHEN hits = 0 THEN greatest(0.0::DOUBLE, round(boost - 0.025::DOUBLE, 4)) ELSE boost END AS nboost FROM (
+   SELECT r.* EXCLUDE (k, quality, samples), e.* EXCLUDE (key, quality), CASE WHEN r.samples = 0 THEN e.quality ELSE 0.7::DOUBLE * r.quality + 0.3::DOUBLE * e.quality END AS q, r.samples + 1 AS m,
+    CASE WHEN results < 3 THEN 0.125::DOUBLE ELSE 0 END + CASE WHEN score < 0.3 THEN 0.125::DOUBLE ELSE 0 END - CASE WHEN distinct_ < 2 AND results >= 3 THEN 0.0625::DOUBLE ELSE 0 END - CASE WHEN latency > 500 AND results >= 3 THEN 0.1::DOUBLE ELSE 0 END AS dv,
+    CASE WHEN results < 3 THEN 0.125::DOUBLE ELSE 0 END + CASE WHEN distinct_ < 2 THEN 0.125::DOUBLE ELSE 0 END - CASE WHEN latency > 500 AND results >= 3 THEN 0.1::DOUBLE ELSE 0 END AS dk FROM r JOIN e ON e.key = r.key AND e.k = r.k + 1)))))
+SELECT key, {_P}, version, reverts, round(quality, 6)::DOUBLE AS quality FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY k DESC) = 1""")
+def w18_parameter_evolution(spark, sf_dir):
+    """Six rules, verification with revert, and seeded tries, over the daily snapshots of each user."""
+    i, v = F.col("event_id"), F.col("value")
+    snapshots = table(spark, sf_dir, "events").where("user_id IS NOT NULL").select(
+        "user_id", "ts", (i % 7).alias("results"), (v / 100).alias("score"), (i % 4).alias("distinct"), (v * 12).alias("latency"), (i % 3).alias("hits"), (v / 80).alias("hit_score"), (v / 100).alias("quality"), ((F.col("event_type") == "error") & (i % 5 == 0)).alias("degraded"),
+    )
+    return tune(rounds(snapshots, "user_id", F.to_date("ts").cast("string")))
+
+
 @query("SELECT l_partkey AS id, 'core' AS fact_track FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1 HAVING count(*) >= 2")
 def w19_feedback_promotion(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("id")).agg(F.count("*").alias("n")).where("n >= 2").select("id", F.lit("core").alias("fact_track"))
