@@ -7,13 +7,11 @@ pass makes the vector of each document where its text is, multiplies it with the
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,47 +23,37 @@ from .vectors import best_of
 LOW, HIGH = 2, 4
 LARGEST = 2_000_000
 BLOCK = 500
-WORDS = 200_000  # whose grams a task keeps
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
-class Grams:
-    """Hashes of the grams of texts (in lower case), by word: each word is padded with a blank on both sides."""
-
-    def __init__(self):
-        self.known: dict[str, np.ndarray] = {}
-
-    def of_word(self, word: str) -> np.ndarray:
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) >= WORDS:
-                self.known.clear()
-            t = f" {word} "
-            cut = [t[i : i + k].encode("utf-8", "surrogatepass") for k in range(LOW, HIGH + 1) for i in range(len(t) - k + 1)]
-            got = self.known[word] = np.fromiter(map(xxhash.xxh64_intdigest, cut), dtype=np.uint64, count=len(cut)).view(np.int64)
-        return got
-
-    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Different grams and how often each stands, ascending."""
-        words = Counter(w for w in SPACE.split(text or "") if w)
-        if not words:
-            return np.zeros(0, dtype=np.int64), np.zeros(0)
-        parts = [self.of_word(w) for w in words]
-        times = np.repeat(np.fromiter(words.values(), dtype=np.float64, count=len(words)), [len(p) for p in parts])
-        grams, place = np.unique(np.concatenate(parts), return_inverse=True)
-        return grams, np.bincount(place, times)
+def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Different grams (as hashes) of a text in lower case and how often each stands, ascending; words are padded with a blank on both sides."""
+    words = [w for w in SPACE.split(text or "") if w]
+    if not words:
+        return np.zeros(0, dtype=np.int64), np.zeros(0)
+    c = np.frombuffer(f" {'  '.join(words)} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    edge = (c[1:] == 32) & (c[:-1] == 32)  # between two words
+    out, h, crosses = [], c, np.zeros(len(c), dtype=bool)
+    for k in range(1, HIGH):
+        crosses = crosses[: len(c) - k] | edge[k - 1 :]
+        h = (h[: len(c) - k] ^ (h[: len(c) - k] >> np.uint64(29))) * FACTOR + c[k:]
+        if k + 1 >= LOW:
+            out.append(h[~crosses] * np.uint64(2) + np.uint64(1) if k % 2 else h[~crosses])
+    own, times = np.unique(np.concatenate(out).view(np.int64), return_counts=True)
+    return own, times.astype(np.float64)
 
 
 def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cut, held, size = Grams(), [], 0
+    held, size = [], 0
 
     def out() -> pa.RecordBatch:
-        grams, n = np.unique(np.concatenate(held) if held else np.zeros(0, dtype=np.int64), return_counts=True)
-        return pa.record_batch({"gram": pa.array(grams), "n": pa.array(n.astype(np.int64))})
+        own, n = np.unique(np.concatenate(held) if held else np.zeros(0, dtype=np.int64), return_counts=True)
+        return pa.record_batch({"gram": pa.array(own), "n": pa.array(n.astype(np.int64))})
 
     for batch in batches:
         for text in batch.column(1):
-            held.append(cut.counts(text.as_py())[0])
+            held.append(grams(text.as_py())[0])
             size += len(held[-1])
             if size > 4_000_000:
                 yield out()
@@ -73,25 +61,41 @@ def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def _score(ids: np.ndarray, weights: np.ndarray, asked: np.ndarray, vocabulary, k: int):
-    """``weights`` has a line for each gram of ``asked`` and a column for each query, at unit length."""
+class Asked:
+    """A block of queries by gram: which queries hold it, with which weight (at unit length)."""
+
+    def __init__(self, lines: list[tuple[int, np.ndarray, np.ndarray]]):
+        self.ids = np.array([q for q, _, _ in lines], dtype=np.int64)
+        gram = np.concatenate([g for _, g, _ in lines])
+        line = np.repeat(np.arange(len(lines)), [len(g) for _, g, _ in lines])
+        order = np.argsort(gram, kind="stable")
+        self.line, self.weight = line[order], np.concatenate([w for _, _, w in lines])[order]
+        self.grams, self.starts, self.sizes = np.unique(gram[order], return_index=True, return_counts=True)
+
+    def dots(self, own: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Products of a document's vector with all queries."""
+        at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
+        hit = np.flatnonzero(self.grams[at] == own)
+        n = self.sizes[at[hit]]
+        place = np.arange(n.sum()) + np.repeat(self.starts[at[hit]] - np.cumsum(n) + n, n)
+        return np.bincount(self.line[place], self.weight[place] * np.repeat(w[hit], n), len(self.ids))
+
 
+def _score(asked: Asked, vocabulary, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (grams, idf), cut = vocabulary.value, Grams()
+        known, idf = vocabulary.value
         for whole in batches:
             for i in range(0, whole.num_rows, 2048):
                 batch = whole.slice(i, 2048)
-                score = np.zeros((len(ids), batch.num_rows))
+                score = np.zeros((len(asked.ids), batch.num_rows))
                 for row, text in enumerate(batch.column(1)):
-                    own, times = cut.counts(text.as_py())
+                    own, times = grams(text.as_py())
                     if len(own):
-                        w = times * idf[np.searchsorted(grams, own)]
-                        at = np.minimum(np.searchsorted(asked, own), len(asked) - 1)
-                        hit = np.flatnonzero(asked[at] == own)
-                        score[:, row] = w[hit] @ weights[at[hit]] / np.sqrt(w @ w)
+                        w = times * idf[np.searchsorted(known, own)]
+                        score[:, row] = asked.dots(own, w) / np.sqrt(w @ w)
                 score[score <= 0] = -np.inf
                 kept, found = best_of(score, batch.column(0).to_numpy(), k)
-                yield pa.record_batch({"query_id": pa.array(np.repeat(ids, [len(x) for x in kept])), "id": pa.array(np.concatenate(kept)), "score": pa.array(np.concatenate(found))})
+                yield pa.record_batch({"query_id": pa.array(np.repeat(asked.ids, [len(x) for x in kept])), "id": pa.array(np.concatenate(kept)), "score": pa.array(np.concatenate(found))})
 
     return run
 
@@ -106,26 +110,21 @@ def tfidf_cosine(queries: DataFrame, docs: DataFrame, k: int = 20, block: int =
         return _by_joins(queries, docs, k)
     n = texts.count()
     got = df.toPandas().sort_values("gram")  # bounded by ``largest``
-    grams, idf = got["gram"].to_numpy(np.int64), np.log((1 + n) / (1 + got["n"].to_numpy(np.float64))) + 1
-    vocabulary = spark.sparkContext.broadcast((grams, idf))
+    known, idf = got["gram"].to_numpy(np.int64), np.log((1 + n) / (1 + got["n"].to_numpy(np.float64))) + 1
+    vocabulary = spark.sparkContext.broadcast((known, idf))
     passes, parts = max(1, -(-queries.count() // block)), []
     for i in range(passes):
         own = queries if passes == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)
-        cut, lines = Grams(), []
+        lines = []
         for r in own.where("query_id IS NOT NULL").select("query_id", F.lower("text").alias("text")).collect():  # a block
-            g, times = cut.counts(r.text)
-            at = np.minimum(np.searchsorted(grams, g), max(0, len(grams) - 1))
-            there = np.flatnonzero(grams[at] == g) if len(grams) else np.zeros(0, dtype=np.int64)
+            g, times = grams(r.text)
+            at = np.minimum(np.searchsorted(known, g), max(0, len(known) - 1))
+            there = np.flatnonzero(known[at] == g) if len(known) else np.zeros(0, dtype=np.int64)
             if len(there):
                 w = times[there] * idf[at[there]]
                 lines.append((r.query_id, g[there], w / np.sqrt(w @ w)))
         if lines:
-            asked = np.unique(np.concatenate([g for _, g, _ in lines]))
-            weights = np.zeros((len(asked), len(lines)))
-            for j, (_, g, w) in enumerate(lines):
-                weights[np.searchsorted(asked, g), j] = w
-            ids = np.array([q for q, _, _ in lines], dtype=np.int64)
-            parts.append(texts.mapInArrow(_score(ids, weights, asked, vocabulary, k), "query_id long, id long, score double"))
+            parts.append(texts.mapInArrow(_score(Asked(lines), vocabulary, k), "query_id long, id long, score double"))
     if not parts:
         return spark.createDataFrame([], "query_id long, id long, score double, rank int")
     return top_k(ws.save(reduce(DataFrame.union, parts), "found"), ["query_id"], "score", "id", k)
