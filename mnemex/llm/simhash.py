@@ -216,20 +216,23 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return marks.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 4) -> DataFrame:
-    """``docs`` with one document of each group: that with the smallest id.
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each group of near copies: that with the smallest id. Near are texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more; fingerprints and sketches propose them (``near_copies``).
 
-    Rows without an id can't be told apart and are kept. If one id has several texts, they
-    are documents of their own; of rows that agree in id and text one stays.
+    Rows without an id can't be told apart and are kept. If one id has several texts, they are documents of their own; of rows that agree in id and text the one that is
+    smallest in its other columns, from left to right, stays.
     """
+    from .near_copies import near_copies
+
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash"))
     known = docs.where(F.col(id_col).isNotNull())
     ws = Workspace(docs.sparkSession, "near-dedup")
-    found = simhash_groups(known.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text", limit)
-    heads = ws.save(found.where("doc_id = component_id").select("doc_id.id", "doc_id.hash"), "heads")
+    found = near_copies(known.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text")
+    heads = ws.save(found.where("key = component").select("key.id", "key.hash"), "heads")
     kept = known.join(heads.distinct(), (known[id_col] == heads["id"]) & (F.xxhash64(known[text_col]) == heads["hash"]), "left_semi")
     if not within(heads.groupBy("id", "hash").count().where("count > 1"), 0):
-        kept = kept.dropDuplicates([id_col, text_col])
+        first = kept.groupBy(id_col, text_col).agg(F.min(F.struct(*kept.columns)).alias("_row"))
+        kept = first.select("_row.*")
     return kept.union(docs.where(F.col(id_col).isNull()))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from mnemex.llm import decontaminate, pii, quality, simhash, substring_dedup, toxicity, url_filter
 from tests.llm.common import LONG, TEXTS, documents, none
+from tests.llm.test_near_copies import plain_components
 
 
 def test_url_rules(spark):
@@ -444,8 +445,8 @@ def test_pipeline_against_a_plain_one(spark, sf):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     model = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
     rows = [(i, t) for i, t in rows if model.score(t) < toxicity.THRESHOLD]
-    heads = {(d, fp) for d, fp, low in components(rows) if d == str(low)}
-    rows = [(i, t) for i, t in rows if (str(i), f"{simhash.fingerprint(t):016x}") in heads]
+    rows.sort()
+    rows = [row for k, (row, low) in enumerate(zip(rows, plain_components(rows), strict=True)) if k == low]
     known = decontaminate.Words()
     items = [known.of(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     rows = [(i, pii.redact(t)) for i, t in rows if not any(_overlap(known.of(t), own) for own in items)]
