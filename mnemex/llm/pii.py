@@ -6,7 +6,7 @@ are entered at their start only, so a long run of digits or dots costs one pass.
 
 Texts that hold a disguise are rewritten by transducers that emit normalised text together with a
 piecewise map to source offsets: zero-width characters vanish, look-alike letters and digits of other scripts become
-ASCII, ``[at]`` / `` at `` and ``(dot)`` / `` dot `` become ``@`` and ``.``, spelled digits become digits, with and without the
+ASCII, ``[at]`` / `` at `` and ``(dot)`` / `` dot `` become ``@`` and ``.``, as do words between bars (``_at_``) and codes (``&#64;``, ``%40``), spelled digits become digits, with and without the
 blanks between them. The same finders run on that text, and
 spans that touch a rewritten place are mapped back. A found span adds to the base spans of its
 kind unless one of them holds it already; base spans never go.
@@ -98,7 +98,7 @@ def base_spans(text: str) -> dict[str, list[Span]]:
 ALIKE = dict(zip("аеорсухіјѕԁһӏАВЕКМНОРСТХІЈЅ", "aeopcyxijsdhlABEKMHOPCTXIJS", strict=True)) | dict(zip("ορνιΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "opviABEZHIKMNOPTYX", strict=True))
 # Words for digits.
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-# Last labels that a domain disguised by bare words must have.
+# Last labels that a domain after a bare "at" must have where its dots are plain.
 TOP = "com|net|org|edu|gov|info|biz|io|co|us|uk|de|fr|es|it|nl|eu|ch|at|ca|au|jp|example|test"
 ZERO_WIDTH = "​‌‍⁠﻿­"
 
@@ -121,19 +121,34 @@ _LETTERS = str.maketrans(LOOK_ALIKES)
 _DIGIT = "|".join(SPELLED)
 _AT, _DOT = r"at|@|arroba", r"dot|\.|point|punkt|punto"
 _LABEL = r"[A-Za-z0-9-]+"
+# What stands after "at" or before it in plain prose about places, sites and dots.
+_NO_LABEL = r"(?:the|a|an|this|that|these|those|each|every|some|any|one|its|his|her|their|our|my|your)\b"
+AT_PROSE = frozenset(
+    "me us them it him you is are was were be been and or but look looks looked looking see seen find found visit available online live hosted read more also here there site website page pages shop blog store details info us only up down back out now stay "
+    "sold listed published posted seen shown works worked working meet arrive stop aim point start end stare sale register buy order follow learn try go stays work job".split()
+)
+_AT_CODE, _DOT_CODE = r"&(?:#0*64|#x0*40|commat);|%40", r"&(?:#0*46|#x0*2e|period);|%2e"
 TOKENS = re.compile(
     rf"(?P<gone>[{ZERO_WIDTH}]+)"
-    rf"|(?P<at>\s{{0,3}}[\[({{<]\s{{0,3}}(?:{_AT})\s{{0,3}}[\])}}>]\s{{0,3}})"
-    rf"|(?P<dot>\s{{0,3}}[\[({{<]\s{{0,3}}(?:{_DOT})\s{{0,3}}[\])}}>]\s{{0,3}})"
-    rf"|(?P<at_word>(?<=[A-Za-z0-9])[ \t]{{1,3}}at[ \t]{{1,3}}(?={_LABEL}(?:(?:\.|[ \t]{{1,3}}dot[ \t]{{1,3}}){_LABEL}){{0,4}}[ \t]{{1,3}}dot[ \t]{{1,3}}(?:{TOP})\b))"
-    rf"|(?P<dot_word>(?<=[A-Za-z0-9])[ \t]{{1,3}}dot[ \t]{{1,3}}(?=[A-Za-z0-9]))"
+    rf"|(?P<at>(?<!\s)\s*+[\[({{<]\s*+(?:{_AT})\s*+[\])}}>]\s*+)"
+    rf"|(?P<dot>(?<!\s)\s*+[\[({{<]\s*+(?:{_DOT})\s*+[\])}}>]\s*+)"
+    rf"|(?P<at_word>(?<=[A-Za-z0-9])\s++at\s++(?=(?!{_NO_LABEL}){_LABEL}(?:(?:\.|\s++dot\s++){_LABEL}){{0,4}}\s++dot\s++[A-Za-z]{{2,24}}\b))"
+    rf"|(?P<at_site>(?<=[A-Za-z0-9])\s++at\s++(?={_LABEL}(?:\.{_LABEL}){{0,4}}\.(?:{TOP})\b))"
+    rf"|(?P<at_bar>(?<=[A-Za-z0-9])[_-]at[_-](?=[A-Za-z0-9]+(?:[_-]dot[_-][A-Za-z0-9]+)+))"
+    rf"|(?P<at_code>{_AT_CODE})"
+    rf"|(?P<dot_word>(?<=[A-Za-z0-9])(?:\s++dot\s++|[_-]dot[_-])(?=[A-Za-z0-9]))"
+    rf"|(?P<dot_code>{_DOT_CODE})"
     rf"|(?P<digit>(?<![A-Za-z0-9])(?:{_DIGIT})(?![A-Za-z0-9]))",
     re.IGNORECASE,
 )
+NEW = {"gone": "", "at": "@", "at_word": "@", "at_site": "@", "at_bar": "@", "at_code": "@", "dot": ".", "dot_word": ".", "dot_code": "."}
+LAST_WORD = re.compile(r"[A-Za-z0-9]+\Z")
 _SPELLED = rf"(?<![A-Za-z0-9])(?:{_DIGIT})(?![A-Za-z0-9])"
 _BETWEEN = r"[ \t().+-]+"
-# What TOKENS rewrites, brackets and words alike. A spelled digit counts next to another digit only: no span has a single one.
-HINT = re.compile(rf"[\[({{<]\s{{0,3}}(?:{_AT}|{_DOT})\s{{0,3}}[\])}}>]|[ \t]dot[ \t]|{_SPELLED}{_BETWEEN}(?:[0-9]|{_SPELLED})|[0-9]{_BETWEEN}{_SPELLED}", re.IGNORECASE)
+# What TOKENS rewrites, brackets, codes and words alike. A spelled digit counts next to another digit only: no span has a single one.
+HINT = re.compile(
+    rf"[\[({{<]\s*+(?:{_AT}|{_DOT})\s*+[\])}}>]|[\s_-]dot[\s_-]|\sat\s++{_LABEL}(?:\.{_LABEL}){{0,4}}\.(?:{TOP})\b|{_AT_CODE}|{_DOT_CODE}|{_SPELLED}{_BETWEEN}(?:[0-9]|{_SPELLED})|[0-9]{_BETWEEN}{_SPELLED}", re.IGNORECASE
+)
 # Blanks between single digits, where one at least is spelled.
 SPELLED_GAP = re.compile(r"[ \t]{1,2}\Z")
 GAP_BEFORE_DIGIT = re.compile(r"[ \t]{1,2}(?=[0-9](?![0-9]))")
@@ -222,10 +237,11 @@ def normalise(text: str, close_gaps: bool = False) -> Mapped:
 
     kind = None
     for m in TOKENS.finditer(plain):
+        if m.lastgroup == "at_site" and LAST_WORD.search(plain, max(0, m.start() - 64), m.start())[0].lower() in AT_PROSE:
+            continue  # "available at example.com" names a site
         last, kind = kind, m.lastgroup
         between(at, m.start(), last == "digit", kind == "digit")
-        new = {"gone": "", "at": "@", "at_word": "@", "dot": ".", "dot_word": "."}.get(kind) if kind != "digit" else SPELLED[m[0].lower()]
-        out.emit(new, *m.span(), True)
+        out.emit(SPELLED[m[0].lower()] if kind == "digit" else NEW[kind], *m.span(), True)
         at = m.end()
     between(at, len(text), kind == "digit", False)
     return out

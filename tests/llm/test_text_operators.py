@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import tracemalloc
 import zlib
 
@@ -314,3 +315,37 @@ def test_op5(spark):
     assert got.count() == len(TEXTS) + 1 and pii.op5(none(spark)).count() == 0
     fixed = pii.redact_pii(documents(spark, [(1, "mail a@b.co"), (2, None)])).orderBy("doc_id").collect()
     assert [(r.text, r.n_chars) for r in fixed] == [("mail <EMAIL>", 12), (None, None)]
+
+
+DISGUISES = {
+    "brackets": "{u} [at] {d} [dot] {t}", "wide brackets": "{u} [    at    ] {d}.{t}", "braces": "{u}{{at}}{d}{{dot}}{t}", "words": "{u} at {d} dot {t}", "at only": "{u} at {d}.{t}", "line break": "{u} at\n{d} dot {t}", "bars": "{u}_at_{d}_dot_{t}", "dashes": "{u}-at-{d}-dot-{t}",
+    "markup": "{u}&#64;{d}.{t}", "hex markup": "{u}&#x40;{d}&#46;{t}", "percent": "{u}%40{d}%2E{t}", "zero width": "{u}​@​{d}.{t}", "look-alikes": "{u}@{d}.сom", "rare label": "{u} at {d} dot dev",
+}
+
+
+@pytest.mark.parametrize("kind", DISGUISES)
+def test_recall_of_disguises(kind):
+    """Of each kind nearly all are found, at their place; what only looks like one isn't."""
+    r = random.Random(kind)
+    found = 0
+    for _ in range(60):
+        u, d, t = "".join(r.choice("bcdfgklmnprst") for _ in range(r.randint(2, 8))) + r.choice(("", "7", ".x")), "".join(r.choice("abcdefgh") for _ in range(r.randint(4, 9))) + "z", r.choice(("com", "org", "net", "de"))
+        disguise = DISGUISES[kind].format(u=u, d=d, t=t)
+        before = r.choice(("write to ", "", "reach\n", "mail: "))
+        text = before + disguise + r.choice((" today", ", please", "", "\nThanks"))
+        spans = pii.all_spans(text)[1]["email"]
+        found += (len(before), len(before) + len(disguise)) in spans
+    assert found / 60 >= 0.95
+
+
+def test_prose_is_no_disguise():
+    for text in (
+        "look at the dot product of both", "it is available at example.com today", "meet us at example.org or here", "we looked at this dot and that dot too", "at two dot three past", "sold at 40% of it", "a 100%4 thing", "come_at_me now", "the look-at-me dot", "stay at home dot", "the\n\n\n[ at ] sign",
+        "visit (at) noon", "one at a time", "read more at docs.example.net",
+    ):
+        assert not any(pii.all_spans(text)[1].values()), text
+    assert pii.redact("write bob at corp.com or bob&#64;corp.com now") == "write <EMAIL> or <EMAIL> now"
+    long = "[" + " " * 200_000 + "at" + " \n" * 100_000 + "[(" * 50_000 + "a " * 50_000 + "_at_" * 20_000 + "&#" * 50_000
+    began = time.process_time()
+    pii.all_spans(long)
+    assert time.process_time() - began < 5
