@@ -3,8 +3,8 @@
 A sentence scores sigmoid(bias + sum of its words' weights); a word has the weights of its hash and of the hashes of its first four, five and six
 characters, so inflected forms of one stem share what was learnt. A document is toxic if any
 sentence is: noisy-or, 1 - prod(1 - p). The weights are fitted to document labels through the noisy-or, so the
-gradient reaches the sentences that carry the label, which are then located by their own scores. In a score, sentences under ``FAINT`` add up to ``FAINT_MOST`` together
-at most: thousands of them, in a long clean text, are no evidence.
+gradient reaches the sentences that carry the label, which are then located by their own scores. The odds of a sentence fall with the number of sentences of its text (``spread``), in the fit and in scores alike: thousands of
+faint sentences, in a long clean text, are no more evidence than a few.
 
 The model is fitted on a bounded sample of labelled rows: the ``sample_rows`` smallest hashes of the id
 (8,000 by default), whole texts. Features that few of them hold, or that don't stand in toxic ones notably more often than in others, have no weight: they are counted first, as a table, and
@@ -38,7 +38,7 @@ SAMPLE_ROWS = 8_000
 LEAST, LIFT, PRIOR = 5, 0.5, 2.0
 CACHE = 150_000
 RUN = 40
-FAINT, FAINT_MOST = 0.05, 0.29
+TYPICAL = 8  # sentences
 SENTENCE_END = re.compile(r"[.!?\n…。！？]+")
 TRIM = "\"'`,;:()[]{}<>|*#$%&_-“”‘’«»¿¡"
 
@@ -67,11 +67,14 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def spread(n):
+    """What a sentence's log odds lose in a text of ``n`` sentences: the odds that some sentence of a text is toxic are shared out, so faint sentences don't add up with the length of a text. Texts up to ``TYPICAL`` sentences lose nothing."""
+    return np.log(np.maximum(1.0, np.asarray(n, dtype=float) / TYPICAL))
+
+
 def combined(own: np.ndarray, p: np.ndarray, n: int) -> np.ndarray:
     """Noisy-or of the sentence scores of each of ``n`` documents; ``own`` is the document of each."""
-    quiet = np.log1p(-np.minimum(p, 1 - 1e-12))
-    every, strong = (-np.expm1(np.bincount(own, x, minlength=n)) for x in (quiet, np.where(p >= FAINT, quiet, 0.0)))
-    return np.clip(np.maximum(strong, np.minimum(every, FAINT_MOST)), 0.0, 1.0)
+    return np.clip(-np.expm1(np.bincount(own, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n)), 0.0, 1.0)
 
 
 @dataclass
@@ -82,11 +85,13 @@ class Model:
     def word(self, word: str) -> float:
         return sum(self.weights.get(f, 0.0) for f in features(word))
 
-    def run_scores(self, words: list[str]) -> float:
-        return float(sigmoid(self.bias + sum(map(self.word, words))))
+    def run_score(self, words: list[str], n: int) -> float:
+        """Of one sentence of a text of ``n``."""
+        return float(sigmoid(self.bias - spread(n) + sum(map(self.word, words))))
 
     def sentence_scores(self, text: str | None) -> list[float]:
-        return [self.run_scores(words) for words in sentences(text)]
+        every = sentences(text)
+        return [self.run_score(words, len(every)) for words in every]
 
     def score(self, text: str | None) -> float:
         p = np.array(self.sentence_scores(text))
@@ -95,10 +100,11 @@ class Model:
     def locate(self, text: str | None, threshold: float = THRESHOLD) -> list[tuple[int, int, int, float]]:
         """(number, start, end, score) of the sentences that score ``threshold`` or more alone; code points, end exclusive."""
         text, at, k, out = text or "", 0, 0, []
+        n = len(sentences(text))
         for stop, after in [*(m.span() for m in SENTENCE_END.finditer(text)), (len(text), len(text))]:
             words = text[at:stop].lower().split()
             if words:
-                p = max(self.run_scores(words[j : j + RUN]) for j in range(0, len(words), RUN))
+                p = max(self.run_score(words[j : j + RUN], n) for j in range(0, len(words), RUN))
                 if p >= threshold:
                     out.append((k, at, stop, p))
                 k += 1
@@ -142,7 +148,8 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], epochs: int
             words = np.concatenate([bags[i][1] for i in part])
             sent = np.concatenate([bags[i][2] + s for i, s in zip(part, first, strict=True)])
             times = np.concatenate([bags[i][3] for i in part])
-            p = sigmoid(bias + np.bincount(sent, weights[words], minlength=n_sent.sum()))
+            size = np.repeat(np.add.reduceat(times, first), n_sent)
+            p = sigmoid(bias - spread(size) + np.bincount(sent, weights[words], minlength=n_sent.sum()))
             quiet = np.add.reduceat(times * np.log1p(-np.minimum(p, 1 - 1e-12)), first)  # log of no toxic sentence
             bag = np.clip(-np.expm1(quiet), 1e-3, 1 - 1e-9)  # the floor keeps unexplained labels from ruling
             # d loss / d z of a sentence: p for clean documents, -p (1 - bag) / bag for toxic ones
@@ -250,7 +257,8 @@ class Scorer(dict):
                 got = [sum(map(self.__getitem__, words)) for words in sentences(text)]
                 z += got
                 own += [k] * len(got)
-        return combined(np.array(own, dtype=np.int64), sigmoid(np.array(z, dtype=float) + self.model.bias), len(texts))
+        own = np.array(own, dtype=np.int64)
+        return combined(own, sigmoid(np.array(z, dtype=float) + self.model.bias - spread(np.bincount(own, minlength=len(texts)))[own]), len(texts))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -292,12 +292,13 @@ def test_fit_is_that_of_the_plain_formula():
     bags = []
     for k in range(40):
         sizes = r.integers(0, 5, r.integers(1, 6))
-        bags.append((k % 4 == 0, r.integers(1, 12, sizes.sum()).astype("<i4"), np.repeat(np.arange(len(sizes)), sizes).astype("<i4"), r.integers(1, 3, len(sizes)).astype("<i4")))
+        bags.append((k % 4 == 0, r.integers(1, 12, sizes.sum()).astype("<i4"), np.repeat(np.arange(len(sizes)), sizes).astype("<i4"), r.integers(1, 6, len(sizes)).astype("<i4")))
 
     def loss(weights, bias):
         total = 0.0
         for y, words, sents, times in bags:
-            p = [1 / (1 + np.exp(-(bias + sum(weights[w] for w, s in zip(words, sents, strict=True) if s == k)))) for k in range(len(times))]
+            off = np.log(max(1, sum(times) / toxicity.TYPICAL))
+            p = [1 / (1 + np.exp(-(bias - off + sum(weights[w] for w, s in zip(words, sents, strict=True) if s == k)))) for k in range(len(times))]
             bag = 1 - np.prod([(1 - x) ** n for x, n in zip(p, times, strict=True)])
             total -= np.log(bag) if y else np.log(1 - bag)
         return total / len(bags)
@@ -324,15 +325,30 @@ def test_held_out_recall_by_language(spark, sf):
     found, n = (sum(v[k] for (_, t), v in table.items() if t == 1) for k in (1, 0))
     wrong, clean = (sum(v[k] for (_, t), v in table.items() if t == 0) for k in (1, 0))
     assert found / n >= 0.9 and wrong / clean < 0.01, table
-    assert all(hit / n >= 0.75 for (_, t), (n, hit) in table.items() if t == 1), table
+    assert all(hit / n >= 0.9 for (_, t), (n, hit) in table.items() if t == 1), table
 
 
 def test_faint_sentences_are_no_evidence():
-    model = toxicity.Model(-6.0, {toxicity.features("faint")[0]: 1.0, toxicity.features("idiot")[0]: 9.0})
-    assert model.score("word. " * 100_000) == model.score("faint. " * 100_000) == toxicity.FAINT_MOST
+    model = toxicity.Model(-6.0, {toxicity.features("faint")[0]: 1.0, toxicity.features("idiot")[0]: 14.0})
+    assert model.score("faint. " * 100) == pytest.approx(model.score("faint. " * 100_000), abs=0.002) and model.score("faint. " * 100_000) < 0.06
     assert model.score("faint. " * 1000 + "an idiot.") > 0.9 and 0 < model.score("word.") < model.score("faint.") < 0.01
 
 
+def test_scores_are_the_noisy_or():
+    """Against the formula, sentence by sentence."""
+    r = random.Random(12)
+    weight = {"idiot": 4.0, "scum": 6.5, "mild": 0.7}
+    model = toxicity.Model(-5.0, {toxicity.features(w)[0]: v for w, v in weight.items()})
+    import pyarrow as pa
+
+    for _ in range(40):
+        lines = [[r.choice(["idiot", "scum", "mild", "and", "the", "of"]) for _ in range(r.randint(1, 12))] for _ in range(r.randint(1, 60))]
+        off = np.log(max(1, len(lines) / toxicity.TYPICAL))
+        quiet = np.prod([1 - 1 / (1 + np.exp(-(-5.0 - off + sum(weight.get(w, 0) for w in line)))) for line in lines])
+        text = ". ".join(" ".join(line) for line in lines)
+        assert model.score(text) == pytest.approx(1 - quiet, abs=1e-9) and toxicity.Scorer(model).scores(pa.array([text]))[0] == pytest.approx(1 - quiet, abs=1e-9)
+
+
 def test_scores_do_not_depend_on_neighbours():
     r = random.Random(2)
     texts = [" ".join(r.choice(["idiot", "a", "b", "c."]) for _ in range(r.randint(0, 80))) for _ in range(50)]
