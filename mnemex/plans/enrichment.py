@@ -1,7 +1,7 @@
 """Text enrichment, ontology and scalar rules.
 
-The driver's documents hold none of what most text rules look for, so these run on planted
-sentences, one for each supplier, and on names and addresses that the tables do have.
+The driver's texts hold little of what most text rules look for, so these run on all turns of all conversations, each begun by
+a planted sentence, and on names and addresses that the tables do have.
 """
 
 from __future__ import annotations
@@ -34,12 +34,14 @@ PLANTED = [
     "I don't think it's the latest price",
     "Tim Cook works at Apple and NASA",
 ]
-PLANTED_SQL = "(SELECT s_suppkey AS id, ([" + ", ".join("'" + t.replace("'", "''") + "'" for t in PLANTED) + f"])[s_suppkey % {len(PLANTED)} + 1] AS text FROM supplier)"
+PLANTED_SQL = "(SELECT conv_id * 1000 + turn AS id, ([" + ", ".join("'" + t.replace("'", "''") + "'" for t in PLANTED) + f"])[(conv_id + turn) % {len(PLANTED)} + 1] || ' ' || text AS text FROM conversations WHERE text IS NOT NULL)"
 
 
 def planted(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
-    return s.withColumn("text", F.element_at(F.array(*map(F.lit, PLANTED)), (F.col("id") % len(PLANTED) + 1).cast("int")))
+    """Turns of conversations, each begun by one of the planted sentences."""
+    c = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    said = F.element_at(F.array(*map(F.lit, PLANTED)), ((F.col("conv_id") + F.col("turn")) % len(PLANTED) + 1).cast("int"))
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat(said, F.lit(" "), "text").alias("text"))
 
 
 COMPANY_SQL = "(SELECT s_suppkey AS id, (['Acme Inc', ' beta  LABS Ltd.', 'Gamma Systems', 'Delta', 'Epsilon Co'])[s_suppkey % 5 + 1] AS name FROM supplier)"
@@ -60,7 +62,24 @@ def f2_contractions(spark, sf_dir):
     return planted(spark, sf_dir).select("id", X.expand_contractions(F.col("text")).alias("text"))
 
 
-@query()
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def contracted_sql(text: str) -> str:
+    """Contractions spelled out, in the order of the list."""
+    for short, full in X.CONTRACTIONS.items():
+        text = f"regexp_replace({text}, {quoted(f'(?i){chr(92)}b{short}{chr(92)}b')}, '{full}', 'g')"
+    return text
+
+
+#: Accented letters are no ends of words, which this engine's patterns don't know.
+PLAIN_SQL = f"regexp_replace({contracted_sql('replace(replace(text, chr(8217), chr(39)), chr(8216), chr(39))')}, '[À-ÖØ-öø-ÿ]', '_', 'g')"
+NAMED_SQL = f"list_filter(list_concat(regexp_extract_all({PLAIN_SQL}, '\\b({X.NAME})\\b', 1), regexp_extract_all({PLAIN_SQL}, '\\b([a-z]{{2,}})\\b', 1)), lambda x: lower(x) NOT IN ({', '.join(map(quoted, X.QUERY_STOP + X.TIME_STOP))}))"
+
+
+@query(f"""WITH e AS (SELECT id, {NAMED_SQL} AS e FROM {PLANTED_SQL}), u AS (SELECT id, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM e), o AS (SELECT id, arg_min(x, i) AS x, min(i) AS i FROM u GROUP BY id, lower(x)),
+five AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY id ORDER BY i) <= 5) SELECT e.id, coalesce(string_agg(x, '|' ORDER BY i), '') AS entities FROM e LEFT JOIN five USING (id) GROUP BY e.id""")
 def f3_query_entities(spark, sf_dir):
     return planted(spark, sf_dir).select("id", F.array_join(X.query_entities(F.col("text")), "|").alias("entities"))
 
@@ -132,9 +151,15 @@ def f13_acquisitions(spark, sf_dir):
     return r.select("id", "r.subject", "r.object", "r.value")
 
 
-@query()
+RELATIONS_SQL = " UNION ALL ".join(f"SELECT id, '{name}' AS relation, unnest(list_zip(regexp_extract_all(s, {quoted(pattern)}, 1), regexp_extract_all(s, {quoted(pattern)}, 2))) AS z, {f'nullif(regexp_extract(s, {quoted(value)}, 1), {chr(39) * 2})' if value else 'NULL'} AS value, s FROM sentences" for name, pattern, value in X.RELATIONS)
+
+
+@query(f"""WITH sentences AS MATERIALIZED (SELECT id, unnest(regexp_split_to_array(text, '{X.SENTENCES}')) AS s FROM {PLANTED_SQL}), r AS ({RELATIONS_SQL}), t AS (SELECT id, trim(z[1]) AS subject, relation, trim(z[2]) AS object, value, nullif(regexp_extract(s, '(?:^|[^0-9])((?:19|20)[0-9]{{2}})(?:[^0-9]|$)', 1), '') AS year FROM r)
+SELECT id, subject, relation, object, coalesce(min(value), '') AS value, coalesce(min(year), '') AS year, 0.85::DOUBLE AS confidence FROM t WHERE length(subject) >= 2 AND length(object) >= 2 AND lower(subject) <> lower(object) GROUP BY id, subject, relation, object""")
 def f13_relations(spark, sf_dir):
-    return planted(spark, sf_dir).select("id", F.explode(X.relations(F.col("text"))).alias("r")).select("id", "r.*").dropDuplicates(["id", "subject", "relation", "object"])
+    """All fourteen patterns, sentence by sentence; each relation of a text once, with the smallest value and year it is told with."""
+    r = planted(spark, sf_dir).select("id", F.explode(X.relations(F.col("text"))).alias("r")).select("id", "r.*")
+    return r.groupBy("id", "subject", "relation", "object").agg(F.coalesce(F.min("value"), F.lit("")).alias("value"), F.coalesce(F.min("year"), F.lit("")).alias("year"), F.first("confidence").alias("confidence"))
 
 
 @query(f"SELECT id, nullif(regexp_extract(string_split(text, '.')[1], '((?:19|20)\\d{{2}})', 1), '') AS year FROM {PLANTED_SQL}")
@@ -178,7 +203,7 @@ def f18_disambiguation(spark, sf_dir):
     return planted(spark, sf_dir).where(F.lower("text").contains("apple")).select("id", O.disambiguate(F.col("text"), "apple").alias("meaning"))
 
 
-@query()
+@query(" UNION ".join(f"SELECT id, '{kind}' AS kind, unnest(regexp_extract_all({'text' if '4e00' in pattern else 'plain'}, {quoted(pattern)}, 1)) AS name FROM p" for kind, pattern in O.MENTIONS).join(["WITH p AS MATERIALIZED (SELECT id, text, regexp_replace(text, '[À-ÖØ-öø-ÿ]', '_', 'g') AS plain FROM " + PLANTED_SQL + ") ", ""]))
 def f19_mentions(spark, sf_dir):
     return planted(spark, sf_dir).select("id", F.explode(O.mentions(F.col("text"))).alias("m")).select("id", "m.kind", "m.name")
 
@@ -345,7 +370,8 @@ def v33_type_overlap(spark, sf_dir):
     return j.select("id", F.when(F.col("t").isNull() | F.col("u").isNull(), 0.5).otherwise(score).alias("overlap"))
 
 
-@query(f"SELECT id, CASE WHEN contains(text, 'revenue') OR contains(text, 'price') THEN 'attribute' WHEN regexp_matches(lower(text), 'recent|now|latest|current|today|yesterday|earlier|last|previous|ago|(19|20)\\d\\d') THEN 'event' WHEN contains(text, 'api_key') THEN 'multi_hop' ELSE 'identity' END AS intent FROM {PLANTED_SQL}")
+@query(f"""SELECT id, CASE WHEN asked THEN 'attribute' WHEN timed AND named THEN 'event' WHEN timed THEN 'time' WHEN named THEN 'identity' ELSE 'multi_hop' END AS intent FROM (SELECT id, regexp_matches(lower(text), '\\b(revenue|price)\\b') AS asked,
+ regexp_matches(lower(text), 'recent|now|latest|current|today|yesterday|earlier|last|previous|ago|(19|20)\\d\\d') AS timed, len({NAMED_SQL}) > 0 AS named FROM {PLANTED_SQL})""")
 def v26_intent(spark, sf_dir):
     return planted(spark, sf_dir).select("id", X.intent(F.col("text"), now()).alias("intent"))
 

@@ -18,6 +18,7 @@ from ..operators.vectors import nearest
 from ..shared import Workspace
 from ..sources.tables import EPISODES_SQL, VERSIONS_SQL, episodes, members, property_versions, table
 from .catalog import query
+from .enrichment import contracted_sql
 from .relational import COMEMBERS_SQL, co_members
 
 TEN = "WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10"
@@ -366,13 +367,6 @@ def v25_agentic_rounds(spark, sf_dir):
 STOP_SQL = ", ".join(f"'{w.replace(chr(39), chr(39) * 2)}'" for w in T.QUERY_STOP + T.TIME_STOP)
 
 
-def contracted_sql(text: str) -> str:
-    """Contractions spelled out, in the order of the list."""
-    for short, full in T.CONTRACTIONS.items():
-        text = f"regexp_replace({text}, '(?i)\\b{short.replace(chr(39), chr(39) * 2)}\\b', '{full}', 'g')"
-    return text
-
-
 ATTRIBUTES_SQL = " UNION ALL ".join(f"SELECT query_id, '{a}' AS x FROM t WHERE regexp_matches(lower(text), '\\b{a.replace('_', '[_ ]')}\\b')" for a in T.ATTRIBUTES)
 
 
