@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -52,21 +50,32 @@ def verdict(spike: Column, drift: Column, crowded: Column, flood: Column, trust:
     return intended, F.when(block, "BLOCK").otherwise("ALLOW")
 
 
-def audit_chain(blocks: list[tuple[str, str]]) -> list[tuple[int, str, str, str, str]]:
-    """(index, operations, time, previous hash, hash) of each block; a chain is sequential, one block per run."""
-    out, last = [], "0" * 64
-    for i, (operations, at) in enumerate(blocks):
-        digest = hashlib.sha256(f"{last}|{operations}|{at}".encode()).hexdigest()
-        out.append((i, operations, at, last, digest))
-        last = digest
-    return out
+def audit_chain(blocks: DataFrame, operations: str, at: str) -> DataFrame:
+    """``index, operations, at, previous, hash`` of blocks in the order of ``at``: each hash covers the one before. A chain is sequential; its blocks, one a run, are folded in one row."""
+    listed = blocks.agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(operations).alias("operations")))).alias("b"))
+    none = F.array().cast("array<struct<operations:string,at:string,previous:string,hash:string>>")
+
+    def step(acc: Column, x: Column) -> Column:
+        digest = F.sha2(F.concat_ws("|", acc["last"], x["operations"], x["at"]), 256)
+        return F.struct(digest.alias("last"), F.concat(acc["out"], F.array(F.struct(x["operations"].alias("operations"), x["at"].alias("at"), acc["last"].alias("previous"), digest.alias("hash")))).alias("out"))
+
+    folded = F.aggregate("b", F.struct(F.lit("0" * 64).alias("last"), none.alias("out")), step)["out"]
+    return listed.select(F.posexplode(folded).alias("index", "x")).select("index", "x.operations", "x.at", "x.previous", "x.hash")
 
 
 def verify_chain(chain: DataFrame) -> DataFrame:
     """Per block: whether its hash is right and it names the hash before. Blocks are few (one a run), so one order is enough."""
     before = F.lag("hash", 1, "0" * 64).over(W.partitionBy("chain").orderBy("index"))
     right = F.sha2(F.concat_ws("|", "previous", "operations", "at"), 256)
-    return chain.select("chain", "index", ((F.col("hash") == right) & (F.col("previous") == before)).alias("valid"))
+    return chain.select("chain", "index", "hash", ((F.col("hash") == right) & (F.col("previous") == before)).alias("valid"))
+
+
+def trigger(idle_for: Column, new: Column, conflicts: Column, since: Column, candidates: Column, idle: int, most_new: int, most_conflicts: int, soon: int, long: int, most_candidates: int) -> Column:
+    """The rule that starts a consolidation, the first that holds; ``since`` is null before the first look."""
+    return (
+        F.when(since.isNotNull() & (since < soon), "too soon").when(idle_for > idle, "idle").when(new >= most_new, "accumulated").when(conflicts >= most_conflicts, "conflicts")
+        .when(since.isNull() | (since >= long), "forced").when(candidates >= most_candidates, "candidates").otherwise("none")
+    )
 
 
 def check_versions(ops: DataFrame) -> DataFrame:

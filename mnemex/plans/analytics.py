@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -373,7 +371,7 @@ def g25_consolidation_run(spark, sf_dir):
     return report.drop("at", "previous", "hash")
 
 
-@query()
+@query("SELECT 1 AS run_id, p_brand, count(*) AS size FROM part GROUP BY p_brand")
 def m14_candidates(spark, sf_dir):
     """A consolidation run as JSON for review, one folder per run, read back."""
     ws = Workspace(spark, "candidates")

@@ -189,11 +189,29 @@ def w13_versions(spark, sf_dir):
     return done.groupBy("node").agg(F.first("version").alias("before"), (F.first("version") + F.count_if(F.col("checked") & F.col("committed"))).alias("version"))
 
 
-@query("""SELECT strftime(day, '%Y-%m-%d') AS day, n, n >= 100 AS enough_new, idle_s > 300 AS idle FROM (SELECT date_trunc('day', ts)::DATE AS day, count(*) AS n, epoch(max(ts) - min(ts))::BIGINT % 600 AS idle_s FROM events GROUP BY 1)""")
+@query("""WITH h AS (SELECT user_id, date_trunc('hour', ts) AS hour, count(*) AS new, count(*) FILTER (event_type = 'error') AS conflicts, count(*) FILTER (event_type = 'signup') AS candidates, max(ts) AS last FROM events GROUP BY ALL),
+p AS (SELECT h.*, (SELECT count(*) FROM events e WHERE e.user_id = h.user_id AND epoch_us(e.ts) BETWEEN epoch_us(h.last) - 60000000 AND epoch_us(h.last)) AS pressure, epoch_us(hour + INTERVAL 1 HOUR) - epoch_us(last) AS idle_us, epoch_us(hour) - lag(epoch_us(hour)) OVER (PARTITION BY user_id ORDER BY hour) AS since FROM h)
+SELECT user_id, hour, CASE WHEN since IS NOT NULL AND since < 7200000000 THEN 'too soon' WHEN idle_us > 3000000000 THEN 'idle' WHEN new >= 2 THEN 'accumulated' WHEN conflicts >= 1 THEN 'conflicts' WHEN since IS NULL OR since >= 21600000000 THEN 'forced' WHEN candidates >= 1 THEN 'candidates' ELSE 'none' END AS rule, pressure >= 2 AS deferred FROM p""")
 def w16_trigger_policy(spark, sf_dir):
-    t = F.unix_micros(F.col("ts").cast("timestamp"))
-    g = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.floor((F.max(t) - F.min(t)) / 1e6).alias("s"))
-    return g.select(F.col("day").cast("string").alias("day"), "n", (F.col("n") >= 100).alias("enough_new"), (F.col("s") % 600 > 300).alias("idle"))
+    """Whether a consolidation starts, looked at for each source at the end of each hour with writes: not soon after the last look; when idle, when enough is new, on conflicts, when it is long ago, when candidates wait; and put off while writes come fast."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    e = T.sliding_count(e, ["user_id"], "at", 60_000_000, "fast").withColumn("hour", F.date_trunc("hour", "ts"))
+    h = e.groupBy("user_id", "hour").agg(F.count("*").alias("new"), F.count_if(F.col("event_type") == "error").alias("conflicts"), F.count_if(F.col("event_type") == "signup").alias("candidates"), F.max("at").alias("last"), F.max_by("fast", "at").alias("pressure"))
+    start = F.unix_micros("hour")
+    h = h.withColumn("since", start - F.lag(start).over(W.partitionBy("user_id").orderBy("hour")))
+    rule = G.trigger(start + 3_600_000_000 - F.col("last"), F.col("new"), F.col("conflicts"), F.col("since"), F.col("candidates"), idle=3_000_000_000, most_new=2, most_conflicts=1, soon=7_200_000_000, long=21_600_000_000, most_candidates=1)
+    return h.select("user_id", F.col("hour").cast("timestamp_ntz").alias("hour"), rule.alias("rule"), (F.col("pressure") >= 2).alias("deferred"))
+
+
+@query("SELECT 'session' AS kind, conv_id AS session, -1::BIGINT AS member FROM conversations GROUP BY conv_id UNION ALL SELECT DISTINCT 'member', conv_id, conv_id * 1000 + turn FROM conversations")
+def w17_session_links(spark, sf_dir):
+    """What observing writes adds: a session node where there is none, and a link a write; half of them are there already and stay as they are."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), (F.col("conv_id") * 1000 + F.col("turn")).alias("member"))
+    there = c.where("session % 2 = 0")
+    nodes = there.select("session").distinct()
+    new_nodes = c.select("session").distinct().join(nodes, "session", "left_anti")
+    links = there.distinct().union(M.insert_edges(there, c, ["session", "member"]).select("session", "member"))
+    return nodes.union(new_nodes).select(F.lit("session").alias("kind"), "session", F.lit(-1).cast("long").alias("member")).union(links.select(F.lit("member"), "session", "member"))
 
 
 @query("SELECT conv_id AS session, count(*) AS members, min(turn) AS first_turn, max(turn) AS last_turn FROM conversations GROUP BY 1")
@@ -240,19 +258,27 @@ def w18_parameter_evolution(spark, sf_dir):
     return tune(rounds(snapshots, "user_id", F.to_date("ts").cast("string")))
 
 
-@query("SELECT l_partkey AS id, 'core' AS fact_track FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1 HAVING count(*) >= 2")
+@query(f"""WITH f AS (SELECT l_partkey AS id, count(*) FILTER (l_returnflag = 'A') AS good, count(*) FILTER (l_returnflag = 'R') AS bad FROM lineitem GROUP BY 1)
+SELECT id, CASE WHEN good - bad >= 2 AND NOT coalesce(archived, false) THEN 'core' WHEN bad - good >= 2 AND NOT coalesce(protected, false) THEN 'active' ELSE coalesce(fact_track, 'active') END AS fact_track, good, bad FROM f LEFT JOIN {EPISODES_SQL} USING (id)""")
 def w19_feedback_promotion(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("id")).agg(F.count("*").alias("n")).where("n >= 2").select("id", F.lit("core").alias("fact_track"))
-
-
-@query()
+    """Feedback moves facts: two more good than bad marks make a fact a lasting one unless it is archived, two more bad ones take that back unless it is protected; else it stays what it was."""
+    f = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.count_if(F.col("l_returnflag") == "A").alias("good"), F.count_if(F.col("l_returnflag") == "R").alias("bad"))
+    j = f.join(episodes(spark, sf_dir).select("id", "archived", "protected", F.col("fact_track").alias("old")), "id", "left")
+    up = (F.col("good") - F.col("bad") >= 2) & ~F.coalesce("archived", F.lit(False))
+    down = (F.col("bad") - F.col("good") >= 2) & ~F.coalesce("protected", F.lit(False))
+    return j.select("id", F.when(up, "core").when(down, "active").otherwise(F.coalesce("old", F.lit("active"))).alias("fact_track"), "good", "bad")
+
+
+@query("""WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY ts::DATE) - 1 AS index, 'ops=' || count(*) AS operations, ts::DATE::VARCHAR AS day FROM events GROUP BY ts::DATE),
+c AS (SELECT index, operations, day, repeat('0', 64) AS previous, sha256(repeat('0', 64) || '|' || operations || '|' || day) AS hash FROM d WHERE index = 0 UNION ALL SELECT d.index, d.operations, d.day, c.hash, sha256(c.hash || '|' || d.operations || '|' || d.day) FROM c JOIN d ON d.index = c.index + 1),
+b AS (SELECT 'good' AS chain, * FROM c UNION ALL SELECT 'bad', index, CASE WHEN index = 1 THEN 'ops=0' ELSE operations END, day, previous, hash FROM c)
+SELECT chain, index::INT AS index, hash, sha256(previous || '|' || operations || '|' || day) = hash AND coalesce(lag(hash) OVER (PARTITION BY chain ORDER BY index), repeat('0', 64)) = previous AS valid FROM b""")
 def f33_audit_chain(spark, sf_dir):
-    """One block per day of events, chained by hash, and verified; the second chain has one altered block."""
-    days = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()  # one row a run
-    good = G.audit_chain([(f"ops={r.n}", str(r.d)) for r in days])
-    bad = [(i, "ops=0" if i == 1 else o, a, p, h) for i, o, a, p, h in good]
-    rows = [("good", *b) for b in good] + [("bad", *b) for b in bad]
-    return G.verify_chain(spark.createDataFrame(rows, "chain string, index int, operations string, at string, previous string, hash string"))
+    """One block per day of events, chained by hash, and verified; the second chain has one altered block. A chain is sequential, so its blocks (one a run) are folded in one row; verifying looks at each block and the one before."""
+    days = table(spark, sf_dir, "events").groupBy(F.to_date("ts").cast("string").alias("at")).agg(F.concat(F.lit("ops="), F.count("*")).alias("operations"))
+    chain = G.audit_chain(days, "operations", "at")
+    bad = chain.withColumn("operations", F.when(F.col("index") == 1, "ops=0").otherwise(F.col("operations")))
+    return G.verify_chain(chain.withColumn("chain", F.lit("good")).union(bad.withColumn("chain", F.lit("bad"))))
 
 
 KIND_SQL = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(content), {chr(39)}{k}{chr(39)})' for k in keys)} THEN '{name}'" for name, keys in X.TYPE_KEYS) + " ELSE 'generic_fact' END"
@@ -300,9 +326,14 @@ def w1_write_pipeline(spark, sf_dir):
     return kept.union(nothing(v.where("state = 'blocked'"), "blocked")).union(nothing(small.where("NOT open"), "rejected"))
 
 
-@query("SELECT doc_id AS id, 'promoted' AS source FROM documents WHERE doc_id % 20 = 0")
+@query(f"""WITH s AS (SELECT md5(content) AS digest, id, tau_initial, created_at FROM {EPISODES_SQL} WHERE content IS NOT NULL), g AS (SELECT digest, min(id) AS id, count(*) AS times, max(tau_initial) AS tau, max(created_at) AS last FROM s GROUP BY digest)
+SELECT id, times, CASE WHEN times >= 2 OR tau >= 0.8 THEN 'promoted' WHEN last < TIMESTAMP '2024-01-01 02:00:00' THEN 'expired' ELSE 'held' END AS state FROM g""")
 def w2_promote(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("id"), F.lit("promoted").alias("source"))
+    """What was sensed is held for a while: equal contents are one, promoted when they come again or are strong enough, and gone when they are old."""
+    s = episodes(spark, sf_dir).where("content IS NOT NULL").select(F.md5("content").alias("digest"), "id", "tau_initial", "created_at")
+    g = s.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("times"), F.max("tau_initial").alias("tau"), F.max("created_at").alias("last"))
+    state = F.when((F.col("times") >= 2) | (F.col("tau") >= 0.8), "promoted").when(F.col("last") < F.lit("2024-01-01 02:00:00").cast("timestamp"), "expired").otherwise("held")
+    return g.select("id", "times", state.alias("state"))
 
 
 def plain_embedding(content):

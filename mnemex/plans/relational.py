@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -11,7 +13,7 @@ from ..operators import mutations as M
 from ..operators import ranking as R
 from ..operators.temporal import keep_last
 from ..shared import Workspace, within
-from ..sources.files import alias_files, benchmark_instances, media_files, save_media
+from ..sources.files import alias_files, benchmark_instances, export_skills, media_files, rule_files, save_media, skill_files
 from ..sources.tables import EPISODES_SQL, MEMBERS_SQL, episodes, members, table
 from .catalog import query
 
@@ -23,9 +25,9 @@ def s1_point_lookup(spark, sf_dir):
     return episodes(spark, sf_dir).where("id = 42").select("id", "source", "version")
 
 
-@query(f"SELECT id, source FROM {EPISODES_SQL} WHERE id IN (SELECT o_custkey FROM orders WHERE o_orderkey % 50 = 0)")
+@query(f"SELECT id, source FROM {EPISODES_SQL} WHERE id IN (SELECT o_custkey FROM orders WHERE o_orderkey % 100 = 0)")
 def s2_batch_lookup(spark, sf_dir):
-    wanted = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.col("o_custkey").alias("id"))
+    wanted = table(spark, sf_dir, "orders").where("o_orderkey % 100 = 0").select(F.col("o_custkey").alias("id"))
     return episodes(spark, sf_dir).select("id", "source").join(wanted, "id", "left_semi")
 
 
@@ -49,10 +51,11 @@ def s6_prefix_scan(spark, sf_dir):
     return c.join(n, "word").where((F.col("name") == F.col("p")) | F.col("name").startswith(F.concat("p", F.lit(" ")))).select("c_custkey", "n_name")
 
 
-@query(f"SELECT hyperedge_id AS src, count(*) AS degree, array_to_string(list_sort(list(episode_id)), ',') AS neighbours FROM {MEMBERS_SQL} GROUP BY 1")
+@query(f"SELECT hyperedge_id AS src, episode_id AS dst, count(*) OVER (PARTITION BY hyperedge_id) AS degree FROM {MEMBERS_SQL}")
 def s8_adjacency(spark, sf_dir):
-    lists = F.transform(F.sort_array(F.collect_list("episode_id")), lambda x: x.cast("string"))
-    return members(spark, sf_dir).groupBy(F.col("hyperedge_id").alias("src")).agg(F.count("*").alias("degree"), F.concat_ws(",", lists).alias("neighbours"))
+    """Every edge with the degree of its source; an aggregate joins back, so no node's edges meet in a row."""
+    m = members(spark, sf_dir).toDF("src", "dst")
+    return m.join(m.groupBy("src").agg(F.count("*").alias("degree")), "src").select("src", "dst", "degree")
 
 
 @query("SELECT p_type, support FROM (SELECT p_type, max(p_brand) AS brand, count(*) AS support FROM part GROUP BY p_type) WHERE contains(lower(p_type), 'large') OR contains(lower(brand), 'brand#5') ORDER BY support DESC, p_type LIMIT 5")
@@ -96,6 +99,19 @@ def s15_rule_files(spark, sf_dir):
     return alias_files(spark, ws.path("good")).union(alias_files(spark, ws.path("broken"))).union(alias_files(spark, ws.path("missing")))
 
 
+@query("SELECT n_name AS name, r_name AS parent, array_to_string([lower(n_name), lower(left(n_name, 3))], ',') AS keys FROM nation JOIN region ON n_regionkey = r_regionkey")
+def s15_ontology_rules(spark, sf_dir):
+    """Files of type rules: a JSON object of types with parent and keys, over a whole file or a line; missing, broken and other JSON is an empty table."""
+    ws = Workspace(spark, "rules")
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rule = F.struct(F.col("r_name").alias("parent"), F.array(F.lower("n_name"), F.lower(F.substring("n_name", 1, 3))).alias("keys"))
+    n.select(F.create_map("n_name", rule).alias("types")).write.json(ws.path("good"))
+    table(spark, sf_dir, "region").select(F.concat(F.lit("{broken "), "r_name").alias("value")).write.text(ws.path("broken"))
+    table(spark, sf_dir, "region").select(F.lit("[1, 2]").alias("value")).write.text(ws.path("list"))
+    found = [rule_files(spark, ws.path(f)) for f in ("good", "broken", "list", "missing")]
+    return reduce(DataFrame.union, found).select("name", "parent", F.array_join("keys", ",").alias("keys"))
+
+
 @query("SELECT vec_id, label FROM embeddings ORDER BY vec_id LIMIT 10")
 def s10_visual_scan(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", "label").orderBy("vec_id").limit(10)
@@ -231,19 +247,31 @@ def m13_detach_delete(spark, sf_dir):
     return edges.union(M.delete(o.select("hyperedge_id"), gone, "hyperedge_id").select(F.lit("node"), "hyperedge_id", F.lit(-1).cast("long")))
 
 
-@query("""WITH run AS (SELECT l_orderkey AS run_id, count(*) AS members, max(length(l_returnflag)) AS flags FROM lineitem GROUP BY 1)
-SELECT run_id, CASE WHEN run_id % 20 <> 0 AND members >= 1 AND members * 10 > 30 THEN 'applied' ELSE 'discarded' END AS decision FROM run""")
+@query("""WITH c AS (SELECT o_custkey AS queue, o_orderkey AS run_id, o_orderdate AS created, o_orderstatus = 'F' AS applied, count(l_partkey) AS members, coalesce(sum(length(p_name)), 0) AS report, count(*) FILTER (l_returnflag = 'R') AS conflicts
+ FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey GROUP BY ALL),
+q AS (SELECT *, count(*) OVER (PARTITION BY queue) AS files, row_number() OVER (PARTITION BY queue, applied ORDER BY created, run_id) AS place FROM c)
+SELECT queue, run_id, CASE WHEN members > 0 AND report > 30 AND conflicts = 0 THEN 'applied' ELSE 'discarded' END AS decision FROM q WHERE files >= 20 AND NOT applied AND place = 1""")
 def m15_auto_apply(spark, sf_dir):
-    """A consolidation run is applied if it has a community with members, a report over 30 characters, and no conflict."""
-    run = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.count("*").alias("members"))
-    ok = (F.col("run_id") % 20 != 0) & (F.col("members") >= 1) & (F.col("members") * 10 > 30)
-    return run.select("run_id", F.when(ok, "applied").otherwise("discarded").alias("decision"))
+    """Of each queue with twenty candidate files or more the oldest pending one is looked at, one a round: applied if it has members, a report of over 30 characters and no conflict, else discarded."""
+    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", F.length("p_name").alias("t")), F.col("p_partkey") == F.col("l_partkey"), "left")
+    made = li.groupBy(F.col("l_orderkey").alias("run_id")).agg(F.count("l_partkey").alias("members"), F.coalesce(F.sum("t"), F.lit(0)).alias("report"), F.count_if(F.col("l_returnflag") == "R").alias("conflicts"))
+    runs = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("queue"), F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("created"), (F.col("o_orderstatus") == "F").alias("applied"))
+    full = runs.groupBy("queue").agg(F.count("*").alias("files")).where("files >= 20")
+    oldest = runs.where("NOT applied").groupBy("queue").agg(F.min(F.struct("created", "run_id")).alias("o")).select("queue", "o.run_id")
+    ok = (F.coalesce("members", F.lit(0)) > 0) & (F.col("report") > 30) & (F.col("conflicts") == 0)
+    return oldest.join(full, "queue", "left_semi").join(made, "run_id", "left").select("queue", "run_id", F.when(ok, "applied").otherwise("discarded").alias("decision"))
 
 
-@query("SELECT p_brand AS name, '# ' || p_brand || chr(10) || string_agg(DISTINCT p_type, chr(10) ORDER BY p_type) AS body FROM part GROUP BY p_brand")
+@query("SELECT p_brand AS name, '# ' || p_brand || chr(10) || string_agg(DISTINCT p_type, chr(10) ORDER BY p_type) AS body FROM part GROUP BY p_brand ORDER BY name LIMIT 6")
 def m16_skill_export(spark, sf_dir):
-    body = F.concat(F.lit("# "), F.col("p_brand"), F.lit("\n"), F.concat_ws("\n", F.sort_array(F.collect_set("p_type"))))
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.concat_ws("\n", F.sort_array(F.collect_set("p_type"))).alias("t")).select(F.col("p_brand").alias("name"), F.concat(F.lit("# "), "p_brand", F.lit("\n"), "t").alias("body"))
+    """Skills are files in a folder of their own, three a round at most, and one that is there stays as it is; two rounds, and the second one's bodies of known skills differ."""
+    p = table(spark, sf_dir, "part").select("p_brand", "p_type").distinct()
+    skills = p.groupBy(F.col("p_brand").alias("name")).agg(F.concat(F.lit("# "), "p_brand", F.lit("\n"), F.concat_ws("\n", F.sort_array(F.collect_list("p_type")))).alias("body"))
+    ws = Workspace(spark, "skills")
+    folder = ws.path("skills")
+    export_skills(skills, folder)
+    export_skills(skills.join(skill_files(spark, folder).select("name").withColumn("there", F.lit("old ")), "name", "left").select("name", F.concat(F.coalesce("there", F.lit("")), "body").alias("body")), folder)
+    return skill_files(spark, folder)
 
 
 @query("SELECT ':' || r_name || ' a owl:Class .' AS line FROM region UNION ALL SELECT ':' || n_name || ' a owl:Class ; rdfs:subClassOf :' || r_name || ' .' FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -328,9 +356,10 @@ def p9_null_test(spark, sf_dir):
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").where("toxic IS NULL").select("doc_id")
 
 
-@query("SELECT 1 AS test")
+@query("SELECT r_regionkey, 1 AS test, 'x' AS letter, 2.5::DOUBLE AS number FROM region")
 def p11_constant(spark, sf_dir):
-    return spark.sql("SELECT 1 AS test")
+    """Constants beside the rows of a table."""
+    return spark.sql("SELECT r_regionkey, 1 AS test, 'x' AS letter, 2.5D AS number FROM {r}", r=table(spark, sf_dir, "region"))
 
 
 @query("SELECT doc_id FROM documents WHERE source = 'src1' AND n_chars >= 100")
@@ -430,12 +459,14 @@ def j11_contradictory_claims(spark, sf_dir):
     return d.join(e, ["kind", "word"]).select("doc_id", F.col("word").alias("entity"))
 
 
-@query("SELECT event_id, list_sort(list(other)) AS near FROM (SELECT a.event_id, b.event_id AS other FROM events a JOIN events b ON b.user_id = a.user_id AND epoch_us(b.ts) BETWEEN epoch_us(a.ts) - 300000000 AND epoch_us(a.ts) - 1) GROUP BY event_id")
+@query("SELECT a.event_id, b.event_id AS near FROM events a JOIN events b ON b.user_id = a.user_id AND epoch_us(b.ts) BETWEEN epoch_us(a.ts) - 300000000 AND epoch_us(a.ts) - 1")
 def j13_window_self_match(spark, sf_dir):
-    """Writes of one source in the 300 seconds before, by a range frame: no pair is joined."""
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    near = F.collect_list("event_id").over(W.partitionBy("user_id").orderBy(at).rangeBetween(-300_000_000, -1))
-    return table(spark, sf_dir, "events").select("event_id", F.sort_array(near).alias("near")).where(F.size("near") > 0)
+    """Writes of one source in the 300 seconds before, a row a match: sources meet by stretches of 300 seconds, each in its own and the next one, so a source's history is never joined with itself."""
+    span, stretch = 300_000_000, F.floor(F.col("at") / 300_000_000)
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    before = e.withColumn("stretch", F.explode(F.array(stretch, stretch + 1))).select("user_id", "stretch", F.col("event_id").alias("near"), F.col("at").alias("then"))
+    j = e.withColumn("stretch", stretch).join(before, ["user_id", "stretch"])
+    return j.where((F.col("then") >= F.col("at") - span) & (F.col("then") < F.col("at"))).select("event_id", "near")
 
 
 @query("""WITH p AS (SELECT c_custkey, s_suppkey, (c_custkey + s_suppkey) % 11 = 0 AS unknown, c_nationkey AS na, s_nationkey AS nb, c_mktsegment AS seg FROM customer JOIN supplier ON s_suppkey = c_custkey % 100)

@@ -293,16 +293,16 @@ def v17_synthesis(spark, sf_dir):
     return found.select("query_id", "community", F.concat(F.lit("Community "), "community", F.lit(": "), "text").alias("content"), F.round(F.col("relevance") * boost, 6).alias("score"))
 
 
-@query()
+@query("""WITH v AS (SELECT vec_id, list_transform(range(48), lambda j: list_sum(list_transform(range(64), lambda i: embedding[i + 1]::DOUBLE * ((i * 31 + j * 17 + i * j) % 101 - 50) / 400))) AS e FROM embeddings)
+SELECT query_id, id, round(0.6 / (1 + distance), 6)::DOUBLE AS score FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) ** 2)), 6) AS distance FROM v a JOIN v b ON a.vec_id % 100 = 0)
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, id) <= 5""")
 def v18_visual_recall(spark, sf_dir):
-    """Text vectors projected to the visual space by a fixed random matrix, then nearest neighbours; the encoder is a plug-in."""
-    import numpy as np
-
-    w = np.random.default_rng(384).normal(size=(64, 48)) / 8.0
-    project = F.array(*[F.aggregate(F.zip_with("vector", F.array(*[F.lit(float(x)) for x in w[:, j]]), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x) for j in range(w.shape[1])])
+    """Text vectors projected to the visual space by a fixed matrix, then nearest neighbours; the encoder is a plug-in."""
+    i = F.sequence(F.lit(0), F.lit(63))
+    project = F.transform(F.sequence(F.lit(0), F.lit(47)), lambda j: F.aggregate(F.zip_with("vector", i, lambda x, k: x.cast("double") * ((k * 31 + j * 17 + k * j) % 101 - 50) / 400), F.lit(0.0), lambda s, x: s + x))
     q, rows = vectors(spark, sf_dir)
     found = nearest(q.select("query_id", project.alias("vector")), rows.select("id", project.alias("vector")), k=5, metric="l2")
-    return found.select("query_id", "id", F.round(1 / (1 - F.col("score")) * 0.6, 6).alias("score"))
+    return found.select("query_id", "id", F.round(0.6 / (1 - F.col("score")), 6).alias("score"))
 
 
 @query(f"""SELECT o_orderkey AS query_id, attr_name, value, round(0.9 * 0.6, 6)::DOUBLE AS score FROM (SELECT o_orderkey, o_custkey % 150 AS entity_id FROM orders WHERE o_orderkey % 100 = 0) q JOIN (SELECT * FROM {VERSIONS_SQL} WHERE valid_from <= TIMESTAMP '2024-01-15' AND (expired_at IS NULL OR expired_at > TIMESTAMP '2024-01-15') QUALIFY row_number() OVER (PARTITION BY entity_id, attr_name ORDER BY valid_from DESC, id DESC) = 1) v USING (entity_id)
@@ -313,22 +313,30 @@ def v19_property_recall(spark, sf_dir):
     return keep_last(q.join(v, "entity_id"), ["query_id"], [F.col("attr_name")], 5).select("query_id", "attr_name", "value", F.lit(0.54).alias("score"))
 
 
-@query(f"SELECT query_id, id, created_at FROM (SELECT q.item_id AS query_id, e.id, e.created_at FROM (SELECT item_id, unnest({NAMES_SQL}[1:3]) AS name FROM benchmark) q JOIN (SELECT doc_id, unnest({NAMES_SQL}) AS name FROM documents) d ON d.name = q.name AND length(q.name) > 3 JOIN {EPISODES_SQL} e ON e.id = d.doc_id WHERE e.created_at <= TIMESTAMP '2024-01-01 10:00:00' GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC, id) <= 10".replace(f"{NAMES_SQL}[1:3]", "(regexp_extract_all(text, '([A-Z][a-z]+(?:\\s[A-Z][a-z]+)*)', 1))[1:3]"))
+PROPER_SQL = "regexp_extract_all(text, '([A-Z][a-z]+(?:\\s[A-Z][a-z]+)*)', 1)"
+
+
+@query(f"""{BM25_SQL}, seeds AS (SELECT query_id, max(score) AS s FROM r WHERE score > 0 GROUP BY 1), qn AS (SELECT DISTINCT item_id AS query_id, unnest({PROPER_SQL}[1:3]) AS name FROM benchmark), hn AS (SELECT doc_id AS id, unnest(list_distinct({PROPER_SQL})) AS name FROM documents),
+t AS (SELECT qn.query_id, qn.name, e.id, e.created_at FROM qn JOIN hn USING (name) JOIN {EPISODES_SQL} e USING (id) WHERE length(qn.name) > 3 AND e.created_at <= TIMESTAMP '2024-01-01 10:00:00' AND NOT e.archived QUALIFY row_number() OVER (PARTITION BY qn.query_id, qn.name ORDER BY created_at DESC, e.id) <= 10)
+SELECT DISTINCT query_id, id, created_at, round(0.9 * s, 6)::DOUBLE AS score FROM t JOIN seeds USING (query_id)""")
 def v20_entity_expansion(spark, sf_dir):
+    """The ten newest episodes, not archived, that name each of a question's first three names; they stand just below its best seed."""
     names = F.regexp_extract_all("text", F.lit(r"([A-Z][a-z]+(?:\s[A-Z][a-z]+)*)"), F.lit(1))
-    q = questions(spark, sf_dir).select("query_id", F.explode(F.slice(names, 1, 3)).alias("name")).where("length(name) > 3").distinct()
-    held = documents(spark, sf_dir).select("id", F.explode(F.array_distinct(names)).alias("name"))
-    e = episodes(spark, sf_dir).select("id", "created_at").where(F.col("created_at") <= F.lit("2024-01-01 10:00:00").cast("timestamp"))
-    hits = held.join(q, "name").join(e, "id").select("query_id", "id", "created_at").distinct()
-    return keep_last(hits, ["query_id"], [F.desc("created_at"), F.col("id")], 10)
+    asked, d = questions(spark, sf_dir), documents(spark, sf_dir)
+    q = asked.select("query_id", F.explode(F.slice(names, 1, 3)).alias("name")).where("length(name) > 3").distinct()
+    held = d.select("id", F.explode(F.array_distinct(names)).alias("name"))
+    e = episodes(spark, sf_dir).where("NOT archived").select("id", "created_at").where(F.col("created_at") <= F.lit("2024-01-01 10:00:00").cast("timestamp"))
+    hits = keep_last(held.join(q, "name").join(e, "id"), ["query_id", "name"], [F.desc("created_at"), F.col("id")], 10)
+    seeds = X.bm25(asked, d).groupBy("query_id").agg(F.max("score").alias("s"))
+    return hits.join(seeds, "query_id").select("query_id", "id", "created_at", F.round(0.9 * F.col("s"), 6).alias("score")).distinct()
 
 
-@query("""WITH s AS (SELECT DISTINCT p_partkey AS seed, p_brand AS term FROM part WHERE p_partkey % 50 = 0)
+@query("""WITH s AS (SELECT DISTINCT p_partkey AS seed, p_brand AS term FROM part WHERE p_partkey % 100 = 0)
 SELECT seed, schema_name, support, 0.45::DOUBLE AS score FROM (SELECT seed, p_type AS schema_name, count(*) AS support FROM s JOIN part ON p_brand = term GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY seed ORDER BY support DESC, schema_name) <= 3""")
 def v22_schema_recall(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     schemas = p.groupBy(F.col("p_brand").alias("term"), F.col("p_type").alias("schema_name")).agg(F.count("*").alias("support"))
-    seeds = p.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("seed"), F.col("p_brand").alias("term"))
+    seeds = p.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("seed"), F.col("p_brand").alias("term"))
     return keep_last(seeds.join(schemas, "term"), ["seed"], [F.desc("support"), F.col("schema_name")], 3).select("seed", "schema_name", "support", F.lit(0.45).alias("score"))
 
 
@@ -454,10 +462,13 @@ def a17_temporal_accuracy(spark, sf_dir):
     return c.groupBy("conv_id").agg(F.round(F.coalesce(right, F.lit(1.0)), 6).alias("accuracy"))
 
 
-@query()
+PROBE_SQL = f"SELECT id AS query_id, left(content, 40) AS text FROM (SELECT * FROM {EPISODES_SQL} WHERE NOT archived AND content IS NOT NULL ORDER BY tau_initial DESC, id LIMIT 30)"
+
+
+@query(f"{bm25_sql(PROBE_SQL)}, k AS (SELECT query_id, id FROM r {TEN}) SELECT (SELECT count(*) FROM ({PROBE_SQL})) AS probes, round((SELECT count(*) FROM k WHERE id = query_id) / 30.0, 6)::DOUBLE AS recall")
 def a18_health_probe(spark, sf_dir):
     """The 30 strongest episodes ask for themselves by their own first words; recall at 10."""
-    e = episodes(spark, sf_dir).where("NOT archived").orderBy(F.desc("tau_initial"), "id").limit(30)
+    e = episodes(spark, sf_dir).where("NOT archived AND content IS NOT NULL").orderBy(F.desc("tau_initial"), "id").limit(30)
     probes = e.select(F.col("id").alias("query_id"), F.substring("content", 1, 40).alias("text"))
     hits = X.bm25(probes, documents(spark, sf_dir)).where("query_id = id").select("query_id", F.lit(1).alias("hit"))
     return probes.select("query_id").join(hits, "query_id", "left").agg(F.count("*").alias("probes"), F.round(F.count("hit") / F.count("*"), 6).alias("recall"))

@@ -48,3 +48,26 @@ def alias_files(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], "alias string, entity string")
     rows = spark.read.schema("aliases map<string,string>").option("mode", "DROPMALFORMED").json(path)
     return rows.where("aliases IS NOT NULL").select(F.explode("aliases").alias("alias", "entity"))
+
+
+def rule_files(spark: SparkSession, path: str) -> DataFrame:
+    """``name, parent, keys`` of type rules: a JSON object a line with a map ``types`` of structs (parent, keys). Missing files, broken lines and JSON that is no such object give nothing."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], "name string, parent string, keys array<string>")
+    rows = spark.read.schema("types map<string,struct<parent:string,keys:array<string>>>").option("mode", "DROPMALFORMED").json(path)
+    return rows.where("types IS NOT NULL").select(F.explode("types").alias("name", "rule")).where("rule IS NOT NULL").select("name", "rule.parent", F.coalesce("rule.keys", F.array().cast("array<string>")).alias("keys"))
+
+
+def skill_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``name, body`` of the skills of a folder, one file each."""
+    if not _exists(spark, folder):
+        return spark.createDataFrame([], "name string, body string")
+    found = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    name = F.url_decode(F.regexp_extract("path", r"/skill=([^/]*)/", 1))
+    return found.select(F.url_decode(name).alias("name"), F.regexp_replace("value", r"\n\z", "").alias("body"))
+
+
+def export_skills(skills: DataFrame, folder: str, most: int = 3) -> None:
+    """Writes skills (name, body) as files in folders of their own: the first ``most`` names that aren't there yet; those that are stay as they are."""
+    new = skills.where("name IS NOT NULL AND name <> ''").join(skill_files(skills.sparkSession, folder).select("name"), "name", "left_anti").orderBy("name").limit(most)
+    new.select(F.col("name").alias("skill"), F.col("body").alias("value")).write.mode("append").partitionBy("skill").text(folder)

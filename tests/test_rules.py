@@ -135,10 +135,10 @@ def test_writes(spark):
 
 
 def test_audit_chain_detects_one_change(spark):
-    good = G.audit_chain([("a", "1"), ("b", "2"), ("c", "3")])
-    bad = [(i, "x" if i == 1 else o, a, p, h) for i, o, a, p, h in good]
-    df = spark.createDataFrame([("g", *b) for b in good] + [("b", *b) for b in bad], "chain string, index int, operations string, at string, previous string, hash string")
-    got = {(r["chain"], r["index"]): r["valid"] for r in G.verify_chain(df).collect()}
+    good = G.audit_chain(spark.createDataFrame([("b", "2"), ("a", "1"), ("c", "3")], "operations string, at string"), "operations", "at")
+    assert [r.operations for r in good.orderBy("index").collect()] == ["a", "b", "c"]
+    bad = good.withColumn("operations", F.when(F.col("index") == 1, "x").otherwise(F.col("operations")))
+    got = {(r["chain"], r["index"]): r["valid"] for r in G.verify_chain(good.withColumn("chain", F.lit("g")).union(bad.withColumn("chain", F.lit("b")))).collect()}
     assert all(got["g", i] for i in range(3)) and [got["b", i] for i in range(3)] == [True, False, True]
 
 
