@@ -227,8 +227,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash"))
     known = docs.where(F.col(id_col).isNotNull())
     ws = Workspace(docs.sparkSession, "near-dedup")
-    found = near_copies(known.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text")
-    heads = ws.save(found.where("key = component").select("key.id", "key.hash"), "heads")
+    found = near_copies(known.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text", ws)
+    kept_keys = found.where("key = component").select("key.id", "key.hash")
+    heads = Workspace(docs.sparkSession, "near-dedup-heads").save(kept_keys, "heads")
+    ws.drop("")  # nothing else is needed
     kept = known.join(heads.distinct(), (known[id_col] == heads["id"]) & (F.xxhash64(known[text_col]) == heads["hash"]), "left_semi")
     if not within(heads.groupBy("id", "hash").count().where("count > 1"), 0):
         first = kept.groupBy(id_col, text_col).agg(F.min(F.struct(*kept.columns)).alias("_row"))
