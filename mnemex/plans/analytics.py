@@ -14,10 +14,10 @@ from ..operators.temporal import keep_last
 from ..shared import Workspace
 from ..sources.tables import EPISODES_SQL, MEMBERS_SQL, episodes, members, table
 from .catalog import query
-from .retrieval import KNN_SQL, vectors
+from .retrieval import COS_SQL, KNN_SQL, vectors
 from .temporal import TAU_SQL, _decayed
 
-GRAPH_SQL = KNN_SQL.replace(" AND a.vec_id % 100 = 0", "").replace(" WHERE a.vec_id % 100 = 0", " WHERE a.vec_id <> b.vec_id")
+GRAPH_SQL = f"(SELECT a.vec_id AS query_id, b.vec_id AS id, round({COS_SQL}, 6)::DOUBLE AS score FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id)"
 EDGES_SQL = f"(SELECT query_id AS src, id AS dst, score AS weight FROM {GRAPH_SQL} WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 6)"
 
 
@@ -297,7 +297,7 @@ def a13_community_features(spark, sf_dir):
     )
 
 
-@query(f"SELECT namespace, arg_max(source_type, (n, source_type)) AS majority FROM (SELECT namespace, source_type, count(*) AS n FROM {EPISODES_SQL} GROUP BY ALL) GROUP BY namespace".replace("arg_max(source_type, (n, source_type))", "(max({'n': n, 's': source_type})).s"))
+@query(f"SELECT namespace, (max({{'n': n, 's': source_type}})).s AS majority FROM (SELECT namespace, source_type, count(*) AS n FROM {EPISODES_SQL} GROUP BY ALL) GROUP BY namespace")
 def a14_majority_source(spark, sf_dir):
     g = episodes(spark, sf_dir).groupBy("namespace", "source_type").agg(F.count("*").alias("n"))
     return g.groupBy("namespace").agg(F.max(F.struct("n", "source_type")).alias("b")).select("namespace", F.col("b.source_type").alias("majority"))
@@ -380,14 +380,17 @@ def m14_candidates(spark, sf_dir):
     return spark.read.schema("p_brand string, size long, run_id int").json(ws.path("json")).select("run_id", "p_brand", "size")
 
 
-@query("SELECT (SELECT count(*) FROM nation) AS nodes, (SELECT count(*) FROM region) AS edges, true AS equal")
+@query("""SELECT (SELECT count(*) FROM part WHERE p_partkey % 50 <> 7) AS nodes, (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)) AS edges, (SELECT count(*) FROM part WHERE p_partkey % 50 = 7) = 0 AS equal,
+ (SELECT count(*) FROM part WHERE p_partkey % 50 = 7) AS lost""")
 def m18_migration(spark, sf_dir):
-    """Nodes and edges are copied to another format and verified by counts and differences."""
+    """Nodes and edges are copied to another format and verified by counts and by rows that only one side has; the copy of the nodes lost some."""
     ws = Workspace(spark, "migration")
-    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    n.write.mode("overwrite").orc(ws.path("nodes"))
-    r.write.mode("overwrite").orc(ws.path("edges"))
-    copy = spark.read.orc(ws.path("nodes"))
-    same = n.exceptAll(copy).union(copy.exceptAll(n)).agg((F.count("*") == 0).alias("equal"), F.lit(1).alias("k"))
-    counts = copy.agg(F.count("*").alias("nodes"), F.lit(1).alias("k")).join(spark.read.orc(ws.path("edges")).agg(F.count("*").alias("edges"), F.lit(1).alias("k")), "k")
-    return counts.join(same, "k").select("nodes", "edges", "equal")
+    nodes, edges = table(spark, sf_dir, "part"), members(spark, sf_dir)
+    nodes.where("p_partkey % 50 <> 7").write.orc(ws.path("nodes"))
+    edges.write.orc(ws.path("edges"))
+    copied, linked = spark.read.orc(ws.path("nodes")), spark.read.orc(ws.path("edges"))
+    differs = nodes.exceptAll(copied).union(copied.exceptAll(nodes)).select(F.lit("differs").alias("kind"))
+    differs = differs.union(edges.exceptAll(linked).union(linked.exceptAll(edges)).select(F.lit("differs")))
+    every = copied.select(F.lit("node").alias("kind")).union(linked.select(F.lit("edge"))).union(differs)
+    n = lambda kind: F.count_if(F.col("kind") == kind)
+    return every.agg(n("node").alias("nodes"), n("edge").alias("edges"), (n("differs") == 0).alias("equal"), n("differs").alias("lost"))

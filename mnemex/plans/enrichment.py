@@ -198,7 +198,7 @@ def f17_alias_pairs(spark, sf_dir):
     return j.where(X.same_entity(F.col("a.x"), F.col("b.x"))).select(F.col("a.x").alias("a"), F.col("b.x").alias("b"))
 
 
-@query(f"SELECT id, CASE WHEN contains(lower(text), 'revenue') OR contains(lower(text), 'tim cook') OR contains(lower(text), 'works') THEN 'Organization' ELSE 'ambiguous' END AS meaning FROM {PLANTED_SQL} WHERE contains(lower(text), 'apple')".replace("contains(lower(text), 'revenue') OR ", "").replace(" OR contains(lower(text), 'works')", ""))
+@query(f"SELECT id, CASE WHEN {' OR '.join(f'contains(lower(text), {quoted(k)})' for k in O.CONTEXT['apple'])} THEN 'Organization' ELSE 'ambiguous' END AS meaning FROM {PLANTED_SQL} WHERE contains(lower(text), 'apple')")
 def f18_disambiguation(spark, sf_dir):
     return planted(spark, sf_dir).where(F.lower("text").contains("apple")).select("id", O.disambiguate(F.col("text"), "apple").alias("meaning"))
 
@@ -334,7 +334,7 @@ SECTIONS = [("finance", "price"), ("finance", "revenue"), ("travel", "paris"), (
 
 
 @query(f"""WITH k(section, word) AS (VALUES {', '.join(map(str, SECTIONS))}), c AS (SELECT p.id, section, count(*) AS n FROM {PLANTED_SQL} p JOIN k ON contains(lower(text), word) GROUP BY ALL)
-SELECT p.id, coalesce((SELECT arg_max(section, (n, section)) FROM c WHERE c.id = p.id), 'other') AS section FROM {PLANTED_SQL} p""".replace("arg_max(section, (n, section))", "max_by(section, n)"))
+SELECT p.id, coalesce((SELECT max_by(section, n) FROM c WHERE c.id = p.id), 'other') AS section FROM {PLANTED_SQL} p""")
 def f37_section_classifier(spark, sf_dir):
     k = F.broadcast(spark.createDataFrame(SECTIONS, "section string, word string"))
     p = planted(spark, sf_dir)

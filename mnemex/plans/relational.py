@@ -443,10 +443,11 @@ def j8_enrichment(spark, sf_dir):
 @query("""SELECT a.p_partkey AS id, b.p_partkey AS other FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_brand = b.p_brand AND a.p_size <> b.p_size AND a.p_partkey <> b.p_partkey
 QUALIFY row_number() OVER (PARTITION BY a.p_partkey ORDER BY b.p_partkey) <= 5""")
 def j10_contradictions(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    a = p.select("p_type", "p_brand", F.col("p_size").alias("v"), F.col("p_partkey").alias("id"))
-    b = a.withColumnRenamed("v", "w").withColumnRenamed("id", "other")
-    return keep_last(a.join(b, ["p_type", "p_brand"]).where("v != w AND id != other").select("id", "other"), ["id"], [F.col("other")], 5)
+    """Five others of a key with another value. Of each value the five smallest ids are kept, and of a key the ten smallest of those: five of them at least have another value than any given row, so no key is paired off."""
+    p = table(spark, sf_dir, "part").select("p_type", "p_brand", F.col("p_size").alias("v"), F.col("p_partkey").alias("id"))
+    few = keep_last(p.where("v IS NOT NULL"), ["p_type", "p_brand", "v"], [F.col("id")], 5)
+    few = keep_last(few, ["p_type", "p_brand"], [F.col("id")], 10).withColumnRenamed("v", "w").withColumnRenamed("id", "other")
+    return keep_last(p.join(few, ["p_type", "p_brand"]).where("v != w AND id != other").select("id", "other"), ["id"], [F.col("other")], 5)
 
 
 @query("""SELECT DISTINCT d.doc_id, e.entity FROM (SELECT doc_id, doc_id % 4 AS kind, unnest(regexp_split_to_array(lower(text), '[^a-z0-9à-ÿ]+')) AS word FROM documents) d

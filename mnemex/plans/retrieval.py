@@ -15,7 +15,7 @@ from ..operators.agentic import agentic, anchors, sufficient
 from ..operators.temporal import as_of, keep_last
 from ..operators.tfidf import tfidf_cosine
 from ..operators.vectors import nearest
-from ..shared import Workspace
+from ..shared import Workspace, within
 from ..sources.tables import EPISODES_SQL, VERSIONS_SQL, episodes, members, property_versions, table
 from .catalog import query
 from .enrichment import contracted_sql
@@ -442,7 +442,8 @@ def a17_recall_at_k(spark, sf_dir):
     pieces = F.split(F.lower(F.col("text")), r"[^a-z0-9à-ÿ]+")
     inside = F.filter(F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0))), lambda w: F.length(w) > 1)
     asked = q.select("query_id", F.col("text").alias("item"), F.explode(F.array_distinct(inside)).alias("term"))
-    held = d.select("id", F.explode(F.array_distinct(X.words(F.col("text")))).alias("term")).join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+    wanted = Workspace(spark, "recall").save(asked.select("term").distinct(), "wanted")
+    held = d.select("id", F.explode(F.array_distinct(X.words(F.col("text")))).alias("term")).join(F.broadcast(wanted) if within(wanted, 200_000) else wanted, "term", "left_semi")
     held = Workspace(spark, "recall").save(held, "held")
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     rarest = asked.join(df, "term").groupBy("query_id").agg(F.min_by(F.struct("term", "item"), F.struct("df", "term")).alias("r")).select("query_id", "r.term", "r.item")

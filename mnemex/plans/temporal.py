@@ -77,9 +77,9 @@ def w4_repeated_action(spark, sf_dir):
 
 
 @query("""SELECT event_id, count(*) OVER m AS near, count(*) OVER h AS hour,
-  count(*) OVER m >= 1 AS temporal, count(*) OVER h >= 4 AS episode, list(event_id) OVER m AS ids
+  count(*) OVER m >= 1 AS temporal, count(*) OVER h >= 4 AS episode
 FROM events WINDOW m AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 300000000 PRECEDING AND 1 PRECEDING), h AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND 1 PRECEDING)
-""".replace(", list(event_id) OVER m AS ids", ""))
+""")
 def w5_temporal_hyperedges(spark, sf_dir):
     """Neighbours of the same source within 5 minutes and within the hour; both frames share one sort."""
     at = F.unix_micros(F.col("ts").cast("timestamp"))
