@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import difflib
-import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,10 +10,10 @@ from pyspark.sql import functions as F
 
 from .scans import leaky_states
 
-# Pronouns and the types they stand for.
-PRONOUNS = [(re.compile(r"\b(?:he|she|him|her)\b", re.I), "Person"), (re.compile(r"\b(?:the company|it)\b", re.I), "Organization"), (re.compile("该公司|该企业"), "Organization"), (re.compile("该人|此人"), "Person")]
-COMPANY = re.compile(r"\b[A-Z][A-Za-z]+(?:\s[A-Z][A-Za-z]+)*\s(?:Inc|Corp|Ltd|Group|Labs)\b")
-PERSON = re.compile(r"\b[A-Z][a-z]+\s[A-Z][a-z]+\b")
+# Pronouns and the types they stand for, and what names of persons and companies look like.
+PRONOUNS = [("Person", r"(?i:\b(?:he|she|him|her)\b)|该人|此人"), ("Organization", r"(?i:\b(?:the company|it)\b)|该公司|该企业")]
+COMPANY = r"\b[A-Z][A-Za-z]+(?:\s[A-Z][A-Za-z]+)*\s(?:Inc|Corp|Ltd|Group|Labs)\b"
+PERSON = r"\b[A-Z][a-z]+\s[A-Z][a-z]+\b"
 # Context that decides an ambiguous word.
 CONTEXT = {"apple": ["公司", "发布", "iphone", "ipad", "mac", "库克", "手机", "company", "released", "ceo", "tim cook"], "亚马逊": ["公司", "电商", "aws", "云计算", "创始人", "jeff bezos"], "crm": ["销售", "客户", "系统", "软件", "平台"]}
 # Families of mentions.
@@ -35,19 +34,23 @@ PROFILE_ZH = [("住在", "identity"), ("我是", "identity"), ("我住", "identi
 PROFILE_EN = [("i live in", "identity"), ("i work at", "work"), ("my favorite", "preferences")]
 
 
-def resolve_pronouns(text: str | None) -> str | None:
-    """Each pronoun becomes the nearest name of its type before it; it stays where there is none."""
-    if not text:
-        return text
-    names = sorted([(m.start(), "Organization", m[0]) for m in COMPANY.finditer(text)] + [(m.start(), "Person", m[0]) for m in PERSON.finditer(text) if not COMPANY.match(text, m.start())])
-    found = sorted((m.start(), m.end(), kind) for pattern, kind in PRONOUNS for m in pattern.finditer(text))
-    out, at = [], 0
-    for start, end, kind in found:
-        before = [n for p, k, n in names if k == kind and p < start]
-        if before and start >= at:
-            out += [text[at:start], before[-1]]
-            at = end
-    return "".join([*out, text[at:]])
+def resolve_pronouns(text: Column) -> Column:
+    """Each pronoun becomes the nearest name of its type before it; it stays where there is none.
+
+    Names and pronouns are marked in one pass, the text is cut at the marks, and one fold over the pieces remembers the last name of each type."""
+    of = dict(PRONOUNS)
+    pieces = F.split(F.regexp_replace(text, f"{COMPANY}|{PERSON}|{of['Person']}|{of['Organization']}", "\x01$0\x02"), "[\x01\x02]")
+    nobody = F.lit(None).cast("string")
+    start = F.struct(F.lit("").alias("out"), nobody.alias("person"), nobody.alias("company"), F.lit(False).alias("marked"))
+
+    def step(a: Column, piece: Column) -> Column:
+        is_ = lambda pattern: a["marked"] & piece.rlike(f"^(?:{pattern})$")
+        company = is_(COMPANY)
+        person = ~company & is_(PERSON)
+        said = F.when(is_(of["Person"]), F.coalesce(a["person"], piece)).when(is_(of["Organization"]), F.coalesce(a["company"], piece)).otherwise(piece)
+        return F.struct(F.concat(a["out"], said).alias("out"), F.when(person, piece).otherwise(a["person"]).alias("person"), F.when(company, piece).otherwise(a["company"]).alias("company"), (~a["marked"]).alias("marked"))
+
+    return F.aggregate(pieces, start, step)["out"]
 
 
 def disambiguate(text: Column, word: str) -> Column:

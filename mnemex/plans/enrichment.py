@@ -6,9 +6,6 @@ a planted sentence, and on names and addresses that the tables do have.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -44,12 +41,14 @@ def planted(spark, sf_dir):
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat(said, F.lit(" "), "text").alias("text"))
 
 
-COMPANY_SQL = "(SELECT s_suppkey AS id, (['Acme Inc', ' beta  LABS Ltd.', 'Gamma Systems', 'Delta', 'Epsilon Co'])[s_suppkey % 5 + 1] AS name FROM supplier)"
+ENDINGS = [" Inc", "  LABS Ltd.", " Systems", "", " Co", ", Inc."]
+COMPANY_SQL = f"(SELECT s_suppkey AS id, ' ' || s_name || ([{', '.join(repr(e) for e in ENDINGS)}])[s_suppkey % {len(ENDINGS)} + 1] AS name FROM supplier)"
 
 
 def companies(spark, sf_dir):
-    names = F.array(*map(F.lit, ["Acme Inc", " beta  LABS Ltd.", "Gamma Systems", "Delta", "Epsilon Co"]))
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.element_at(names, (F.col("s_suppkey") % 5 + 1).cast("int")).alias("name"))
+    """Suppliers' names with an ending of companies."""
+    ending = F.element_at(F.array(*map(F.lit, ENDINGS)), (F.col("s_suppkey") % len(ENDINGS) + 1).cast("int"))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit(" "), "s_name", ending).alias("name"))
 
 
 @query(f"SELECT id, trim(trim(regexp_replace(regexp_replace(lower(trim(name)), '\\s+', ' ', 'g'), '\\b(?:inc|incorporated|corp|corporation|ltd|limited|llc|co|company|group|holdings|technologies|technology|systems|software|gmbh|ag)\\b\\.?$', '')), '.,') AS name FROM {COMPANY_SQL}")
@@ -176,13 +175,8 @@ def f15_hybrid_relations(spark, sf_dir):
 
 @query()
 def f16_coreference(spark, sf_dir):
-    @F.pandas_udf("string")
-    def resolve(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in parts:
-            yield s.map(O.resolve_pronouns)
-
     t = F.concat(F.lit("Tim Cook met Acme Corp. He praised the company. "), "text")
-    return planted(spark, sf_dir).select("id", resolve(t).alias("text"))
+    return planted(spark, sf_dir).select("id", O.resolve_pronouns(t).alias("text"))
 
 
 @query("""WITH n AS (SELECT DISTINCT lower(trim(name)) AS x, string_split(lower(trim(name)), ' ') AS w FROM (SELECT p_name AS name FROM part UNION ALL SELECT string_split(p_name, ' ')[1] || ' ' || p_type || ' ' || string_split(p_name, ' ')[-1] FROM part UNION ALL SELECT string_split(p_name, ' ')[1] FROM part) WHERE trim(name) <> '')

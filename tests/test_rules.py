@@ -1,5 +1,8 @@
 """Decision tables of rules that the driver's tables hardly hit."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,8 +145,29 @@ def test_audit_chain_detects_one_change(spark):
     assert all(got["g", i] for i in range(3)) and [got["b", i] for i in range(3)] == [True, False, True]
 
 
+def plain_pronouns(text):
+    """Names and pronouns one after the other, by a loop."""
+    of = dict(O.PRONOUNS)
+    last, out, at = {}, [], 0
+    for m in re.finditer(f"{O.COMPANY}|{O.PERSON}|{of['Person']}|{of['Organization']}", text):
+        out.append(text[at : m.start()])
+        at = m.end()
+        stands = next((kind for kind, pattern in O.PRONOUNS if re.fullmatch(pattern, m[0])), None)
+        out.append(last.get(stands, m[0]) if stands else m[0])
+        if re.fullmatch(O.COMPANY, m[0]):
+            last["Organization"] = m[0]
+        elif re.fullmatch(O.PERSON, m[0]):
+            last["Person"] = m[0]  # as is "The Company" in a title
+    return "".join([*out, text[at:]])
+
+
 def test_pronouns_and_profiles(spark):
-    assert O.resolve_pronouns("Tim Cook met Acme Corp. He praised the company.") == "Tim Cook met Acme Corp. Tim Cook praised Acme Corp."
+    r = random.Random(1)
+    parts = ["Tim Cook", "Ada Lovelace", "Acme Corp", "Nova Labs", "he", "She", "the company", "It", "him", "item", "The Company", "met.", "and", "该人", "该公司", "Paris", "\n"]
+    texts = ["Tim Cook met Acme Corp. He praised the company.", "", "it rains", *(" ".join(r.choice(parts) for _ in range(r.randint(1, 20))) for _ in range(200))]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", O.resolve_pronouns(F.col("t")).alias("r")).orderBy("i").collect()
+    assert [x.r for x in got] == [plain_pronouns(t) for t in texts]
+    assert got[0].r == "Tim Cook met Acme Corp. Tim Cook praised Acme Corp." and got[2].r == "it rains"
     df = spark.createDataFrame([("direct", "我喜欢喝茶。"), ("tool", "我喜欢喝茶。"), ("direct", "I live in Paris, France"), ("direct", "they live")], "source_type string, text string")
     assert {(r.grp, r.value) for r in O.profile_candidates(df).collect()} == {("preferences", "喝茶"), ("identity", "Paris")}
 
