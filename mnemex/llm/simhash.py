@@ -185,8 +185,8 @@ def compare(limit: int):
     return run
 
 
-def near_links(fps: DataFrame, ws: Workspace, limit: int = 4, bucket_rows: int = 2000) -> DataFrame:
-    """``(src, dst)`` between distinct fingerprints (column ``fp``): the same groups as all pairs within ``limit`` bits, at most 4."""
+def near_links(fps: DataFrame, ws: Workspace, limit: int = 4, bucket_rows: int = 2000, crowds: bool = True) -> DataFrame:
+    """``(src, dst)`` between distinct fingerprints (column ``fp``): the same groups as all pairs within ``limit`` bits, at most 4. Without ``crowds`` the fingerprints of crowded anchors are left to other anchors: for those who have another way to find them."""
     if not 0 <= limit <= 4:
         raise ValueError("the anchors cover up to 4 differing bits")
     covered = fps.mapInArrow(replicate, "key long, fp long")
@@ -194,8 +194,9 @@ def near_links(fps: DataFrame, ws: Workspace, limit: int = 4, bucket_rows: int =
     cold, extra = covered, None
     if not within(hot, 0):
         small = F.broadcast(hot) if within(hot, 100_000) else hot
-        crowd = ws.save(covered.join(small, "key", "left_semi").select("fp").distinct(), "crowded")
         cold = covered.join(small, "key", "left_anti")
+    if cold is not covered and crowds:
+        crowd = ws.save(covered.join(small, "key", "left_semi").select("fp").distinct(), "crowded")
         points = crowd.mapInArrow(surround(limit), "key long, side int, fp long")
         extra = points.repartition("key").sortWithinPartitions("key", "side", "fp").mapInArrow(star, "src long, dst long")
     found = cold.repartition("key").sortWithinPartitions("key").mapInArrow(compare(limit), "src long, dst long")
