@@ -30,10 +30,10 @@ def stream_rate_windows(spark, sf_dir):
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 1800000000 THEN 0 ELSE 1 END AS new FROM events),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
-SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTES AS "end", user_id, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 30 MINUTES <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTES FROM events)""")
+SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTES AS "end", user_id, count(*) AS n FROM s GROUP BY user_id, k""")
 def stream_sessions(spark, sf_dir):
-    """Sessions that are over: the watermark, ten minutes behind the last event, has passed their end."""
-    return J.run_once(J.sessions(_events(spark, sf_dir)), Workspace(spark, "stream"), "sessions", "append")
+    """All sessions, those that are still open too: keyed state with timers."""
+    return J.run_once(J.sessions(_events(spark, sf_dir)), Workspace(spark, "stream"), "sessions", "update", ["start", "user_id"]).where("n > 0")
 
 
 @query(f"SELECT {EPOCH_SQL} + to_seconds((epoch_us(ts) // 300000000) * 300) AS start, user_id, count(DISTINCT event_id)::INT AS n FROM events GROUP BY ALL HAVING count(DISTINCT event_id) >= 2")

@@ -74,9 +74,59 @@ def rate_windows(events: DataFrame, limit: int = 20) -> DataFrame:
     return events.withWatermark("ts", "10 minutes").groupBy(w, "user_id").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "user_id", "n", (F.col("n") > limit).alias("spike"))
 
 
-def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """Stretches of a source's events with less than ``gap`` between them. A session that later events prolong would leave its shorter form behind in update mode, so it is written once it is over, which the watermark tells."""
-    return events.withWatermark("ts", "10 minutes").groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "user_id", "n")
+class Sessions(StatefulProcessor):
+    """A source's stretches of writes that a later write may still prolong or join."""
+
+    def __init__(self, gap_s: int):
+        self.gap = gap_s * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "first long, last long, n long")
+
+    def _held(self) -> list[tuple[int, int, int]]:
+        return [tuple(r) for r in self.open.get()] if self.open.exists() else []
+
+    def handleInputRows(self, key, rows, timerValues):
+        before = self._held()
+        at = np.sort(np.concatenate([_micros(frame["ts"]) for frame in rows]))
+        merged: list[list[int]] = []
+        for first, last, n in sorted([*before, *((x, x, 1) for x in at.tolist())]):
+            if merged and first - merged[-1][1] < self.gap:
+                merged[-1] = [merged[-1][0], max(last, merged[-1][1]), merged[-1][2] + n]
+            else:
+                merged.append([first, last, n])
+        now = {tuple(m) for m in merged}
+        gone = {first for first, _, _ in before} - {first for first, _, _ in now}
+        out = sorted([*(now - set(before)), *((first, first, 0) for first in gone)])
+        self._keep(sorted(now), timerValues)
+        first, last, n = np.array(out, dtype=np.int64).reshape(-1, 3).T
+        yield pd.DataFrame({"start": pd.to_datetime(first, unit="us"), "end": pd.to_datetime(last + self.gap, unit="us"), "user_id": key[0], "n": n})
+
+    def _keep(self, held: list[tuple[int, int, int]], timers) -> None:
+        late = timers.getCurrentWatermarkInMs() * 1000
+        kept = [x for x in held if x[1] + self.gap > late]
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old if isinstance(old, int) else old[0])
+        if kept:
+            self.open.put(kept)
+            self.handle.registerTimer(int((min(x[1] for x in kept) + self.gap) // 1000) + 1)
+        else:
+            self.open.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self._keep(self._held(), timerValues)
+        yield pd.DataFrame({"start": pd.Series([], dtype="datetime64[us]"), "end": pd.Series([], dtype="datetime64[us]"), "user_id": pd.Series([], dtype="int64"), "n": pd.Series([], dtype="int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def sessions(events: DataFrame, gap_s: int = 1800) -> DataFrame:
+    """``start, end, user_id, n``: stretches of a source's writes with less than ``gap_s`` seconds between them, written whenever they change; the last row of a start counts. A session that a late write joins to an earlier one is written once more, with no
+    writes. Those that the watermark has passed leave the state."""
+    stream = events.withWatermark("ts", "10 minutes").select("ts", "user_id")
+    return stream.groupBy("user_id").transformWithStateInPandas(statefulProcessor=Sessions(gap_s), outputStructType="start timestamp, end timestamp, user_id long, n long", outputMode="Update", timeMode="EventTime")
 
 
 def tumbling_hyperedges(events: DataFrame, size: str = "300 seconds") -> DataFrame:
