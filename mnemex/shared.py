@@ -18,7 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
         base = existing or tempfile.mkdtemp(prefix="mnemex-")
         if not existing:
             spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)  # a relative one is made absolute, or tables and files would part
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString().rstrip("/")
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

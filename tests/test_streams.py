@@ -43,6 +43,8 @@ def test_windows_keep_the_last_write(spark, tmp_path):
     got = J.run_once(J.minute_counts(stream()), ws, "counts", "update", ["start", "user_id"])
     assert got.agg(F.sum("n")).first()[0] == 400
     assert plain(got) == plain(every.groupBy(F.window("ts", "60 seconds").start.alias("start"), "user_id").agg(F.count("*").alias("n")).select("start", "user_id", "n"))
+    got = J.run_once(J.rate_windows(stream(), limit=2), ws, "rates", "update", ["start", "user_id"])
+    assert plain(got) == plain(J.rate_windows(every, limit=2))
     got = J.run_once(J.tumbling_hyperedges(stream()), ws, "edges", "update", ["start", "user_id"])
     assert plain(got) == plain(every.groupBy(F.window("ts", "300 seconds").start.alias("start"), "user_id").agg(F.countDistinct("event_id").cast("int").alias("n")).select("start", "user_id", "n"))
     got = J.run_once(J.sessions(stream(), 300), ws, "sessions", "update", ["start", "user_id"]).where("n > 0")
