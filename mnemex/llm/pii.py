@@ -123,10 +123,13 @@ _AT, _DOT = r"at|@|arroba", r"dot|\.|point|punkt|punto"
 _LABEL = r"[A-Za-z0-9-]+"
 # What stands after "at" or before it in plain prose about places, sites and dots.
 _NO_LABEL = r"(?:the|a|an|this|that|these|those|each|every|some|any|one|its|his|her|their|our|my|your)\b"
-AT_PROSE = frozenset(
-    "me us them it him you is are was were be been and or but look looks looked looking see seen find found visit available online live hosted read more also here there site website page pages shop blog store details info us only up down back out now stay "
-    "sold listed published posted seen shown works worked working meet arrive stop aim point start end stare sale register buy order follow learn try go stays work job".split()
-)
+AT_PROSE = [
+    "me", "us", "them", "it", "him", "you", "is", "are", "was", "were", "be", "been", "and", "or", "but", "look", "looks", "looked", "looking", "see", "seen",
+    "find", "found", "visit", "available", "online", "live", "hosted", "read", "more", "also", "here", "there", "site", "website", "page", "pages", "shop",
+    "blog", "store", "details", "info", "only", "up", "down", "back", "out", "now", "stay", "sold", "listed", "published", "posted", "shown", "works",
+    "worked", "working", "meet", "arrive", "stop", "aim", "point", "start", "end", "stare", "sale", "register", "buy", "order", "follow", "learn", "try", "go",
+    "stays", "work", "job",
+]
 _AT_CODE, _DOT_CODE = r"&(?:#0*64|#x0*40|commat);|%40", r"&(?:#0*46|#x0*2e|period);|%2e"
 TOKENS = re.compile(
     rf"(?P<gone>[{ZERO_WIDTH}]+)"
