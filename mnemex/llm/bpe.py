@@ -38,8 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-CACHE = 200_000
-PIECES = 100_000  # kept beside the chunks, which hold most of them
+CACHE = 300_000
 PART = 1 << 18
 STEP = 1 << 16  # ids that leave at a time
 SHORT = 64  # longer strings are not kept
@@ -232,7 +231,7 @@ class Encoder(dict):
 
     def __init__(self, tokens: Tokens, cache: int = CACHE):
         super().__init__()
-        self.tokens, self.limit, self.machine = tokens, cache, Transducer(tokens, min(cache, PIECES))
+        self.tokens, self.limit, self.machine = tokens, cache, Transducer(tokens, cache)
         self.odd_space = regex.compile(f" (?=[{SPACE}]|\\Z)")
         self.cut = regex.compile(f" (?=[^{SPACE}])")
         self.white = regex.compile(f"[{SPACE}]")
