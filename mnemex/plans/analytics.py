@@ -158,12 +158,15 @@ def g14_merge_conflicts(spark, sf_dir):
     return G.merge_order(G.jaccard_groups(token_sets(spark, sf_dir), 0.8), (F.col("id") * 37) % 100)
 
 
-@query("""SELECT a.o_orderkey AS winner, left(a.o_orderpriority || ' | merged: ' || b.o_orderpriority, 2000) AS content FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 """)
+@query(f"""WITH RECURSIVE {similar_sql(0.8)}, {REACH_SQL}, b AS (SELECT component, arg_max(id, ((id * 37) % 100) * 1000000000 - id) AS winner FROM k GROUP BY 1), f AS (SELECT winner, min(id) AS loser FROM k JOIN b USING (component) WHERE id <> winner GROUP BY winner)
+SELECT winner, loser, left(w.text || ' | merged: ' || l.text, 2000) AS content FROM f JOIN documents w ON w.doc_id = winner JOIN documents l ON l.doc_id = loser""")
 def g15_merge_content(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
-    b = o.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("o_orderpriority").alias("loser"))
-    merged = F.substring(F.concat("o_orderpriority", F.lit(" | merged: "), "loser"), 1, 2000)
-    return o.join(b, "o_orderkey").select(F.col("o_orderkey").alias("winner"), merged.alias("content"))
+    """What a winner of a merge holds afterwards: its own text and that of the first loser, up to 2,000 characters."""
+    merges = G.merge_order(G.jaccard_groups(token_sets(spark, sf_dir), 0.8), (F.col("id") * 37) % 100)
+    first = merges.groupBy("winner").agg(F.min("loser").alias("loser"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = first.join(d.toDF("winner", "own"), "winner").join(d.toDF("loser", "other"), "loser")
+    return both.select("winner", "loser", F.substring(F.concat("own", F.lit(" | merged: "), "other"), 1, 2000).alias("content"))
 
 
 @query("SELECT p_brand AS community, count(*) AS size, array_to_string((list(DISTINCT p_type ORDER BY p_type))[1:3], ',') AS topics, array_to_string((list(p_partkey ORDER BY p_partkey))[1:20], ',') AS episodes FROM part GROUP BY p_brand HAVING count(*) >= 2")

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 
 from ..functions import text as X
 from ..operators import ontology as O
+from ..shared import Workspace, within
 from ..sources.tables import EPISODES_SQL, episodes, table
 from .catalog import query
 
@@ -106,13 +107,15 @@ def f6_attribute_terms(spark, sf_dir):
     return planted(spark, sf_dir).select("id", F.array_join(X.attribute_terms(F.col("text")), ",").alias("attributes"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'core' ELSE 'active' END AS track FROM documents")
-def f7_fact_track(spark, sf_dir):
-    kind = F.when(F.col("doc_id") % 4 == 1, "location_fact").otherwise("event_date")
-    return table(spark, sf_dir, "documents").select("doc_id", X.fact_track(F.col("text"), kind).alias("track"))
+TYPE_SQL = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(t, {chr(39)}{k}{chr(39)})' for k in keys)} THEN '{name}'" for name, keys in X.TYPE_KEYS) + " ELSE 'generic_fact' END"
 
 
-TYPE_SQL = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(t, {chr(39)}{k}{chr(39)})' for k in keys)} THEN '{name}'" for name, keys in X.TYPE_KEYS) + " ELSE 'generic_fact' END"
+@query(f"""SELECT id, CASE WHEN {TYPE_SQL} IN ({', '.join(map(quoted, X.CORE_TYPES))}) OR regexp_matches(text, '{'|'.join(X.CORE_WORDS)}') THEN 'core' ELSE 'active' END AS track
+FROM (SELECT id, text, lower(text) AS t FROM (SELECT id, text FROM {PLANTED_SQL} UNION ALL SELECT -1 - doc_id, text FROM documents WHERE text IS NOT NULL))""")
+def f7_fact_track(spark, sf_dir):
+    """Lasting facts by the type that their text has, or by the words of lasting facts; turns and documents."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select((-1 - F.col("doc_id")).alias("id"), "text")
+    return planted(spark, sf_dir).union(d).select("id", X.fact_track(F.col("text"), X.ontology_type(F.col("text"))).alias("track"))
 
 
 @query(f"SELECT id, {TYPE_SQL} AS type FROM (SELECT id, lower(text) AS t FROM {PLANTED_SQL}) UNION ALL SELECT -1 - id, {TYPE_SQL} FROM (SELECT id, lower(content) AS t FROM {EPISODES_SQL})")
@@ -227,9 +230,16 @@ def f23_profile_candidates(spark, sf_dir):
     return O.profile_candidates(planted(spark, sf_dir).withColumn("source_type", F.lit("direct"))).select("id", "grp", "value")
 
 
-@query(f"SELECT id, contains(text, 'Paris') OR contains(text, 'Apple') AS hit FROM {PLANTED_SQL}")
+@query(f"SELECT id, contains(text, 'Paris') AS hit FROM {PLANTED_SQL}")
 def f24_profile_hit(spark, sf_dir):
-    return planted(spark, sf_dir).select("id", F.exists(F.array(F.lit("Paris"), F.lit("Apple")), lambda v: F.col("text").contains(v)).alias("hit"))
+    """Turns that hold a value of the profile, which turns themselves told: few different values, counted before they are sent."""
+    turns = planted(spark, sf_dir)
+    values = O.profile_candidates(turns.withColumn("source_type", F.lit("direct"))).select("value").distinct()
+    values = Workspace(spark, "profile").save(values, "values")
+    if not within(values, 10_000):
+        raise ValueError("a profile of this size is to be joined by its words")
+    hits = turns.join(F.broadcast(values), F.col("text").contains(F.col("value"))).select("id").distinct().withColumn("found", F.lit(True))
+    return turns.join(hits, "id", "left").select("id", F.coalesce("found", F.lit(False)).alias("hit"))
 
 
 TERMS_SQL = "list_filter(regexp_extract_all(lower(text), '([A-Za-z][A-Za-z\\-'']*)', 1), lambda x: length(x) >= 2 AND x NOT IN (" + ", ".join(f"'{w}'" for w in X.TERM_STOP) + "))"
@@ -249,10 +259,13 @@ def f26_write_gate(spark, sf_dir):
     return w.groupBy("user_id").agg(F.round(F.max_by("hidden", "place"), 6).alias("hidden"), F.count_if("kept").alias("kept"), F.max("place").alias("n"))
 
 
-@query("SELECT c_custkey AS id, CASE WHEN c_acctbal < 30 THEN 'retain' WHEN (c_custkey % 10) / 10.0 >= 0.5 THEN 'consolidate' ELSE 'retain' END AS operator FROM customer")
+@query("""WITH a AS (SELECT o_custkey, avg((o_orderstatus = 'F')::INT) AS alpha FROM orders GROUP BY 1)
+SELECT c_custkey AS id, CASE WHEN c_acctbal < 30 THEN 'retain' WHEN coalesce(alpha, 0) >= 0.5 THEN 'consolidate' ELSE 'retain' END AS operator FROM customer LEFT JOIN a ON o_custkey = c_custkey""")
 def f27_budget_operator(spark, sf_dir):
-    alpha = F.col("c_custkey") % 10 / 10
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_acctbal") < 30, "retain").when(alpha >= 0.5, "consolidate").otherwise("retain").alias("operator"))
+    """With budget left, those whose work is done for the better half are consolidated."""
+    share = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.avg((F.col("o_orderstatus") == "F").cast("int")).alias("alpha"))
+    c = table(spark, sf_dir, "customer").join(share, "c_custkey", "left")
+    return c.select(F.col("c_custkey").alias("id"), F.when(F.col("c_acctbal") < 30, "retain").when(F.coalesce("alpha", F.lit(0.0)) >= 0.5, "consolidate").otherwise("retain").alias("operator"))
 
 
 @query("SELECT n_regionkey, round(count(*) * 3 / 7.0 * (1 + 0.5), 6)::DOUBLE AS priority FROM nation GROUP BY 1")
@@ -364,8 +377,11 @@ def v33_type_overlap(spark, sf_dir):
     return j.select("id", F.when(F.col("t").isNull() | F.col("u").isNull(), 0.5).otherwise(score).alias("overlap"))
 
 
-@query(f"""SELECT id, CASE WHEN asked THEN 'attribute' WHEN timed AND named THEN 'event' WHEN timed THEN 'time' WHEN named THEN 'identity' ELSE 'multi_hop' END AS intent FROM (SELECT id, regexp_matches(lower(text), '\\b(revenue|price)\\b') AS asked,
- regexp_matches(lower(text), 'recent|now|latest|current|today|yesterday|earlier|last|previous|ago|(19|20)\\d\\d') AS timed, len({NAMED_SQL}) > 0 AS named FROM {PLANTED_SQL})""")
+INTENT_SQL = f"""SELECT id, CASE WHEN asked THEN 'attribute' WHEN timed AND named THEN 'event' WHEN timed THEN 'time' WHEN named THEN 'identity' ELSE 'multi_hop' END AS intent FROM (SELECT id, regexp_matches(lower(text), '\\b(revenue|price)\\b') AS asked,
+ regexp_matches(lower(text), 'recent|now|latest|current|today|yesterday|earlier|last|previous|ago|(19|20)\\d\\d') AS timed, len({NAMED_SQL}) > 0 AS named FROM {PLANTED_SQL})"""
+
+
+@query(INTENT_SQL)
 def v26_intent(spark, sf_dir):
     return planted(spark, sf_dir).select("id", X.intent(F.col("text"), now()).alias("intent"))
 
@@ -381,10 +397,12 @@ def v30_profile_channel(spark, sf_dir):
     return planted(spark, sf_dir).join(v, F.col("text").contains(F.col("value"))).select("id", "value")
 
 
-@query(f"SELECT id, CASE id % 3 WHEN 0 THEN 'fusion' WHEN 1 THEN 'fusion' ELSE 'hypergraph' END AS level FROM {PLANTED_SQL}")
+@query(f"SELECT id, CASE WHEN intent IN ('multi_hop', 'event') THEN 'fusion' WHEN intent = 'identity' AND length(text) > 300 THEN 'fusion' ELSE 'hypergraph' END AS level FROM ({INTENT_SQL}) JOIN {PLANTED_SQL} USING (id)")
 def v31_strategy_level(spark, sf_dir):
-    strategy = F.when(F.col("id") % 3 == 0, "hybrid").when(F.col("id") % 3 == 1, "auto").otherwise("graph")
-    return planted(spark, sf_dir).select("id", O.level(strategy, F.lit(True)).alias("level"))
+    """The level that answers: hybrid where the intent needs several channels, left to the reranker's presence (here: for long turns) where it names something, else the graph alone."""
+    intent = X.intent(F.col("text"), now())
+    t = planted(spark, sf_dir).withColumn("strategy", F.when(intent.isin("multi_hop", "event"), "hybrid").when(intent == "identity", "auto").otherwise("graph"))
+    return t.select("id", O.level(F.col("strategy"), F.length("text") > 300).alias("level"))
 
 
 @query("SELECT doc_id, string_agg(x, ' ' ORDER BY x) AS keywords FROM (SELECT doc_id, x FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([a-z]{4,})', 1)) AS x FROM documents) GROUP BY doc_id, x QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, x) <= 5) GROUP BY doc_id")
