@@ -229,9 +229,9 @@ def arrays(ids: Iterator[int]) -> Iterator[bytes]:
 class Encoder(dict):
     """Ids of chunks as bytes (little-endian, 32 bits), by chunk; ``misses`` are encoded when asked for."""
 
-    def __init__(self, tokens: Tokens, cache: int = CACHE):
+    def __init__(self, tokens: Tokens, cache: int = CACHE, pieces: int = CACHE):
         super().__init__()
-        self.tokens, self.limit, self.machine = tokens, cache, Transducer(tokens, cache)
+        self.tokens, self.limit, self.machine = tokens, cache, Transducer(tokens, pieces)
         self.odd_space = regex.compile(f" (?=[{SPACE}]|\\Z)")
         self.cut = regex.compile(f" (?=[^{SPACE}])")
         self.white = regex.compile(f"[{SPACE}]")
@@ -338,14 +338,14 @@ def decode(ids: np.ndarray, tokens: Tokens) -> Iterator[str]:
 
 
 @lru_cache(maxsize=4)
-def loaded(path: str) -> Encoder:
+def loaded(path: str, cache: int, pieces: int) -> Encoder:
     """One encoder a worker process: its tables serve all tasks that the process runs."""
-    return Encoder(Tokens(path))
+    return Encoder(Tokens(path), cache, pieces)
 
 
-def _digests(path: str, keep_ids: bool):
+def _digests(path: str, keep_ids: bool, cache: int, pieces: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = loaded(path)
+        encoder = loaded(path, cache, pieces)
         tokens = encoder.tokens
         for batch in batches:
             counts, id_sums, text_sums, lists = [], [], [], []
@@ -374,12 +374,14 @@ def _digests(path: str, keep_ids: bool):
     return run
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, if kept, ``ids``; the file must stand at ``path`` on every worker."""
+def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, cache: int = CACHE, pieces: int = CACHE) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, if kept, ``ids``; the file must stand at ``path`` on every worker.
+
+    ``cache`` and ``pieces`` bound the tables of chunks and pieces that a worker process keeps: smaller ones take less memory and more time, results are the same."""
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_digests(path or tokenizer_path("word_bpe_49k.json"), keep_ids), schema)
+    return rows.mapInArrow(_digests(path or tokenizer_path("word_bpe_49k.json"), keep_ids, cache, pieces), schema)
 
 
 def op2(docs: DataFrame) -> DataFrame:
