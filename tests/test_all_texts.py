@@ -111,3 +111,20 @@ def test_tfidf_over_a_large_vocabulary_and_many_blocks(spark):
         assert [(x[0], x[1], x[3]) for x in got] == [(x[0], x[1], x[3]) for x in want]
         assert [x[2] for x in got] == [pytest.approx(x[2], abs=2e-6) for x in want]
     assert tfidf_cosine(asked, docs.where("false")).count() == 0
+
+
+def test_text_fallback_copies_no_text(spark):
+    """Phrases of any length and kind against a plain search, in one block and in many; before, a text was copied for each of the queries' words in it."""
+    from mnemex.operators.retrieval import text_fallback
+
+    texts = ["The old man and THE sea", "the old man", "Ärger über İstanbul", "x", "", "aaaaaaaaaaaaaaaaaaaa", "漢字 and 🎈 signs", "the sea", None, "THE OLD MAN AND THE SEA, again", "and" * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    phrases = ["the old man", "The Sea", "x", "", "aaaaaaaa", "aaaaaaa", "字 and 🎈", "and the sea, AGAIN", "none of these", None, "the sea", "ÄRGER", "andandandandandandandandandandandandan", " "]
+    asked = spark.createDataFrame([*enumerate(phrases), (None, "x")], "query_id long, phrase string")
+    low = lambda t: t.lower() if t is not None else None
+    wanted = sorted((str(q), i, 0.5) for q, p in [*enumerate(phrases), (None, "x")] for i, t in enumerate(texts) if p is not None and t is not None and low(p) in low(t))
+    for block in (50, 3):
+        found = text_fallback(asked, docs, block)
+        assert sorted((str(r.query_id), r.id, r.score) for r in found.collect()) == wanted
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert text_fallback(asked.where("false"), docs).count() == 0
