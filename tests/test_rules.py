@@ -14,6 +14,7 @@ from mnemex.operators import temporal as T
 from mnemex.operators.components import connected_components
 from mnemex.operators.graph import jaccard_pairs, k_hop, label_propagation
 from mnemex.operators.vectors import nearest
+from mnemex.plans.registry import QUERIES
 from mnemex.plans.relational import read_only
 
 
@@ -212,3 +213,9 @@ def test_counts_and_numbers_by_stretches(spark):
         assert T.sliding_count(df, ["k"], "at", 40, "n", itself).exceptAll(wanted).count() == 0
     wanted = df.withColumn("n", F.row_number().over(W.partitionBy("k").orderBy("at", "id")) - 1)
     assert T.running_number(df, ["k"], "at", "id", 60, "n").select("id", "k", "at", "n").exceptAll(wanted).count() == 0
+
+
+def test_batch_lookup_asks_every_fiftieth_order(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 50 = 0")
+    wanted = {r.o_custkey for r in orders.collect()} & {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert {r.id for r in QUERIES["s2_batch_lookup"](spark, sf).collect()} == wanted
