@@ -219,3 +219,8 @@ def test_batch_lookup_asks_every_fiftieth_order(spark, sf):
     orders = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 50 = 0")
     wanted = {r.o_custkey for r in orders.collect()} & {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert {r.id for r in QUERIES["s2_batch_lookup"](spark, sf).collect()} == wanted
+
+
+def test_schema_recall_asks_every_fiftieth_part(spark, sf):
+    wanted = {r.p_partkey for r in spark.read.parquet(f"{sf}/part.parquet").where("p_partkey % 50 = 0").collect()}
+    assert {r.seed for r in QUERIES["v22_schema_recall"](spark, sf).collect()} == wanted
