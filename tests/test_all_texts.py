@@ -128,3 +128,21 @@ def test_text_fallback_copies_no_text(spark):
         assert sorted((str(r.query_id), r.id, r.score) for r in found.collect()) == wanted
     assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
     assert text_fallback(asked.where("false"), docs).count() == 0
+
+
+def test_gram_bm25_meets_different_texts(spark, monkeypatch):
+    """Equal names are scored once, with the figures and ties of a search over all rows; before, each query met each row."""
+    from mnemex.operators import ranking as R
+    from mnemex.operators import retrieval as X
+
+    names = ["old ring", "new ring", "ring", None, "", "blue anvil", "old anvil ring", "ring old"]
+    docs = spark.createDataFrame([(i, names[i * 7 % len(names)]) for i in range(160)], "id long, text string")
+    asked = docs.where("id % 10 = 0").withColumnRenamed("id", "query_id")
+    plain = X.gram_bm25(asked.selectExpr("*", "0 AS corpus"), docs.selectExpr("*", "0 AS corpus"), "corpus")
+    wanted = {(r.query_id, r.id, r["rank"]): r.score for r in R.top_k(plain.selectExpr("query_id", "id", "round(score, 4) AS score"), ["query_id"], "score", "id", 30).collect()}
+    met = []
+    scored = X.gram_bm25
+    monkeypatch.setattr(X, "gram_bm25", lambda *a: met.append(scored(*a)) or met[-1])
+    got = {(r.query_id, r.id, r["rank"]): r.score for r in X.gram_bm25_best(asked, docs, 30).collect()}
+    assert got == pytest.approx(wanted, abs=1e-4) and wanted
+    assert met[0].count() <= len(names) ** 2 < plain.count()
