@@ -22,7 +22,8 @@ from .vectors import best_of
 
 LOW, HIGH = 2, 4
 LARGEST = 2_000_000
-BLOCK = 500
+BLOCK = 4096  # queries a pass: grams of a text cost more than its products with hundreds of queries
+CELLS = 4_000_000  # of a matrix in a task
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
 
@@ -81,12 +82,13 @@ class Asked:
         return np.bincount(self.line[place], self.weight[place] * np.repeat(w[hit], n), len(self.ids))
 
 
-def _score(asked: Asked, vocabulary, k: int):
+def _score(block, vocabulary, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, idf = vocabulary.value
+        (known, idf), asked = vocabulary.value, block.value
+        step = min(2048, max(1, CELLS // len(asked.ids)))
         for whole in batches:
-            for i in range(0, whole.num_rows, 2048):
-                batch = whole.slice(i, 2048)
+            for i in range(0, whole.num_rows, step):
+                batch = whole.slice(i, step)
                 score = np.zeros((len(asked.ids), batch.num_rows))
                 for row, text in enumerate(batch.column(1)):
                     own, times = grams(text.as_py())
@@ -124,7 +126,7 @@ def tfidf_cosine(queries: DataFrame, docs: DataFrame, k: int = 20, block: int =
                 w = times[there] * idf[at[there]]
                 lines.append((r.query_id, g[there], w / np.sqrt(w @ w)))
         if lines:
-            parts.append(texts.mapInArrow(_score(Asked(lines), vocabulary, k), "query_id long, id long, score double"))
+            parts.append(texts.mapInArrow(_score(spark.sparkContext.broadcast(Asked(lines)), vocabulary, k), "query_id long, id long, score double"))
     if not parts:
         return spark.createDataFrame([], "query_id long, id long, score double, rank int")
     return top_k(ws.save(reduce(DataFrame.union, parts), "found"), ["query_id"], "score", "id", k)

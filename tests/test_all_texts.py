@@ -146,3 +146,17 @@ def test_gram_bm25_meets_different_texts(spark, monkeypatch):
     got = {(r.query_id, r.id, r["rank"]): r.score for r in X.gram_bm25_best(asked, docs, 30).collect()}
     assert got == pytest.approx(wanted, abs=1e-4) and wanted
     assert met[0].count() <= len(names) ** 2 < plain.count()
+
+
+def test_tfidf_makes_the_grams_of_a_text_once_for_many_queries(spark, monkeypatch):
+    """Before, there was a pass over all documents for each 500 queries."""
+    from mnemex.operators import tfidf
+
+    passes, begin = [], tfidf.Asked.__init__
+    monkeypatch.setattr(tfidf.Asked, "__init__", lambda self, lines: passes.append(len(lines)) or begin(self, lines))
+    docs = spark.createDataFrame(DOCS, "id long, text string")
+    many = [(k, DOCS[k % len(DOCS)][1]) for k in range(1200)]
+    got = tfidf.tfidf_cosine(spark.createDataFrame(many, "query_id long, text string"), docs, k=3).collect()
+    assert len(passes) == 1
+    first = {(r.query_id, r.rank): (r.id, r.score) for r in got}
+    assert first and all(first[q, n] == first[q % len(DOCS), n] for q, n in first)
