@@ -1,10 +1,13 @@
-"""Near copies by word shingles: fingerprints and sketches propose pairs, exact Jaccard similarity decides.
+"""Near copies by word shingles: fingerprints and sketches propose pairs, exact Jaccard similarity decides, and an exact join by leading shingles finds what they missed.
 
 A text is the set of its shingles of five words. Texts of one set are one class. Classes are proposed as pairs where their SimHash fingerprints are near (operator 6: anchors within 4 of 64 bits), and where one of ``BANDS`` groups of ``ROWS`` minimum hashes agrees: two sets
 with similarity s agree in a group with probability s**ROWS, so of pairs at 0.8 all but (1 - 0.8**5)**14 = 0.4 % are proposed by groups alone, of closer ones less are missed. Each pair is then compared by the sets themselves.
 
 A group that more than ``CROWD`` classes share isn't paired off. Its classes are dealt out to blocks; in a block sixteen leaders are taken, half of them those that agree most with what most of the block's sketches say (the text that all are copies of), and each class is proposed with the three leaders
-whose sketches are nearest to its own. Leaders of several blocks meet in turn, until one block is left. So pairs grow with the number of classes, not with its square; a class of a crowd that is near to none of its leaders is left to its other groups.
+whose sketches are nearest to its own. Leaders of several blocks meet in turn, until one block is left. So pairs grow with the number of classes, not with its square.
+
+Links found so far make components. What is missing are links between two of them, and none of those is lost: with items in one order, two sets of similarity ``LEAST`` or more share one of their first n - ceil(LEAST n) + 1 items, so classes of different components meet by those (``rest``). An item all of whose classes
+are in one component is done with, which is what crowds of copies come to; pairs that share too few leading items for the similarity are dropped before sets are compared. Any order does; items that many of ``SAMPLE`` texts have come last in it, which saves work and changes no result.
 """
 
 from __future__ import annotations
@@ -14,7 +17,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -25,7 +29,8 @@ WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 14, 5
 CROWD, BLOCK, LEADERS, NEAREST = 32, 4096, 16, 3
 SMALL = 500_000  # keys sent to all tasks
-MAYBE = 0.55  # of a sketch's estimate, to be compared at all
+MAYBE = 0.55  # of a sketch's estimate, to be proposed with a leader
+SAMPLE, COMMON = 8192, 131_072  # texts looked at for the order of items, and items that come last in it
 _RANDOM = np.random.default_rng(SEED)
 FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -49,17 +54,52 @@ def sketch(own: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype("<u4")
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for text in batch.column(1):
-            text = text.as_py()
-            own = shingle_set(text)
-            marks = sketch(own)
-            bands = [xxhash.xxh64_intdigest(marks[i * ROWS : (i + 1) * ROWS].tobytes(), seed=i) for i in range(BANDS)] if len(own) else []
-            rows.append((xxhash.xxh3_128_digest(own.tobytes()), fingerprint(text), np.array(bands, dtype="<u8").view("<i8").tolist(), marks.tobytes()))
-        digests, fps, bands, marks = zip(*rows, strict=True) if rows else [()] * 4
-        yield pa.record_batch({"key": batch.column(0), "digest": pa.array(digests, pa.binary()), "fp": pa.array(np.array(fps, dtype="<u8").view("<i8")), "bands": pa.array(bands, pa.list_(pa.int64())), "marks": pa.array(marks, pa.binary())})
+        for text in batch.column(0):
+            yield pa.record_batch({"item": pa.array(shingle_set(text.as_py()).view("<i8"))})
+
+
+def common_items(texts: DataFrame, ws: Workspace) -> tuple[np.ndarray, np.ndarray]:
+    """Items that several of a sample of different texts have, ascending, and how many."""
+    marked = texts.select("text", F.xxhash64("text").alias("mark"))
+    marks = ws.save(marked.select("mark").distinct().orderBy("mark").limit(SAMPLE), "sample")
+    sampled = marked.join(F.broadcast(marks), "mark").dropDuplicates(["mark"]).select("text")
+    often = sampled.mapInArrow(_items, "item long").groupBy("item").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "item").limit(COMMON).toArrow()  # bounded by ``COMMON``
+    items = often["item"].to_numpy().view("<u8")
+    order = np.argsort(items)
+    return items[order], often["n"].to_numpy()[order]
+
+
+def leading(own: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first n - ceil(LEAST n) + 1 items of a set, common ones last."""
+    items, n = common
+    weights = np.zeros(len(own), dtype=np.int64)
+    if len(items):
+        at = np.minimum(np.searchsorted(items, own), len(items) - 1)
+        weights = np.where(items[at] == own, n[at], 0)
+    return own[np.lexsort((own, weights))[: len(own) - int(np.ceil(LEAST * len(own) - 1e-9)) + 1]]
+
+
+def _read(common: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part.slice(i, 1024) for part in batches for i in range(0, part.num_rows, 1024)):
+            rows, first = [], [np.zeros(0, dtype=np.uint64)]
+            for text in batch.column(1):
+                text = text.as_py()
+                own = shingle_set(text)
+                marks = sketch(own)
+                bands = [xxhash.xxh64_intdigest(marks[i * ROWS : (i + 1) * ROWS].tobytes(), seed=i) for i in range(BANDS)] if len(own) else []
+                rows.append((xxhash.xxh3_128_digest(own.tobytes()), fingerprint(text), np.array(bands, dtype="<u8").view("<i8").tolist(), marks.tobytes(), len(own)))
+                first.append(leading(own, common.value))
+            digests, fps, bands, marks, sizes = zip(*rows, strict=True)
+            ends = np.cumsum([len(x) for x in first], dtype=np.int32)
+            yield pa.record_batch({
+                "key": batch.column(0), "digest": pa.array(digests, pa.binary()), "fp": pa.array(np.array(fps, dtype="<u8").view("<i8")), "bands": pa.array(bands, pa.list_(pa.int64())), "marks": pa.array(marks, pa.binary()),
+                "n": pa.array(sizes, pa.int64()), "first": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first).view("<i8"))),
+            })
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +151,7 @@ def proposals(heads: DataFrame, ws: Workspace) -> DataFrame:
     kind = heads.schema["head"].dataType.simpleString()
     lows = ws.save(heads.groupBy("fp").agg(F.min("head").alias("low")), "lows")
     pairs = heads.join(lows, "fp").where("head <> low").select(F.col("head").alias("a"), F.col("low").alias("b"))
-    links = near_links(lows.select("fp"), ws, crowds=False)  # groups of hashes see to crowds
+    links = near_links(lows.select("fp"), ws, crowds=False)  # ``rest`` sees to what crowds leave out
     pairs = pairs.union(links.join(lows.toDF("src", "a"), "src").join(lows.toDF("dst", "b"), "dst").select("a", "b"))
     banded = heads.select("head", F.explode("bands").alias("band"))
     sizes = ws.save(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "bands")
@@ -132,21 +172,57 @@ def proposals(heads: DataFrame, ws: Workspace) -> DataFrame:
     return ws.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
 
+def rest(read: DataFrame, classes: DataFrame, comps: DataFrame, ws: Workspace) -> DataFrame:
+    """``a, b``: pairs of classes (head, digest, n) of different components (node, component) that may be near; none that is near is left out. Leading items are those of the rows (digest, first).
+
+    Classes meet by leading item. The rows of an item's largest component meet the others but not each other. If c leading items are shared, at most c + ceil(LEAST n) - 1 items are, n being the larger size.
+    """
+    number = F.xxhash64("digest")  # rows of what meets stay short; sets are told apart by digests
+    each = Window.partitionBy("item")
+    entries = read.select(number.alias("no"), F.explode("first").alias("item"))
+    several = entries.withColumn("low", F.min("no").over(each)).withColumn("high", F.max("no").over(each)).where("low < high")
+    met = ws.save(several.select("item", "no").distinct(), "met")
+    comps = comps.withColumnRenamed("node", "head")
+    known = classes.join(F.broadcast(comps) if within(comps, SMALL) else comps, "head", "left").select("head", number.alias("no"), F.xxhash64(F.coalesce("component", "head")).alias("root"), "n")
+    known = ws.save(known, "known")
+    met = ws.save(met.join(known.drop("head"), "no"), "met-known")
+    sizes = met.groupBy("item", "root").agg(F.count("*").alias("k")).groupBy("item").agg(F.max(F.struct("k", "root")).alias("top"), F.count("*").alias("roots"))
+    met = ws.save(met.join(sizes.where("roots > 1").select("item", F.col("top.root").alias("main")), "item"), "met-main")
+    x = met.where("root <> main").select("item", F.col("no").alias("a"), F.col("root").alias("r"), F.col("n").alias("m"))
+    y = met.select("item", F.col("no").alias("b"), F.col("root").alias("s"), "n", "main")
+    both = x.join(y, "item").where("r <> s AND (s = main OR a < b)").where(F.least("m", "n") >= LEAST * F.greatest("m", "n") - 1e-9)
+    both = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("m") + F.col("n")).alias("total"), F.greatest("m", "n").alias("most"))
+    need = F.ceil(LEAST / (1 + LEAST) * F.col("total") - 1e-9) - F.ceil(LEAST * F.col("most") - 1e-9) + 1
+    found = ws.save(both.groupBy("a", "b", "total", "most").agg(F.count("*").alias("c")).where(F.col("c") >= need).select("a", "b"), "found")
+    named = found.join(known.select(F.col("head").alias("x"), F.col("no").alias("a")), "a").join(known.select(F.col("head").alias("y"), F.col("no").alias("b")), "b")
+    return ws.save(named.select(F.col("x").alias("a"), F.col("y").alias("b")), "rest")
+
+
+def compared(pairs: DataFrame, texts: DataFrame, ws: Workspace, table: str) -> DataFrame:
+    """``src, dst``: the pairs (a, b) of texts (key, text) whose sets have a similarity of ``LEAST`` or more."""
+    kind = texts.schema["key"].dataType.simpleString()
+    asked = ws.save(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), f"{table}-asked")
+    held = texts.join(F.broadcast(asked) if within(asked, SMALL) else asked, "key", "left_semi")
+    sets = ws.save(held.mapInArrow(_sets, f"head {kind}, items binary").groupBy("head").agg(F.max("items").alias("items")), f"{table}-sets")
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return ws.save(both.mapInArrow(_compare, f"src {kind}, dst {kind}"), table)
+
+
 def near_copies(docs: DataFrame, key_col: str, text_col: str, ws: Workspace | None = None) -> DataFrame:
     """``key, component``: one row for each row, with the smallest key that links of ``LEAST`` or more reach; keys are to tell texts apart. Texts without a word are one class."""
     ws = ws or Workspace(docs.sparkSession, "near-copies")
     kind = docs.schema[key_col].dataType.simpleString()
     texts = docs.select(F.col(key_col).alias("key"), F.col(text_col).alias("text"))
-    read = ws.save(texts.mapInArrow(_read, f"key {kind}, digest binary, fp long, bands array<long>, marks binary"), "read")
+    common = docs.sparkSession.sparkContext.broadcast(common_items(texts, ws))
+    read = ws.save(texts.mapInArrow(_read(common), f"key {kind}, digest binary, fp long, bands array<long>, marks binary, n long, first array<long>"), "read")
     heads = ws.save(read.groupBy("digest").agg(F.min("key").alias("head")), "heads")
     first = read.join(heads.withColumnRenamed("head", "key"), ["key", "digest"], "left_semi").dropDuplicates(["digest"])
-    classes = ws.save(first.select(F.col("key").alias("head"), "digest", "fp", "bands", "marks"), "classes")
-    pairs = proposals(classes, ws)
-    asked = ws.save(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "asked")
-    held = texts.join(F.broadcast(asked) if within(asked, SMALL) else asked, "key", "left_semi")
-    sets = ws.save(held.mapInArrow(_sets, f"head {kind}, items binary").groupBy("head").agg(F.max("items").alias("items")), "sets")
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    links = ws.save(both.mapInArrow(_compare, f"src {kind}, dst {kind}"), "links")
-    comps = connected_components(links).withColumnRenamed("node", "head")
+    classes = ws.save(first.select(F.col("key").alias("head"), "digest", "fp", "bands", "marks", "n"), "classes")
+    links = compared(proposals(classes, ws), texts, ws, "links")
+    comps = ws.save(connected_components(links), "components")
+    more = compared(rest(read, classes, comps, ws), texts, ws, "more")
+    if not within(more, 0):
+        comps = connected_components(comps.toDF("src", "dst").union(more))
+    comps = comps.withColumnRenamed("node", "head")
     rooted = ws.save(heads.join(comps, "head", "left").select("digest", F.coalesce("component", "head").alias("component")), "rooted")
     return read.select("key", "digest").join(rooted, "digest").select("key", "component")

@@ -98,6 +98,50 @@ def test_crowds_of_copies(spark, monkeypatch, crowd, block):
     assert right >= 0.97 * len(rows) and all(got[k] == k for k in range(200, 240))
 
 
+def crowd_of_groups(r):
+    """Texts that share enough to meet all in the same groups of hashes, but are near only in twos and threes; and some that share less."""
+    base = [f"w{r.randrange(5000)}" for _ in range(150)]
+    rows = []
+    for k in range(150):
+        own = base + [f"t{k}x{r.randrange(10**5)}" for _ in range(50)]
+        rows += [" ".join(own)] + [" ".join(own[:-5] + changed(r, own[-5:], n)) for n in r.sample((1, 3, 5), r.choice((1, 2)))]
+    rows += [" ".join(base[: r.randint(60, 149)] + [f"u{r.randrange(10**6)}" for _ in range(r.randint(0, 40))]) for _ in range(60)]
+    ids = r.sample(range(10**6), len(rows))
+    return sorted(zip(ids, rows, strict=True))
+
+
+def test_no_link_of_a_crowd_is_lost(spark):
+    rows = crowd_of_groups(random.Random(8))
+    got = components(spark, rows)
+    assert got == {i: rows[c][0] for (i, _), c in zip(rows, plain_components(rows), strict=True)}
+
+
+@pytest.mark.parametrize(("crowd", "block"), [(2, 4096), (2, 24)])
+def test_crowds_are_exact(spark, monkeypatch, crowd, block):
+    monkeypatch.setattr(near_copies, "CROWD", crowd)
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    r = random.Random(9)
+    words = [f"w{r.randrange(5000)}" for _ in range(90)]
+    rows = sorted((k, " ".join(changed(r, words, r.choice((1, 2, 3))))) for k in r.sample(range(1000), 120))
+    got = components(spark, rows)
+    assert got == {i: rows[c][0] for (i, _), c in zip(rows, plain_components(rows), strict=True)}
+
+
+def test_links_without_any_proposal(spark, monkeypatch):
+    """Sets of all sizes around the threshold, none proposed: the join by leading shingles alone finds every link, with common shingles last or not."""
+    monkeypatch.setattr(near_copies, "proposals", lambda heads, ws: heads.select(heads["head"].alias("a"), heads["head"].alias("b")).where("false"))
+    r = random.Random(10)
+    rows = []
+    for k in range(0, 900, 3):
+        words = [f"w{r.randrange(400)}" for _ in range(r.randint(1, 60))]
+        rows += [(k, " ".join(words)), (k + 1, " ".join(words + words[: r.randint(0, 9)])), (k + 2, " ".join(changed(r, words, 1)))]
+    want = {i: rows[c][0] for (i, _), c in zip(rows, plain_components(rows), strict=True)}
+    assert sum(i != c for i, c in want.items()) > 150
+    assert components(spark, rows) == want
+    monkeypatch.setattr(near_copies, "SAMPLE", 0)
+    assert components(spark, rows) == want
+
+
 def test_odd_texts(spark):
     rows = [(i, t) for i, t in TEXTS if i is not None]
     got = near_copies.near_copies(documents(spark, rows), "doc_id", "text").collect()
