@@ -1,4 +1,4 @@
-"""Near copies by word shingles: fingerprints and sketches propose pairs, exact Jaccard similarity decides, and an exact join by leading shingles finds what they missed.
+"""Near copies by word shingles: fingerprints and sketches propose pairs, exact Jaccard similarity decides, and an exact join by rare shingles finds what they missed.
 
 A text is the set of its shingles of five words. Texts of one set are one class. Classes are proposed as pairs where their SimHash fingerprints are near (operator 6: anchors within 4 of 64 bits), and where one of ``BANDS`` groups of ``ROWS`` minimum hashes agrees: two sets
 with similarity s agree in a group with probability s**ROWS, so of pairs at 0.8 all but (1 - 0.8**5)**14 = 0.4 % are proposed by groups alone, of closer ones less are missed. Each pair is then compared by the sets themselves.
@@ -6,8 +6,9 @@ with similarity s agree in a group with probability s**ROWS, so of pairs at 0.8
 A group that more than ``CROWD`` classes share isn't paired off. Its classes are dealt out to blocks; in a block sixteen leaders are taken, half of them those that agree most with what most of the block's sketches say (the text that all are copies of), and each class is proposed with the three leaders
 whose sketches are nearest to its own. Leaders of several blocks meet in turn, until one block is left. So pairs grow with the number of classes, not with its square.
 
-Links found so far make components. What is missing are links between two of them, and none of those is lost: with items in one order, two sets of similarity ``LEAST`` or more share one of their first n - ceil(LEAST n) + 1 items, so classes of different components meet by those (``rest``). An item all of whose classes
-are in one component is done with, which is what crowds of copies come to; pairs that share too few leading items for the similarity are dropped before sets are compared. Any order does; items that many of ``SAMPLE`` texts have come last in it, which saves work and changes no result.
+Links found so far make components. What is missing are links between two of them, and none of those is lost (``rest``). A set has n - ceil(LEAST n) items at most that a near one lacks, so a class with more items of its own component alone is done with; that is seen on the part ``PART`` of all items first, which
+leaves few classes, and on all items of those. With items in one order, two sets that share at least k items share one of the first n - k + 1 of each: classes meet by those, the rarest items first. Any order does, and any items may pass for shared: those that many of ``SAMPLE`` texts have do and come last, which
+saves work and changes no result.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -31,6 +32,7 @@ CROWD, BLOCK, LEADERS, NEAREST = 32, 4096, 16, 3
 SMALL = 500_000  # keys sent to all tasks
 MAYBE = 0.55  # of a sketch's estimate, to be proposed with a leader
 SAMPLE, COMMON = 8192, 131_072  # texts looked at for the order of items, and items that come last in it
+PART = 307  # of 1,024 items, by which classes are first told apart
 _RANDOM = np.random.default_rng(SEED)
 FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -71,14 +73,18 @@ def common_items(texts: DataFrame, ws: Workspace) -> tuple[np.ndarray, np.ndarra
     return items[order], often["n"].to_numpy()[order]
 
 
-def leading(own: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first n - ceil(LEAST n) + 1 items of a set, common ones last."""
+def weights(own: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many texts of the sample have each of the items; 0 for those that aren't common."""
     items, n = common
-    weights = np.zeros(len(own), dtype=np.int64)
-    if len(items):
-        at = np.minimum(np.searchsorted(items, own), len(items) - 1)
-        weights = np.where(items[at] == own, n[at], 0)
-    return own[np.lexsort((own, weights))[: len(own) - int(np.ceil(LEAST * len(own) - 1e-9)) + 1]]
+    if not len(items):
+        return np.zeros(len(own), dtype=np.int64)
+    at = np.minimum(np.searchsorted(items, own), len(items) - 1)
+    return np.where(items[at] == own, n[at], 0)
+
+
+def lacking(n):
+    """The most items of a set of n that a near one can lack: numbers or columns."""
+    return n - (F.ceil(LEAST * n - 1e-9) if isinstance(n, Column) else int(np.ceil(LEAST * n - 1e-9)))
 
 
 def _read(common: Broadcast):
@@ -91,17 +97,34 @@ def _read(common: Broadcast):
                 marks = sketch(own)
                 bands = [xxhash.xxh64_intdigest(marks[i * ROWS : (i + 1) * ROWS].tobytes(), seed=i) for i in range(BANDS)] if len(own) else []
                 rows.append((xxhash.xxh3_128_digest(own.tobytes()), fingerprint(text), np.array(bands, dtype="<u8").view("<i8").tolist(), marks.tobytes(), len(own)))
-                first.append(leading(own, common.value))
+                part = own[(own & np.uint64(1023)) < PART]
+                first.append(part[weights(part, common.value) == 0])
             digests, fps, bands, marks, sizes = zip(*rows, strict=True)
             ends = np.cumsum([len(x) for x in first], dtype=np.int32)
             yield pa.record_batch({
                 "key": batch.column(0), "digest": pa.array(digests, pa.binary()), "fp": pa.array(np.array(fps, dtype="<u8").view("<i8")), "bands": pa.array(bands, pa.list_(pa.int64())), "marks": pa.array(marks, pa.binary()),
-                "n": pa.array(sizes, pa.int64()), "first": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first).view("<i8"))),
+                "n": pa.array(sizes, pa.int64()), "rare": pa.array([len(x) for x in first[1:]], pa.int64()), "first": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first).view("<i8"))),
             })
 
     return run
 
 
+def _entries(common: Broadcast):
+    """All items of texts that aren't common, and of common ones, in their order, as many as may be among the first that are looked at."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for no, root, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                own = shingle_set(text)
+                weight = weights(own, common.value)
+                plain = int((weight == 0).sum())
+                at = np.lexsort((own, weight))[: max(plain, lacking(len(own)) + 1)]
+                same = {k: pa.array(np.full(len(at), v, dtype=np.int64)) for k, v in (("no", no), ("root", root), ("n", len(own)), ("plain", plain))}
+                yield pa.record_batch({"item": pa.array(own[at].view("<i8")), "weight": pa.array(weight[at].astype(np.int64)), **same})
+
+    return run
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sets themselves, by 32 bits of each hash."""
     for batch in batches:
@@ -172,10 +195,10 @@ def proposals(heads: DataFrame, ws: Workspace) -> DataFrame:
     return ws.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
 
-def rest(read: DataFrame, classes: DataFrame, comps: DataFrame, ws: Workspace) -> DataFrame:
-    """``a, b``: pairs of classes (head, digest, n) of different components (node, component) that may be near; none that is near is left out. Leading items are those of the rows (digest, first).
+def rest(read: DataFrame, classes: DataFrame, comps: DataFrame, texts: DataFrame, common: Broadcast, ws: Workspace) -> DataFrame:
+    """``a, b``: pairs of classes (head, digest, n, rare) of different components (node, component) that may be near; none that is near is left out. ``read`` has the rare items of a part (digest, first).
 
-    Classes meet by leading item. The rows of an item's largest component meet the others but not each other. If c leading items are shared, at most c + ceil(LEAST n) - 1 items are, n being the larger size.
+    The rows of an item's largest component meet the others but not each other.
     """
     number = F.xxhash64("digest")  # rows of what meets stay short; sets are told apart by digests
     each = Window.partitionBy("item")
@@ -183,17 +206,31 @@ def rest(read: DataFrame, classes: DataFrame, comps: DataFrame, ws: Workspace) -
     several = entries.withColumn("low", F.min("no").over(each)).withColumn("high", F.max("no").over(each)).where("low < high")
     met = ws.save(several.select("item", "no").distinct(), "met")
     comps = comps.withColumnRenamed("node", "head")
-    known = classes.join(F.broadcast(comps) if within(comps, SMALL) else comps, "head", "left").select("head", number.alias("no"), F.xxhash64(F.coalesce("component", "head")).alias("root"), "n")
+    known = classes.join(F.broadcast(comps) if within(comps, SMALL) else comps, "head", "left").select("head", number.alias("no"), F.xxhash64(F.coalesce("component", "head")).alias("root"), "n", "rare")
     known = ws.save(known, "known")
-    met = ws.save(met.join(known.drop("head"), "no"), "met-known")
+    shared = met.join(known.select("no", "root"), "no").withColumn("low", F.min("root").over(each)).withColumn("high", F.max("root").over(each)).where("low < high")
+    shared = ws.save(shared.groupBy("no").agg(F.count("*").alias("shared")), "shared")
+    left = known.join(shared, "no", "left").where(F.col("rare") - F.coalesce("shared", F.lit(0)) <= lacking(F.col("n"))).where("n > 0")
+    left = ws.save(left.select("head", "no", "root"), "left")
+    held = texts.join((F.broadcast(left) if within(left, SMALL) else left).withColumnRenamed("head", "key"), "key").select("no", "root", "text")
+    entries = held.mapInArrow(_entries(common), "item long, weight long, no long, root long, n long, plain long")
+    several = entries.withColumn("low", F.min("root").over(each)).withColumn("high", F.max("root").over(each)).withColumn("often", F.count("*").over(each)).where("low < high")
+    met = ws.save(several.drop("low", "high").distinct(), "met-all")
+    own = Window.partitionBy("no")
+    place = F.row_number().over(own.orderBy("weight", F.when(F.col("weight") == 0, F.col("often")), "item"))  # after the items of one component, which meet nothing
+    placed = met.withColumn("before", F.col("plain") - F.count(F.when(F.col("weight") == 0, 1)).over(own)).withColumn("place", F.col("before") + place)
+    met = ws.save(placed.where(F.col("place") <= lacking(F.col("n")) + 1).select("item", "no", "root", "n", "place"), "met-first")
     sizes = met.groupBy("item", "root").agg(F.count("*").alias("k")).groupBy("item").agg(F.max(F.struct("k", "root")).alias("top"), F.count("*").alias("roots"))
     met = ws.save(met.join(sizes.where("roots > 1").select("item", F.col("top.root").alias("main")), "item"), "met-main")
-    x = met.where("root <> main").select("item", F.col("no").alias("a"), F.col("root").alias("r"), F.col("n").alias("m"))
-    y = met.select("item", F.col("no").alias("b"), F.col("root").alias("s"), "n", "main")
-    both = x.join(y, "item").where("r <> s AND (s = main OR a < b)").where(F.least("m", "n") >= LEAST * F.greatest("m", "n") - 1e-9)
-    both = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("m") + F.col("n")).alias("total"), F.greatest("m", "n").alias("most"))
-    need = F.ceil(LEAST / (1 + LEAST) * F.col("total") - 1e-9) - F.ceil(LEAST * F.col("most") - 1e-9) + 1
-    found = ws.save(both.groupBy("a", "b", "total", "most").agg(F.count("*").alias("c")).where(F.col("c") >= need).select("a", "b"), "found")
+    x = met.select("item", F.col("no").alias("a"), F.col("root").alias("r"), F.col("n").alias("m"), F.col("place").alias("i"), "main")
+    y = met.select("item", F.col("no").alias("b"), F.col("root").alias("s"), "n", F.col("place").alias("j"))
+    least = lambda total: F.ceil(LEAST / (1 + LEAST) * total - 1e-9)  # noqa: E731  items that sets of so many items together share, if they are near
+    x = x.where(F.col("i") <= F.col("m") - least(2 * F.col("m")) + 1)  # of the smaller set
+    must = least(F.col("m") + F.col("n"))
+    near = (F.col("m") >= LEAST * F.col("n") - 1e-9) & (F.col("i") <= F.col("m") - must + 1) & (F.col("j") <= F.col("n") - must + 1)
+    both = x.where("r <> main").join(y, "item").where("r <> s AND (m < n OR m = n AND a < b)").where(near).select("a", "b")
+    both = both.union(x.where("r = main").join(met.where("root <> main").select("item", F.col("no").alias("b"), "n", F.col("place").alias("j")), "item").where("m < n OR m = n AND a < b").where(near).select("a", "b"))
+    found = ws.save(both.distinct(), "found")
     named = found.join(known.select(F.col("head").alias("x"), F.col("no").alias("a")), "a").join(known.select(F.col("head").alias("y"), F.col("no").alias("b")), "b")
     return ws.save(named.select(F.col("x").alias("a"), F.col("y").alias("b")), "rest")
 
@@ -214,13 +251,13 @@ def near_copies(docs: DataFrame, key_col: str, text_col: str, ws: Workspace | No
     kind = docs.schema[key_col].dataType.simpleString()
     texts = docs.select(F.col(key_col).alias("key"), F.col(text_col).alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(common_items(texts, ws))
-    read = ws.save(texts.mapInArrow(_read(common), f"key {kind}, digest binary, fp long, bands array<long>, marks binary, n long, first array<long>"), "read")
+    read = ws.save(texts.mapInArrow(_read(common), f"key {kind}, digest binary, fp long, bands array<long>, marks binary, n long, rare long, first array<long>"), "read")
     heads = ws.save(read.groupBy("digest").agg(F.min("key").alias("head")), "heads")
     first = read.join(heads.withColumnRenamed("head", "key"), ["key", "digest"], "left_semi").dropDuplicates(["digest"])
-    classes = ws.save(first.select(F.col("key").alias("head"), "digest", "fp", "bands", "marks", "n"), "classes")
+    classes = ws.save(first.select(F.col("key").alias("head"), "digest", "fp", "bands", "marks", "n", "rare"), "classes")
     links = compared(proposals(classes, ws), texts, ws, "links")
     comps = ws.save(connected_components(links), "components")
-    more = compared(rest(read, classes, comps, ws), texts, ws, "more")
+    more = compared(rest(read, classes, comps, texts, common, ws), texts, ws, "more")
     if not within(more, 0):
         comps = connected_components(comps.toDF("src", "dst").union(more))
     comps = comps.withColumnRenamed("node", "head")

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from mnemex.llm import near_copies, simhash
+from mnemex.shared import Workspace
 from tests.llm.common import TEXTS, documents, none
 
 
@@ -142,6 +143,20 @@ def test_links_without_any_proposal(spark, monkeypatch):
     assert components(spark, rows) == want
 
 
+def test_a_shared_passage_brings_no_pairs(spark, monkeypatch):
+    """Two thirds of each text are one passage, which no sample has shown: only the copies meet, not all texts with all."""
+    monkeypatch.setattr(near_copies, "SAMPLE", 0)
+    r = random.Random(11)
+    passage = [f"w{k}" for k in range(130)]
+    own = [[f"t{k}x{i}" for i in range(60)] for k in range(80)]
+    rows = [(k, " ".join(passage + x)) for k, x in enumerate(own)] + [(100 + k, " ".join(passage + changed(r, own[k], 2))) for k in range(0, 80, 8)]
+    monkeypatch.setattr(near_copies, "proposals", lambda heads, ws: heads.select(heads["head"].alias("a"), heads["head"].alias("b")).where("false"))
+    ws = Workspace(spark, "passage")
+    got = {x.key: x.component for x in near_copies.near_copies(documents(spark, rows), "doc_id", "text", ws).collect()}
+    assert got == {i: rows[c][0] for (i, _), c in zip(rows, plain_components(rows), strict=True)} and sum(i != c for i, c in got.items()) == 10
+    assert spark.read.parquet(ws.path("found")).count() <= len(rows)
+
+
 def test_odd_texts(spark):
     rows = [(i, t) for i, t in TEXTS if i is not None]
     got = near_copies.near_copies(documents(spark, rows), "doc_id", "text").collect()
