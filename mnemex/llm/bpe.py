@@ -229,9 +229,9 @@ def arrays(ids: Iterator[int]) -> Iterator[bytes]:
 class Encoder(dict):
     """Ids of chunks as bytes (little-endian, 32 bits), by chunk; ``misses`` are encoded when asked for."""
 
-    def __init__(self, tokens: Tokens, cache: int = CACHE, pieces: int = CACHE):
+    def __init__(self, tokens: Tokens, cache: int = CACHE, pieces: int | None = None):
         super().__init__()
-        self.tokens, self.limit, self.machine = tokens, cache, Transducer(tokens, pieces)
+        self.tokens, self.limit, self.machine = tokens, cache, Transducer(tokens, cache if pieces is None else pieces)
         self.odd_space = regex.compile(f" (?=[{SPACE}]|\\Z)")
         self.cut = regex.compile(f" (?=[^{SPACE}])")
         self.white = regex.compile(f"[{SPACE}]")
