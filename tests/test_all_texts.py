@@ -1,6 +1,7 @@
 """Retrieval over all documents: against brute force."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -160,3 +161,33 @@ def test_tfidf_makes_the_grams_of_a_text_once_for_many_queries(spark, monkeypatc
     assert len(passes) == 1
     first = {(r.query_id, r.rank): (r.id, r.score) for r in got}
     assert first and all(first[q, n] == first[q % len(DOCS), n] for q, n in first)
+
+
+def test_tfidf_lets_only_the_best_of_a_task_leave(spark, monkeypatch):
+    """Rough products drop what can't count and change nothing, whatever the split between common and other grams; before, each batch of a task let the best of each query leave, however low."""
+    from mnemex.operators import tfidf
+
+    r = random.Random(4)
+    texts = ["".join(r.choice("abcdef  ") for _ in range(r.choice((12, 60, 300)))) for _ in range(400)]
+    docs = spark.createDataFrame([*enumerate(texts), (400, texts[0]), (401, "ÿÿÿ")], "id long, text string").coalesce(1)
+    asked = {q: texts[q * 7][:30] for q in range(40)} | {40: texts[0][:30].upper(), 41: "漢字", 42: "ÿÿÿ"}
+    tf = {i: Counter(grams(t)) for i, t in [*enumerate(texts), (400, texts[0]), (401, "ÿÿÿ")]}
+    idf = idfs(tf)
+    unit = lambda c: (lambda v: {t: x / math.sqrt(sum(y * y for y in v.values())) for t, x in v.items()})({t: n * idf[t] for t, n in c.items() if t in idf})
+    held, wanted = {i: unit(c) for i, c in tf.items()}, {}
+    for q, text in asked.items():
+        own = unit(Counter(grams(text)))
+        scores = {i: round(sum(x * d.get(t, 0) for t, x in own.items()), 6) for i, d in held.items()}
+        wanted |= {(q, i): s for i, s in best(scores, 5) if s >= 0.3}
+    left, top_k = [], tfidf.top_k
+    monkeypatch.setattr(tfidf, "top_k", lambda df, *a: left.append(df.count()) or top_k(df, *a))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        for common, step in ((8, 50), (1024, 1_000_000)):
+            monkeypatch.setattr(tfidf, "COMMON", common)
+            monkeypatch.setattr(tfidf, "STEP", step)
+            got = tfidf.tfidf_cosine(spark.createDataFrame(list(asked.items()), "query_id long, text string"), docs, k=5, least=0.3).collect()
+            assert {(x.query_id, x.id): x.score for x in got} == pytest.approx(wanted, abs=2e-6)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert wanted and max(left) <= 5 * len(asked)
