@@ -106,8 +106,9 @@ class Asked:
             if high > low:
                 own = n[low:high]
                 place = _spread(self.starts[at[low:high]], own)
-                cell = self.line[place].astype(np.int64) * rows + np.repeat(row[low:high], own)
-                out += np.bincount(cell, self.weight[place] * np.repeat(w[low:high], own), out.size).reshape(out.shape)
+                first, last = row[low], row[high - 1] + 1  # documents follow each other
+                cell = self.line[place] + np.repeat((row[low:high] - first) * len(self.ids), own)
+                out[:, first:last] += np.bincount(cell, self.weight[place] * np.repeat(w[low:high], own), (last - first) * len(self.ids)).reshape(-1, len(self.ids)).T
         return out
 
     def exact(self, line: np.ndarray, of: np.ndarray, at: np.ndarray, w: np.ndarray, row: np.ndarray) -> np.ndarray:
