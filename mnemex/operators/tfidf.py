@@ -177,8 +177,8 @@ def tfidf_cosine(queries: DataFrame, docs: DataFrame, k: int = 20, block: int =
     if not within(df, largest):
         return _by_joins(queries, docs, k).where(F.col("score") >= least)
     n = texts.count()
-    got = df.toPandas().sort_values("gram")  # bounded by ``largest``
-    known, idf = got["gram"].to_numpy(np.int64), np.log((1 + n) / (1 + got["n"].to_numpy(np.float64))) + 1
+    got = df.toArrow().sort_by("gram")  # bounded by ``largest``
+    known, idf = got["gram"].to_numpy(), np.log((1 + n) / (1 + got["n"].to_numpy().astype(np.float64))) + 1
     vocabulary = spark.sparkContext.broadcast((known, idf))
     asked = ws.save(queries.where("query_id IS NOT NULL").select("query_id", F.lower("text").alias("text")), "asked")
     different = asked.groupBy("text").agg(F.min("query_id").alias("first"))
